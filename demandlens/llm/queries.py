@@ -6,9 +6,8 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontamination, quality, sentence_pieces, token_counts
+from . import decontamination, ngram_join, quality, sentence_pieces, sql, token_counts
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +22,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and hash of the ids of each text, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents")
@@ -38,8 +41,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_sentence_pieces, op6_decontamination, op8_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op4_sentence_pieces, op6_decontamination, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": sql.OP3, "op6_decontamination": sql.OP6}
