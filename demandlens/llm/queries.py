@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, quality, sentence_pieces, sql, token_counts
+from . import decontamination, ngram_join, quality, sentence_pieces, sharding, sql, token_counts, url_filters
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
@@ -36,13 +37,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filters.evaluate(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
+    return found.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op4_sentence_pieces, op6_decontamination, op8_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op4_sentence_pieces, op6_decontamination, op7_byte_shards, op8_quality, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.OP3, "op6_decontamination": sql.OP6}
+    return {"op3_ngram_join": sql.OP3, "op6_decontamination": sql.OP6, "op10_url_filters": sql.OP10}

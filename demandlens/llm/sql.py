@@ -40,3 +40,32 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_HOSTS = r"""
+SELECT page_id, to_timestamp(1704067200 + (page_id * 977) % 2592000)::TIMESTAMP AS fetched_at,
+  nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?i:https?)://([^/?#\\]*)', 1)), '^.*@', ''), '(:[0-9]*)?$', ''), '\.+$', ''), '') AS host
+FROM pages
+"""
+
+OP10 = rf"""
+WITH own AS ({_HOSTS}), hosts AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS c FROM (SELECT DISTINCT host FROM own WHERE host IS NOT NULL)
+), entries AS (
+  SELECT 'hosts' AS list_name, host AS pattern, 'block' AS action, c % 13 AS d FROM hosts WHERE c % 6 = 0
+  UNION ALL SELECT 'hosts', host, 'remove', c % 13 + 5 FROM hosts WHERE c % 12 = 0
+  UNION ALL SELECT 'hosts', host, 'block', c % 13 + 9 FROM hosts WHERE c % 60 = 0
+  UNION ALL SELECT 'trusted', host, 'allow', c % 17 FROM hosts WHERE c % 7 = 0
+  UNION ALL SELECT DISTINCT 'themes', array_to_string(string_split(host, '.')[-3:], '.'), 'block', 3 FROM hosts
+    WHERE regexp_matches(array_to_string(string_split(host, '.')[-3:], '.'), '(^|[.-])(ads|bets|pills|casino)([.-])')
+), spans AS (
+  SELECT list_name, pattern, action, d, lead(d) OVER (PARTITION BY list_name, pattern ORDER BY d) AS until
+  FROM (SELECT list_name, pattern, d, max(action) AS action FROM entries GROUP BY ALL)
+), held AS (
+  SELECT o.page_id, count(*) AS n_active, arg_max([s.pattern, s.action], (length(s.pattern), CAST(s.action = 'allow' AS INT), s.pattern)) AS rule
+  FROM own o JOIN spans s ON (o.host = s.pattern OR ends_with(o.host, '.' || s.pattern)) AND s.action <> 'remove'
+    AND epoch(o.fetched_at) >= 1704067200 + d * 86400 AND (until IS NULL OR epoch(o.fetched_at) < 1704067200 + until * 86400)
+  GROUP BY o.page_id
+)
+SELECT own.page_id, host, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_at, CAST(coalesce(n_active, 0) AS BIGINT) AS n_active, rule[1] AS pattern, rule[2] AS action,
+  host IS NOT NULL AND coalesce(rule[2], 'none') <> 'block' AS kept
+FROM own LEFT JOIN held USING (page_id)
+"""
