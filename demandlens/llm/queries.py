@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, quality, sentence_pieces, sharding, sql, token_counts, url_filters
+from . import decontamination, language_id, ngram_join, personal_data, quality, sentence_pieces, sharding, sql, token_counts, url_filters
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
@@ -23,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -33,6 +37,10 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(docs, PIECES)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -52,7 +60,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_join, op4_sentence_pieces, op6_decontamination, op7_byte_shards, op8_quality, op10_url_filters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
