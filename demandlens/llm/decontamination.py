@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import ALNUM, LOWER, ngram_hashes, word_hashes
 
@@ -142,8 +143,9 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, block: Block) -> DataFram
                 found.append(sorted(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], [id_col, "n_words", "hits", "items"])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("binary")).mapInArrow(join, f"`{id_col}` {kind}, n_words long, hits array<struct<first:long,last:long>>, items array<string>")
+    chosen = docs.select(id_col, F.col(text_col).cast("binary"))
+    rest = T.StructType.fromDDL("n_words long, hits array<struct<first:long,last:long>>, items array<string>")
+    return chosen.mapInArrow(join, T.StructType([chosen.schema[0], *rest.fields]))
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import BETWEEN_SPACES, LOWER, U, covered, mix, ngram_hashes, span_hashes, word_spans
 
@@ -144,7 +145,7 @@ def quality(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str =
     """Per row: id, the five base counts, base_failed, char_distance, word_distance (null where a guard holds) and kept.
 
     The references come from all documents with a language; a document is compared with each and the nearest counts,
-    so its own language isn't used. Null text: no words, so it fails. Without any reference only the base rules judge.
+    so its own language isn't used. The id may be any column, also a struct of all. Null text: no words, so it fails. Without any reference only the base rules judge.
     """
     refs = _load(language_references(docs, cfg, text_col, lang_col).collect(), cfg)
 
@@ -176,6 +177,6 @@ def quality(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names) if rows else pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([], k) for k in kinds)], names)
 
     names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names[1:6]) + ", base_failed boolean, char_distance double, word_distance double, kept boolean"
+    kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([docs.select(id_col).schema[0], *(T.StructField(n, k) for n, k in zip(names[1:], kinds))])
     return docs.select(id_col, text_col).mapInArrow(judge, schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, ngram_join, personal_data, quality, sentence_pieces, sharding, sql, token_counts, url_filters
+from . import decontamination, language_id, line_dedup, ngram_join, personal_data, quality, sentence_pieces, sharding, sql, token_counts, url_filters
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
@@ -53,6 +53,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = url_filters.evaluate(url_filters.dated_captures(pages), url_filters.derived_entries(pages))
@@ -60,7 +64,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op10_url_filters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op9_line_dedup, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
