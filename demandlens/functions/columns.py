@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -26,12 +27,12 @@ def ranked(c: Column, values: dict[str, float]) -> Column:
     return out
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfkd_folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 

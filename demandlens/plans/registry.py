@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import demand_queries, filter_queries  # noqa: F401
+    from . import change_queries, demand_queries, filter_queries, join_queries, scalar_queries, text_queries, work_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
