@@ -1,13 +1,13 @@
 """Linking of distinct objects (shingle sets, lines) that are similar enough, without listing all pairs of a group.
 
-1. Cells: every object stands in some cells, such that any two similar objects share one. Objects that share cells,
-   directly or over others, form a candidate group (connected components of one edge from each member to the first of
-   its cell; no pair of similar objects lies across two groups).
-2. Every member has a point: its elements counted in DIMENSIONS hashed groups. The sum of the coordinate minima of two
-   points bounds the overlap of the objects. A group's members are first verified against the one nearest to the group's mean.
-3. Members that aren't connected by then are packed in R-tree leaves: ranges of the group's members in sorted order, with
-   the corner of largest coordinates. Pairs of leaves whose corners' minima allow enough overlap are searched, and the
-   surviving pairs of points, of different components, are verified: the two best of each point and leaf first, then all others.
+1. Cells: every object stands in some cells, such that any two similar objects share one.
+2. Every object that shares a cell has a point: its elements counted in DIMENSIONS hashed groups. The sum of the coordinate
+   minima of two points bounds the overlap of the objects. Members of a cell are first verified against the cell's first
+   one, as far as the bound allows: this settles cells of two and most groups of copies, with a pair for each member.
+3. Cells whose other members aren't all connected by then are searched: their members are packed in R-tree leaves (ranges of the
+   cell's members but the first, sorted by size, with the corner of largest coordinates and the range of sizes). Pairs of leaves whose
+   corners allow enough overlap are searched, and the surviving pairs of points, of different components, are verified:
+   the two best of each point and leaf first, then all others.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def overlap(a: str, b: str) -> F.Column:
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """Bulk-loaded leaves: members sorted by group, size and point, at most LEAF a leaf; a large group spans many tasks."""
+    """Bulk-loaded leaves: members sorted by cell, size and point, at most LEAF a leaf; a large cell spans many tasks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,11 +77,12 @@ def _leaves(members: DataFrame) -> DataFrame:
 
         def leaf() -> tuple:
             vecs = np.array([m[3] for m in held], dtype=np.int32)
-            return (held[0][0], (part << 32) + made, vecs.max(axis=0).tolist(), min(m[2] for m in held), np.array([m[1] for m in held]).tobytes(), np.array([m[2] for m in held]).tobytes(), vecs.tobytes(), np.array([m[4] for m in held]).tobytes(), np.array([m[5] for m in held], dtype=np.int8).tobytes())
+            n = np.array([m[2] for m in held])
+            return (held[0][0], (part << 32) + made, vecs.max(axis=0).tolist(), int(n.min()), int(n.max()), np.array([m[1] for m in held]).tobytes(), n.tobytes(), vecs.tobytes(), np.array([m[4] for m in held]).tobytes())
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["coarse", "leaf", "high", "least", "keys", "ns", "vecs", "comps", "hubs"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["sig", "leaf", "high", "least", "most", "keys", "ns", "vecs", "comps"])
 
         rows = []
         for batch in batches:
@@ -98,36 +99,41 @@ def _leaves(members: DataFrame) -> DataFrame:
         if rows:
             yield out(rows)
 
-    ordered = members.select("coarse", "key", "n", "vec", "comp", "hub")
+    ordered = members.select("sig", "key", "n", "vec", "comp")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(parts, "coarse", "n", "key").sortWithinPartitions("coarse", "n", "vec", "key")
-    return ordered.mapInArrow(pack, "coarse long, leaf long, high array<int>, least long, keys binary, ns binary, vecs binary, comps binary, hubs binary")
+    ordered = ordered.repartitionByRange(parts, "sig", "n", "key").sortWithinPartitions("sig", "n", "vec", "key")
+    return ordered.mapInArrow(pack, "sig long, leaf long, high array<int>, least long, most long, keys binary, ns binary, vecs binary, comps binary")
 
 
 def _leaf_pairs(leaves: DataFrame, bound: Bound, best: int | None) -> DataFrame:
-    """Pairs of keys from different components that the bound allows; of each point only the ``best`` in a leaf, or all."""
-    left = leaves.select("coarse", *(F.col(c).alias(f"{c}_1") for c in leaves.columns if c != "coarse"))
-    right = leaves.select("coarse", *(F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "coarse"))
-    near = left.join(right, "coarse").where("leaf_1 <= leaf_2").where(bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2")))
-    columns = [f"{c}_{i}" for i in (1, 2) for c in ("leaf", "keys", "ns", "vecs", "comps", "hubs")]
+    """Pairs of keys from different components that the bound allows; of each point only the ``best`` in a leaf, or all.
+
+    Leaves of a cell meet by its number in a stated number of partitions, so that small tables aren't put in one task.
+    """
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = leaves.repartition(parts, "sig")
+    left = dealt.select("sig", *(F.col(c).alias(f"{c}_1") for c in leaves.columns if c != "sig"))
+    right = dealt.select("sig", *(F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "sig"))
+    # sizes nearest to each other that the two leaves allow, then the corners
+    small = F.least("most_1", "most_2")
+    sizes = bound.column(small, small, F.greatest("least_1", "least_2", small))
+    near = left.join(right, "sig").where("leaf_1 <= leaf_2").where(sizes & bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2")))
+    columns = [f"{c}_{i}" for i in (1, 2) for c in ("leaf", "keys", "ns", "vecs", "comps")]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                (k1, n1, c1, h1), (k2, n2, c2, h2) = ([np.frombuffer(row[f"{c}_{i}"], dtype=d) for c, d in (("keys", np.int64), ("ns", np.int64), ("comps", np.int64), ("hubs", np.int8))] for i in (1, 2))
+                (k1, n1, c1), (k2, n2, c2) = ([np.frombuffer(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "ns", "comps")] for i in (1, 2))
                 v1, v2 = (np.frombuffer(row[f"vecs_{i}"], dtype=np.int32).reshape(-1, DIMENSIONS) for i in (1, 2))
                 first, second = [], []
                 for i in range(len(k1)):
-                    if h1[i]:  # it has been verified against all
-                        continue
-                    ok = (c2 != c1[i]) & (h2 == 0)
+                    ok = c2 != c1[i]
                     if row["leaf_1"] == row["leaf_2"]:
                         ok[: i + 1] = False
-                    at = np.flatnonzero(ok)
+                    # by size no more overlap is possible than the smaller object has: a cheap test before the coordinates
+                    at = np.flatnonzero(ok & (bound.a * np.minimum(n1[i], n2) >= bound.b * (n1[i] + n2) - bound.c))
                     if not len(at):
                         continue
-                    # over 2 * min(n) no overlap is possible: cheap test by size before the coordinates
-                    at = at[bound.a * np.minimum(n1[i], n2[at]) >= bound.b * (n1[i] + n2[at]) - bound.c]
                     common = np.minimum(v1[i], v2[at]).sum(axis=1, dtype=np.int64)
                     spare = bound.a * common - (bound.b * (n1[i] + n2[at]) - bound.c)
                     keep = spare >= 0
@@ -139,7 +145,8 @@ def _leaf_pairs(leaves: DataFrame, bound: Bound, best: int | None) -> DataFrame:
                 if first:
                     yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 
-    return near.select(*columns).mapInArrow(search, "a long, b long")
+    found = near.select(*columns).mapInArrow(search, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, described: DataFrame, verify: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -161,30 +168,27 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     least the objects whose keys the filter has; rows may repeat. ``verify`` decides on two payloads.
     """
     first = F.first("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    edges = scratch.save(cells.select("sig", "key").withColumn("hub", first).where("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "shared")
-    if edges.isEmpty():
+    shared = scratch.save(cells.select("sig", "key").withColumn("hub", first).where("hub <> key").distinct(), "shared")
+    if shared.isEmpty():
         return None
-    coarse = scratch.save(connected_components(edges, scratch).withColumnRenamed("comp", "coarse"), "coarse")
-    described = scratch.save(describe(key_filter(coarse)).join(coarse, "key").dropDuplicates(["key"]), "members")
+    members = shared.select("key").union(shared.select("hub")).distinct()
+    described = scratch.save(describe(key_filter(members)).join(members, "key", "left_semi").dropDuplicates(["key"]), "members")
+    point = described.select("key", "n", "vec")
 
-    # the member nearest to its group's mean is verified against all others of the group
-    total = described.groupBy("coarse").agg(F.count(F.lit(1)).alias("m"), *(F.sum(F.col("vec")[i]).alias(f"s{i}") for i in range(DIMENSIONS))).select("coarse", "m", F.array(*(F.col(f"s{i}") for i in range(DIMENSIONS))).alias("sums"))
-    away = F.expr("aggregate(zip_with(vec, sums, (x, s) -> abs(x * m - s)), 0L, (t, x) -> t + x)")
-    hubs = scratch.save(described.select("coarse", "key", "n", "vec").join(total, "coarse").groupBy("coarse").agg(F.min_by(F.struct(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("vec").alias("hub_vec")), F.struct(away, "key")).alias("h")).select("coarse", "h.*"), "hubs")
-    star = described.select("coarse", "key", "n", "vec").join(hubs, "coarse").where("key <> hub").where(bound.column(overlap("vec", "hub_vec"), F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    links = scratch.save(_verified(star, described, verify), "links")
+    star = shared.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    near = star.join(point.withColumnsRenamed({"key": "a", "n": "n1", "vec": "v1"}), "a").join(point.withColumnsRenamed({"key": "b", "n": "n2", "vec": "v2"}), "b").where(bound.column(overlap("v1", "v2"), F.col("n1"), F.col("n2")))
+    links = scratch.save(_verified(near.select("a", "b"), described, verify), "links")
+    comps = scratch.save(connected_components(links, scratch), "comps")
 
     for best in (2, None):
-        comps = scratch.save(connected_components(links, scratch), "comps")
-        now = described.select("coarse", "key", "n", "vec").join(comps, "key", "left").join(hubs.select("coarse", "hub"), "coarse").select("coarse", "key", "n", "vec", F.coalesce("comp", "key").alias("comp"), (F.col("key") == F.col("hub")).alias("hub"))
-        # what is left: groups in which members besides the hub are in several components
-        state = now.where("not hub").groupBy("coarse").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("coarse")
-        leaves = scratch.save(_leaves(now.join(state, "coarse", "left_semi")), "leaves")
-        pairs = _leaf_pairs(leaves, bound, best).distinct()
-        new = scratch.save(_verified(pairs, described, verify), "links")
-        if new.isEmpty() and best is None:
+        placed = shared.join(comps, "key", "left").select("sig", "hub", "key", F.coalesce("comp", "key").alias("comp"))
+        # what is left: cells in which members besides the first are in several components
+        left = scratch.save(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig"), "left")
+        if left.isEmpty():
             break
-        links = links.unionByName(new)
-        if best is None:
-            comps = connected_components(links, scratch)
+        leaves = scratch.save(_leaves(placed.join(left, "sig", "left_semi").join(point, "key").select("sig", "key", "n", "vec", "comp")), "leaves")
+        new = scratch.save(_verified(_leaf_pairs(leaves, bound, best), described, verify), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comps = scratch.save(connected_components(links, scratch), "comps")
     return comps
