@@ -38,6 +38,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
     stay in one shard; k2 is refined for a boundary that falls inside copies of more bytes than tolerated.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
+    if not total:
+        return []
     slack = tolerance * total / shards
     goal = {i: total * i / shards for i in range(1, shards)}
     #: Of each unsettled boundary: the interval (depth in k1, its bits, depth in k2, its bits) and the bytes below it.
