@@ -234,7 +234,8 @@ def drop_repeated_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col:
     scratch = Scratch(docs.sparkSession, "line-dedup")
     keyed = docs.drop("n_lines", "dropped", "doc_key").withColumn("doc_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     dropped = scratch.save(repeated_lines(keyed, cfg, scratch, id_col, text_col), "dropped")
-    joined = keyed.join(dropped, "doc_key", "left").drop("doc_key")
+    # texts are sorted into the join at every size: the plan mustn't change where the other side outgrows a broadcast
+    joined = keyed.hint("merge").join(dropped, "doc_key", "left").drop("doc_key")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
