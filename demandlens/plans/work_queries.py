@@ -78,7 +78,7 @@ def a7_written(t):
     return t.spark.read.parquet(folder).select("stage", F.col("value").cast("long").alias("value"))
 
 
-@query("a8_report_json", """SELECT to_json({'skill_id': skill_id, 'n': n, 'share': round(n / 7.0, 4)}) AS value FROM (SELECT skill_id, count(*) AS n FROM requirement WHERE skill_id IS NOT NULL GROUP BY 1) WHERE n % 7 = 0""")
+@query("a8_report_json", """SELECT CAST(to_json({'skill_id': skill_id, 'n': n, 'share': round(n / 7.0, 4)}) AS VARCHAR) AS value FROM (SELECT skill_id, count(*) AS n FROM requirement WHERE skill_id IS NOT NULL GROUP BY 1) WHERE n % 7 = 0""")
 def a8(t):
     counts = t.requirement.where("skill_id is not null").groupBy("skill_id").agg(F.count(F.lit(1)).alias("n")).where("n % 7 = 0").withColumn("share", F.col("n") / 7)
     return sinks.report_json(counts, ["skill_id", "n", "share"])
@@ -90,7 +90,7 @@ def a8_markdown(t):
     return sinks.markdown_table(counts, ["name", "n"], [F.desc("n"), F.asc("name")], 20)
 
 
-@query("a9_job_payload", "SELECT to_json({'posting_id': p.id, 'company': company, 'title': title}) AS payload FROM posting p LEFT JOIN jd ON jd.posting_id = p.id WHERE inactive_at IS NULL AND fetch_status IS NULL")
+@query("a9_job_payload", "SELECT CAST(to_json({'posting_id': p.id, 'company': company, 'title': title}) AS VARCHAR) AS payload FROM posting p LEFT JOIN jd ON jd.posting_id = p.id WHERE inactive_at IS NULL AND fetch_status IS NULL")
 def a9(t):
     todo = joins.needs_fetch(t.posting, t.jd).where("fetch_status is null")
     return sinks.to_payload(todo.select(F.col("id").alias("posting_id"), "company", "title"))
@@ -196,7 +196,7 @@ def i6_stream(t):
     return t.spark.read.parquet(f"{folder}/out").select("id", "host", "result")
 
 
-_HANDED = "SELECT to_json({'posting_id': event_id, 'jd_sha256': sha256(props), 'adapter': event_type, 'char_count': length(props)}) AS payload FROM events WHERE event_id % 3 <> 0"
+_HANDED = "SELECT CAST(to_json({'posting_id': event_id, 'jd_sha256': sha256(props), 'adapter': event_type, 'char_count': length(props)}) AS VARCHAR) AS payload FROM events WHERE event_id % 3 <> 0"
 
 
 @query("i7_hand_off", _HANDED)
