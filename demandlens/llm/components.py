@@ -1,16 +1,18 @@
-"""Connected components by alternating large-star and small-star steps, all in joins and minima."""
+"""Connected components by alternating large-star and small-star steps, all in minima over neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(least, "a").select("a", "b", F.least("a", "m").alias("m"))
+    """Every edge with the smallest node of its first one's neighbourhood. Neighbours come sorted, so a node with very many
+    is passed through, not held."""
+    smallest = F.first("b").over(Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    return edges.withColumn("m", F.least("a", smallest))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -19,9 +21,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _with_min(down)
-    return least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    """Of edges that lead to smaller nodes: each neighbour, and the node itself, to the smallest one."""
+    least = _with_min(edges)
+    ends = F.explode(F.when(F.col("b") != F.col("m"), F.array("a", "b")).otherwise(F.array("a")))
+    return least.select(ends.alias("a"), F.col("m").alias("b"))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -26,7 +26,8 @@ class Partition:
     Sizes are cut into ranges; for the range with bound u the hash space is cut into more than d intervals, so that the
     sets agree exactly on one of them. A cell is a range, an interval and a hash of the elements in it. A set stands in
     the cells of its own range and of those above that hold partners. Where the sets agree on empty intervals only, each
-    has at most d others: only such sets have cells for empty intervals.
+    has at most d others: only such sets have cells for empty intervals. There are a sixth more intervals than needed: a set with m
+    intervals that aren't empty then shares at least m - d of them with each similar one, and few sets without one share so many by chance.
     """
 
     def __init__(self, percent: int, growth: float = 1.6):
@@ -42,23 +43,22 @@ class Partition:
             self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * self.growth)))
         return int(np.searchsorted(self.upper, n))
 
-    def cells(self, s: np.ndarray) -> np.ndarray:
-        n, out = len(s), []
-        j = self.range_of(n)
+    def cells(self, s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Cells of a set in each range, the range, and how many of them it shares with any similar set at least."""
+        n = len(s)
         last = self.range_of(100 * n // self.percent)
-        for j in range(j, last + 1):
+        for j in range(self.range_of(n), last + 1):
             d = self.differ(self.upper[j])
             if d == 0:  # only equal sets are similar
                 continue
-            k = d + 1 + max(2, d // 16)
+            k = d + 1 + max(2, d // 6)
             part = ((s >> U(32)) * U(k)) >> U(32)  # s is sorted, so its parts are too
             at = np.flatnonzero(np.diff(part, prepend=U(k)))
-            sums, own = np.add.reduceat(mix(s + U(j)), at), part[at]
+            sums, own = np.add.reduceat(s, at), part[at]
             if len(at) <= d:
                 empty = np.setdiff1d(np.arange(k, dtype=U), own)
                 sums, own = np.concatenate([sums, np.zeros(len(empty), dtype=U)]), np.concatenate([own, empty])
-            out.append(mix(sums ^ mix(own + (U(j) << U(32)))))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+            yield mix(sums ^ mix(own + (U(j) << U(32)))).view(np.int64), j, max(1, len(at) - d)
 
 
 class Seen:
@@ -92,25 +92,26 @@ def set_profiles(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
 def _cells(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = Partition(percent), Seen()
-        sigs, keys, size = [], [], 0
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["sig", "key", "tag", "need"])
 
         for batch in batches:
             for text in batch.column(0):
                 s = shingles(text.as_py() or b"", n)
                 if len(s) and seen.first(key := set_key(s)):
-                    cells = plan.cells(s)
-                    sigs.append(cells)
-                    keys.append(np.full(len(cells), key))
-                    if (size := size + len(cells)) >= 100_000:
+                    for cells, tag, need in plan.cells(s):
+                        parts.append((cells, np.full(len(cells), key), np.full(len(cells), tag, dtype=np.int32), np.full(len(cells), need, dtype=np.int32)))
+                        size += len(cells)
+                    if size >= 100_000:
                         yield out()
-                        sigs, keys, size = [], [], 0
-        if sigs:
+                        parts, size = [], 0
+        if parts:
             yield out()
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "sig long, key long")
+    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "sig long, key long, tag int, need int")
 
 
 def _describe(docs: DataFrame, n: int, text_col: str, wanted: KeyFilter) -> DataFrame:

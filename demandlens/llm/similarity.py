@@ -164,11 +164,19 @@ def _verified(pairs: DataFrame, described: DataFrame, verify: Callable[[bytes, b
 def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound: Bound, verify: Callable[[bytes, bytes], bool], scratch: Scratch) -> DataFrame | None:
     """Components of similar objects: ``key`` and ``comp`` of those with a similar one; None if cells hold no two objects.
 
-    ``cells``: sig, key; rows may repeat. ``describe(filter)``: key, n, vec (array of DIMENSIONS counts) and payload of at
+    ``cells``: sig, key; rows may repeat. With tag and need, an object of which under ``need`` cells of a tag are shared has no similar one among
+    these. ``describe(filter)``: key, n, vec (array of DIMENSIONS counts) and payload of at
     least the objects whose keys the filter has; rows may repeat. ``verify`` decides on two payloads.
     """
-    first = F.first("key").over(Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    shared = scratch.save(cells.select("sig", "key").withColumn("hub", first).where("hub <> key").distinct(), "shared")
+    by_cell = Window.partitionBy("sig").orderBy("key")
+    first, after = F.first("key").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)), F.lead("key").over(by_cell)
+    counted = "need" in cells.columns
+    met = cells.withColumn("hub", first).withColumn("after", after).where("hub <> key or after <> key").drop("hub", "after").distinct()
+    if counted:  # members of too few shared cells have no similar object; cells of one are left out then
+        met = scratch.save(met, "met")
+        enough = met.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("key", "tag")
+        met = met.join(enough, ["key", "tag"], "left_semi")
+    shared = scratch.save(met.select("sig", "key").withColumn("hub", first).where("hub <> key"), "shared")
     if shared.isEmpty():
         return None
     members = shared.select("key").union(shared.select("hub")).distinct()

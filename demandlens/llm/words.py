@@ -71,10 +71,18 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + U(n))
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted values, each once."""
+    h = np.sort(h)
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 def shingles(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of n-word runs of a lower-cased text; of fewer words, the whole sequence is the only one."""
     h = word_hashes(text.translate(LOWER), BETWEEN_SPACES)[2]
-    return np.unique(ngram_hashes(h, min(n, len(h)))) if len(h) else h
+    return distinct(ngram_hashes(h, min(n, len(h)))) if len(h) else h
 
 
 def covered(flags: np.ndarray, n: int, length: int) -> np.ndarray:
