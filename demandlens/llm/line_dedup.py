@@ -232,13 +232,17 @@ def drop_repeated_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col:
     dropped are replaced.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    keyed = docs.drop("n_lines", "dropped", "doc_key").withColumn("doc_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    dropped = scratch.save(repeated_lines(keyed, cfg, scratch, id_col, text_col), "dropped")
+    keyed = docs.drop("n_lines", "dropped", "doc_key", "_marks").withColumn("doc_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    # a mark for each line up to the last dropped one, so that texts of very many lines take one pass
+    gaps = "flatten(transform(sequence(1, size(dropped)), k -> concat(array_repeat(false, element_at(dropped, k) - if(k = 1, -1, element_at(dropped, greatest(1, k - 1))) - 1), array(true))))"
+    dropped = scratch.save(repeated_lines(keyed, cfg, scratch, id_col, text_col).withColumn("_marks", F.expr(gaps)), "dropped")
+    scratch.keep(dropped)
     # texts are sorted into the join at every size: the plan mustn't change where the other side outgrows a broadcast
     joined = keyed.hint("merge").join(dropped, "doc_key", "left").drop("doc_key")
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    left = F.array_join(F.zip_with(lines, "_marks", lambda x, gone: F.when(gone, F.lit(None)).otherwise(x)), "\n")
+    counted = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    return counted.withColumn(text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left)).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>"))).drop("_marks")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

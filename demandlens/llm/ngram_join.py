@@ -160,4 +160,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         renamed = joined.join(least, "comp").select("key", "least")
         classes = classes.join(renamed, "key", "left").select("key", F.coalesce("least", "rep").alias("rep"))
     own = profiles.where("key is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id"))
-    return profiles.where("key is not null").join(classes, "key").select(id_col, "n_shingles", F.col("rep").alias("component_id")).unionByName(own)
+    whole = profiles.where("key is not null").join(classes, "key").select(id_col, "n_shingles", F.col("rep").alias("component_id")).unionByName(own)
+    out = scratch.save(whole, "components")
+    scratch.keep(out)
+    return out

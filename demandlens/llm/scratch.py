@@ -24,14 +24,14 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.saved: list[DataFrame] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        path = f"{self.root}/{len(self.saved):03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.saved.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -40,3 +40,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all tables but these."""
+        self.drop(*(t for t in self.saved if not any(t is k for k in tables)))

@@ -173,10 +173,12 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     counted = "need" in cells.columns
     met = cells.withColumn("hub", first).withColumn("after", after).where("hub <> key or after <> key").drop("hub", "after").distinct()
     if counted:  # members of too few shared cells have no similar object; cells of one are left out then
-        met = scratch.save(met, "met")
+        met = every = scratch.save(met, "met")
         enough = met.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("key", "tag")
         met = met.join(enough, ["key", "tag"], "left_semi")
     shared = scratch.save(met.select("sig", "key").withColumn("hub", first).where("hub <> key"), "shared")
+    if counted:
+        scratch.drop(every)
     if shared.isEmpty():
         return None
     members = shared.select("key").union(shared.select("hub")).distinct()
@@ -199,4 +201,5 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
         if not new.isEmpty():
             links = links.unionByName(new)
             comps = scratch.save(connected_components(links, scratch), "comps")
+    scratch.drop(shared, described)
     return comps
