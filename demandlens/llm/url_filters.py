@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels of a host that are looked up: a longer host keeps its last ones.
-MAX_LABELS = 8
-
 
 def host(url: Column) -> Column:
     """Host of an http or https URL: lower case, no credentials, port or trailing dot; null for other texts."""
@@ -41,9 +38,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """
     own = captures.select(F.col(id_col), host(F.col(url_col)).alias("host"), F.col(time_col).alias("fetched_at"))
     asked = own.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    looked_up = asked.select("host", "fetched_at", F.explode(suffixes).alias("pattern"))
+    # all suffixes, down to the whole host; each is cut from its own row, so that a host of very many labels needs no array of them
+    numbered = asked.select("host", "fetched_at", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("n"))
+    looked_up = numbered.select("host", "fetched_at", F.expr("substring_index(host, '.', -n)").alias("pattern"))
     intervals = validity_intervals(entries)
     holds = looked_up.join(intervals, "pattern").where("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     rank = F.struct(F.length("pattern"), (F.col("action") == "allow").cast("int"), F.col("pattern"))

@@ -394,3 +394,16 @@ def test_urls_as_of_fetch_time(spark):
     assert out[(0, "2024-01-05")].n_active == 2 and out[(0, "2024-01-05")].action == "allow"
     assert out[(6, "2024-01-01")].kept and out[(6, "2024-01-10")].kept and out[(9, "None")].n_active == 0
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0 and url_filters.evaluate(captures, entries.limit(0)).count() == 22
+
+
+def test_urls_of_many_labels(spark):
+    """Hosts of 1 to 130 labels against entries of every length, by brute force: whole hosts, suffixes and empty labels."""
+    hosts = [".".join(f"l{n - i}" for i in range(n)) for n in (1, 2, 8, 9, 10, 31, 127, 130)] + ["a..b.l1", "x.l9.l8.l7.l6.l5.l4.l3.l2.l1"]
+    patterns = [".".join(f"l{n - i}" for i in range(n)) for n in (8, 9, 10, 30, 127)] + [hosts[-2], ".b.l1", "9.l8.l7.l6.l5.l4.l3.l2.l1"]
+    captures = spark.createDataFrame([(i, f"https://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string").withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-05")))
+    entries = spark.createDataFrame([("l", p, "allow" if p.count(".") == 9 else "block") for p in patterns], "list_name string, pattern string, action string").withColumn("dated", F.to_timestamp(F.lit("2024-01-01")))
+    for r in url_filters.evaluate(captures, entries).collect():
+        held = [p for p in patterns if r.host == p or r.host.endswith("." + p)]
+        longest = max(held, key=len, default=None)
+        assert (r.host, r.n_active, r.pattern) == (hosts[r.page_id], len(held), longest)
+        assert r.kept == (longest is None or longest.count(".") == 9)
