@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 class Tables:
     """Lazily read tables of one folder; columns and rows are pruned by the queries that use them."""
 
+    #: Whether queries run over all rows and whole texts; those that are compared with SQL keep the bounds of their SQL.
+    whole = False
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -128,6 +131,12 @@ class Tables:
         )
 
 
+class WholeTables(Tables):
+    """The tables of the queries named ..._whole: no row and no text is cut."""
+
+    whole = True
+
+
 _STATUS = "CASE WHEN l_quantity >= 49 THEN 'evidenced' WHEN l_quantity >= 45 THEN 'weak' ELSE 'absent' END"
 _ROW = "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber"
 _IMPORTANCE = "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bindings import VIEWS, Tables
+from .bindings import VIEWS, Tables, WholeTables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,11 +33,16 @@ def with_views(sql: str) -> str:
     return f"WITH {views}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {views} {sql}"
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of Tables under a name, with its SQL over the views where SQL can express it."""
+def query(name: str, sql: str | None = None, whole: bool = False):
+    """Registers a function of Tables under a name, with its SQL over the views where SQL can express it.
+
+    ``whole``: the SQL, and so the query, has bounds that the job hasn't; the job itself is registered as name_whole, without SQL.
+    """
 
     def put(f: Callable[[Tables], DataFrame]):
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if whole:
+            _QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(WholeTables(spark, sf_dir))
         if sql:
             _SQL[name] = with_views(sql)
         return f

@@ -58,11 +58,18 @@ def _vocabulary(t):
     phrases = ["the", "of", "and the", "of the", "in", "die", "und", "der die", "de la", "que", "la"]
     aliases = t.skill.where("id < 11").select(F.element_at(F.array(*map(F.lit, phrases)), (F.col("id") + 1).cast("int")).alias("alias_norm"), F.col("id").alias("skill_id"))
     guards = t.skill.where("id < 2").select(F.element_at(F.array(F.lit("in the"), F.lit("und der")), (F.col("id") + 1).cast("int")).alias("phrase"))
+    if t.whole:  # the phrases belong to skills 0 to 10 whatever the parts, whose names are aliases too
+        aliases = t.spark.createDataFrame(list(zip(phrases, range(11))), "alias_norm string, skill_id long").unionByName(t.read("part").select(taxonomy_normalized(F.concat_ws(" ", "p_name", "p_partkey")).alias("alias_norm"), F.col("p_partkey").cast("long").alias("skill_id")))
+        guards = t.spark.createDataFrame([("in the",), ("und der",)], "phrase string")
     return aliases, guards
 
 
+def _text(t):
+    return F.col("text") if t.whole else F.substring("text", 1, 400)
+
+
 def _spans(t):
-    return t.read("documents").select(F.col("doc_id").alias("span_id"), F.substring("text", 1, 400).alias("text"))
+    return t.read("documents").select(F.col("doc_id").alias("span_id"), _text(t).alias("text"))
 
 
 _TOKENS = r"string_split(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(left(text, 400)), '&', ' and '), '''', '', 'g'), '(^|[\p{L}\p{N}\s])\.([\p{L}\p{N}])', '\1' || chr(1) || '\2', 'g'), '(^|[\p{L}\p{N}\s])\.([\p{L}\p{N}])', '\1' || chr(1) || '\2', 'g'), '\.', ' ', 'g'), chr(1), '.'), '[^\p{L}\p{N}+#.]+', ' ', 'g')), ' ')"
@@ -77,13 +84,13 @@ _FIRST = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id AS span_id, {_TOKEN
     UNION ALL SELECT h.span_id, x.i, x.n, x.skill_id FROM hits h, LATERAL (SELECT b.i, b.n, b.skill_id FROM best b WHERE b.span_id = h.span_id AND b.i >= h.i + h.n ORDER BY b.i LIMIT 1) x)"""
 
 
-@query("k3_vocabulary_hits", f"{_FIRST} SELECT span_id, string_agg(i || ':' || (i + n) || ':' || skill_id, ',' ORDER BY i) AS hits FROM hits GROUP BY span_id")
+@query("k3_vocabulary_hits", f"{_FIRST} SELECT span_id, string_agg(i || ':' || (i + n) || ':' || skill_id, ',' ORDER BY i) AS hits FROM hits GROUP BY span_id", whole=True)
 def k3(t):
     out = text_jobs.vocabulary_hits(_spans(t), *_vocabulary(t))
     return out.select("span_id", F.expr("array_join(transform(hits, x -> concat(x.start, ':', x.stop, ':', x.skill_id)), ',')").alias("hits"))
 
 
-@query("j2_resolver", f"{_FIRST} SELECT w.span_id, h.skill_id FROM w LEFT JOIN (SELECT span_id, arg_min(skill_id, i) AS skill_id FROM hits GROUP BY span_id) h USING (span_id)")
+@query("j2_resolver", f"{_FIRST} SELECT w.span_id, h.skill_id FROM w LEFT JOIN (SELECT span_id, arg_min(skill_id, i) AS skill_id FROM hits GROUP BY span_id) h USING (span_id)", whole=True)
 def j2(t):
     return text_jobs.resolve(_spans(t), *_vocabulary(t))
 
@@ -261,6 +268,7 @@ def g4(t):
     return docs.check_taxonomy(_specs(t))[2]
 
 
-@query("h8_taxonomy_normalize", r"SELECT doc_id, array_to_string(" + _TOKENS + r", ' ') AS norm FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@query("h8_taxonomy_normalize", r"SELECT doc_id, array_to_string(" + _TOKENS + r", ' ') AS norm FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')", whole=True)
 def h8(t):
-    return t.read("documents").where(r"text rlike '^[\\x00-\\x7F]*$'").select("doc_id", taxonomy_normalized(F.substring("text", 1, 400)).alias("norm"))
+    docs = t.read("documents")
+    return (docs if t.whole else docs.where(r"text rlike '^[\\x00-\\x7F]*$'")).select("doc_id", taxonomy_normalized(_text(t)).alias("norm"))
