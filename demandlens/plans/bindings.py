@@ -20,6 +20,14 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def bounded(self, name: str, bound: str) -> DataFrame:
+        """The rows that the SQL reads, or all."""
+        return self.read(name) if self.whole else self.read(name).where(bound)
+
+    @property
+    def skill_of_line(self) -> str:
+        return f"CASE WHEN l_partkey % 8 <> 0 THEN l_partkey{'' if self.whole else ' % 229'} END AS skill_id"
+
     @cached_property
     def posting(self) -> DataFrame:
         orders, customer, nation, region = (self.read(n) for n in ("orders", "customer", "nation", "region"))
@@ -59,7 +67,7 @@ class Tables:
         return self.read("lineitem").selectExpr(
             "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id",
             "l_orderkey AS posting_id",
-            "CASE WHEN l_partkey % 8 <> 0 THEN l_partkey % 229 END AS skill_id",
+            self.skill_of_line,
             "concat('Experience with part ', l_partkey % 500) AS raw_text",
             "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END AS importance",
             "round(1 - l_discount, 3) AS confidence",
@@ -68,18 +76,17 @@ class Tables:
 
     @cached_property
     def skill(self) -> DataFrame:
-        return self.read("part").where("p_partkey < 229").selectExpr("p_partkey AS id", "concat(p_name, ' ', p_partkey) AS name", "p_type AS category", "p_size % 7 <> 0 AS is_actionable")
+        return self.bounded("part", "p_partkey < 229").selectExpr("p_partkey AS id", "concat(p_name, ' ', p_partkey) AS name", "p_type AS category", "p_size % 7 <> 0 AS is_actionable")
 
     @cached_property
     def skill_alias(self) -> DataFrame:
-        part = self.read("part").where("p_partkey < 229")
+        part = self.bounded("part", "p_partkey < 229")
         return part.selectExpr("p_partkey AS skill_id", "concat(p_name, ' ', p_partkey) AS alias").union(part.selectExpr("p_partkey", "concat(p_brand, ' ', p_partkey % 200)"))
 
     @cached_property
     def matches(self) -> DataFrame:
         return (
-            self.read("orders")
-            .where("o_orderkey % 50 = 0")
+            self.bounded("orders", "o_orderkey % 50 = 0")
             .selectExpr(
                 "o_orderkey AS id", "o_orderkey - o_orderkey % 100 AS posting_id", "o_orderkey % 4 = 0 AS is_stale", "o_orderdate AS computed_at", "1 + o_orderkey % 3 AS evidence_version",
                 "concat('v', o_orderkey % 2) AS prompt_version", "round(o_totalprice / 500000, 4) AS score", "CASE WHEN o_orderkey % 3 = 0 THEN 'strong' ELSE 'stretch' END AS verdict",
@@ -90,10 +97,9 @@ class Tables:
     def citation(self) -> DataFrame:
         status = "CASE WHEN l_quantity >= 49 THEN 'evidenced' WHEN l_quantity >= 45 THEN 'weak' ELSE 'absent' END"
         return (
-            self.read("lineitem")
-            .where("l_orderkey % 50 = 0")
+            self.bounded("lineitem", "l_orderkey % 50 = 0")
             .selectExpr(
-                "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id", "l_orderkey AS match_id", "CASE WHEN l_partkey % 8 <> 0 THEN l_partkey % 229 END AS skill_id",
+                "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id", "l_orderkey AS match_id", self.skill_of_line,
                 f"{status} AS status", f"CASE WHEN {status} <> 'absent' THEN l_partkey % 500 END AS chunk_id",
                 "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END AS importance",
             )
@@ -101,12 +107,13 @@ class Tables:
 
     @cached_property
     def chunk(self) -> DataFrame:
-        return self.read("embeddings").where("vec_id % 5 <> 0").selectExpr("vec_id AS id", "embedding", "label", "vec_id % 11 = 0 AS deleted")
+        return self.bounded("embeddings", "vec_id % 5 <> 0").selectExpr("vec_id AS id", "embedding", "label", "vec_id % 11 = 0 AS deleted")
 
     @cached_property
     def query_vec(self) -> DataFrame:
-        return self.read("embeddings").where("vec_id % 5 = 0").selectExpr(
-            "vec_id AS id", "vec_id % 40 AS posting_id", "embedding", "label", "CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance"
+        """In the whole form ids divisible by 20, as a stated query set against all rows."""
+        return self.read("embeddings").where(f"vec_id % {20 if self.whole else 5} = 0").selectExpr(
+            "vec_id AS id", f"{'vec_id div 20' if self.whole else 'vec_id'} % 40 AS posting_id", "embedding", "label", "CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance"
         )
 
     @cached_property
@@ -118,7 +125,7 @@ class Tables:
 
     @cached_property
     def shortlist(self) -> DataFrame:
-        return self.read("orders").where("o_orderkey % 40 = 0").selectExpr(
+        return self.bounded("orders", "o_orderkey % 40 = 0").selectExpr(
             "concat('run-', cast(o_orderkey / 40 AS long) % 3) AS run_id", "o_orderkey AS posting_id", "round(o_totalprice / 600000, 5) AS coarse_score", "o_orderdate AS created_at"
         )
 

@@ -77,7 +77,7 @@ def _contributions(t):
        FROM posting p LEFT JOIN (SELECT posting_id, sum(contribution) / count(*) AS base, count(*) AS n FROM ({_SCORED}) GROUP BY posting_id) s ON s.posting_id = p.id WHERE p.id < 2000""",
 )
 def d14(t):
-    postings = t.posting.where("id < 2000")
+    postings = t.posting if t.whole else t.posting.where("id < 2000")
     spare = postings.select(F.col("id").alias("posting_id"), (F.col("id") % 100 / 100).alias("similarity"))
     return vectors.coarse_scores(_contributions(t), postings, spare, RANK)
 
@@ -164,7 +164,7 @@ _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 )
 def c17(t):
     part = t.read("part")
-    options = part.where("p_partkey < 229").select(F.col("p_partkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("option"))
+    options = t.bounded("part", "p_partkey < 229").select(F.col("p_partkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("option"))
     targets = part.select(F.col("p_partkey").alias("target_id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ', ', p_type) WHEN 1 THEN p_name ELSE concat(p_type, ' ', p_name) END").alias("target"))
     return joins.best_match(options, targets)
 

@@ -11,6 +11,13 @@ from .bindings import VIEWS, Tables, WholeTables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+#: Queries over tables that the SQL views bound: each has a form name_whole over all their rows.
+_BOUNDED = set(
+    "b14_skill_search c2_fresh_citations c3_skill_status c4_totals_kept c8_mark_stale c9_nearest_chunk c10_tagged_top_k c11_citation_detail c12_shortlist_detail c13_requirement_view "
+    "c17_fuzzy_best_match c18_posting_detail d2_status_fold d3_gap_totals d4_gap_report d5_taxonomy_coverage d14_coarse_score d15_match_score d18_taxonomy_stats d26_tags_per_chunk e1_shortlist "
+    "e2_latest_match e3_candidate_set e5_stale_sweep f1_gap_order f6_contribution_explain g3_unanswered_requirements k8_response_outcomes k8_accepted_citations k11_query_text k13_match_assembly "
+    "l7_cache_work l8_supersede l12_tags l13_digest l13_gap_digest".split()
+)
 
 
 def with_views(sql: str) -> str:
@@ -41,7 +48,7 @@ def query(name: str, sql: str | None = None, whole: bool = False):
 
     def put(f: Callable[[Tables], DataFrame]):
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if whole:
+        if whole or name in _BOUNDED:
             _QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(WholeTables(spark, sf_dir))
         if sql:
             _SQL[name] = with_views(sql)

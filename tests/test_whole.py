@@ -1,9 +1,11 @@
 """The queries named ..._whole, over small tables with the rows and texts that the SQL of the bounded ones leaves out; by brute force."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from demandlens.plans import registry
+from demandlens.plans.bindings import WholeTables
 
 SF = "/root/testdata/sf0.001"
 FILL = "lorem ipsum dolor sit amet " * 30
@@ -54,3 +56,27 @@ def test_names_of_all_parts_are_aliases(spark, run, tmp_path):
 def test_taxonomy_form_of_whole_texts(run):
     out = {r.doc_id: r.norm for r in run("h8_taxonomy_normalize_whole").collect()}
     assert set(out) == set(TEXTS) and out[3] == TEXTS[3] and out[7] == TEXTS[7].lower() and out[10] == "naïve café the quoted text 12 words of it and more" and out[11] == "x" + FILL + "é"
+
+
+def test_tables_are_whole(spark):
+    t = WholeTables(spark, SF)
+    for own, name in ((t.matches, "orders"), (t.shortlist, "orders"), (t.citation, "lineitem"), (t.chunk, "embeddings")):
+        assert own.count() == t.read(name).count(), name
+    big = WholeTables(spark, "/root/testdata/sf0.01")
+    assert big.skill.count() == big.read("part").count() == big.skill_alias.count() // 2 > 229 and big.requirement.where("skill_id >= 229").count() > 0
+
+
+def test_nearest_of_all_vectors(spark):
+    """Ids divisible by 20 against all rows that aren't deleted: also those divisible by 5, which the SQL leaves out."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    far = np.round(1 - (v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2), 9)
+    live = [j for j in np.argsort(ids) if ids[j] % 11]
+    best = {int(ids[i]): int(ids[min(live, key=lambda j: (far[i, j], ids[j]))]) for i in range(len(ids)) if ids[i] % 20 == 0}
+    found = {r.query_id: r.chunk_id for r in registry.queries()["c9_nearest_chunk_whole"](spark, SF).collect()}
+    assert found == best and any(c % 5 == 0 for c in best.values())
+
+
+def test_all_postings_are_scored(spark):
+    found = registry.queries()["d14_coarse_score_whole"](spark, "/root/testdata/sf0.01")
+    assert found.count() == WholeTables(spark, "/root/testdata/sf0.01").posting.count() and found.where("posting_id >= 2000").count() > 0
