@@ -9,9 +9,9 @@ _ASCII = r"text rlike '^[\\x00-\\x7F]*$'"
 _ASCII_SQL = r"regexp_full_match(text, '[\x00-\x7F]*')"
 
 
-@query("h1_identity_normalize", f"SELECT doc_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents WHERE {_ASCII_SQL}")
+@query("h1_identity_normalize", f"SELECT doc_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents WHERE {_ASCII_SQL}", whole=True)
 def h1(t):
-    return t.read("documents").where(_ASCII).select("doc_id", fn.identity_normalized(F.col("text")).alias("norm"))
+    return t.bounded("documents", _ASCII).select("doc_id", fn.identity_normalized(F.col("text")).alias("norm"))
 
 
 @query("h1_accents_folded", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents WHERE lang IN ('es', 'fr')")
@@ -62,9 +62,9 @@ def h7(t):
     return t.read("events").where("event_id > 0").select("event_id", F.date_format(fn.epoch_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("h10_text_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS collapsed FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')")
+@query("h10_text_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS collapsed FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')", whole=True)
 def h10(t):
-    return t.read("documents").where(r"not text rlike '^\\s|\\s$'").select("doc_id", fn.collapsed(F.col("text")).alias("collapsed"))
+    return t.bounded("documents", r"not text rlike '^\\s|\\s$'").select("doc_id", fn.collapsed(F.col("text")).alias("collapsed"))
 
 
 @query("h11_token_estimate", "SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END AS INT) AS tokens FROM documents")

@@ -24,9 +24,10 @@ def k1(t):
     "k1_short_documents",
     """SELECT CAST(doc_id AS VARCHAR) AS source_ref, 0 AS ordinal, trim(text) AS text, sha256(trim(text)) AS text_sha256, CAST(greatest(1, ceil(length(trim(text)) / 4.0)) AS INT) AS token_estimate
        FROM documents WHERE length(text) <= 2000 AND NOT contains(text, chr(10)) AND regexp_matches(text, '^[A-Za-zÀ-ÿ]') AND trim(text) <> '' AND NOT regexp_matches(text, '\\s$')""",
+    whole=True,
 )
 def k1_short(t):
-    one = _paragraphs(t).where(r"length(text) <= 2000 and not contains(text, '\n') and text rlike '^[A-Za-zÀ-ÿ]' and not text rlike '\\s$'")
+    one = _paragraphs(t) if t.whole else _paragraphs(t).where(r"length(text) <= 2000 and not contains(text, '\n') and text rlike '^[A-Za-zÀ-ÿ]' and not text rlike '\\s$'")
     return text_jobs.chunk_documents(one).select("source_ref", "ordinal", "text", "text_sha256", "token_estimate")
 
 
@@ -43,7 +44,7 @@ def k2(t):
 
 @query("k2_hashed_embedding")
 def k2_dense(t):
-    out = text_jobs.embed(t.posting.select("id", "title"), "title", dim=256)
+    out = text_jobs.embed(t.read("documents").select(F.col("doc_id").alias("id"), "text"), "text")
     return out.select("id", F.expr("aggregate(embedding, 0d, (s, x) -> s + x * x)").alias("square"))
 
 
@@ -111,9 +112,9 @@ def k4(t):
 
 
 @query("k4_verbatim_found", """SELECT doc_id, n, n = 0 OR (n = 1 AND contains(lower(text), lower(s))) AS found FROM (SELECT doc_id, text, trim(substr(text, 11, 30)) AS s, unnest([0, 1, 2]) AS n FROM documents)
-  WHERE s <> '' AND regexp_full_match(text, '[ -~]*')""")
+  WHERE s <> '' AND regexp_full_match(text, '[ -~]*')""", whole=True)
 def k4_found(t):
-    d = t.read("documents").where("text rlike '^[ -~]*$' and trim(substring(text, 11, 30)) <> ''").select("doc_id", "text")
+    d = t.bounded("documents", "text rlike '^[ -~]*$' and trim(substring(text, 11, 30)) <> ''").select("doc_id", "text")
     return text_jobs.verify_spans(_asked_spans(t).join(d.select("doc_id"), "doc_id", "left_semi"), d, "doc_id").select("doc_id", "n", F.col("verbatim").isNotNull().alias("found"))
 
 
@@ -207,19 +208,22 @@ def k9(t):
 
 @query("k10_requirement_upsert", """SELECT posting_id, raw_text, CASE max(CASE importance WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 ELSE 1 END) WHEN 3 THEN 'required' WHEN 2 THEN 'preferred' ELSE 'mentioned' END AS importance,
   CASE WHEN bool_and(l = 1) THEN 'inserted' WHEN bool_and(l = 0) THEN 'kept' ELSE 'updated' END AS change FROM (SELECT posting_id, raw_text, CASE WHEN quantity > 20 THEN 1 ELSE 0 END AS l, importance, quantity FROM requirement) x
-  WHERE quantity > 20 OR NOT EXISTS (SELECT 1 FROM requirement y WHERE y.posting_id = x.posting_id AND y.raw_text = x.raw_text AND y.quantity > 20) GROUP BY posting_id, raw_text""")
+  WHERE quantity > 20 OR NOT EXISTS (SELECT 1 FROM requirement y WHERE y.posting_id = x.posting_id AND y.raw_text = x.raw_text AND y.quantity > 20) GROUP BY posting_id, raw_text""", whole=True)
 def k10(t):
     key = ["posting_id", "raw_text"]
     stored = text_jobs.strongest(t.requirement.where("quantity <= 20"), key).withColumnRenamed("importance", "old")
     new = text_jobs.strongest(t.requirement.where("quantity > 20"), key)
     both = stored.select(*key, "old").join(new.select(*key, "importance"), key, "full_outer")
+    if t.whole:
+        change = F.when(F.col("importance").isNull(), "kept").when(F.col("old").isNull(), "inserted").otherwise("updated")
+        return both.select(*key, F.coalesce("importance", "old").alias("importance"), change.alias("change"))
     # the twin in SQL sees an update as an insert: it only tells kept rows apart
     return both.select(*key, F.coalesce("importance", "old").alias("importance"), F.when(F.col("importance").isNull(), "kept").otherwise("inserted").alias("change"))
 
 
 def _extraction(t):
     """Two attempts of a response for each document: the first has a span that isn't in the text wherever doc_id % 3 = 0."""
-    d = t.read("documents").where("text rlike '^[ -~]{40,}'")
+    d = t.bounded("documents", "text rlike '^[ -~]{40,}'")
     cut = lambda a: F.trim(F.substring("text", a, 12))
     item = lambda span, importance: F.struct(span.alias("raw_text"), F.lit(importance).alias("importance"), F.lit("0.9").alias("confidence"))
     wrong = F.when(F.col("doc_id") % 3 == 0, F.lit("zqx not there")).otherwise(cut(14))
@@ -229,7 +233,7 @@ def _extraction(t):
 
 
 @query("k12_requirement_extraction", """SELECT doc_id AS posting_id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END AS attempt, CAST(CASE WHEN doc_id % 6 = 0 OR doc_id % 3 = 0 OR trim(substr(text, 1, 12)) = trim(substr(text, 14, 12)) THEN 1 ELSE 2 END AS BIGINT) AS found,
-  CAST(CASE WHEN doc_id % 6 = 0 OR doc_id % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS rejected FROM documents WHERE regexp_matches(text, '^[ -~]{40,}') AND trim(substr(text, 14, 12)) <> ''""")
+  CAST(CASE WHEN doc_id % 6 = 0 OR doc_id % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS rejected FROM documents WHERE regexp_matches(text, '^[ -~]{40,}') AND trim(substr(text, 14, 12)) <> ''""", whole=True)
 def k12(t):
     d, responses = _extraction(t)
     texts = d.select(F.col("doc_id").alias("posting_id"), "text")

@@ -1,5 +1,8 @@
 """The queries named ..._whole, over small tables with the rows and texts that the SQL of the bounded ones leaves out; by brute force."""
 
+import re
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +83,37 @@ def test_nearest_of_all_vectors(spark):
 def test_all_postings_are_scored(spark):
     found = registry.queries()["d14_coarse_score_whole"](spark, "/root/testdata/sf0.01")
     assert found.count() == WholeTables(spark, "/root/testdata/sf0.01").posting.count() and found.where("posting_id >= 2000").count() > 0
+
+
+def test_scalar_forms_of_all_documents(run):
+    plain = lambda x: re.sub("[^0-9a-z]+", " ", "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).lower()).strip()
+    ids = [i for i in TEXTS if i != 7]  # a sharp s has no decomposition
+    out = {r.doc_id: r.norm for r in run("h1_identity_normalize_whole").collect()}
+    assert set(out) == set(TEXTS) and [out[i] for i in ids] == [plain(TEXTS[i]) for i in ids]
+    out = {r.doc_id: r.collapsed for r in run("h10_text_collapse_whole").collect()}
+    assert set(out) == set(TEXTS) and out[9] == "blanks around\n\nand within" and out[4] == ""
+
+
+def test_text_jobs_of_all_documents(run):
+    out = {r.id: r.square for r in run("k2_hashed_embedding").collect()}
+    assert set(out) == set(TEXTS) and all(abs(out[i] - bool(t)) < 1e-9 for i, t in TEXTS.items())
+    chunks = {r.source_ref for r in run("k1_short_documents_whole").collect()}
+    assert chunks == {str(i) for i, t in TEXTS.items() if t}
+    found = {(r.doc_id, r.n): r.found for r in run("k4_verbatim_found_whole").collect()}
+    assert {i for i, _ in found} == set(TEXTS)
+    assert all(found[i, 0] and found[i, 1] and not found[i, 2] for i in (1, 2, 3, 6, 11))
+    counts = {r.posting_id: (r.attempt, r.found, r.rejected) for r in run("k12_requirement_extraction_whole").collect()}
+    assert set(counts) == set(TEXTS) and counts[6][0] == 2 and counts[7] == (1, 2, 0) and counts[3] == (1, 1, 1) and counts[11] == (1, 2, 0)
+
+
+def test_upsert_tells_updates(spark):
+    key, rows = ("posting_id", "raw_text"), WholeTables(spark, SF).requirement.collect()
+    rank = {"mentioned": 1, "preferred": 2, "required": 3}
+    sides = [{}, {}]
+    for r in rows:
+        side, k = sides[r.quantity > 20], tuple(r[c] for c in key)
+        side[k] = max(side.get(k, "mentioned"), r.importance, key=rank.get)
+    old, new = sides
+    expected = {k: (new.get(k, old.get(k)), "kept" if k not in new else "updated" if k in old else "inserted") for k in old | new}
+    found = {(r.posting_id, r.raw_text): (r.importance, r.change) for r in registry.queries()["k10_requirement_upsert_whole"](spark, SF).collect()}
+    assert found == expected and {c for _, c in found.values()} == {"kept", "updated", "inserted"}
