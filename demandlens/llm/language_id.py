@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,10 @@ from .words import U, mix
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    slots: int = 1 << 20  # of the filters, a power of two: each slot has one bit a language
+    slots: int = 1 << 20  # of the filters at least, a power of two: each slot has one bit a language
     hashes: int = 3
+    #: The largest filter's expected share of n-grams that it holds by chance is no more than this: the slots grow with its members.
+    false_positive: float = 0.02
     #: A language's filter gets an n-gram if its share of the language's n-grams is at least this part of the largest share.
     relative_share: float = 0.3
     min_count: int = 3
@@ -60,13 +63,23 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(count, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
+#: Slots that come to the driver in one row.
+BLOCK = 1 << 12
+
+
+def slots_for(members: int, cfg: LanguageConfig) -> int:
+    """The power of two, cfg.slots at least, at which a filter of so many n-grams keeps the false-positive rate."""
+    wanted = -cfg.hashes * members / math.log1p(-(cfg.false_positive ** (1 / cfg.hashes)))
+    return max(cfg.slots, 1 << max(0, math.ceil(wanted) - 1).bit_length())
+
+
 class BloomSlices:
-    """One filter a language, side by side: slot i has the bits of all languages, in words of 64 languages."""
+    """One filter a language, side by side: slot i has the bits of all languages, in words of 64 languages (narrower ones if they are few)."""
 
     def __init__(self, langs: list[str], slots: np.ndarray, hashes: int):
         self.langs, self.slots, self.hashes = langs, slots, hashes
-        bits = [(slots[:, i // 64] >> U(i % 64)) & U(1) for i in range(len(langs))]
-        self.false_positive = np.array([float(b.mean()) ** hashes for b in bits])
+        full = [np.count_nonzero(slots[:, i // 64] & slots.dtype.type(1 << i % 64)) / len(slots) for i in range(len(langs))]
+        self.false_positive = np.array([x**hashes for x in full])
 
     def contained(self, grams: np.ndarray) -> np.ndarray:
         """Bitmask of the languages whose filters have each n-gram."""
@@ -90,32 +103,50 @@ class BloomSlices:
 
 
 def train(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), text_col: str = "text", lang_col: str = "lang") -> BloomSlices:
-    """Filters of all rows with a language and a text. Only the slots (cfg.slots of them at most) and a total for each
-    language come to the driver."""
+    """Filters of all rows with a language and a text. Only the slots (some ten a member n-gram of the largest
+    filter, of one byte for up to 8 languages) and two numbers for each language come to the driver."""
     counts = trigram_counts(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), text_col, lang_col)
     from .scratch import Scratch
 
-    counts = Scratch(docs.sparkSession, "language-id").save(counts, "trigrams")
+    scratch = Scratch(docs.sparkSession, "language-id")
+    counts = scratch.save(counts, "trigrams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    slots = np.zeros((cfg.slots, max(1, (len(langs) + 63) // 64)), dtype=U)
     if not langs:
-        return BloomSlices([], slots, cfg.hashes)
+        return BloomSlices([], np.zeros((cfg.slots, 1), dtype=U), cfg.hashes)
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(langs) <= 8 * np.dtype(k).itemsize), U)
     place = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)))
     total = F.create_map(*(F.lit(x) for lang in langs for x in (lang, float(totals[lang]))))
     share = F.col("n") / total[F.col("lang")]
     grouped = counts.where(F.col("n") >= cfg.min_count).groupBy("gram").agg(F.collect_list(F.struct(place[F.col("lang")].alias("i"), share.alias("share"))).alias("all"), F.max(share).alias("top"))
     member = grouped.select("gram", F.explode("all").alias("x"), "top").where(F.col("x.share") >= cfg.relative_share * F.col("top")).select("gram", (F.col("x.i") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(x.i % 64 as int))").alias("mask"))
+    member = scratch.save(member, "members")
+    size = slots_for(max((r["count"] for r in member.groupBy("word", "mask").count().collect()), default=0), cfg)
+    block = min(BLOCK, size)
 
     def place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = batch.column(0).to_numpy().view(U)
             for i in range(cfg.hashes):
-                slot = (mix(grams + U(i * 0x9E3779B97F4A7C15 % (1 << 64))) & U(cfg.slots - 1)).astype(np.int64)
+                slot = (mix(grams + U(i * 0x9E3779B97F4A7C15 % (1 << 64))) & U(size - 1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column(1), batch.column(2)], ["slot", "word", "mask"])
 
-    found = member.mapInArrow(place_bits, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slots[found.column("slot").to_numpy(), found.column("word").to_numpy()] = found.column("mask").to_numpy().view(U)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own in batch.column(2):
+                at, mask = own.values.flatten()
+                filled = np.zeros(block, dtype=kind)
+                filled[at.to_numpy()] = mask.to_numpy().view(U).astype(kind)
+                rows.append(filled.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["block", "word", "bits"])
+
+    placed = member.mapInArrow(place_bits, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    blocks = placed.groupBy(F.expr(f"slot div {block}").alias("block"), "word").agg(F.collect_list(F.struct(F.col("slot") % block, "mask")).alias("own"))
+    slots = np.zeros((size, max(1, (len(langs) + 63) // 64)), dtype=kind)
+    found = blocks.mapInArrow(pack, "block long, word int, bits binary").toArrow()
+    for i, word, bits in zip(*(found.column(c).to_pylist() for c in ("block", "word", "bits"))):
+        slots[i * block : (i + 1) * block, word] = np.frombuffer(bits, dtype=kind)
     return BloomSlices(langs, slots, cfg.hashes)
 
 
