@@ -1,7 +1,8 @@
-"""Line dedup by a segment-partition edit join (operator 9)."""
+"""Line dedup by a segment-partition edit join, and a join of word pairs for long lines (operator 9)."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .ngram_join import Seen
+from .components import connected_components
+from .ngram_join import Partition, Seen, jaccard_at_least
 from .scratch import Scratch
 from .similarity import DIMENSIONS, Bound, KeyFilter, linked
-from .words import U, mix
+from .words import U, distinct, mix
 
 #: Characters of text that are hashed at once.
 CHUNK = 1_000_000
@@ -24,7 +26,26 @@ CHUNK = 1_000_000
 @dataclass(frozen=True)
 class LineConfig:
     max_edits: int = 2  # insertions, deletions and replacements of code points
-    min_chars: int = 24  # shorter lines aren't compared and stay
+    min_chars: int = 1  # lines with a word and this many characters are compared, and equal ones found
+    near_chars: int = 24  # of shorter lines only equal ones are found
+    #: Lines of this many words on are also near copies if their sets of word pairs have this Jaccard similarity in percent:
+    #: one changed word in 26, and the more the longer a line is.
+    near_words: int = 20
+    percent: int = 85
+
+
+_WORDS: list[np.ndarray] = []
+
+
+def _word_characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it belongs to a word, and whether it is a word of its own (scripts without spaces)."""
+    if not _WORDS:
+        own = np.zeros(sys.maxunicode + 1, dtype=bool)
+        for low, high in ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+            own[low : high + 1] = True
+        word = np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)])
+        _WORDS.extend((word, own & word))
+    return _WORDS[0], _WORDS[1]
 
 
 class Lines:
@@ -49,6 +70,23 @@ class Lines:
     def hashes(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         return mix((self.total[starts + size] - self.total[starts]) * self.down[starts] + size.astype(U))
 
+    def compared(self, cfg: LineConfig) -> np.ndarray:
+        """Numbers of the lines that hold a word and enough characters."""
+        word = np.append(0, np.cumsum(_word_characters()[0][self.codes]))
+        return np.flatnonzero((self.size >= cfg.min_chars) & (word[self.starts + self.size] > word[self.starts]))
+
+    def pairs(self, rows: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, sorted distinct hashes of its pairs of neighbouring words) of the given lines with at least so many words."""
+        word, single = (x[self.codes] for x in _word_characters())
+        before = np.append(False, word[:-1])
+        start = word & (~before | single | np.append(False, single[:-1]))
+        starts, ends = np.flatnonzero(start), np.flatnonzero(word & np.append(start[1:] | ~word[1:], True)) + 1
+        h = self.hashes(starts, ends - starts)
+        low, high = np.searchsorted(starts, self.starts[rows]), np.searchsorted(starts, self.starts[rows] + self.size[rows])
+        long = high - low >= max(2, least)
+        for row, i, j in zip(rows[long].tolist(), low[long].tolist(), high[long].tolist()):
+            yield row, distinct(mix(h[i : j - 1] * U(0xD1B54A32D192ED03) + h[i + 1 : j]))
+
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], Lines]]:
     """First columns and texts (second ones) of rows of about CHUNK characters, with their lines; null texts are left out."""
@@ -154,7 +192,7 @@ def line_rows(docs: DataFrame, cfg: LineConfig, id_col: str, text_col: str) -> D
         for keys, texts, lines in chunked(batches):
             first = np.cumsum([0] + [t.count("\n") + 1 for t in texts])
             doc = np.repeat(np.arange(len(texts)), np.diff(first))
-            at = np.flatnonzero(lines.size >= cfg.min_chars)
+            at = lines.compared(cfg)
             own = pa.array(keys, to_arrow_type(kind)).take(pa.array(doc[at]))
             yield pa.RecordBatch.from_arrays([own, pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(lines.hashes(lines.starts[at], lines.size[at]).view(np.int64))], ["doc", "line_no", "key"])
 
@@ -162,7 +200,7 @@ def line_rows(docs: DataFrame, cfg: LineConfig, id_col: str, text_col: str) -> D
 
 
 def _new_lines(lines: Lines, cfg: LineConfig, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(lines.size >= cfg.min_chars)
+    at = np.flatnonzero(lines.size >= cfg.near_chars)
     keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
     new = np.array([seen.first(k) for k in keys.tolist()], dtype=bool)
     return (at[new], keys[new]) if len(at) else (at, keys)
@@ -188,7 +226,7 @@ def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for _, _, lines in chunked(batches):
-            at = np.flatnonzero(lines.size >= cfg.min_chars)
+            at = np.flatnonzero(lines.size >= cfg.near_chars)
             keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
             ok = shared.value.has(keys)
             rows = []
@@ -202,6 +240,39 @@ def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter
     return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
 
 
+def _pair_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
+    """Cells of the sets of word pairs of long lines, as those of the n-gram join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, seen = Partition(cfg.percent), Seen()
+        for _, _, lines in chunked(batches):
+            at, keys = _new_lines(lines, cfg, seen)
+            key_of = dict(zip(at.tolist(), keys.tolist()))
+            parts = [(cell, np.full(len(cell), key_of[row]), np.full(len(cell), tag, dtype=np.int32), np.full(len(cell), need, dtype=np.int32)) for row, s in lines.pairs(at, cfg.near_words) for cell, tag, need in plan.cells(s)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["sig", "key", "tag", "need"])
+
+    return docs.select("doc_key", text_col).mapInArrow(run, "sig long, key long, tag int, need int")
+
+
+def _describe_pairs(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter) -> DataFrame:
+    """Of wanted long lines: number of word pairs, these counted in groups, and their hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for _, _, lines in chunked(batches):
+            at = np.flatnonzero(lines.size >= cfg.near_chars)
+            keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
+            ok = shared.value.has(keys)
+            key_of = {row: key for row, key in zip(at[ok].tolist(), keys[ok].tolist()) if seen.first(key)}
+            rows = [(key_of[row], len(s), np.bincount((s & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).tolist(), s.tobytes()) for row, s in lines.pairs(np.array(list(key_of), dtype=np.int64), cfg.near_words)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "vec", "payload"])
+
+    return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
+
+
 def near_lines(edits: int) -> Callable[[bytes, bytes], bool]:
     return lambda x, y: within(x.decode(), y.decode(), edits)
 
@@ -209,12 +280,17 @@ def near_lines(edits: int) -> Callable[[bytes, bytes], bool]:
 def repeated_lines(docs: DataFrame, cfg: LineConfig, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """doc_key and ``dropped`` (sorted line numbers, from 0): lines that equal or nearly equal an earlier one.
 
-    Groups are the components of lines within max_edits of each other; the first line by (id, document key, line number) stays.
+    Groups are the components of lines within max_edits of each other, or, of long lines, with enough word pairs in common; the first line by (id, document key, line number) stays.
     """
     lines = scratch.save(line_rows(docs, cfg, id_col, text_col), "lines")
     place = F.struct("doc.*", "line_no")
     classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1, 2 * cfg.max_edits), near_lines(cfg.max_edits), scratch)
+    alike = linked(_pair_cells(docs, cfg, text_col), lambda wanted: _describe_pairs(docs, cfg, text_col, wanted), Bound(100 + cfg.percent, cfg.percent), jaccard_at_least(cfg.percent), scratch)
+    if found is not None and alike is not None:
+        found = scratch.save(connected_components(found.unionByName(alike).select(F.col("key").alias("a"), F.col("comp").alias("b")), scratch), "comps")
+    elif found is None:
+        found = alike
     groups = classes.where("n > 1").select("key", "first")
     if found is not None:
         near = scratch.save(classes.join(found, "key"), "near")
