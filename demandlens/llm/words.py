@@ -1,11 +1,14 @@
 """Words of UTF-8 texts as numpy arrays: positions and 64-bit hashes.
 
 Every delimiter that the operators use is an ASCII character, so words can be found in the bytes. Equal words always
-have equal hashes; different ones share a 64-bit hash with probability 2**-64 a pair.
+have equal hashes; different words of at most 8 bytes and equal length never share one, any others as random 64-bit numbers do,
+whatever regular pattern the texts have.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -23,22 +26,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_ROOT = 0x9E3779B97F4A7C15
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(_ROOT))
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _POWERS["n"] <= n:
-        size = max(1 << 16, 1 << n.bit_length())
-        for key, root in (("up", _ROOT), ("down", pow(_ROOT, -1, 1 << 64))):
-            steps = np.full(size, root, dtype=U)
-            steps[0] = 1
-            _POWERS[key] = np.cumprod(steps)
-        _POWERS["n"] = size
-    return _POWERS["up"], _POWERS["down"]
-
-
 def word_spans(b: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets where words start and end."""
     inside = np.zeros(len(b) + 2, dtype=np.int8)
@@ -47,12 +34,32 @@ def word_spans(b: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+#: Longer byte ranges are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
+
+
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte range, from one running polynomial sum over the text."""
-    up, down = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, dtype=U)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """Hash of each byte range: its length and then its 8-byte blocks are stirred in one after the other, each by a
+    bijection that isn't linear in the blocks. Ranges over LONG bytes get a cryptographic hash."""
+    size = ends - starts
+    padded = np.concatenate([b, np.zeros(8, dtype=np.uint8)])
+    block = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))  # the eight bytes from each place on
+    out = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    rows = np.flatnonzero(size <= LONG) if len(size) and size.max() > LONG else None
+    at, left, own = (starts, size, out) if rows is None else (starts[rows], size[rows], out[rows])
+    done = 0
+    live = np.flatnonzero(left > 0)
+    while len(live):
+        part = block[at[live] + done] & _MASK[np.minimum(left[live] - done, 8)]
+        own[live] = mix((own[live] ^ part) * U(0xD6E8FEB86659FD93) + U(0xA0761D6478BD642F))
+        done += 8
+        live = live[left[live] > done]
+    if rows is not None:
+        out[rows] = own
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(text: bytes, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
