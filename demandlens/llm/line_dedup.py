@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
-from .ngram_join import Partition, Seen, jaccard_at_least
+from .ngram_join import JaccardAtLeast, Partition, Seen
 from .scratch import Scratch
-from .similarity import DIMENSIONS, Bound, KeyFilter, linked
-from .words import U, distinct, mix
+from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
+from .words import U, distinct, mix, span_hashes
 
 #: Characters of text that are hashed at once.
 CHUNK = 1_000_000
@@ -49,7 +49,7 @@ def _word_characters() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """Lines of some texts: offsets and lengths in code points, hashes of lines and of parts of them."""
+    """Lines of some texts: offsets and lengths in code points and in bytes, keys of lines and hashes of parts of them."""
 
     def __init__(self, texts: list[str]):
         self.text = "\n".join(texts)
@@ -57,6 +57,9 @@ class Lines:
         ends = np.append(np.flatnonzero(c == 10), len(c))
         self.starts = np.append(0, ends[:-1] + 1)
         self.size = ends - self.starts
+        self.raw = np.frombuffer(self.text.encode("utf-8", "replace"), dtype=np.uint8)
+        self.raw_ends = np.append(np.flatnonzero(self.raw == 10), len(self.raw))
+        self.raw_starts = np.append(0, self.raw_ends[:-1] + 1)
         root = 0x9E3779B97F4A7C15
         self.codes = c
         powers = np.full(len(c) + 1, root, dtype=U)
@@ -67,7 +70,12 @@ class Lines:
         self.total = np.zeros(len(c) + 1, dtype=U)
         np.cumsum(mix(c.astype(U) * U(0xD1B54A32D192ED03) + U(1)) * powers[:-1], out=self.total[1:])
 
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """What lines are told apart by."""
+        return span_hashes(self.raw, self.raw_starts[rows], self.raw_ends[rows]).view(np.int64)
+
     def hashes(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of parts of lines, for candidates only: equal parts have equal ones, but texts can be made whose unequal parts do too."""
         return mix((self.total[starts + size] - self.total[starts]) * self.down[starts] + size.astype(U))
 
     def compared(self, cfg: LineConfig) -> np.ndarray:
@@ -81,7 +89,7 @@ class Lines:
         before = np.append(False, word[:-1])
         start = word & (~before | single | np.append(False, single[:-1]))
         starts, ends = np.flatnonzero(start), np.flatnonzero(word & np.append(start[1:] | ~word[1:], True)) + 1
-        h = self.hashes(starts, ends - starts)
+        h = span_hashes(self.codes.view(np.uint8), 4 * starts, 4 * ends)
         low, high = np.searchsorted(starts, self.starts[rows]), np.searchsorted(starts, self.starts[rows] + self.size[rows])
         long = high - low >= max(2, least)
         for row, i, j in zip(rows[long].tolist(), low[long].tolist(), high[long].tolist()):
@@ -158,16 +166,21 @@ def within(a: str, b: str, edits: int) -> bool:
     a, b = a[: len(a) - low], b[: len(b) - low]
     if len(a) <= edits:
         return True
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
     width = 2 * edits + 1
     full = (1 << width) - 1
     up, down, distance = (full << edits) & full, 0, edits  # vertical steps of +1 and -1
     turn = len(a) - edits  # from this column on the last row is in the window
+    #: By character: the rows of the window where it stands, as bits from the row that the window began with at the time.
+    places: dict[str, tuple[int, int]] = {}
+    for i, c in enumerate(a[:edits]):
+        places[c] = (-edits, places.get(c, (0, 0))[1] | 1 << (i + edits))
     for j, c in enumerate(b):
-        same = places.get(c, 0)
-        same = (same >> (j - edits) if j >= edits else same << (edits - j)) & full
+        low = j - edits  # the window's first row
+        if j + edits < len(a):  # its last one is new
+            begin, rows = places.get(x := a[j + edits], (low, 0))
+            places[x] = (low, rows >> (low - begin) | 1 << (2 * edits))
+        begin, rows = places.get(c, (low, 0))
+        same = rows >> (low - begin)
         flat = (((((same & up) + up) & full) ^ up) | same | down) & full  # diagonal steps of 0
         right_up, right_down = down | (full ^ (flat | up)), flat & up  # horizontal steps
         if j < turn:
@@ -194,14 +207,14 @@ def line_rows(docs: DataFrame, cfg: LineConfig, id_col: str, text_col: str) -> D
             doc = np.repeat(np.arange(len(texts)), np.diff(first))
             at = lines.compared(cfg)
             own = pa.array(keys, to_arrow_type(kind)).take(pa.array(doc[at]))
-            yield pa.RecordBatch.from_arrays([own, pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(lines.hashes(lines.starts[at], lines.size[at]).view(np.int64))], ["doc", "line_no", "key"])
+            yield pa.RecordBatch.from_arrays([own, pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(lines.keys(at))], ["doc", "line_no", "key"])
 
     return chosen.mapInArrow(run, T.StructType([T.StructField("doc", kind), T.StructField("line_no", T.IntegerType()), T.StructField("key", T.LongType())]))
 
 
 def _new_lines(lines: Lines, cfg: LineConfig, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(lines.size >= cfg.near_chars)
-    keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
+    keys = lines.keys(at)
     new = np.array([seen.first(k) for k in keys.tolist()], dtype=bool)
     return (at[new], keys[new]) if len(at) else (at, keys)
 
@@ -227,7 +240,7 @@ def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter
         seen = Seen()
         for _, _, lines in chunked(batches):
             at = np.flatnonzero(lines.size >= cfg.near_chars)
-            keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
+            keys = lines.keys(at)
             ok = shared.value.has(keys)
             rows = []
             for i, key in zip(at[ok].tolist(), keys[ok].tolist()):
@@ -263,7 +276,7 @@ def _describe_pairs(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: Key
         seen = Seen()
         for _, _, lines in chunked(batches):
             at = np.flatnonzero(lines.size >= cfg.near_chars)
-            keys = lines.hashes(lines.starts[at], lines.size[at]).view(np.int64)
+            keys = lines.keys(at)
             ok = shared.value.has(keys)
             key_of = {row: key for row, key in zip(at[ok].tolist(), keys[ok].tolist()) if seen.first(key)}
             rows = [(key_of[row], len(s), np.bincount((s & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).tolist(), s.tobytes()) for row, s in lines.pairs(np.array(list(key_of), dtype=np.int64), cfg.near_words)]
@@ -273,8 +286,12 @@ def _describe_pairs(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: Key
     return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
 
 
-def near_lines(edits: int) -> Callable[[bytes, bytes], bool]:
-    return lambda x, y: within(x.decode(), y.decode(), edits)
+class WithinEdits(Pairwise):
+    def __init__(self, edits: int):
+        self.edits = edits
+
+    def __call__(self, x: bytes, y: bytes) -> bool:
+        return within(x.decode(), y.decode(), self.edits)
 
 
 def repeated_lines(docs: DataFrame, cfg: LineConfig, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
@@ -285,8 +302,8 @@ def repeated_lines(docs: DataFrame, cfg: LineConfig, scratch: Scratch, id_col: s
     lines = scratch.save(line_rows(docs, cfg, id_col, text_col), "lines")
     place = F.struct("doc.*", "line_no")
     classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1, 2 * cfg.max_edits), near_lines(cfg.max_edits), scratch)
-    alike = linked(_pair_cells(docs, cfg, text_col), lambda wanted: _describe_pairs(docs, cfg, text_col, wanted), Bound(100 + cfg.percent, cfg.percent), jaccard_at_least(cfg.percent), scratch)
+    found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1, 2 * cfg.max_edits), WithinEdits(cfg.max_edits), scratch)
+    alike = linked(_pair_cells(docs, cfg, text_col), lambda wanted: _describe_pairs(docs, cfg, text_col, wanted), Bound(100 + cfg.percent, cfg.percent), JaccardAtLeast(cfg.percent), scratch)
     if found is not None and alike is not None:
         found = scratch.save(connected_components(found.unionByName(alike).select(F.col("key").alias("a"), F.col("comp").alias("b")), scratch), "comps")
     elif found is None:

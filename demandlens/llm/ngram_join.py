@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .similarity import DIMENSIONS, Bound, KeyFilter, linked
+from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
 from .words import U, mix, shingles
 
 
@@ -131,15 +131,42 @@ def _describe(docs: DataFrame, n: int, text_col: str, wanted: KeyFilter) -> Data
     return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
 
 
-def jaccard_at_least(percent: int):
-    def verify(x: bytes, y: bytes) -> bool:
+class JaccardAtLeast(Pairwise):
+    """Of sorted distinct 64-bit hashes."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def enough(self, common, n1: int, n2):
+        return common * (100 + self.percent) >= self.percent * (n1 + n2)
+
+    def __call__(self, x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
         if len(a) > len(b):
             a, b = b, a
         common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
-        return common * (100 + percent) >= percent * (len(a) + len(b))
-
-    return verify
+        return self.enough(common, len(a), len(b))
+
+    def over(self, payloads: list[bytes]) -> Callable[[bytes], Callable[[int], bool]]:
+        """All overlaps of a set with a leaf's sets are counted at once, from lists of the sets that have each element."""
+        sizes = np.array([len(p) // 8 for p in payloads])
+        whole = np.frombuffer(b"".join(payloads), dtype=U)
+        order = np.argsort(whole, kind="stable")
+        owner = np.repeat(np.arange(len(payloads)), sizes)[order]
+        elements, first = np.unique(whole[order], return_index=True)
+        many = np.diff(np.append(first, len(whole)))
+
+        def against(x: bytes) -> Callable[[int], bool]:
+            a = np.frombuffer(x, dtype=U)
+            at = np.minimum(np.searchsorted(elements, a), len(elements) - 1)
+            at = at[elements[at] == a]
+            n = many[at]
+            # the places of all owners of all common elements
+            places = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found = self.enough(np.bincount(owner[places], minlength=len(sizes)), len(a), sizes)
+            return lambda j: bool(found[j])
+
+        return against
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +178,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     profiles = scratch.save(set_profiles(docs, n, id_col, text_col), "profiles")
-    found = linked(_cells(docs, n, percent, text_col), lambda wanted: _describe(docs, n, text_col, wanted), Bound(100 + percent, percent), jaccard_at_least(percent), scratch)
+    found = linked(_cells(docs, n, percent, text_col), lambda wanted: _describe(docs, n, text_col, wanted), Bound(100 + percent, percent), JaccardAtLeast(percent), scratch)
     classes = profiles.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"))
     if found is not None:
         classes = scratch.save(classes, "classes")

@@ -4,27 +4,33 @@
 2. Every object that shares a cell has a point: its elements counted in DIMENSIONS hashed groups. The sum of the coordinate
    minima of two points bounds the overlap of the objects. Members of a cell are first verified against the cell's first
    one, as far as the bound allows: this settles cells of two and most groups of copies, with a pair for each member.
-3. Cells whose other members aren't all connected by then are searched: their members are packed in R-tree leaves (ranges of the
-   cell's members but the first, sorted by size, with the corner of largest coordinates and the range of sizes). Pairs of leaves whose
-   corners allow enough overlap are searched, and the surviving pairs of points, of different components, are verified:
-   the two best of each point and leaf first, then all others.
+3. Cells whose other members aren't all connected by then are searched with an R-tree over their members' points: leaves of
+   neighbouring points with their objects, and nodes over FANOUT leaves, each with its corner of largest coordinates and its
+   range of sizes. Pairs of nodes that share a cell and whose corners allow enough overlap are followed down to pairs of
+   leaves; each pair of leaves is searched once, whatever number of cells it shares. The search keeps the components of
+   its two leaves, verifies the pairs of points that the bound leaves and that are in different ones, and emits a link only where it
+   joins two: fewer rows than the leaves have points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
 
 DIMENSIONS = 128
-LEAF = 128
+#: Points of a leaf at most; a leaf of larger objects is closed at so many bytes of them. Leaves of a node.
+LEAF, LEAF_BYTES, FANOUT = 128, 1 << 19, 32
+#: Pairs of leaves, of which each side may have LEAF_BYTES and one object more, that a task reads at once.
+PAIRS_AT_ONCE = 32
 #: Bits of the filter of member keys, whatever their number: 8 MB. Beyond some 10 million members it lets others pass too, which costs time only.
 FILTER_BITS = 1 << 26
 
@@ -66,90 +72,148 @@ def overlap(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
 
 
+class Pairwise:
+    """Decides on two payloads at a time; ``over`` gives the same decisions for one payload against those of a leaf."""
+
+    def __call__(self, x: bytes, y: bytes) -> bool:
+        raise TypeError("a rule for two payloads is needed")
+
+    def over(self, payloads: list[bytes]) -> Callable[[bytes], Callable[[int], bool]]:
+        return lambda x: lambda j: self(x, payloads[j])
+
+
 def _leaves(members: DataFrame) -> DataFrame:
-    """Bulk-loaded leaves: members sorted by cell, size and point, at most LEAF a leaf; a large cell spans many tasks."""
+    """Bulk-loaded leaves of ``members`` (group, comp, n, key, vec, payload), sorted by group, component and size."""
+
+    fields = "leaf long, node long, high array<int>, least long, most long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, ends array<long>, vecs binary, payloads binary"
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        first, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple] = []
+        size = 0
 
-        def leaf() -> tuple:
-            vecs = np.array([m[3] for m in held], dtype=np.int32)
-            n = np.array([m[2] for m in held])
-            return (held[0][0], (part << 32) + made, vecs.max(axis=0).tolist(), int(n.min()), int(n.max()), np.array([m[1] for m in held]).tobytes(), n.tobytes(), vecs.tobytes(), np.array([m[4] for m in held]).tobytes())
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["sig", "leaf", "high", "least", "most", "keys", "ns", "vecs", "comps"])
+        def leaf() -> pa.RecordBatch:
+            comps, ns, keys, vecs, payloads = zip(*held)
+            vecs = np.array(vecs, dtype=np.int32)
+            row = (first + made, (first + made) // FANOUT, vecs.max(axis=0).tolist(), min(ns), max(ns), min(comps), max(comps), keys, comps, ns, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-        rows = []
         for batch in batches:
             for m in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (held[0][0] != m[0] or len(held) >= LEAF):
-                    rows.append(leaf())
-                    made, held = made + 1, []
-                    if len(rows) >= 64:
-                        yield out(rows)
-                        rows = []
+                if held and (len(held) >= LEAF or size + len(m[4]) > LEAF_BYTES):
+                    yield leaf()
+                    made, held, size = made + 1, [], 0
                 held.append(m)
+                size += len(m[4])
         if held:
-            rows.append(leaf())
-        if rows:
-            yield out(rows)
+            yield leaf()
 
-    ordered = members.select("sig", "key", "n", "vec", "comp")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(parts, "sig", "n", "key").sortWithinPartitions("sig", "n", "vec", "key")
-    return ordered.mapInArrow(pack, "sig long, leaf long, high array<int>, least long, most long, keys binary, ns binary, vecs binary, comps binary")
+    ordered = members.repartitionByRange(parts, "group", "comp", "n", "key").sortWithinPartitions("group", "comp", "n", "key")
+    return ordered.select("comp", "n", "key", "vec", "payload").mapInArrow(pack, fields)
 
 
-def _leaf_pairs(leaves: DataFrame, bound: Bound, best: int | None) -> DataFrame:
-    """Pairs of keys from different components that the bound allows; of each point only the ``best`` in a leaf, or all.
+def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """leaf_1 <= leaf_2: the pairs of leaves that share a cell and that the bound allows, each once.
 
-    Leaves of a cell meet by its number in a stated number of partitions, so that small tables aren't put in one task.
+    ``open_cells``: sig, key and hub_comp, the component that the cell's first member is in. Leaves all of whose points
+    are in that one are met by others, not by each other: two of their points need no link.
     """
-    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = leaves.repartition(parts, "sig")
-    left = dealt.select("sig", *(F.col(c).alias(f"{c}_1") for c in leaves.columns if c != "sig"))
-    right = dealt.select("sig", *(F.col(c).alias(f"{c}_2") for c in leaves.columns if c != "sig"))
-    # sizes nearest to each other that the two leaves allow, then the corners
-    small = F.least("most_1", "most_2")
-    sizes = bound.column(small, small, F.greatest("least_1", "least_2", small))
-    near = left.join(right, "sig").where("leaf_1 <= leaf_2").where(sizes & bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2")))
-    columns = [f"{c}_{i}" for i in (1, 2) for c in ("leaf", "keys", "ns", "vecs", "comps")]
+    heads = leaves.select("leaf", "node", "high", "least", "most", "low_comp", "high_comp")
+    nodes = heads.groupBy("node").agg(
+        F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    placed = open_cells.join(leaves.select("leaf", "node", "low_comp", "high_comp", F.explode("keys").alias("key")), "key")
+    own = scratch.save(placed.groupBy("sig", "leaf", "node").agg(F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp"))).alias("outside")), "leaf-cells")
+
+    def allowed(pairs: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
+        for i in (1, 2):
+            pairs = pairs.join(boxes.select(F.col(name).alias(f"{name}_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in boxes.columns if c not in (name, "node"))), f"{name}_{i}")
+        # sizes nearest to each other that the two boxes allow, then the corners
+        small = F.least("most_1", "most_2")
+        sizes = bound.column(small, small, F.greatest("least_1", "least_2", small))
+        return pairs.where(sizes & bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2")))
+
+    def ordered(a: str, b: str, name: str) -> list:
+        return [F.least(a, b).alias(f"{name}_1"), F.greatest(a, b).alias(f"{name}_2")]
+
+    by_node = own.groupBy("sig", "node").agg(F.bool_or("outside").alias("outside"))
+    met = by_node.where("outside").select("sig", F.col("node").alias("a")).join(by_node.select("sig", F.col("node").alias("b")), "sig").select(*ordered("a", "b", "node")).distinct()
+    down = allowed(met, nodes, "node").select("node_1", "node_2")
+    down = scratch.save(down.unionByName(down.where("node_1 <> node_2").select(F.col("node_2").alias("node_1"), F.col("node_1").alias("node_2"))), "nodes")
+    left = own.where("outside").select("sig", F.col("leaf").alias("a"), F.col("node").alias("node_1"))
+    right = own.select("sig", F.col("leaf").alias("b"), F.col("node").alias("node_2"))
+    below = left.join(right, "sig").join(down, ["node_1", "node_2"], "left_semi").select(*ordered("a", "b", "leaf")).distinct()
+    return allowed(below, heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows at once for the Python workers, while a table of large rows is written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(PAIRS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class _Leaf:
+    def __init__(self, row: dict, i: int):
+        self.keys, self.comps, self.ns, ends = (np.array(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "comps", "ns", "ends"))
+        self.vecs = np.frombuffer(row[f"vecs_{i}"], dtype=np.int32).reshape(-1, DIMENSIONS)
+        whole, starts = row[f"payloads_{i}"], [0, *ends[:-1].tolist()]
+        self.payloads = [whole[s:e] for s, e in zip(starts, ends.tolist())]
+
+
+def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise) -> DataFrame:
+    """Links (a, b) that join the components of the points of two leaves: those of a spanning forest."""
+    columns = ["keys", "comps", "ns", "ends", "vecs", "payloads"]
+    both = pairs
+    for i in (1, 2):
+        both = both.join(leaves.select(F.col("leaf").alias(f"leaf_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in columns)).hint("merge"), f"leaf_{i}")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                (k1, n1, c1), (k2, n2, c2) = ([np.frombuffer(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "ns", "comps")] for i in (1, 2))
-                v1, v2 = (np.frombuffer(row[f"vecs_{i}"], dtype=np.int32).reshape(-1, DIMENSIONS) for i in (1, 2))
-                first, second = [], []
-                for i in range(len(k1)):
-                    ok = c2 != c1[i]
-                    if row["leaf_1"] == row["leaf_2"]:
+            first, second = [], []
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                x, same = _Leaf(row, 1), row["leaf_1"] == row["leaf_2"]
+                y = x if same else _Leaf(row, 2)
+                of_x, of_y = x.comps.copy(), y.comps.copy()
+                decide = verify.over(y.payloads)
+                for i in range(len(x.keys)):
+                    ok = of_y != of_x[i]
+                    if same:
                         ok[: i + 1] = False
                     # by size no more overlap is possible than the smaller object has: a cheap test before the coordinates
-                    at = np.flatnonzero(ok & (bound.a * np.minimum(n1[i], n2) >= bound.b * (n1[i] + n2) - bound.c))
-                    if not len(at):
+                    near = np.flatnonzero(ok & (bound.a * np.minimum(x.ns[i], y.ns) >= bound.b * (x.ns[i] + y.ns) - bound.c))
+                    if not len(near):
                         continue
-                    common = np.minimum(v1[i], v2[at]).sum(axis=1, dtype=np.int64)
-                    spare = bound.a * common - (bound.b * (n1[i] + n2[at]) - bound.c)
-                    keep = spare >= 0
-                    at, spare = at[keep], spare[keep]
-                    if best is not None and len(at) > best:
-                        at = at[np.argsort(-spare, kind="stable")[:best]]
-                    first += [k1[i]] * len(at)
-                    second += k2[at].tolist()
-                if first:
-                    yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
-
-    found = near.select(*columns).mapInArrow(search, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, described: DataFrame, verify: Callable[[bytes, bytes], bool]) -> DataFrame:
+                    spare = bound.a * np.minimum(x.vecs[i], y.vecs[near]).sum(axis=1, dtype=np.int64) - (bound.b * (x.ns[i] + y.ns[near]) - bound.c)
+                    decided = None
+                    for j in near[np.argsort(-spare, kind="stable")][: np.count_nonzero(spare >= 0)].tolist():
+                        if of_y[j] == of_x[i]:  # joined by now
+                            continue
+                        decided = decided or decide(x.payloads[i])
+                        if decided(j):
+                            first.append(x.keys[i])
+                            second.append(y.keys[j])
+                            old, new = of_y[j], of_x[i]
+                            of_x[of_x == old] = new
+                            of_y[of_y == old] = new
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    return both.select("leaf_1", "leaf_2", *(f"{c}_{i}" for i in (1, 2) for c in columns)).mapInArrow(search, "a long, b long")
+
+
+def _verified(pairs: DataFrame, described: DataFrame, verify: Pairwise) -> DataFrame:
     payload = described.select("key", "payload")
     both = pairs.join(payload.withColumnsRenamed({"key": "a", "payload": "pa"}), "a").join(payload.withColumnsRenamed({"key": "b", "payload": "pb"}), "b")
 
@@ -161,7 +225,7 @@ def _verified(pairs: DataFrame, described: DataFrame, verify: Callable[[bytes, b
     return both.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound: Bound, verify: Callable[[bytes, bytes], bool], scratch: Scratch) -> DataFrame | None:
+def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound: Bound, verify: Pairwise, scratch: Scratch) -> DataFrame | None:
     """Components of similar objects: ``key`` and ``comp`` of those with a similar one; None if cells hold no two objects.
 
     ``cells``: sig, key; rows may repeat. With tag and need, an object of which under ``need`` cells of a tag are shared has no similar one among
@@ -190,16 +254,19 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     links = scratch.save(_verified(near.select("a", "b"), described, verify), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
 
-    for best in (2, None):
-        placed = shared.join(comps, "key", "left").select("sig", "hub", "key", F.coalesce("comp", "key").alias("comp"))
-        # what is left: cells in which members besides the first are in several components
-        left = scratch.save(placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig"), "left")
-        if left.isEmpty():
-            break
-        leaves = scratch.save(_leaves(placed.join(left, "sig", "left_semi").join(point, "key").select("sig", "key", "n", "vec", "comp")), "leaves")
-        new = scratch.save(_verified(_leaf_pairs(leaves, bound, best), described, verify), "links")
+    hubs = comps.select(F.col("key").alias("hub"), F.col("comp").alias("hub_comp"))
+    placed = shared.join(comps, "key", "left").join(hubs, "hub", "left").select("sig", "hub", "key", F.coalesce("comp", "key").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
+    # what is left: cells in which members besides the first are in several components
+    left = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+    opened = scratch.save(placed.join(left, "sig", "left_semi"), "open")
+    if not opened.isEmpty():
+        grouped = opened.groupBy("key").agg(F.min("hub").alias("group"), F.min("comp").alias("comp"))
+        leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "vec", "payload")), "leaves")
+        pairs = _leaf_pairs(leaves, opened.select("sig", "key", "hub_comp"), bound, scratch)
+        with _small_batches(cells.sparkSession):
+            new = scratch.save(_search(pairs, leaves, bound, verify), "links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = scratch.save(connected_components(links, scratch), "comps")
+            comps = scratch.save(connected_components(links.unionByName(new), scratch), "comps")
+        scratch.drop(opened, leaves)
     scratch.drop(shared, described)
     return comps
