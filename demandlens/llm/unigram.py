@@ -174,11 +174,13 @@ class ForwardTrie:
     """Pre-tokens in a trie whose nodes hold the forward score and token count of the prefix that they stand for.
 
     A prefix is scored once, when its node is made, however many pre-tokens share it. ``counts`` has the terminal count
-    of each pre-token seen. Both are emptied beyond their limits: counting starts anew, with equal results.
+    of each pre-token seen. Both are emptied beyond their limits: counting starts anew, with equal results. Only the first
+    ``depth`` characters of a pre-token stand in the trie; what follows goes through the same recurrence in a window of
+    as many scores as the longest piece has characters, so that a pre-token of any length takes bounded memory.
     """
 
-    def __init__(self, model: UnigramModel, nodes: int = 300_000, words: int = 600_000):
-        self.model, self.nodes, self.words = model, nodes, words
+    def __init__(self, model: UnigramModel, nodes: int = 300_000, words: int = 600_000, depth: int = 64):
+        self.model, self.nodes, self.words, self.depth = model, nodes, words, max(depth, model.max_len)
         self.counts: dict[str, int] = {}
         self.clear()
 
@@ -190,7 +192,7 @@ class ForwardTrie:
         model, kids, best, tokens = self.model, self.kids, self.best, self.tokens
         ids, score, longest = model.ids, model.score, model.max_len
         path = [0]
-        for d, c in enumerate(word, 1):
+        for d, c in enumerate(word[: self.depth], 1):
             at = path[-1]
             node = kids[at].get(c)
             if node is None:
@@ -206,7 +208,20 @@ class ForwardTrie:
                 best.append(top)
                 tokens.append(count)
             path.append(node)
-        return tokens[path[-1]]
+        if len(word) <= self.depth:
+            return tokens[path[-1]]
+        last = [(best[x], tokens[x]) for x in path[-longest:]]
+        for d in range(self.depth + 1, len(word) + 1):
+            top, count = -math.inf, 0
+            for back in range(longest, 0, -1):
+                i = ids.get(word[d - back : d])
+                if i is not None and (x := last[-back][0] + score[i]) > top:
+                    top, count = x, last[-back][1] + 1
+            c = word[d - 1]
+            if c not in ids and (x := last[-1][0] + model.unk_score) > top:
+                top, count = x, last[-1][1] + len(c.encode())
+            last = [*last[1:], (top, count)]
+        return last[-1][1]
 
     def add(self, words: set[str]) -> None:
         """Inserts what isn't counted yet."""
@@ -217,6 +232,16 @@ class ForwardTrie:
                 self.clear()
             self.counts[word] = self.insert(word)
 
+    def count(self, words: list[str]) -> int:
+        """Tokens of all these words; those longer than the trie is deep are counted but not kept."""
+        short = [w for w in words if len(w) <= self.depth]
+        self.add(set(short))
+        total = sum(map(self.counts.__getitem__, short))
+        for word in words if len(short) < len(words) else ():
+            if len(word) > self.depth:
+                total += self.insert(word)
+        return total
+
 
 _KEPT: dict = {}
 
