@@ -28,12 +28,12 @@ def item_windows(text: bytes | None, window: int = WINDOW) -> list[tuple[bytes,
 class Block:
     """Windows of some items with their items, and the hashes of their shingles."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
-        found: dict[tuple[bytes, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
+        found: dict[tuple[bytes, ...], set[str | None]] = {}
         for item, text in items:
             for w in item_windows(text, window):
                 found.setdefault(w, set()).add(item)
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
+        self.windows, self.items = list(found), list(found.values())
         self.text = [b" ".join(w) for w in self.windows]
         #: One row for each shingle of each window: its width, hash, window and offset. Windows under SHINGLE words are one shingle.
         rows = []
@@ -77,7 +77,7 @@ class Lookup:
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Block]:
     """Items are read in an iterator, a partition at a time; a block has at most BLOCK_WINDOWS windows (one item more)."""
     held, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(item_col).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
         held.append((row[0], None if row[1] is None else bytes(row[1])))
         size += len(row[1] or b"") // 2
         if size >= BLOCK_WINDOWS:
@@ -140,7 +140,7 @@ def _hits(docs: DataFrame, id_col: str, text_col: str, block: Block) -> DataFram
                         merged.append([first, last])
                 n_words.append(n)
                 spans.append([{"first": a, "last": b} for a, b in merged])
-                found.append(sorted(own))
+                found.append(sorted(own, key=lambda x: (x is None, x)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))], [id_col, "n_words", "hits", "items"])
 
     chosen = docs.select(id_col, F.col(text_col).cast("binary"))
@@ -155,8 +155,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per row: id, n_words, hits (disjoint ranges of word positions inside occurring windows), items (sorted ids).
 
     A block of the benchmark is held by every task (its size is bounded by BLOCK_WINDOWS); a larger benchmark takes one
-    pass for each block, and the passes' results are joined by a row number. Null and empty texts have no words. Items without words match
-    nothing; an empty benchmark gives no hits. Repeated rows give repeated rows; other columns are ignored.
+    pass for each block, and the passes' results are joined by a row number; the results are the same. Null and empty texts have no words.
+    Items without words match nothing; an empty benchmark gives no hits. Items without an id count as hits like others, and all
+    of them as one item, a null at the end of ``items``; items that share an id are one. Of a window's equally rare
+    shingles the one with the smallest hash, then the first, is looked up, which changes no result. Whole texts are read, however long. Repeated rows
+    give repeated rows; other columns are ignored, and the id may be any column, also a struct of all.
     """
     blocks = _blocks(benchmark, item_col, item_text_col, window)
     first, second = next(blocks, None), next(blocks, None)
@@ -165,22 +168,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     from .scratch import Scratch
 
     scratch = Scratch(docs.sparkSession, "decontamination")
-    rows = scratch.save(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    parts = scratch.save(_hits(rows, "_row", text_col, first), "hits")
+    number = "_number"
+    while number in (id_col, text_col):
+        number += "_"
+    rows = scratch.save(docs.select(id_col, text_col).withColumn(number, F.monotonically_increasing_id()), "rows")
+    parts = scratch.save(_hits(rows, number, text_col, first), "hits")
     for block in (second, *blocks):
-        parts = parts.unionByName(scratch.save(_hits(rows, "_row", text_col, block), "hits"))
-    merged = parts.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        parts = parts.unionByName(scratch.save(_hits(rows, number, text_col, block), "hits"))
+    merged = parts.groupBy(number).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # at most one hit list a block: fold sorted ranges into disjoint ones
     disjoint = F.expr(
         "aggregate(hits, cast(array() as array<struct<first:bigint,last:bigint>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.first <= element_at(acc, -1).last"
         " THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last)))) ELSE concat(acc, array(x)) END)"
     )
-    return rows.select("_row", id_col).join(merged, "_row").select(id_col, "n_words", disjoint.alias("hits"), "items")
+    return rows.select(number, id_col).join(merged, number).select(id_col, "n_words", disjoint.alias("hits"), "items")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts and the hash of the items that ``contamination`` found."""
     hit = F.expr("aggregate(hits, 0L, (n, x) -> n + x.last - x.first)")
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
-
-
