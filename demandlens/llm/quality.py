@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import BETWEEN_SPACES, LOWER, U, covered, mix, ngram_hashes, span_hashes, word_spans
+from .words import BETWEEN_SPACES, LOWER, U, covered, ngram_hashes, span_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -62,19 +62,6 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int, np.ndarray, np.nd
     return n, word_chars, int(_SYMBOL[b].sum()), dup, repeat, b, starts, ends
 
 
-def short_words(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Words of at most 8 bytes as numbers (their bytes, low first); longer ones are never among the common words."""
-    length = ends - starts
-    keep = length <= 8
-    s, n = starts[keep], length[keep]
-    out = np.zeros(len(s), dtype=U)
-    for j in range(8):
-        more = n > j
-        if more.any():
-            out[more] |= b[s[more] + j].astype(U) << U(8 * j)
-    return out
-
-
 def js_distance(p: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distances of one histogram to the rows of another array; all sum to 1."""
     m = (p + refs) / 2
@@ -87,8 +74,8 @@ def js_distance(p: np.ndarray, refs: np.ndarray) -> np.ndarray:
 
 
 def language_references(docs: DataFrame, cfg: QualityConfig, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per language: bin counts over all documents with that language: kind 'char' (bin = class), 'word' (bin = packed
-    common word) and 'words' (all words). Batches add up before the shuffle; a language leaves common_words + 9 rows."""
+    """Per language: bin counts over all documents with that language: kind 'char' (bin = class), 'word' (bin = hash of a
+    common lower-cased word) and 'words' (all words). Batches add up before the shuffle; a language leaves common_words + 9 rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +88,7 @@ def language_references(docs: DataFrame, cfg: QualityConfig, text_col: str = "te
                     starts, ends = word_spans(b, BETWEEN_SPACES)
                     raw = np.frombuffer(text.as_buffer(), dtype=np.uint8)
                     chars[lang] = chars.get(lang, 0) + np.bincount(CLASS[raw], minlength=9)[:N_CLASSES]
-                    words.setdefault(lang, []).append(short_words(b, starts, ends))
+                    words.setdefault(lang, []).append(span_hashes(b, starts, ends))
                     total[lang] = total.get(lang, 0) + len(starts)
             rows = []
             for lang in chars:
@@ -145,7 +132,9 @@ def quality(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str =
     """Per row: id, the five base counts, base_failed, char_distance, word_distance (null where a guard holds) and kept.
 
     The references come from all documents with a language; a document is compared with each and the nearest counts,
-    so its own language isn't used. The id may be any column, also a struct of all. Null text: no words, so it fails. Without any reference only the base rules judge.
+    so its own language isn't used. The id may be any column, also a struct of all; other columns are ignored. Null and empty texts have no words,
+    so they fail. Without any reference only the base rules judge. Texts are read whole, a text at a time. Of equally common words those
+    with the smallest hashes enter a reference; equal distances don't matter, as only the least counts. Repeated rows give repeated rows; an empty table gives an empty one.
     """
     refs = _load(language_references(docs, cfg, text_col, lang_col).collect(), cfg)
 
@@ -165,7 +154,7 @@ def quality(docs: DataFrame, cfg: QualityConfig = QualityConfig(), id_col: str =
                         far[0] = float(js_distance(hist / hist.sum(), refs["char"]).min())
                     if n >= cfg.min_words:
                         low = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
-                        w = short_words(low, starts, ends)
+                        w = span_hashes(low, starts, ends)
                         at = np.minimum(np.searchsorted(vocab, w), max(0, len(vocab) - 1))
                         known = at[vocab[at] == w] if len(vocab) else at[:0]
                         own = np.bincount(known, minlength=len(vocab) + 1).astype(float)
