@@ -1,10 +1,11 @@
-"""Line dedup by a segment-partition edit join, and a join of word pairs for long lines (operator 9)."""
+"""Line dedup by a segment-partition edit join, of characters for short lines and of words for long ones (operator 9)."""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .components import connected_components
-from .ngram_join import JaccardAtLeast, Partition, Seen
+from .ngram_join import Seen
 from .scratch import Scratch
 from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
-from .words import U, distinct, mix, span_hashes
+from .words import U, mix, span_hashes
 
 #: Characters of text that are hashed at once.
 CHUNK = 1_000_000
@@ -25,13 +25,21 @@ CHUNK = 1_000_000
 
 @dataclass(frozen=True)
 class LineConfig:
+    """Lines of under ``long_words`` words are compared with each other by characters, longer ones with each other by words."""
+
     max_edits: int = 2  # insertions, deletions and replacements of code points
     min_chars: int = 1  # lines with a word and this many characters are compared, and equal ones found
     near_chars: int = 24  # of shorter lines only equal ones are found
-    #: Lines of this many words on are also near copies if their sets of word pairs have this Jaccard similarity in percent:
-    #: one changed word in 26, and the more the longer a line is.
-    near_words: int = 20
-    percent: int = 85
+    #: From so many words on, edits are those of words: max_edits, and one more each time the words are four times as many.
+    long_words: int = 25
+
+    def word_edits(self, words: np.ndarray) -> np.ndarray:
+        """Edits that lines of so many words may differ by (the shorter one counts); -1 for lines that aren't long."""
+        times = words // self.long_words
+        return np.where(times > 0, self.max_edits + np.floor(np.log2(np.maximum(times, 1))).astype(np.int64) // 2, -1)
+
+    def char_edits(self, chars: np.ndarray) -> np.ndarray:
+        return np.where(chars >= self.near_chars, self.max_edits, -1)
 
 
 _WORDS: list[np.ndarray] = []
@@ -48,52 +56,71 @@ def _word_characters() -> tuple[np.ndarray, np.ndarray]:
     return _WORDS[0], _WORDS[1]
 
 
+class Run:
+    """A sequence of 64-bit values and the hashes of its parts."""
+
+    def __init__(self, values: np.ndarray):
+        root, n = 0x9E3779B97F4A7C15, len(values)
+        powers, down = np.full(n + 1, root, dtype=U), np.full(n + 1, pow(root, -1, 1 << 64), dtype=U)
+        powers[0] = down[0] = 1
+        self.down = np.cumprod(down)
+        self.total = np.zeros(n + 1, dtype=U)
+        np.cumsum(mix(values * U(0xD1B54A32D192ED03) + U(1)) * np.cumprod(powers)[:-1], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For candidates only: equal parts have equal hashes, but sequences can be made whose unequal parts do too."""
+        return mix((self.total[starts + size] - self.total[starts]) * self.down[starts] + size.astype(U))
+
+
 class Lines:
-    """Lines of some texts: offsets and lengths in code points and in bytes, keys of lines and hashes of parts of them."""
+    """Lines of some texts: offsets and lengths in code points, bytes and words, and the keys that they are told apart by."""
 
     def __init__(self, texts: list[str]):
         self.text = "\n".join(texts)
-        c = np.frombuffer(self.text.encode("utf-32-le", "replace"), dtype=np.uint32)
-        ends = np.append(np.flatnonzero(c == 10), len(c))
-        self.starts = np.append(0, ends[:-1] + 1)
-        self.size = ends - self.starts
+        self.codes = np.frombuffer(self.text.encode("utf-32-le", "replace"), dtype=np.uint32)
+        self.starts, self.size = self._parts(self.codes)
         self.raw = np.frombuffer(self.text.encode("utf-8", "replace"), dtype=np.uint8)
-        self.raw_ends = np.append(np.flatnonzero(self.raw == 10), len(self.raw))
-        self.raw_starts = np.append(0, self.raw_ends[:-1] + 1)
-        root = 0x9E3779B97F4A7C15
-        self.codes = c
-        powers = np.full(len(c) + 1, root, dtype=U)
-        powers[0] = 1
-        self.down = np.full(len(c) + 1, pow(root, -1, 1 << 64), dtype=U)
-        self.down[0] = 1
-        powers, self.down = np.cumprod(powers), np.cumprod(self.down)
-        self.total = np.zeros(len(c) + 1, dtype=U)
-        np.cumsum(mix(c.astype(U) * U(0xD1B54A32D192ED03) + U(1)) * powers[:-1], out=self.total[1:])
+        self.raw_starts, self.raw_size = self._parts(self.raw)
 
-    def keys(self, rows: np.ndarray) -> np.ndarray:
-        """What lines are told apart by."""
-        return span_hashes(self.raw, self.raw_starts[rows], self.raw_ends[rows]).view(np.int64)
+    @staticmethod
+    def _parts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.append(np.flatnonzero(c == 10), len(c))
+        starts = np.append(0, ends[:-1] + 1)
+        return starts, ends - starts
 
-    def hashes(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Of parts of lines, for candidates only: equal parts have equal ones, but texts can be made whose unequal parts do too."""
-        return mix((self.total[starts + size] - self.total[starts]) * self.down[starts] + size.astype(U))
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        return span_hashes(self.raw, self.raw_starts[rows], self.raw_starts[rows] + self.raw_size[rows]).view(np.int64)
 
     def compared(self, cfg: LineConfig) -> np.ndarray:
         """Numbers of the lines that hold a word and enough characters."""
         word = np.append(0, np.cumsum(_word_characters()[0][self.codes]))
         return np.flatnonzero((self.size >= cfg.min_chars) & (word[self.starts + self.size] > word[self.starts]))
 
-    def pairs(self, rows: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, sorted distinct hashes of its pairs of neighbouring words) of the given lines with at least so many words."""
+    @cached_property
+    def word_places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end."""
         word, single = (x[self.codes] for x in _word_characters())
         before = np.append(False, word[:-1])
         start = word & (~before | single | np.append(False, single[:-1]))
-        starts, ends = np.flatnonzero(start), np.flatnonzero(word & np.append(start[1:] | ~word[1:], True)) + 1
-        h = span_hashes(self.codes.view(np.uint8), 4 * starts, 4 * ends)
-        low, high = np.searchsorted(starts, self.starts[rows]), np.searchsorted(starts, self.starts[rows] + self.size[rows])
-        long = high - low >= max(2, least)
-        for row, i, j in zip(rows[long].tolist(), low[long].tolist(), high[long].tolist()):
-            yield row, distinct(mix(h[i : j - 1] * U(0xD1B54A32D192ED03) + h[i + 1 : j]))
+        return np.flatnonzero(start), np.flatnonzero(word & np.append(start[1:] | ~word[1:], True)) + 1
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """Hashes of all words in order."""
+        starts, ends = self.word_places
+        return span_hashes(self.codes.view(np.uint8), 4 * starts, 4 * ends)
+
+    @cached_property
+    def first_word(self) -> np.ndarray:
+        return np.searchsorted(self.word_places[0], self.starts)
+
+    @cached_property
+    def n_words(self) -> np.ndarray:
+        return np.searchsorted(self.word_places[0], self.starts + self.size) - self.first_word
+
+    def near_rows(self, cfg: LineConfig) -> np.ndarray:
+        """Numbers of the lines that may have near copies."""
+        return np.flatnonzero((self.size >= cfg.near_chars) | (self.n_words >= cfg.long_words))
 
 
 def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], Lines]]:
@@ -123,30 +150,34 @@ def segments(size: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def cells(lines: Lines, rows: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, cell) of the given lines. A cell is a line length, a segment number and the segment's text.
+def cells(run: Run, start: np.ndarray, size: np.ndarray, edits: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number, cell) of the sequences of a run that begin at ``start`` and have ``size`` values. A cell is a length, a
+    segment number and the segment's values.
 
-    A line of length n is cut into edits + 1 segments, of which edits can't touch all: a similar line that is no shorter
-    has one of them as a substring, near its place. So each line looks up, for each length from n - edits to n, the
-    substrings in whose place that segment can stand (the window that counts the edits before and after it). With the
-    same length and no shift that is the line's own segment, so the cells are both index and probes.
+    A sequence of length n that may have e = edits(n) is cut into e + 1 segments, of which e edits can't touch all: a similar
+    one that is no shorter has one of them as a part, near its place. So each sequence looks up, for each length that is
+    shorter by no more than that length's edits, the parts in whose place that segment can stand (the window that counts
+    the edits before and after it). With the same length and no shift that is the sequence's own segment, so the cells are
+    both index and probes.
     """
-    start, size = lines.starts[rows], lines.size[rows]
-    for less in range(edits + 1):
-        for i, (at, own) in enumerate(segments(size - less, edits + 1)):
-            left, right = i, edits - i
-            for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                where = at + shift
-                ok = (where >= 0) & (where + own <= size) & (own > 0)
-                if ok.any():
-                    part = lines.hashes(start[ok] + where[ok], own[ok])
-                    yield rows[ok], mix(part ^ mix((size[ok] - less).astype(U) * U(64) + U(i)))
-
-
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance is at most ``edits``.
-
-    Common ends are cut off. Of the dynamic program's columns (one for each character of the shorter text) only the rows
+    for less in range(int(edits(size).max(initial=-1)) + 1):
+        allowed = edits(size - less)
+        for most in np.unique(allowed[allowed >= less]).tolist():
+            at_all = np.flatnonzero(allowed == most)
+            first, n = start[at_all], size[at_all]
+            for i, (at, own) in enumerate(segments(n - less, most + 1)):
+                left, right = i, most - i
+                for shift in range(max(-left, less - right), min(left, less + right) + 1):
+                    where = at + shift
+                    ok = (where >= 0) & (where + own <= n) & (own > 0)
+                    if ok.any():
+                        yield at_all[ok], mix(run.hashes(first[ok] + where[ok], own[ok]) ^ mix((n[ok] - less).astype(U) * U(64) + U(i)))
+
+
+def within(a: str | list[int], b: str | list[int], edits: int) -> bool:
+    """Whether the edit distance of two texts, or of two lists of words, is at most ``edits``.
+
+    Common ends are cut off. Of the dynamic program's columns (one for each character of the shorter one) only the rows
     within ``edits`` of the diagonal are kept, as bit vectors of 2 * edits + 1 differences; the window moves down a row
     with each column. The distance is followed along the window's lowest diagonal to the last row, then along that.
     """
@@ -157,12 +188,12 @@ def within(a: str, b: str, edits: int) -> bool:
     low, high = 0, len(b)
     while low < high:  # longest common start
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if b.startswith(a[:mid]) else (low, mid - 1)
+        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
     a, b = a[low:], b[low:]
     low, high = 0, len(b)
     while low < high:  # longest common end
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if b.endswith(a[len(a) - mid :]) else (low, mid - 1)
+        low, high = (mid, high) if a[len(a) - mid :] == b[len(b) - mid :] else (low, mid - 1)
     a, b = a[: len(a) - low], b[: len(b) - low]
     if len(a) <= edits:
         return True
@@ -171,7 +202,7 @@ def within(a: str, b: str, edits: int) -> bool:
     up, down, distance = (full << edits) & full, 0, edits  # vertical steps of +1 and -1
     turn = len(a) - edits  # from this column on the last row is in the window
     #: By character: the rows of the window where it stands, as bits from the row that the window began with at the time.
-    places: dict[str, tuple[int, int]] = {}
+    places: dict[str | int, tuple[int, int]] = {}
     for i, c in enumerate(a[:edits]):
         places[c] = (-edits, places.get(c, (0, 0))[1] | 1 << (i + edits))
     for j, c in enumerate(b):
@@ -212,108 +243,86 @@ def line_rows(docs: DataFrame, cfg: LineConfig, id_col: str, text_col: str) -> D
     return chosen.mapInArrow(run, T.StructType([T.StructField("doc", kind), T.StructField("line_no", T.IntegerType()), T.StructField("key", T.LongType())]))
 
 
-def _new_lines(lines: Lines, cfg: LineConfig, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(lines.size >= cfg.near_chars)
-    keys = lines.keys(at)
-    new = np.array([seen.first(k) for k in keys.tolist()], dtype=bool)
-    return (at[new], keys[new]) if len(at) else (at, keys)
-
-
 def _line_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for _, _, lines in chunked(batches):
-            at, keys = _new_lines(lines, cfg, seen)
-            key_of = np.zeros(len(lines.size), dtype=np.int64)
-            key_of[at] = keys
-            for rows, cell in cells(lines, at, cfg.max_edits):
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(key_of[rows])], ["sig", "key"])
+            at = lines.near_rows(cfg)
+            keys = lines.keys(at)
+            new = np.array([seen.first(k) for k in keys.tolist()], dtype=bool)
+            if not new.any():
+                continue
+            at, keys = at[new], keys[new]
+            long = lines.n_words[at] >= cfg.long_words
+            sigs, owners = [], []
+            for salt, own, values, first, size, edits in (
+                (0, ~long, lines.codes.astype(U), lines.starts, lines.size, cfg.char_edits),
+                (0xA24BAED4963EE407, long, lines.words, lines.first_word, lines.n_words, cfg.word_edits),
+            ):
+                rows, key = at[own], keys[own]
+                for i, cell in cells(Run(values), first[rows], size[rows], edits) if len(rows) else ():
+                    sigs.append(cell ^ U(salt))
+                    owners.append(key[i])
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "key"])
 
     return docs.select("doc_key", text_col).mapInArrow(run, "sig long, key long")
 
 
 def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter) -> DataFrame:
-    """Of wanted lines: length, characters counted in groups, and text."""
+    """Of wanted lines: length, twice the edits that they may have, characters or words counted in groups, and these themselves (after a
+    byte that tells which)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for _, _, lines in chunked(batches):
-            at = np.flatnonzero(lines.size >= cfg.near_chars)
+            at = lines.near_rows(cfg)
             keys = lines.keys(at)
             ok = shared.value.has(keys)
             rows = []
             for i, key in zip(at[ok].tolist(), keys[ok].tolist()):
                 if seen.first(key):
-                    s, n = int(lines.starts[i]), int(lines.size[i])
-                    rows.append((key, n, np.bincount(lines.codes[s : s + n] & (DIMENSIONS - 1), minlength=DIMENSIONS).tolist(), lines.text[s : s + n].encode()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "vec", "payload"])
-
-    return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
-
-
-def _pair_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
-    """Cells of the sets of word pairs of long lines, as those of the n-gram join."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = Partition(cfg.percent), Seen()
-        for _, _, lines in chunked(batches):
-            at, keys = _new_lines(lines, cfg, seen)
-            key_of = dict(zip(at.tolist(), keys.tolist()))
-            parts = [(cell, np.full(len(cell), key_of[row]), np.full(len(cell), tag, dtype=np.int32), np.full(len(cell), need, dtype=np.int32)) for row, s in lines.pairs(at, cfg.near_words) for cell, tag, need in plan.cells(s)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["sig", "key", "tag", "need"])
-
-    return docs.select("doc_key", text_col).mapInArrow(run, "sig long, key long, tag int, need int")
-
-
-def _describe_pairs(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter) -> DataFrame:
-    """Of wanted long lines: number of word pairs, these counted in groups, and their hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for _, _, lines in chunked(batches):
-            at = np.flatnonzero(lines.size >= cfg.near_chars)
-            keys = lines.keys(at)
-            ok = shared.value.has(keys)
-            key_of = {row: key for row, key in zip(at[ok].tolist(), keys[ok].tolist()) if seen.first(key)}
-            rows = [(key_of[row], len(s), np.bincount((s & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).tolist(), s.tobytes()) for row, s in lines.pairs(np.array(list(key_of), dtype=np.int64), cfg.near_words)]
+                    if (n := int(lines.n_words[i])) >= cfg.long_words:
+                        w = lines.words[lines.first_word[i] : lines.first_word[i] + n]
+                        own, edits, group = b"w" + w.tobytes(), cfg.word_edits(np.array([n]))[0], (w & U(DIMENSIONS - 1)).astype(np.int64)
+                    else:
+                        s, n = int(lines.starts[i]), int(lines.size[i])
+                        own, edits, group = b"c" + lines.text[s : s + n].encode("utf-8", "replace"), cfg.max_edits, lines.codes[s : s + n] & (DIMENSIONS - 1)
+                    rows.append((key, n, 2 * int(edits), np.bincount(group, minlength=DIMENSIONS).tolist(), own))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "vec", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "slack", "vec", "payload"])
 
-    return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
+    return docs.select("doc_key", text_col).mapInArrow(run, "key long, n long, slack long, vec array<int>, payload binary")
 
 
 class WithinEdits(Pairwise):
-    def __init__(self, edits: int):
-        self.edits = edits
+    def __init__(self, cfg: LineConfig):
+        self.cfg = cfg
 
     def __call__(self, x: bytes, y: bytes) -> bool:
-        return within(x.decode(), y.decode(), self.edits)
+        if x[:1] != y[:1]:
+            return False
+        if x[:1] == b"c":
+            return within(x[1:].decode(), y[1:].decode(), self.cfg.max_edits)
+        a, b = (np.frombuffer(z, dtype=U, offset=1).tolist() for z in (x, y))
+        return within(a, b, int(self.cfg.word_edits(np.array([min(len(a), len(b))]))[0]))
 
 
 def repeated_lines(docs: DataFrame, cfg: LineConfig, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """doc_key and ``dropped`` (sorted line numbers, from 0): lines that equal or nearly equal an earlier one.
 
-    Groups are the components of lines within max_edits of each other, or, of long lines, with enough word pairs in common; the first line by (id, document key, line number) stays.
+    Groups are the components of lines within their edits of each other (see LineConfig); the first line by (id, document key, line number) stays.
     """
     lines = scratch.save(line_rows(docs, cfg, id_col, text_col), "lines")
-    place = F.struct("doc.*", "line_no")
-    classes = scratch.save(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1, 2 * cfg.max_edits), WithinEdits(cfg.max_edits), scratch)
-    alike = linked(_pair_cells(docs, cfg, text_col), lambda wanted: _describe_pairs(docs, cfg, text_col, wanted), Bound(100 + cfg.percent, cfg.percent), JaccardAtLeast(cfg.percent), scratch)
-    if found is not None and alike is not None:
-        found = scratch.save(connected_components(found.unionByName(alike).select(F.col("key").alias("a"), F.col("comp").alias("b")), scratch), "comps")
-    elif found is None:
-        found = alike
-    groups = classes.where("n > 1").select("key", "first")
+    groups = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("key").alias("comp"))
+    found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1), WithinEdits(cfg), scratch)
     if found is not None:
-        near = scratch.save(classes.join(found, "key"), "near")
-        least = near.groupBy("comp").agg(F.min("first").alias("first"))
-        groups = groups.join(near.select("key"), "key", "left_anti").unionByName(near.select("key", "comp").join(least, "comp").select("key", "first"))
-    again = lines.join(groups, "key").withColumn("doc_key", F.col("doc.doc_key")).where(~((F.col("doc_key") == F.col("first.doc_key")) & (F.col("line_no") == F.col("first.line_no"))))
+        groups = groups.join(found.select("key"), "key", "left_anti").unionByName(found.select("key", "comp"))
+    # only the lines of groups go on: those that stand once and have no near copy are most of all
+    own = scratch.save(lines.join(groups, "key").select("comp", "doc", "line_no"), "own")
+    first = own.groupBy("comp").agg(F.min(F.struct("doc.*", "line_no")).alias("first"))
+    again = own.join(first, "comp").withColumn("doc_key", F.col("doc.doc_key")).where(~((F.col("doc_key") == F.col("first.doc_key")) & (F.col("line_no") == F.col("first.line_no"))))
     return again.groupBy("doc_key").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
@@ -330,8 +339,8 @@ def drop_repeated_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col:
     gaps = "flatten(transform(sequence(1, size(dropped)), k -> concat(array_repeat(false, element_at(dropped, k) - if(k = 1, -1, element_at(dropped, greatest(1, k - 1))) - 1), array(true))))"
     dropped = scratch.save(repeated_lines(keyed, cfg, scratch, id_col, text_col).withColumn("_marks", F.expr(gaps)), "dropped")
     scratch.keep(dropped)
-    # texts are sorted into the join at every size: the plan mustn't change where the other side outgrows a broadcast
-    joined = keyed.hint("merge").join(dropped, "doc_key", "left").drop("doc_key")
+    # texts stream past the dropped lines of their partition at every size: they aren't sorted, and nothing is broadcast
+    joined = keyed.join(dropped.hint("shuffle_hash"), "doc_key", "left").drop("doc_key")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.zip_with(lines, "_marks", lambda x, gone: F.when(gone, F.lit(None)).otherwise(x)), "\n")
     counted = joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))

@@ -124,11 +124,11 @@ def _describe(docs: DataFrame, n: int, text_col: str, wanted: KeyFilter) -> Data
             for text in batch.column(0):
                 s = shingles(text.as_py() or b"", n)
                 if len(s) and shared.value.has(np.array([key := set_key(s)]))[0] and seen.first(key):
-                    rows.append((key, len(s), np.bincount((s & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).tolist(), s.tobytes()))
+                    rows.append((key, len(s), 0, np.bincount((s & U(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).tolist(), s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "vec", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "slack", "vec", "payload"])
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "key long, n long, vec array<int>, payload binary")
+    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "key long, n long, slack long, vec array<int>, payload binary")
 
 
 class JaccardAtLeast(Pairwise):

@@ -6,7 +6,7 @@
    one, as far as the bound allows: this settles cells of two and most groups of copies, with a pair for each member.
 3. Cells whose other members aren't all connected by then are searched with an R-tree over their members' points: leaves of
    neighbouring points with their objects, and nodes over FANOUT leaves, each with its corner of largest coordinates and its
-   range of sizes. Pairs of nodes that share a cell and whose corners allow enough overlap are followed down to pairs of
+   range of sizes. Pairs of nodes that share a cell's first member and whose corners allow enough overlap are followed down to pairs of
    leaves; each pair of leaves is searched once, whatever number of cells it shares. The search keeps the components of
    its two leaves, verifies the pairs of points that the bound leaves and that are in different ones, and emits a link only where it
    joins two: fewer rows than the leaves have points.
@@ -37,14 +37,14 @@ FILTER_BITS = 1 << 26
 
 @dataclass(frozen=True)
 class Bound:
-    """Similar objects have a * overlap >= b * (n1 + n2) - c; so has the sum of coordinate minima, which is no less."""
+    """Similar objects have a * overlap >= b * (n1 + n2) - least(slack1, slack2); so has the sum of coordinate minima, which
+    is no less. ``slack`` belongs to an object."""
 
     a: int
     b: int
-    c: int = 0
 
-    def column(self, overlap, n1, n2):
-        return overlap * self.a >= (n1 + n2) * self.b - self.c
+    def column(self, overlap, n1, n2, slack):
+        return overlap * self.a >= (n1 + n2) * self.b - slack
 
 
 class KeyFilter:
@@ -83,10 +83,10 @@ class Pairwise:
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """Bulk-loaded leaves of ``members`` (group, comp, n, key, vec, payload), sorted by group, component and size."""
+    """Bulk-loaded leaves of ``members`` (group, comp, n, key, slack, vec, payload), sorted by group, component and size."""
 
-    fields = "leaf long, node long, high array<int>, least long, most long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, ends array<long>, vecs binary, payloads binary"
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 4, pa.binary(), pa.binary()]
+    fields = "leaf long, node long, high array<int>, least long, most long, slack long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, slacks array<long>, ends array<long>, vecs binary, payloads binary"
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 5, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in fields.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,57 +97,58 @@ def _leaves(members: DataFrame) -> DataFrame:
         size = 0
 
         def leaf() -> pa.RecordBatch:
-            comps, ns, keys, vecs, payloads = zip(*held)
+            comps, ns, keys, slacks, vecs, payloads = zip(*held)
             vecs = np.array(vecs, dtype=np.int32)
-            row = (first + made, (first + made) // FANOUT, vecs.max(axis=0).tolist(), min(ns), max(ns), min(comps), max(comps), keys, comps, ns, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
+            row = (first + made, (first + made) // FANOUT, vecs.max(axis=0).tolist(), min(ns), max(ns), max(slacks), min(comps), max(comps), keys, comps, ns, slacks, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
         for batch in batches:
             for m in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) >= LEAF or size + len(m[4]) > LEAF_BYTES):
+                if held and (len(held) >= LEAF or size + len(m[5]) > LEAF_BYTES):
                     yield leaf()
                     made, held, size = made + 1, [], 0
                 held.append(m)
-                size += len(m[4])
+                size += len(m[5])
         if held:
             yield leaf()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = members.repartitionByRange(parts, "group", "comp", "n", "key").sortWithinPartitions("group", "comp", "n", "key")
-    return ordered.select("comp", "n", "key", "vec", "payload").mapInArrow(pack, fields)
+    return ordered.select("comp", "n", "key", "slack", "vec", "payload").mapInArrow(pack, fields)
 
 
 def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
-    """leaf_1 <= leaf_2: the pairs of leaves that share a cell and that the bound allows, each once.
+    """leaf_1 <= leaf_2: the pairs of leaves that have cells with the same first member, as those of one cell have, and that
+    the bound allows, each once. By first members, leaves of a large group meet some few times, not once for each of their cells.
 
-    ``open_cells``: sig, key and hub_comp, the component that the cell's first member is in. Leaves all of whose points
+    ``open_cells``: key, hub (the cell's first member) and hub_comp, the component that it is in. Leaves all of whose points
     are in that one are met by others, not by each other: two of their points need no link.
     """
-    heads = leaves.select("leaf", "node", "high", "least", "most", "low_comp", "high_comp")
+    heads = leaves.select("leaf", "node", "high", "least", "most", "slack", "low_comp", "high_comp")
     nodes = heads.groupBy("node").agg(
-        F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most")
+        F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack")
     )
-    placed = open_cells.join(leaves.select("leaf", "node", "low_comp", "high_comp", F.explode("keys").alias("key")), "key")
-    own = scratch.save(placed.groupBy("sig", "leaf", "node").agg(F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp"))).alias("outside")), "leaf-cells")
+    placed = open_cells.distinct().join(leaves.select("leaf", "node", "low_comp", "high_comp", F.explode("keys").alias("key")), "key")
+    own = scratch.save(placed.groupBy("hub", "leaf", "node").agg(F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp"))).alias("outside")), "leaf-cells")
 
     def allowed(pairs: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
         for i in (1, 2):
             pairs = pairs.join(boxes.select(F.col(name).alias(f"{name}_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in boxes.columns if c not in (name, "node"))), f"{name}_{i}")
         # sizes nearest to each other that the two boxes allow, then the corners
-        small = F.least("most_1", "most_2")
-        sizes = bound.column(small, small, F.greatest("least_1", "least_2", small))
-        return pairs.where(sizes & bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2")))
+        small, slack = F.least("most_1", "most_2"), F.least("slack_1", "slack_2")
+        sizes = bound.column(small, small, F.greatest("least_1", "least_2", small), slack)
+        return pairs.where(sizes & bound.column(overlap("high_1", "high_2"), F.col("least_1"), F.col("least_2"), slack))
 
     def ordered(a: str, b: str, name: str) -> list:
         return [F.least(a, b).alias(f"{name}_1"), F.greatest(a, b).alias(f"{name}_2")]
 
-    by_node = own.groupBy("sig", "node").agg(F.bool_or("outside").alias("outside"))
-    met = by_node.where("outside").select("sig", F.col("node").alias("a")).join(by_node.select("sig", F.col("node").alias("b")), "sig").select(*ordered("a", "b", "node")).distinct()
+    by_node = own.groupBy("hub", "node").agg(F.bool_or("outside").alias("outside"))
+    met = by_node.where("outside").select("hub", F.col("node").alias("a")).join(by_node.select("hub", F.col("node").alias("b")), "hub").select(*ordered("a", "b", "node")).distinct()
     down = allowed(met, nodes, "node").select("node_1", "node_2")
     down = scratch.save(down.unionByName(down.where("node_1 <> node_2").select(F.col("node_2").alias("node_1"), F.col("node_1").alias("node_2"))), "nodes")
-    left = own.where("outside").select("sig", F.col("leaf").alias("a"), F.col("node").alias("node_1"))
-    right = own.select("sig", F.col("leaf").alias("b"), F.col("node").alias("node_2"))
-    below = left.join(right, "sig").join(down, ["node_1", "node_2"], "left_semi").select(*ordered("a", "b", "leaf")).distinct()
+    left = own.where("outside").select("hub", F.col("leaf").alias("a"), F.col("node").alias("node_1"))
+    right = own.select("hub", F.col("leaf").alias("b"), F.col("node").alias("node_2"))
+    below = left.join(right, "hub").join(down, ["node_1", "node_2"], "left_semi").select(*ordered("a", "b", "leaf")).distinct()
     return allowed(below, heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2")
 
 
@@ -165,7 +166,7 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
 
 class _Leaf:
     def __init__(self, row: dict, i: int):
-        self.keys, self.comps, self.ns, ends = (np.array(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "comps", "ns", "ends"))
+        self.keys, self.comps, self.ns, self.slacks, ends = (np.array(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "comps", "ns", "slacks", "ends"))
         self.vecs = np.frombuffer(row[f"vecs_{i}"], dtype=np.int32).reshape(-1, DIMENSIONS)
         whole, starts = row[f"payloads_{i}"], [0, *ends[:-1].tolist()]
         self.payloads = [whole[s:e] for s, e in zip(starts, ends.tolist())]
@@ -173,7 +174,7 @@ class _Leaf:
 
 def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise) -> DataFrame:
     """Links (a, b) that join the components of the points of two leaves: those of a spanning forest."""
-    columns = ["keys", "comps", "ns", "ends", "vecs", "payloads"]
+    columns = ["keys", "comps", "ns", "slacks", "ends", "vecs", "payloads"]
     both = pairs
     for i in (1, 2):
         both = both.join(leaves.select(F.col("leaf").alias(f"leaf_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in columns)).hint("merge"), f"leaf_{i}")
@@ -192,10 +193,11 @@ def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise)
                     if same:
                         ok[: i + 1] = False
                     # by size no more overlap is possible than the smaller object has: a cheap test before the coordinates
-                    near = np.flatnonzero(ok & (bound.a * np.minimum(x.ns[i], y.ns) >= bound.b * (x.ns[i] + y.ns) - bound.c))
+                    need = bound.b * (x.ns[i] + y.ns) - np.minimum(x.slacks[i], y.slacks)
+                    near = np.flatnonzero(ok & (bound.a * np.minimum(x.ns[i], y.ns) >= need))
                     if not len(near):
                         continue
-                    spare = bound.a * np.minimum(x.vecs[i], y.vecs[near]).sum(axis=1, dtype=np.int64) - (bound.b * (x.ns[i] + y.ns[near]) - bound.c)
+                    spare = bound.a * np.minimum(x.vecs[i], y.vecs[near]).sum(axis=1, dtype=np.int64) - need[near]
                     decided = None
                     for j in near[np.argsort(-spare, kind="stable")][: np.count_nonzero(spare >= 0)].tolist():
                         if of_y[j] == of_x[i]:  # joined by now
@@ -229,7 +231,7 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     """Components of similar objects: ``key`` and ``comp`` of those with a similar one; None if cells hold no two objects.
 
     ``cells``: sig, key; rows may repeat. With tag and need, an object of which under ``need`` cells of a tag are shared has no similar one among
-    these. ``describe(filter)``: key, n, vec (array of DIMENSIONS counts) and payload of at
+    these. ``describe(filter)``: key, n, slack, vec (array of DIMENSIONS counts) and payload of at
     least the objects whose keys the filter has; rows may repeat. ``verify`` decides on two payloads.
     """
     by_cell = Window.partitionBy("sig").orderBy("key")
@@ -247,10 +249,11 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
         return None
     members = shared.select("key").union(shared.select("hub")).distinct()
     described = scratch.save(describe(key_filter(members)).join(members, "key", "left_semi").dropDuplicates(["key"]), "members")
-    point = described.select("key", "n", "vec")
+    point = described.select("key", "n", "slack", "vec")
 
     star = shared.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    near = star.join(point.withColumnsRenamed({"key": "a", "n": "n1", "vec": "v1"}), "a").join(point.withColumnsRenamed({"key": "b", "n": "n2", "vec": "v2"}), "b").where(bound.column(overlap("v1", "v2"), F.col("n1"), F.col("n2")))
+    near = star.join(point.withColumnsRenamed({"key": "a", "n": "n1", "slack": "s1", "vec": "v1"}), "a").join(point.withColumnsRenamed({"key": "b", "n": "n2", "slack": "s2", "vec": "v2"}), "b")
+    near = near.where(bound.column(overlap("v1", "v2"), F.col("n1"), F.col("n2"), F.least("s1", "s2")))
     links = scratch.save(_verified(near.select("a", "b"), described, verify), "links")
     comps = scratch.save(connected_components(links, scratch), "comps")
 
@@ -261,8 +264,8 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     opened = scratch.save(placed.join(left, "sig", "left_semi"), "open")
     if not opened.isEmpty():
         grouped = opened.groupBy("key").agg(F.min("hub").alias("group"), F.min("comp").alias("comp"))
-        leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "vec", "payload")), "leaves")
-        pairs = _leaf_pairs(leaves, opened.select("sig", "key", "hub_comp"), bound, scratch)
+        leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "slack", "vec", "payload")), "leaves")
+        pairs = _leaf_pairs(leaves, opened.select("key", "hub", "hub_comp"), bound, scratch)
         with _small_batches(cells.sparkSession):
             new = scratch.save(_search(pairs, leaves, bound, verify), "links")
         if not new.isEmpty():

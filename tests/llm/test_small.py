@@ -344,7 +344,7 @@ def test_lines_that_are_near_share_a_cell():
         if "\n" not in b and edit_distance(a, b) <= 2:
             lines = line_dedup.Lines([a, b])
             own = {0: set(), 1: set()}
-            for rows, cell in line_dedup.cells(lines, np.array([0, 1]), 2):
+            for rows, cell in line_dedup.cells(line_dedup.Run(lines.codes.astype(np.uint64)), lines.starts, lines.size, line_dedup.LineConfig(near_chars=0).char_edits):
                 for i, c in zip(rows.tolist(), cell.tolist()):
                     own[i].add(c)
             assert own[0] & own[1], (a, b)
