@@ -54,7 +54,7 @@ def changed(r, words, most):
     w = list(words)
     for _ in range(r.randint(0, most)):
         i = r.randrange(len(w) + 1)
-        r.choice([lambda i=i: w.insert(i, f"new{r.random()}"), lambda i=i: w.pop(i - 1), lambda i=i: w.__setitem__(i - 1, f"n{r.random()}")])()
+        r.choice([lambda i=i: w.insert(i, f"new{r.randrange(10**9)}"), lambda i=i: w.pop(i - 1), lambda i=i: w.__setitem__(i - 1, f"n{r.randrange(10**9)}")])()
     return w
 
 
