@@ -32,11 +32,21 @@ def _nfkd_folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+@pandas_udf(T.StringType())
+def _nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
+
+
 @pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def accents_folded(c: Column) -> Column:
+    """Compatibility forms without combining marks; null stays null."""
+    return _nfkd_folded(c)
+
+
 def identity_normalized(c: Column) -> Column:
     """Compatibility forms and accents folded, lower case, everything but a-z and 0-9 as one space; '' for null.
 
@@ -50,16 +60,20 @@ def ascii_identity(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+", " "))
 
 
-#: Typographic characters and what they fold to.
-_FOLD_FROM, _FOLD_TO = "‘’ʼ‛“”‐‑‒–—―− ​", "''''  -------" + " "
+#: Typographic characters and what they fold to; the last one goes.
+_FOLD_FROM = "\u2018\u2019\u02bc\u201b\u201c\u201d\u2010\u2011\u2012\u2013\u2014\u2015\u2212\u00a0\u200b"
+_FOLD_TO = "'" * 4 + "  " + "-" * 7 + " "
+_WHITE = r"\p{IsWhite_Space}\x1c-\x1f"
 
 
 def taxonomy_folded(c: Column) -> Column:
-    """Matching form: lower case, '&' as 'and', no apostrophes, '+', '#' and word-gluing or leading dots kept."""
+    """Matching form: lower case, '&' as 'and', no apostrophes, '+', '#' and word-gluing or leading dots kept.
+
+    A dot stays where a letter or digit follows it, and a letter, a digit, white space or nothing stands before it.
+    """
     s = F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO))
     s = F.regexp_replace(F.replace(s, F.lit("&"), F.lit(" and ")), "'", "")
-    glue = r"(?<=[\p{L}\p{N}\s])\.(?=[\p{L}\p{N}])|^\.(?=[\p{L}\p{N}])"
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, glue, "\u0001"), r"\.", " "), "\u0001", ".")
+    s = F.regexp_replace(s, rf"\.(?![\p{{L}}\p{{N}}])|(?<=[^\p{{L}}\p{{N}}{_WHITE}])\.", " ")
     return F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"[^\p{L}\p{N}+#.]+", " "))
 
 
@@ -105,20 +119,23 @@ def role_type(category: Column) -> Column:
 
 
 def is_remote(locations: Column) -> Column:
+    # The words that say so.
     return F.coalesce(F.exists(locations, lambda x: F.coalesce(x.rlike(r"(?i)\bremote\b|\bwork from home\b|\bwfh\b|\banywhere\b"), F.lit(False))), F.lit(False))
 
 
-def start_season(text: Column) -> Column:
-    """'Summer 2027' from season and year in either order, else a year from 2020 to 2049 alone, else null."""
+def start_season(*texts: Column) -> Column:
+    """'Summer 2027' from season and year in either order, else a year from 2020 to 2049 alone, of the first text that gives
+    one; else null. Compatibility forms are folded first, so a no-break space is a blank."""
+    # The names of seasons, what may stand between a name and a year, and the years.
     names, gap = "(spring|summer|fall|autumn|winter)", r"\b[\s,'’-]*\b"
-    first = [F.regexp_extract(text, rf"(?i)\b{names}{gap}(20\d{{2}})\b", i) for i in (1, 2)]
-    second = [F.regexp_extract(text, rf"(?i)\b(20\d{{2}}){gap}{names}\b", i) for i in (2, 1)]
-    bare = F.nullif(F.regexp_extract(text, r"\b(20[2-4]\d)\b", 1), F.lit(""))
-
-    def named(season: Column, year: Column) -> Column:
-        return F.when(season != "", F.concat_ws(" ", F.when(F.lower(season) == "autumn", F.lit("Fall")).otherwise(F.initcap(season)), year))
-
-    return F.coalesce(named(*first), named(*second), bare)
+    found = []
+    for text in map(_nfkd, texts):
+        first = [F.regexp_extract(text, rf"(?i)\b{names}{gap}(20\d{{2}})\b", i) for i in (1, 2)]
+        second = [F.regexp_extract(text, rf"(?i)\b(20\d{{2}}){gap}{names}\b", i) for i in (2, 1)]
+        for season, year in (first, second):
+            found.append(F.when(season != "", F.concat_ws(" ", F.when(F.lower(season) == "autumn", F.lit("Fall")).otherwise(F.initcap(season)), year)))
+        found.append(F.nullif(F.regexp_extract(text, r"\b(20[2-4]\d)\b", 1), F.lit("")))
+    return F.coalesce(*found)
 
 
 def epoch_timestamp(c: Column) -> Column:
@@ -166,9 +183,14 @@ def clamped(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def literal(text: str) -> str:
+    """A pattern for just this text."""
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
 def has_phrase(text: Column, phrase: str) -> Column:
     """The phrase with no letter or digit beside it."""
-    return F.coalesce(text.rlike(r"(?i)(?<![a-z0-9])\Q" + phrase + r"\E(?![a-z0-9])"), F.lit(False))
+    return F.coalesce(text.rlike(r"(?i)(?<![a-z0-9])" + literal(phrase) + "(?![a-z0-9])"), F.lit(False))
 
 
 def shortened(c: Column, n: int) -> Column:

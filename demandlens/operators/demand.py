@@ -43,13 +43,15 @@ def with_skill_status(histogram: DataFrame, skills: DataFrame, status: DataFrame
 
 def gap_totals(postings: DataFrame, requirements: DataFrame, cfg: ReportConfig, version: DataFrame | None = None) -> DataFrame:
     """One row: eligible postings, their requirements, mapped and unmapped, and the evidence version (0 if none)."""
-    counts = eligible_requirements(postings, requirements, cfg).agg(
-        F.count(F.lit(1)).alias("total_requirement_count"), F.count("skill_id").alias("mapped_requirement_count"), F.count_if(F.col("skill_id").isNull()).alias("unmapped_requirement_count")
+    # requirements are counted by posting first, so that one pass over the eligible postings gives both numbers
+    per_posting = requirements.groupBy("posting_id").agg(F.count(F.lit(1)).alias("n"), F.count("skill_id").alias("mapped"))
+    counted = eligible(postings, cfg).select(F.col("id").alias("posting_id")).join(per_posting, "posting_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = counted.agg(
+        F.count(F.lit(1)).alias("eligible_posting_count"), total("n").alias("total_requirement_count"), total("mapped").alias("mapped_requirement_count"), (total("n") - total("mapped")).alias("unmapped_requirement_count")
     )
-    number = eligible(postings, cfg).agg(F.count(F.lit(1)).alias("eligible_posting_count"))
     own = (version if version is not None else postings.sparkSession.range(0).withColumnRenamed("id", "version")).agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("evidence_version"))
-    return number.crossJoin(counts).crossJoin(own)  # one row each
-
+    return counts.crossJoin(own)  # one row each
 
 
 def gap_order() -> list[Column]:

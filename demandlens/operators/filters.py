@@ -34,6 +34,7 @@ def eligible(postings: DataFrame, cfg: ReportConfig) -> DataFrame:
 
 
 def sponsorship_class(c: Column) -> Column:
+    # The phrases of each class.
     norm = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
     return (
         F.when(norm == "", "unknown")

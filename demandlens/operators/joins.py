@@ -129,7 +129,7 @@ def robots_allow(urls: DataFrame, rules: DataFrame) -> DataFrame:
     '*' stands for any characters and a final '$' for the end. The join is by host; the pattern is a residual test.
     """
     bare = F.regexp_replace("pattern", r"\$$", "")
-    regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split(bare, r"\*"), lambda p: F.when(p == "", p).otherwise(F.concat(F.lit(r"\Q"), p, F.lit(r"\E")))), ".*"), F.when(F.endswith("pattern", F.lit("$")), F.lit("$")).otherwise(F.lit("")))
+    regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split(bare, r"\*"), lambda p: F.when(p == "", p).otherwise(F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))), ".*"), F.when(F.endswith("pattern", F.lit("$")), F.lit("$")).otherwise(F.lit("")))
     ready = rules.select("host", "allow", F.length("pattern").alias("n"), regex.alias("regex"))
     asked = urls.withColumn("path", F.when(F.coalesce("path", F.lit("")) == "", "/").otherwise(F.col("path")))
     hits = asked.join(ready, "host").where("path rlike regex")

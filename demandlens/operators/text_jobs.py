@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,10 @@ from ..functions.columns import clamped, inline_collapsed, ranked, taxonomy_fold
 
 # ---------------------------------------------------------------- chunks of Markdown
 
-_FENCE = re.compile(r"^\s*(```|~~~)")
-_HEADING = re.compile(r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
-_BULLET = re.compile(r"^(\s*)(?:[-*+]|\d+[.)])\s+\S")
+# What headings, list items, code fences and ends of sentences look like.
+_FENCE = re.compile(r"\s*(```|~~~)")
+_HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$")
+_BULLET = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+\S")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -26,44 +29,35 @@ def _size(text: str) -> int:
     return max(1, -(-len(text) // 4)) if text else 0
 
 
-def markdown_blocks(text: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, text, indent) of headings, fenced code, list items with what is indented below them, and paragraphs."""
-    lines, i = re.sub("\r\n?", "\n", text).split("\n"), 0
-    while i < len(lines):
-        line = lines[i]
-        start = i
-        if m := _FENCE.match(line):
-            i += 1
-            while i < len(lines) and not lines[i].strip().startswith(m[1]):
-                i += 1
-            i = min(i + 1, len(lines))
-            yield "code", "\n".join(lines[start:i]), 0
-        elif m := _HEADING.match(line):
-            i += 1
-            yield "heading", line.strip(), 0
-        elif not line.strip():
-            i += 1
-        elif m := _BULLET.match(line):
-            indent = len(m[1])
-            i += 1
-            while i < len(lines):
-                below = lines[i]
-                if not below.strip():  # an item goes on after empty lines only if what follows is indented further
-                    j = next((k for k in range(i, len(lines)) if lines[k].strip()), len(lines))
-                    if j == len(lines) or len(lines[j]) - len(lines[j].lstrip()) <= indent or _HEADING.match(lines[j]):
-                        break
-                    i = j
-                    continue
-                own = len(below) - len(below.lstrip())
-                if _HEADING.match(below) or (own <= indent and (_BULLET.match(below) or _FENCE.match(below))):
-                    break
-                i += 1
-            yield "bullet", "\n".join(x.rstrip() for x in lines[start:i]).rstrip(), indent
+def markdown_blocks(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, text) of headings, fenced code, list items with what is below them, and paragraphs.
+
+    One pass over the lines: each either goes on with the open block or ends it and opens the next. Code goes on to its
+    closing fence; an item to an empty line, a heading, or an item or fence that is indented no further; a paragraph to anything else.
+    """
+    kind, held, indent, fence = "", [], 0, ""
+    for line in [*re.sub("\r\n?", "\n", text).split("\n"), None]:
+        if line is None:  # the end of the text
+            opens = ""
+        elif kind == "code":
+            held.append(line)
+            if not line.strip().startswith(fence):
+                continue
+            opens, line = "", None
         else:
-            i += 1
-            while i < len(lines) and lines[i].strip() and not (_HEADING.match(lines[i]) or _BULLET.match(lines[i]) or _FENCE.match(lines[i])):
-                i += 1
-            yield "paragraph", "\n".join(x.rstrip() for x in lines[start:i]), 0
+            mark = _FENCE.match(line)
+            opens = "code" if mark else "heading" if _HEADING.match(line) else "bullet" if _BULLET.match(line) else "paragraph" if line.strip() else ""
+            deep = len(line) - len(line.lstrip(" "))
+            if (kind == "bullet" and (opens == "paragraph" or opens in ("bullet", "code") and deep > indent)) or (kind == opens == "paragraph"):
+                held.append(line.rstrip())
+                continue
+        if kind:
+            yield kind, "\n".join(held)
+        kind, held = opens, [line if opens == "code" else line.rstrip()] if opens else []
+        if opens == "heading":
+            held = [line.strip()]
+        elif opens:
+            indent, fence = deep, mark[1] if mark else ""
 
 
 def _gathered(parts: list[str], limit: int) -> list[str]:
@@ -84,11 +78,35 @@ def _sentences(text: str, limit: int) -> list[str]:
     return _gathered(atoms, limit) or [text]
 
 
-def _joined(units: list[tuple[str, str]]) -> str:
-    out = units[0][1]
-    for (before, _), (kind, text) in zip(units, units[1:]):
-        out += ("\n" if before == kind == "bullet" else "\n\n") + text
-    return out
+class _Piece(NamedTuple):
+    """Text of one or more blocks, whether it begins and ends with a list item, and the tokens of its blocks."""
+
+    text: str
+    first: bool
+    last: bool
+    tokens: int
+
+    def then(self, other: _Piece) -> _Piece:
+        return _Piece(self.text + ("\n" if self.last and other.first else "\n\n") + other.text, self.first, other.last, self.tokens + other.tokens)
+
+
+def _packed(pieces: Iterable[_Piece], smallest: int, largest: int) -> list[str]:
+    """Pieces of a section as chunks: each takes in what follows up to ``largest`` tokens; once it is full it joins the chunk
+    before it if one of the two is under ``smallest`` and both fit in one."""
+    chunks: list[_Piece] = []
+    full = None
+    for piece in [*pieces, None]:
+        if full and piece and full.tokens + piece.tokens <= largest:
+            full = full.then(piece)
+            continue
+        if full:
+            sizes = [_size(chunks[-1].text), _size(full.text)] if chunks else []
+            if sizes and min(sizes) < smallest and sum(sizes) <= largest:
+                chunks[-1] = chunks[-1].then(full)
+            else:
+                chunks.append(full)
+        full = piece
+    return [c.text for c in chunks]
 
 
 def markdown_chunks(text: str, smallest: int = 200, largest: int = 500) -> list[tuple[str | None, str]]:
@@ -99,35 +117,17 @@ def markdown_chunks(text: str, smallest: int = 200, largest: int = 500) -> list[
     """
     if smallest > largest:
         raise ValueError("smallest must not exceed largest")
-    sections: list[tuple[str | None, list[tuple[str, str]]]] = [(None, [])]
-    for kind, block, _ in markdown_blocks(text):
+    sections: list[tuple[str | None, list[_Piece]]] = [(None, [])]
+    for kind, block in markdown_blocks(text):
         if kind == "heading":
             sections.append((block, []))
         elif block.strip():
             parts = _sentences(block, largest * 4) if kind == "paragraph" and _size(block) > largest else [block]
-            sections[-1][1].extend((kind, p) for p in parts)
+            sections[-1][1].extend(_Piece(p, kind == "bullet", kind == "bullet", _size(p)) for p in parts)
     out: list[tuple[str | None, str]] = []
-    for heading, units in sections:
-        packed: list[list[tuple[str, str]]] = []
-        held = 0
-        for unit in units:
-            n = _size(unit[1])
-            if packed and held + n <= largest:
-                packed[-1].append(unit)
-                held += n
-            else:
-                packed.append([unit])
-                held = n
-        merged: list[list[tuple[str, str]]] = []
-        for group in packed:
-            if merged:
-                a, b = _size(_joined(merged[-1])), _size(_joined(group))
-                if min(a, b) < smallest and a + b <= largest:
-                    merged[-1] = merged[-1] + group
-                    continue
-            merged.append(group)
-        title = _HEADING.match(heading)[2].strip() or None if heading else None
-        out += [(title, f"{heading}\n\n{_joined(g)}" if heading else _joined(g)) for g in merged]
+    for heading, pieces in sections:
+        title = _HEADING.match(heading + " ")[2].strip() or None if heading else None
+        out += [(title, f"{heading}\n\n{chunk}" if heading else chunk) for chunk in _packed(pieces, smallest, largest)]
     return out
 
 
@@ -147,31 +147,76 @@ def chunk_documents(docs: DataFrame, smallest: int = 200, largest: int = 500) ->
 # ---------------------------------------------------------------- hashed embeddings
 
 
-def embedding_terms(c: Column) -> Column:
-    """Words [a-z0-9+#.]+ of the lower-cased text and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9+#.]+)"), F.lit(1))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+_WORD = re.compile(r"[a-z0-9+#.]+")
+
+
+def _md5(term: str) -> tuple[int, bool]:
+    """A term's number and whether its sign is plus, as SQL can compute them: the first 32 bits of the MD5 and the next hexadecimal digit."""
+    h = hashlib.md5(term.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(h[:4], "big"), h[4] & 16 == 0
+
+
+def _blake2b(term: str) -> tuple[int, bool]:
+    """First four bytes of the 64-bit BLAKE2b for the number, lowest bit of the fifth for plus."""
+    h = hashlib.blake2b(term.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big"), h[4] & 1 == 1
+
+
+class _Slots(dict):
+    """Slot and sign of terms, as 2 * slot + (1 for plus); what was asked before is kept up to a limit."""
+
+    def __init__(self, digest: Callable[[str], tuple[int, bool]], dim: int, limit: int = 500_000):
+        super().__init__()
+        self.digest, self.dim, self.limit = digest, dim, limit
+
+    def __missing__(self, term: str) -> int:
+        number, plus = self.digest(term)
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[term] = number % self.dim * 2 + plus
+        return out
+
+    def sums(self, text: str, between: str) -> np.ndarray:
+        """Signed counts by slot of the words of a lower-cased text and of its neighbouring words joined by ``between``."""
+        words = _WORD.findall(text.lower())
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        pairs = np.fromiter((self[f"{a}{between}{b}"] for a, b in zip(words, words[1:])), np.int64, max(0, len(words) - 1))
+        both = np.bincount(np.concatenate([codes, pairs]), minlength=2 * self.dim).reshape(-1, 2)
+        return both[:, 1] - both[:, 0]
 
 
 def sparse_embeddings(df: DataFrame, id_col: str, text_col: str, dim: int = 1536) -> DataFrame:
-    """id, slot, weight of the signed hashes of a text's terms, of length 1: slot and sign come from the term's MD5. Equal slots add up map-side."""
-    terms = df.select(id_col, F.explode(embedding_terms(F.col(text_col))).alias("term")).withColumn("h", F.md5(F.col("term").cast("binary")))
-    number = lambda a, n: F.conv(F.substring("h", a, n), 16, 10).cast("long")
-    sums = terms.groupBy(id_col, (number(1, 8) % dim).alias("slot")).agg(F.sum(F.when(number(9, 1) % 2 == 0, 1).otherwise(-1)).alias("v")).where("v <> 0")
-    length = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    return sums.join(length, id_col).select(id_col, "slot", (F.col("v") / F.col("length")).alias("weight"))
+    """id, slot, weight of the signed hashes (MD5) of a text's words and pairs of words, of length 1. A text's terms are all in its row, so
+    nothing is shuffled; null texts and those without a word give no rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots(_md5, dim)
+        for batch in batches:
+            rows, own, weights, size = [], [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                sums = slots.sums(text.as_py() or "", " ")
+                at = np.flatnonzero(sums)
+                rows.append(np.full(len(at), i))
+                own.append(at)
+                weights.append(sums[at] / np.sqrt((sums[at] ** 2).sum()) if len(at) else sums[at].astype(float))
+                size += len(at)
+                if size > 200_000 or i == batch.num_rows - 1:
+                    ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(own).astype(np.int64)), pa.array(np.concatenate(weights))], [id_col, "slot", "weight"])
+                    rows, own, weights, size = [], [], [], 0
+
+    return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.select(id_col).schema[0], T.StructField("slot", T.LongType()), T.StructField("weight", T.DoubleType())]))
+
+
+def hashed_vectors(dim: int = 1536) -> Callable[[str], np.ndarray]:
+    """A provider: sums of signs by slot (BLAKE2b, pairs joined without a blank), then unit length; zeros for a text without words."""
+    slots = _Slots(_blake2b, dim)
 
-def hashed_vector(text: str, dim: int = 1536) -> list[float]:
-    """Dense form with keyed hashes: sums of signs by slot, then unit length; zeros for a text without words."""
-    words = re.findall(r"[a-z0-9+#.]+", text.lower())
-    out = np.zeros(dim)
-    for term in [*words, *(" ".join(p) for p in zip(words, words[1:]))]:
-        h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big")
-        out[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
-    length = np.linalg.norm(out)
-    return (out / length if length else out).tolist()
+    def vector(text: str) -> np.ndarray:
+        sums = slots.sums(text, "").astype(float)
+        return sums / max(1e-300, np.sqrt((sums * sums).sum())) if sums.any() else sums
+
+    return vector
 
 
 def fitted(values: Column, dim: int) -> Column:
@@ -179,84 +224,124 @@ def fitted(values: Column, dim: int) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(0.0).cast("double"), F.greatest(F.lit(0), dim - F.size(values)))), 1, dim)
 
 
-def embed(df: DataFrame, text_col: str, provider=hashed_vector, dim: int = 1536) -> DataFrame:
-    """All columns and ``embedding`` of the text by any ``provider(text) -> list of float``; distinct texts are embedded once and joined back."""
+def embed(df: DataFrame, text_col: str, provider: Callable[[], Callable[[str], Sequence[float]]] = hashed_vectors, dim: int = 1536) -> DataFrame:
+    """All columns and ``embedding`` of the text, cut or padded to ``dim``. ``provider`` is called once a task and gives the function from a
+    text to its vector. One pass without a shuffle; null texts count as empty."""
+    at = df.columns.index(text_col)
+    kind = T.ArrayType(T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([provider(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["_key", "embedding"])
+        vector = provider()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                made = [np.asarray(vector(t.as_py() or ""), dtype=float) for t in batch.column(at)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "embedding"])
 
-    keyed = df.withColumn("_key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    made = keyed.select("_key", text_col).dropDuplicates(["_key"]).mapInArrow(run, "_key string, embedding array<double>")
-    return keyed.join(made.withColumn("embedding", fitted(F.col("embedding"), dim)), "_key").drop("_key")
+    made = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", kind)]))
+    return made.withColumn("embedding", fitted(F.col("embedding"), dim))
 
 
 # ---------------------------------------------------------------- resolution of spans
 
 
-def vocabulary_hits(spans: DataFrame, aliases: DataFrame, guards: DataFrame, longest: int = 6, normalize=taxonomy_folded) -> DataFrame:
+#: A vocabulary of no more phrases goes to every task; a larger one meets the token runs by a shuffle.
+BROADCAST_PHRASES = 200_000
+
+
+def vocabulary_hits(spans: DataFrame, aliases: DataFrame, guards: DataFrame, normalize=taxonomy_folded) -> DataFrame:
     """span_id, hits: the leftmost longest aliases that don't overlap (start, stop, skill_id) in a span's tokens.
 
-    Token runs of up to ``longest`` meet aliases (alias_norm, skill_id) and guards (phrase) by equality. Tokens under a guard phrase match nothing. Candidates are
-    folded in order of start and length. Of several owners of an alias the smallest counts.
+    Token runs as long as phrases are meet aliases (alias_norm, skill_id) and guards (phrase) by equality. Tokens under a guard phrase match nothing. Candidates are
+    folded in order of start and length. Of several owners of an alias the smallest counts. Only hits are shuffled where the
+    vocabulary is small enough to be sent; its number of phrases and the length of its longest one are counted first.
     """
-    tokens = F.split(normalize(F.col("text")), " ")
-    words = spans.select("span_id", tokens.alias("w"))
-    runs = words.select("span_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("run")))))).alias("r")).select("span_id", "r.*").where("run <> ''")
     known = aliases.groupBy(F.col("alias_norm").alias("run")).agg(F.min("skill_id").alias("skill_id")).withColumn("guard", F.lit(False))
-    marked = known.unionByName(guards.select(F.col("phrase").alias("run"), F.lit(None).cast(known.schema["skill_id"].dataType).alias("skill_id"), F.lit(True).alias("guard")))
-    found = runs.join(marked, "run").groupBy("span_id").agg(
-        F.collect_list(F.when(F.col("guard"), F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("masks"),
-        F.array_sort(F.collect_list(F.when(~F.col("guard"), F.struct("start", (-F.col("n")).alias("less"), (F.col("start") + F.col("n")).alias("stop"), "skill_id")))).alias("all"),
-    )
-    free = F.expr("filter(all, x -> not exists(masks, m -> m.start < x.stop and x.start < m.stop))")
-    fold = F.expr("aggregate(free, cast(array() as array<struct<start:int,stop:int,skill_id:bigint>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.start < element_at(acc, -1).stop THEN acc ELSE concat(acc, array(named_struct('start', x.start, 'stop', x.stop, 'skill_id', cast(x.skill_id as bigint)))) END)")
-    return found.withColumn("free", free).select("span_id", fold.alias("hits")).where("size(hits) > 0")
-
-
-def resolve(spans: DataFrame, aliases: DataFrame, guards: DataFrame, longest: int = 6) -> DataFrame:
+    marked = known.unionByName(guards.select(F.col("phrase").alias("run"), F.lit(None).cast(known.schema["skill_id"].dataType).alias("skill_id"), F.lit(True).alias("guard"))).where("run <> ''")
+    phrases, longest = marked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(1))).first()
+    words = spans.select("span_id", F.split(normalize(F.col("text")), " ").alias("w"))
+    placed = words.select("span_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start")).select("span_id", "start", F.expr(f"slice(w, start + 1, {longest})").alias("w"))
+    runs = placed.select("span_id", "start", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n")).select("span_id", "start", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("run"))
+    found = runs.join(F.broadcast(marked) if phrases <= BROADCAST_PHRASES else marked, "run").withColumn("stop", F.col("start") + F.col("n"))
+    own = Window.partitionBy("span_id")
+    upto, beyond = own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0), own.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    guarded = found.withColumn("under", F.max(F.when(F.col("guard"), F.col("stop"))).over(upto)).withColumn("next", F.min(F.when(F.col("guard"), F.col("start"))).over(beyond))
+    free = guarded.where("not guard and not coalesce(under > start, false) and not coalesce(next < stop, false)")
+    # the longest one of those that begin together; chains of overlapping ones are then taken from left to right
+    best = free.groupBy("span_id", "start").agg(F.max_by(F.struct("stop", "skill_id"), "stop").alias("x")).select("span_id", "start", "x.*")
+    before = own.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    chained = best.withColumn("fresh", (F.col("start") >= F.coalesce(F.max("stop").over(before), F.lit(0))).cast("int")).withColumn("chain", F.sum("fresh").over(own.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    chains = chained.groupBy("span_id", "chain").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.col("skill_id").cast("long").alias("skill_id")))).alias("all"))
+    taken = F.expr("aggregate(all, cast(array() as array<struct<start:int,stop:int,skill_id:bigint>>), (acc, x) -> CASE WHEN size(acc) > 0 AND x.start < element_at(acc, -1).stop THEN acc ELSE concat(acc, array(x)) END)")
+    return chains.select("span_id", taken.alias("taken")).groupBy("span_id").agg(F.flatten(F.array_sort(F.collect_list("taken"))).alias("hits"))
+
+
+def resolve(spans: DataFrame, aliases: DataFrame, guards: DataFrame) -> DataFrame:
     """span_id and the skill of its first hit, null without one. Any function of this shape can take its place (J2)."""
-    hits = vocabulary_hits(spans, aliases, guards, longest)
+    hits = vocabulary_hits(spans, aliases, guards)
     return spans.select("span_id").join(hits.select("span_id", F.col("hits")[0]["skill_id"].alias("skill_id")), "span_id", "left")
 
 
 # ---------------------------------------------------------------- verbatim spans
 
 # Typographic characters and their plain forms; characters that count for nothing.
-_PLAIN = dict(zip("‘’‛′“”‟″‐‑‒–—−", "''''\"\"\"\"------")) | {"…": "..."}
-_NOTHING = frozenset("​‌‍﻿­")
-
-
-def plain_form(text: str) -> tuple[str, list[int]]:
-    """The text with plain punctuation and single blanks, and for each of its characters the place in the original."""
-    out, places, gap = [], [], False
-    for i, c in enumerate(text):
-        if c in _NOTHING:
-            continue
-        if c.isspace():
-            gap = bool(out)
-            continue
-        if gap:
-            out.append(" ")
-            places.append(i)
-            gap = False
-        for p in _PLAIN.get(c, c):
-            out.append(p)
-            places.append(i)
-    return "".join(out), places
-
-
-def verbatim_span(text: str, form: tuple[str, list[int]], span: str) -> str | None:
-    """The original characters where the span stands in the text, as written or in another case; None if it doesn't."""
-    plain, places = form
-    wanted = plain_form(span)[0]
-    if not wanted:
-        return None
-    at = plain.find(wanted)
-    if at < 0 and len(plain.lower()) == len(plain) and len(wanted.lower()) == len(wanted):
-        at = plain.lower().find(wanted.lower())
-    return None if at < 0 else text[places[at] : places[at + len(wanted) - 1] + 1].strip()
+_PLAIN = {
+    "\u2018": "'",
+    "\u2019": "'",
+    "\u201b": "'",
+    "\u2032": "'",
+    "\u201c": '"',
+    "\u201d": '"',
+    "\u201f": '"',
+    "\u2033": '"',
+    "\u2010": "-",
+    "\u2011": "-",
+    "\u2012": "-",
+    "\u2013": "-",
+    "\u2014": "-",
+    "\u2212": "-",
+    "\u2026": "...",
+}
+_NOTHING = "\u200b\u200c\u200d\ufeff\u00ad"
+_UNPLAIN = re.compile(rf"[\s{_NOTHING}]+|[{''.join(_PLAIN)}]")
+
+
+class PlainForm:
+    """A text with plain punctuation and single blanks. What was replaced is known by where it begins in both forms; between
+    two such places both run alike."""
+
+    def __init__(self, text: str):
+        self.text = text
+        parts, self.own, self.original, at, length = [], [0], [0], 0, 0
+        for m in _UNPLAIN.finditer(text):
+            stretch, run = text[at : m.start()], m[0]
+            new = _PLAIN.get(run)
+            if new is None:  # a blank, if there is one in the run and text on both sides
+                new = " " if run.strip(_NOTHING) and (length or stretch) and m.end() < len(text) else ""
+            parts += [stretch, new]
+            length += len(stretch)
+            self.own += [length, length + len(new)]
+            self.original += [m.start(), m.end()]
+            length += len(new)
+            at = m.end()
+        self.plain = "".join(parts) + text[at:]
+
+    def place(self, i: int) -> int:
+        """Where the i-th plain character stands in the text."""
+        k = bisect_right(self.own, i) - 1
+        replaced = k % 2 == 1  # stretches begin at even places, what was put in at odd ones
+        return self.original[k] + (0 if replaced else i - self.own[k])
+
+    def find(self, span: str) -> str | None:
+        """The original characters where the span stands, as written or in another case; None if it doesn't."""
+        wanted = PlainForm(span).plain
+        if not wanted:
+            return None
+        at = self.plain.find(wanted)
+        if at < 0 and len(self.plain.lower()) == len(self.plain) and len(wanted.lower()) == len(wanted):
+            at = self.plain.lower().find(wanted.lower())
+        return None if at < 0 else self.text[self.place(at) : self.place(at + len(wanted) - 1) + 1].strip()
 
 
 def verify_spans(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -270,8 +355,8 @@ def verify_spans(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
         for batch in batches:
             found = []
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                form = plain_form(text or "")
-                found.append([verbatim_span(text or "", form, r["raw_text"] or "") for r in rows])
+                form = PlainForm(text or "")
+                found.append([form.find(r["raw_text"] or "") for r in rows])
             flat = batch.column(1).flatten()
             yield pa.RecordBatch.from_arrays([*flat.flatten(), pa.array([v for vs in found for v in vs], pa.string())], [*columns, "verbatim"])
 

@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 
 class Tables:
-    """Lazily read tables of one folder; columns and rows are pruned by the queries that use them."""
-
-    #: Whether queries run over all rows and whole texts; those that are compared with SQL keep the bounds of their SQL.
-    whole = False
+    """Lazily read tables of one folder, all rows of them; columns are pruned by the queries that use them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -20,14 +17,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def bounded(self, name: str, bound: str) -> DataFrame:
-        """The rows that the SQL reads, or all."""
-        return self.read(name) if self.whole else self.read(name).where(bound)
-
-    @property
-    def skill_of_line(self) -> str:
-        return f"CASE WHEN l_partkey % 8 <> 0 THEN l_partkey{'' if self.whole else ' % 229'} END AS skill_id"
-
     @cached_property
     def posting(self) -> DataFrame:
         orders, customer, nation, region = (self.read(n) for n in ("orders", "customer", "nation", "region"))
@@ -67,7 +56,7 @@ class Tables:
         return self.read("lineitem").selectExpr(
             "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id",
             "l_orderkey AS posting_id",
-            self.skill_of_line,
+            "CASE WHEN l_partkey % 8 <> 0 THEN l_partkey END AS skill_id",
             "concat('Experience with part ', l_partkey % 500) AS raw_text",
             "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END AS importance",
             "round(1 - l_discount, 3) AS confidence",
@@ -76,17 +65,17 @@ class Tables:
 
     @cached_property
     def skill(self) -> DataFrame:
-        return self.bounded("part", "p_partkey < 229").selectExpr("p_partkey AS id", "concat(p_name, ' ', p_partkey) AS name", "p_type AS category", "p_size % 7 <> 0 AS is_actionable")
+        return self.read("part").selectExpr("p_partkey AS id", "concat(p_name, ' ', p_partkey) AS name", "p_type AS category", "p_size % 7 <> 0 AS is_actionable")
 
     @cached_property
     def skill_alias(self) -> DataFrame:
-        part = self.bounded("part", "p_partkey < 229")
+        part = self.read("part")
         return part.selectExpr("p_partkey AS skill_id", "concat(p_name, ' ', p_partkey) AS alias").union(part.selectExpr("p_partkey", "concat(p_brand, ' ', p_partkey % 200)"))
 
     @cached_property
     def matches(self) -> DataFrame:
         return (
-            self.bounded("orders", "o_orderkey % 50 = 0")
+            self.read("orders")
             .selectExpr(
                 "o_orderkey AS id", "o_orderkey - o_orderkey % 100 AS posting_id", "o_orderkey % 4 = 0 AS is_stale", "o_orderdate AS computed_at", "1 + o_orderkey % 3 AS evidence_version",
                 "concat('v', o_orderkey % 2) AS prompt_version", "round(o_totalprice / 500000, 4) AS score", "CASE WHEN o_orderkey % 3 = 0 THEN 'strong' ELSE 'stretch' END AS verdict",
@@ -97,9 +86,9 @@ class Tables:
     def citation(self) -> DataFrame:
         status = "CASE WHEN l_quantity >= 49 THEN 'evidenced' WHEN l_quantity >= 45 THEN 'weak' ELSE 'absent' END"
         return (
-            self.bounded("lineitem", "l_orderkey % 50 = 0")
+            self.read("lineitem")
             .selectExpr(
-                "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id", "l_orderkey AS match_id", self.skill_of_line,
+                "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber AS id", "l_orderkey AS match_id", "CASE WHEN l_partkey % 8 <> 0 THEN l_partkey END AS skill_id",
                 f"{status} AS status", f"CASE WHEN {status} <> 'absent' THEN l_partkey % 500 END AS chunk_id",
                 "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END AS importance",
             )
@@ -107,13 +96,13 @@ class Tables:
 
     @cached_property
     def chunk(self) -> DataFrame:
-        return self.bounded("embeddings", "vec_id % 5 <> 0").selectExpr("vec_id AS id", "embedding", "label", "vec_id % 11 = 0 AS deleted")
+        return self.read("embeddings").selectExpr("vec_id AS id", "embedding", "label", "vec_id % 11 = 0 AS deleted")
 
     @cached_property
     def query_vec(self) -> DataFrame:
-        """In the whole form ids divisible by 20, as a stated query set against all rows."""
-        return self.read("embeddings").where(f"vec_id % {20 if self.whole else 5} = 0").selectExpr(
-            "vec_id AS id", f"{'vec_id div 20' if self.whole else 'vec_id'} % 40 AS posting_id", "embedding", "label", "CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance"
+        """Ids divisible by 20: the stated query set against all rows."""
+        return self.read("embeddings").where("vec_id % 20 = 0").selectExpr(
+            "vec_id AS id", "vec_id div 20 % 40 AS posting_id", "embedding", "label", "CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance"
         )
 
     @cached_property
@@ -125,7 +114,7 @@ class Tables:
 
     @cached_property
     def shortlist(self) -> DataFrame:
-        return self.bounded("orders", "o_orderkey % 40 = 0").selectExpr(
+        return self.read("orders").selectExpr(
             "concat('run-', cast(o_orderkey / 40 AS long) % 3) AS run_id", "o_orderkey AS posting_id", "round(o_totalprice / 600000, 5) AS coarse_score", "o_orderdate AS created_at"
         )
 
@@ -138,12 +127,6 @@ class Tables:
         )
 
 
-class WholeTables(Tables):
-    """The tables of the queries named ..._whole: no row and no text is cut."""
-
-    whole = True
-
-
 _STATUS = "CASE WHEN l_quantity >= 49 THEN 'evidenced' WHEN l_quantity >= 45 THEN 'weak' ELSE 'absent' END"
 _ROW = "((l_orderkey * 20011 + l_partkey) * 1009 + l_suppkey) * 8 + l_linenumber"
 _IMPORTANCE = "CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' ELSE 'mentioned' END"
@@ -167,25 +150,25 @@ VIEWS = {
         CASE WHEN o_orderkey % 6 < 3 AND o_orderkey % 900 > 0 THEN 'Text of posting ' || o_orderkey END AS raw_text
       FROM orders WHERE o_orderkey % 7 <> 0""",
     "requirement": f"""
-      SELECT {_ROW} AS id, l_orderkey AS posting_id, CASE WHEN l_partkey % 8 <> 0 THEN l_partkey % 229 END AS skill_id,
+      SELECT {_ROW} AS id, l_orderkey AS posting_id, CASE WHEN l_partkey % 8 <> 0 THEN l_partkey END AS skill_id,
         'Experience with part ' || (l_partkey % 500) AS raw_text, {_IMPORTANCE} AS importance, round(1 - l_discount, 3) AS confidence, l_quantity AS quantity FROM lineitem""",
-    "skill": "SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, p_type AS category, p_size % 7 <> 0 AS is_actionable FROM part WHERE p_partkey < 229",
+    "skill": "SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, p_type AS category, p_size % 7 <> 0 AS is_actionable FROM part",
     "skill_alias": """
-      SELECT p_partkey AS skill_id, p_name || ' ' || p_partkey AS alias FROM part WHERE p_partkey < 229
-      UNION ALL SELECT p_partkey, p_brand || ' ' || (p_partkey % 200) FROM part WHERE p_partkey < 229""",
+      SELECT p_partkey AS skill_id, p_name || ' ' || p_partkey AS alias FROM part
+      UNION ALL SELECT p_partkey, p_brand || ' ' || (p_partkey % 200) FROM part""",
     "matches": """
       SELECT o_orderkey AS id, o_orderkey - o_orderkey % 100 AS posting_id, o_orderkey % 4 = 0 AS is_stale, o_orderdate AS computed_at, 1 + o_orderkey % 3 AS evidence_version,
         'v' || (o_orderkey % 2) AS prompt_version, round(o_totalprice / 500000, 4) AS score, CASE WHEN o_orderkey % 3 = 0 THEN 'strong' ELSE 'stretch' END AS verdict
-      FROM orders WHERE o_orderkey % 50 = 0""",
+      FROM orders""",
     "citation": f"""
-      SELECT {_ROW} AS id, l_orderkey AS match_id, CASE WHEN l_partkey % 8 <> 0 THEN l_partkey % 229 END AS skill_id, {_STATUS} AS status,
-        CASE WHEN {_STATUS} <> 'absent' THEN l_partkey % 500 END AS chunk_id, {_IMPORTANCE} AS importance FROM lineitem WHERE l_orderkey % 50 = 0""",
-    "chunk": "SELECT vec_id AS id, embedding, label, vec_id % 11 = 0 AS deleted FROM embeddings WHERE vec_id % 5 <> 0",
-    "query_vec": "SELECT vec_id AS id, vec_id % 40 AS posting_id, embedding, label, CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance FROM embeddings WHERE vec_id % 5 = 0",
+      SELECT {_ROW} AS id, l_orderkey AS match_id, CASE WHEN l_partkey % 8 <> 0 THEN l_partkey END AS skill_id, {_STATUS} AS status,
+        CASE WHEN {_STATUS} <> 'absent' THEN l_partkey % 500 END AS chunk_id, {_IMPORTANCE} AS importance FROM lineitem""",
+    "chunk": "SELECT vec_id AS id, embedding, label, vec_id % 11 = 0 AS deleted FROM embeddings",
+    "query_vec": "SELECT vec_id AS id, vec_id // 20 % 40 AS posting_id, embedding, label, CASE vec_id % 3 WHEN 0 THEN 'required' WHEN 1 THEN 'preferred' ELSE 'mentioned' END AS importance FROM embeddings WHERE vec_id % 20 = 0",
     "run_metric": """
       SELECT event_id AS id, 'run-' || (user_id % 7) AS run_id, event_type AS stage, CASE event_id % 4 WHEN 0 THEN 'cost_usd' WHEN 1 THEN 'tokens' WHEN 2 THEN 'cache_hit' ELSE 'calls' END AS metric,
         CASE WHEN event_id % 4 = 2 THEN CAST(event_id % 3 = 0 AS INT) ELSE value END AS value, ts AS recorded_at, props AS labels FROM events""",
-    "shortlist": "SELECT 'run-' || ((o_orderkey // 40) % 3) AS run_id, o_orderkey AS posting_id, round(o_totalprice / 600000, 5) AS coarse_score, o_orderdate AS created_at FROM orders WHERE o_orderkey % 40 = 0",
+    "shortlist": "SELECT 'run-' || ((o_orderkey // 40) % 3) AS run_id, o_orderkey AS posting_id, round(o_totalprice / 600000, 5) AS coarse_score, o_orderdate AS created_at FROM orders",
     "fetch_log": """
       SELECT event_id AS id, user_id AS posting_id, 'host' || (user_id % 20) || '.example.com' AS host, ts AS at, value AS seconds,
         CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 200 WHEN 'click' THEN 404 WHEN 'view' THEN 429 ELSE 403 END AS http_status,

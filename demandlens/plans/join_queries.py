@@ -74,12 +74,11 @@ def _contributions(t):
     "d14_coarse_score",
     f"""SELECT p.id AS posting_id, round(0.9 * CASE WHEN base IS NULL THEN 0.85 * (p.id % 100) / 100.0 ELSE least(1.0, base) END + CASE WHEN len(locations) = 2 AND locations[2] IN ('ASIA', 'AMERICA') THEN 0.1 ELSE 0 END, 5) AS score,
          CAST(coalesce(n, 0) AS BIGINT) AS n_requirements, base IS NULL AS low_confidence
-       FROM posting p LEFT JOIN (SELECT posting_id, sum(contribution) / count(*) AS base, count(*) AS n FROM ({_SCORED}) GROUP BY posting_id) s ON s.posting_id = p.id WHERE p.id < 2000""",
+       FROM posting p LEFT JOIN (SELECT posting_id, sum(contribution) / count(*) AS base, count(*) AS n FROM ({_SCORED}) GROUP BY posting_id) s ON s.posting_id = p.id""",
 )
 def d14(t):
-    postings = t.posting if t.whole else t.posting.where("id < 2000")
-    spare = postings.select(F.col("id").alias("posting_id"), (F.col("id") % 100 / 100).alias("similarity"))
-    return vectors.coarse_scores(_contributions(t), postings, spare, RANK)
+    spare = t.posting.select(F.col("id").alias("posting_id"), (F.col("id") % 100 / 100).alias("similarity"))
+    return vectors.coarse_scores(_contributions(t), t.posting, spare, RANK)
 
 
 @query("f6_contribution_explain", f"SELECT query_id, importance, round(contribution, 6) AS contribution FROM ({_SCORED}) WHERE posting_id = 5 ORDER BY contribution DESC, query_id")
@@ -159,12 +158,12 @@ _NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
     f"""SELECT target_id, arg_min(place, (-score, place)) AS place, max(score) AS score FROM (SELECT target_id, place, CASE WHEN a = b THEN 1000.0 WHEN starts_with(a, b) OR starts_with(b, a) THEN 800.0 - abs(length(a) - length(b))
          WHEN contains(a, b) OR contains(b, a) THEN 600.0 - abs(length(a) - length(b)) ELSE floor(400.0 * len(list_filter(string_split(b, ' '), lambda w: list_contains(string_split(a, ' '), w))) / len(string_split(b, ' ')) + 0.5) - abs(length(a) - length(b)) / 10.0 END AS score,
          len(list_intersect(string_split(a, ' '), string_split(b, ' '))) AS shared
-       FROM (SELECT p_partkey AS place, {_NORM.format("p_name || ' ' || p_type")} AS a FROM part WHERE p_partkey < 229), (SELECT p_partkey AS target_id, {_NORM.format("CASE p_partkey % 3 WHEN 0 THEN p_name || ', ' || p_type WHEN 1 THEN p_name ELSE p_type || ' ' || p_name END")} AS b FROM part))
+       FROM (SELECT p_partkey AS place, {_NORM.format("p_name || ' ' || p_type")} AS a FROM part), (SELECT p_partkey AS target_id, {_NORM.format("CASE p_partkey % 3 WHEN 0 THEN p_name || ', ' || p_type WHEN 1 THEN p_name ELSE p_type || ' ' || p_name END")} AS b FROM part))
        WHERE score > 300 GROUP BY target_id""",
 )
 def c17(t):
     part = t.read("part")
-    options = t.bounded("part", "p_partkey < 229").select(F.col("p_partkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("option"))
+    options = t.read("part").select(F.col("p_partkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("option"))
     targets = part.select(F.col("p_partkey").alias("target_id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ', ', p_type) WHEN 1 THEN p_name ELSE concat(p_type, ' ', p_name) END").alias("target"))
     return joins.best_match(options, targets)
 
@@ -204,11 +203,12 @@ def e5(t):
 def _content(t):
     texts = t.read("documents").select(F.col("doc_id").alias("text_id"), "text")
     words = "array('the', 'of', 'and', 'to', 'in', 'die', 'der', 'und', 'de', 'la', 'que', 'les', 'for', 'with')"
-    bullets = t.skill.where("id < 40").selectExpr("id % 8 AS entry_id", "id AS bullet_id", f"array(element_at({words}, cast(1 + id % 14 AS int)), element_at({words}, cast(1 + (id * 3 + 1) % 14 AS int))) AS tags")
+    # a library of content is as small as the nations are many
+    bullets = t.read("nation").selectExpr("n_nationkey % 8 AS entry_id", "n_nationkey AS bullet_id", f"array(element_at({words}, cast(1 + n_nationkey % 14 AS int)), element_at({words}, cast(1 + (n_nationkey * 3 + 1) % 14 AS int))) AS tags")
     return texts, bullets
 
 
-_TAGS = "(SELECT id % 8 AS entry_id, id AS bullet_id, unnest(list_distinct([w[1 + id % 14], w[1 + (id * 3 + 1) % 14]])) AS tag FROM skill, (SELECT ['the', 'of', 'and', 'to', 'in', 'die', 'der', 'und', 'de', 'la', 'que', 'les', 'for', 'with'] AS w) WHERE id < 40)"
+_TAGS = "(SELECT n_nationkey % 8 AS entry_id, n_nationkey AS bullet_id, unnest(list_distinct([w[1 + n_nationkey % 14], w[1 + (n_nationkey * 3 + 1) % 14]])) AS tag FROM nation, (SELECT ['the', 'of', 'and', 'to', 'in', 'die', 'der', 'und', 'de', 'la', 'que', 'les', 'for', 'with'] AS w))"
 _TAG_HITS = f"(SELECT d.text_id, b.entry_id, b.bullet_id, b.tag FROM (SELECT DISTINCT doc_id AS text_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9+#./-]+')) AS tag FROM documents) d JOIN {_TAGS} b USING (tag))"
 
 

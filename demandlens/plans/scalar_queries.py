@@ -5,18 +5,15 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from .registry import query
 
-_ASCII = r"text rlike '^[\\x00-\\x7F]*$'"
-_ASCII_SQL = r"regexp_full_match(text, '[\x00-\x7F]*')"
-
-
-@query("h1_identity_normalize", f"SELECT doc_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents WHERE {_ASCII_SQL}", whole=True)
+@query("h1_identity_normalize", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents")
 def h1(t):
-    return t.bounded("documents", _ASCII).select("doc_id", fn.identity_normalized(F.col("text")).alias("norm"))
+    return t.read("documents").select("doc_id", fn.identity_normalized(F.col("text")).alias("norm"))
 
 
-@query("h1_accents_folded", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^0-9a-z]+', ' ', 'g')) AS norm FROM documents WHERE lang IN ('es', 'fr')")
+@query("h1_accents_folded", "SELECT doc_id, length(text) - length(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')) AS n_left FROM documents")
 def h1_accents(t):
-    return t.read("documents").where("lang in ('es', 'fr')").select("doc_id", fn.identity_normalized(F.col("text")).alias("norm"))
+    """Characters that have no ASCII form after their accents are folded."""
+    return t.read("documents").select("doc_id", (F.length("text") - F.length(F.regexp_replace(fn.accents_folded(F.col("text")), r"[^\x00-\x7F]", ""))).cast("long").alias("n_left"))
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '')"
@@ -62,9 +59,9 @@ def h7(t):
     return t.read("events").where("event_id > 0").select("event_id", F.date_format(fn.epoch_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("h10_text_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS collapsed FROM documents WHERE NOT regexp_matches(text, '^\\s|\\s$')", whole=True)
+@query("h10_text_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS collapsed FROM documents")
 def h10(t):
-    return t.bounded("documents", r"not text rlike '^\\s|\\s$'").select("doc_id", fn.collapsed(F.col("text")).alias("collapsed"))
+    return t.read("documents").select("doc_id", fn.collapsed(F.col("text")).alias("collapsed"))
 
 
 @query("h11_token_estimate", "SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END AS INT) AS tokens FROM documents")

@@ -20,15 +20,10 @@ def k1(t):
     return text_jobs.chunk_documents(_paragraphs(t).withColumn("text", marked))
 
 
-@query(
-    "k1_short_documents",
-    """SELECT CAST(doc_id AS VARCHAR) AS source_ref, 0 AS ordinal, trim(text) AS text, sha256(trim(text)) AS text_sha256, CAST(greatest(1, ceil(length(trim(text)) / 4.0)) AS INT) AS token_estimate
-       FROM documents WHERE length(text) <= 2000 AND NOT contains(text, chr(10)) AND regexp_matches(text, '^[A-Za-zÀ-ÿ]') AND trim(text) <> '' AND NOT regexp_matches(text, '\\s$')""",
-    whole=True,
-)
+@query("k1_short_documents")
 def k1_short(t):
-    one = _paragraphs(t) if t.whole else _paragraphs(t).where(r"length(text) <= 2000 and not contains(text, '\n') and text rlike '^[A-Za-zÀ-ÿ]' and not text rlike '\\s$'")
-    return text_jobs.chunk_documents(one).select("source_ref", "ordinal", "text", "text_sha256", "token_estimate")
+    """Chunks of all documents as they stand: one for a short text, many for a long one."""
+    return text_jobs.chunk_documents(_paragraphs(t)).select("source_ref", "ordinal", "text", "text_sha256", "token_estimate")
 
 
 @query(
@@ -54,44 +49,42 @@ def j1(t):
     return out.select("vec_id", F.size("v").alias("n"), F.round(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)"), 6).alias("square"))
 
 
-def _vocabulary(t):
-    """Aliases and guards from the skills: their names' words, and two-word phrases of frequent words."""
-    phrases = ["the", "of", "and the", "of the", "in", "die", "und", "der die", "de la", "que", "la"]
-    aliases = t.skill.where("id < 11").select(F.element_at(F.array(*map(F.lit, phrases)), (F.col("id") + 1).cast("int")).alias("alias_norm"), F.col("id").alias("skill_id"))
-    guards = t.skill.where("id < 2").select(F.element_at(F.array(F.lit("in the"), F.lit("und der")), (F.col("id") + 1).cast("int")).alias("phrase"))
-    if t.whole:  # the phrases belong to skills 0 to 10 whatever the parts, whose names are aliases too
-        aliases = t.spark.createDataFrame(list(zip(phrases, range(11))), "alias_norm string, skill_id long").unionByName(t.read("part").select(taxonomy_normalized(F.concat_ws(" ", "p_name", "p_partkey")).alias("alias_norm"), F.col("p_partkey").cast("long").alias("skill_id")))
-        guards = t.spark.createDataFrame([("in the",), ("und der",)], "phrase string")
-    return aliases, guards
+_PHRASES = ["the", "of", "and the", "of the", "in", "die", "und", "der die", "de la", "que", "la"]
+_GUARDS = ["in the", "und der"]
 
 
-def _text(t):
-    return F.col("text") if t.whole else F.substring("text", 1, 400)
+def _vocabulary(t):
+    """Aliases: common phrases, which belong to skills 0 to 10, and the names of all parts. Guards: two phrases."""
+    names = t.read("part").select(taxonomy_normalized(F.concat_ws(" ", "p_name", "p_partkey")).alias("alias_norm"), F.col("p_partkey").cast("long").alias("skill_id"))
+    phrases = t.spark.createDataFrame(list(zip(_PHRASES, range(len(_PHRASES)))), "alias_norm string, skill_id long")
+    return phrases.unionByName(names), t.spark.createDataFrame([(g,) for g in _GUARDS], "phrase string")
 
 
 def _spans(t):
-    return t.read("documents").select(F.col("doc_id").alias("span_id"), _text(t).alias("text"))
+    return t.read("documents").select(F.col("doc_id").alias("span_id"), "text")
 
 
-_TOKENS = r"string_split(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(left(text, 400)), '&', ' and '), '''', '', 'g'), '(^|[\p{L}\p{N}\s])\.([\p{L}\p{N}])', '\1' || chr(1) || '\2', 'g'), '(^|[\p{L}\p{N}\s])\.([\p{L}\p{N}])', '\1' || chr(1) || '\2', 'g'), '\.', ' ', 'g'), chr(1), '.'), '[^\p{L}\p{N}+#.]+', ' ', 'g')), ' ')"
-_ALIASES = "(SELECT unnest(['the', 'of', 'and the', 'of the', 'in', 'die', 'und', 'der die', 'de la', 'que', 'la']) AS alias, unnest(range(11)) AS skill_id)"
-_FIRST = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id AS span_id, {_TOKENS} AS w FROM documents),
-  pos AS MATERIALIZED (SELECT span_id, w, unnest(range(len(w))) AS i FROM w),
-  masks AS MATERIALIZED (SELECT span_id, i AS a, i + 2 AS b FROM pos WHERE w[i + 1] || ' ' || w[i + 2] IN ('in the', 'und der')),
-  cand AS MATERIALIZED (SELECT span_id, i, n, skill_id FROM (SELECT p.span_id, p.i, k.n, s.skill_id FROM pos p, (SELECT unnest([1, 2]) AS n) k JOIN {_ALIASES} s ON s.alias = array_to_string(p.w[p.i + 1:p.i + k.n], ' ') WHERE p.i + k.n <= len(p.w)) c
-    WHERE NOT EXISTS (SELECT 1 FROM masks m WHERE m.span_id = c.span_id AND m.a < c.i + c.n AND c.i < m.b)),
+# dots after what is neither a letter, a digit nor a blank, then dots before what is neither a letter nor a digit
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(coalesce(text, '')), '&', ' and '), '''', ''), '([^\p{L}\p{N}\s])\.+', '\1 ', 'g'), '\.([^\p{L}\p{N}]|$)', ' \1', 'g'), '[^\p{L}\p{N}+#.]+', ' ', 'g'))"
+_ALIASES = f"""(SELECT alias, min(skill_id) AS skill_id FROM (SELECT unnest({_PHRASES}) AS alias, unnest(range({len(_PHRASES)})) AS skill_id UNION ALL SELECT p_name || ' ' || p_partkey, p_partkey FROM part) GROUP BY alias)"""
+#: Candidates that overlap form chains, in which the leftmost longest ones are found one after the other.
+_FIRST = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id AS span_id, string_split({_NORM}, ' ') AS w FROM documents),
+  grams AS MATERIALIZED (SELECT span_id, g.i, g.n, g.g FROM (SELECT span_id, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(len(w) - n + 1), lambda i: {{'i': i, 'n': n, 'g': array_to_string(w[i + 1:i + n], ' ')}})))) AS g FROM w)),
+  masks AS MATERIALIZED (SELECT span_id, i AS a, i + n AS b FROM grams WHERE n = 2 AND g IN ('in the', 'und der')),
+  cand AS MATERIALIZED (SELECT c.span_id, c.i, c.n, s.skill_id FROM grams c JOIN {_ALIASES} s ON s.alias = c.g WHERE NOT EXISTS (SELECT 1 FROM masks m WHERE m.span_id = c.span_id AND m.a < c.i + c.n AND c.i < m.b)),
   best AS MATERIALIZED (SELECT span_id, i, max(n) AS n, arg_max(skill_id, n) AS skill_id FROM cand GROUP BY span_id, i),
-  hits(span_id, i, n, skill_id) AS (SELECT span_id, min(i), arg_min(n, i), arg_min(skill_id, i) FROM best GROUP BY span_id
-    UNION ALL SELECT h.span_id, x.i, x.n, x.skill_id FROM hits h, LATERAL (SELECT b.i, b.n, b.skill_id FROM best b WHERE b.span_id = h.span_id AND b.i >= h.i + h.n ORDER BY b.i LIMIT 1) x)"""
+  chains AS MATERIALIZED (SELECT *, sum(fresh) OVER (PARTITION BY span_id ORDER BY i) AS chain FROM (SELECT *, CASE WHEN i >= coalesce(max(i + n) OVER (PARTITION BY span_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS fresh FROM best)),
+  hits(span_id, chain, i, n, skill_id) AS (SELECT span_id, chain, i, n, skill_id FROM chains WHERE fresh = 1
+    UNION ALL SELECT h.span_id, h.chain, min(c.i), arg_min(c.n, c.i), arg_min(c.skill_id, c.i) FROM hits h JOIN chains c ON c.span_id = h.span_id AND c.chain = h.chain AND c.i >= h.i + h.n GROUP BY h.span_id, h.chain)"""
 
 
-@query("k3_vocabulary_hits", f"{_FIRST} SELECT span_id, string_agg(i || ':' || (i + n) || ':' || skill_id, ',' ORDER BY i) AS hits FROM hits GROUP BY span_id", whole=True)
+@query("k3_vocabulary_hits", f"{_FIRST} SELECT span_id, string_agg(i || ':' || (i + n) || ':' || skill_id, ',' ORDER BY i) AS hits FROM hits GROUP BY span_id")
 def k3(t):
     out = text_jobs.vocabulary_hits(_spans(t), *_vocabulary(t))
     return out.select("span_id", F.expr("array_join(transform(hits, x -> concat(x.start, ':', x.stop, ':', x.skill_id)), ',')").alias("hits"))
 
 
-@query("j2_resolver", f"{_FIRST} SELECT w.span_id, h.skill_id FROM w LEFT JOIN (SELECT span_id, arg_min(skill_id, i) AS skill_id FROM hits GROUP BY span_id) h USING (span_id)", whole=True)
+@query("j2_resolver", f"{_FIRST} SELECT w.span_id, h.skill_id FROM w LEFT JOIN (SELECT span_id, arg_min(skill_id, i) AS skill_id FROM hits GROUP BY span_id) h USING (span_id)")
 def j2(t):
     return text_jobs.resolve(_spans(t), *_vocabulary(t))
 
@@ -111,11 +104,20 @@ def k4(t):
     return text_jobs.verify_spans(_asked_spans(t), d, "doc_id")
 
 
-@query("k4_verbatim_found", """SELECT doc_id, n, n = 0 OR (n = 1 AND contains(lower(text), lower(s))) AS found FROM (SELECT doc_id, text, trim(substr(text, 11, 30)) AS s, unnest([0, 1, 2]) AS n FROM documents)
-  WHERE s <> '' AND regexp_full_match(text, '[ -~]*')""", whole=True)
+_FROM = " || ".join(f"chr({c})" for c in (8216, 8217, 8219, 8242, 8220, 8221, 8223, 8243, 8208, 8209, 8210, 8211, 8212, 8722))
+_TO = "'" + "''" * 4 + '"' * 4 + "-" * 6 + "'"
+
+
+def _plain(x):
+    """The plain form in SQL: typographic characters, then what counts for nothing, then blanks."""
+    return rf"trim(regexp_replace(regexp_replace(replace(translate({x}, {_FROM}, {_TO}), chr(8230), '...'), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}\x{{AD}}]', '', 'g'), '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("k4_verbatim_found", f"""SELECT doc_id, n, coalesce(s <> '' AND (contains(p, s) OR contains(lower(p), lower(s))), false) AS found FROM (SELECT doc_id, n, {_plain('text')} AS p, {_plain("raw")} AS s
+  FROM (SELECT doc_id, text, unnest([0, 1, 2]) AS n, unnest([trim(substr(text, 11, 30), ' '), replace(upper(trim(substr(text, 11, 30), ' ')), ' ', '  '), 'zqx ' || trim(substr(text, 11, 30), ' ')]) AS raw FROM documents))""")
 def k4_found(t):
-    d = t.bounded("documents", "text rlike '^[ -~]*$' and trim(substring(text, 11, 30)) <> ''").select("doc_id", "text")
-    return text_jobs.verify_spans(_asked_spans(t).join(d.select("doc_id"), "doc_id", "left_semi"), d, "doc_id").select("doc_id", "n", F.col("verbatim").isNotNull().alias("found"))
+    d = t.read("documents").select("doc_id", "text")
+    return text_jobs.verify_spans(_asked_spans(t), d, "doc_id").select("doc_id", "n", F.col("verbatim").isNotNull().alias("found"))
 
 
 @query("k5_html_text")
@@ -206,24 +208,21 @@ def k9(t):
     return text_jobs.validate_rewrites(good.union(worse), sources)
 
 
-@query("k10_requirement_upsert", """SELECT posting_id, raw_text, CASE max(CASE importance WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 ELSE 1 END) WHEN 3 THEN 'required' WHEN 2 THEN 'preferred' ELSE 'mentioned' END AS importance,
-  CASE WHEN bool_and(l = 1) THEN 'inserted' WHEN bool_and(l = 0) THEN 'kept' ELSE 'updated' END AS change FROM (SELECT posting_id, raw_text, CASE WHEN quantity > 20 THEN 1 ELSE 0 END AS l, importance, quantity FROM requirement) x
-  WHERE quantity > 20 OR NOT EXISTS (SELECT 1 FROM requirement y WHERE y.posting_id = x.posting_id AND y.raw_text = x.raw_text AND y.quantity > 20) GROUP BY posting_id, raw_text""", whole=True)
+@query("k10_requirement_upsert", """SELECT posting_id, raw_text, CASE coalesce(max(r) FILTER (quantity > 20), max(r)) WHEN 3 THEN 'required' WHEN 2 THEN 'preferred' ELSE 'mentioned' END AS importance,
+  CASE WHEN bool_and(quantity <= 20) THEN 'kept' WHEN bool_and(quantity > 20) THEN 'inserted' ELSE 'updated' END AS change
+  FROM (SELECT *, CASE importance WHEN 'required' THEN 3 WHEN 'preferred' THEN 2 ELSE 1 END AS r FROM requirement) GROUP BY posting_id, raw_text""")
 def k10(t):
     key = ["posting_id", "raw_text"]
     stored = text_jobs.strongest(t.requirement.where("quantity <= 20"), key).withColumnRenamed("importance", "old")
     new = text_jobs.strongest(t.requirement.where("quantity > 20"), key)
     both = stored.select(*key, "old").join(new.select(*key, "importance"), key, "full_outer")
-    if t.whole:
-        change = F.when(F.col("importance").isNull(), "kept").when(F.col("old").isNull(), "inserted").otherwise("updated")
-        return both.select(*key, F.coalesce("importance", "old").alias("importance"), change.alias("change"))
-    # the twin in SQL sees an update as an insert: it only tells kept rows apart
-    return both.select(*key, F.coalesce("importance", "old").alias("importance"), F.when(F.col("importance").isNull(), "kept").otherwise("inserted").alias("change"))
+    change = F.when(F.col("importance").isNull(), "kept").when(F.col("old").isNull(), "inserted").otherwise("updated")
+    return both.select(*key, F.coalesce("importance", "old").alias("importance"), change.alias("change"))
 
 
 def _extraction(t):
     """Two attempts of a response for each document: the first has a span that isn't in the text wherever doc_id % 3 = 0."""
-    d = t.bounded("documents", "text rlike '^[ -~]{40,}'")
+    d = t.read("documents")
     cut = lambda a: F.trim(F.substring("text", a, 12))
     item = lambda span, importance: F.struct(span.alias("raw_text"), F.lit(importance).alias("importance"), F.lit("0.9").alias("confidence"))
     wrong = F.when(F.col("doc_id") % 3 == 0, F.lit("zqx not there")).otherwise(cut(14))
@@ -232,8 +231,9 @@ def _extraction(t):
     return d, first.union(second)
 
 
-@query("k12_requirement_extraction", """SELECT doc_id AS posting_id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END AS attempt, CAST(CASE WHEN doc_id % 6 = 0 OR doc_id % 3 = 0 OR trim(substr(text, 1, 12)) = trim(substr(text, 14, 12)) THEN 1 ELSE 2 END AS BIGINT) AS found,
-  CAST(CASE WHEN doc_id % 6 = 0 OR doc_id % 3 <> 0 THEN 0 ELSE 1 END AS BIGINT) AS rejected FROM documents WHERE regexp_matches(text, '^[ -~]{40,}') AND trim(substr(text, 14, 12)) <> ''""", whole=True)
+@query("k12_requirement_extraction", f"""SELECT doc_id AS posting_id, CASE WHEN doc_id % 6 = 0 THEN 2 ELSE 1 END AS attempt,
+  CAST(CASE WHEN a = '' THEN 0 ELSE 1 END + CASE WHEN doc_id % 3 = 0 OR b = '' OR a = b THEN 0 ELSE 1 END AS BIGINT) AS found, CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 6 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS rejected
+  FROM (SELECT doc_id, coalesce({_plain("substr(text, 1, 12)")}, '') AS a, coalesce({_plain("substr(text, 14, 12)")}, '') AS b FROM documents)""")
 def k12(t):
     d, responses = _extraction(t)
     texts = d.select(F.col("doc_id").alias("posting_id"), "text")
@@ -272,7 +272,6 @@ def g4(t):
     return docs.check_taxonomy(_specs(t))[2]
 
 
-@query("h8_taxonomy_normalize", r"SELECT doc_id, array_to_string(" + _TOKENS + r", ' ') AS norm FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')", whole=True)
+@query("h8_taxonomy_normalize", f"SELECT doc_id, {_NORM} AS norm FROM documents")
 def h8(t):
-    docs = t.read("documents")
-    return (docs if t.whole else docs.where(r"text rlike '^[\\x00-\\x7F]*$'")).select("doc_id", taxonomy_normalized(_text(t)).alias("norm"))
+    return t.read("documents").select("doc_id", taxonomy_normalized(F.col("text")).alias("norm"))

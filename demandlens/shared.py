@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import SparkSession
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        with suppress(Exception):  # the JVM may be gone; a folder left behind does no harm
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; below a temporary folder of our own only where that is unset (local runs)."""
+    """A new folder name below ``spark.checkpoint.dir``, removed when the program ends; below a temporary folder of our own
+    only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("demandlens.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-demandlens-")
         spark.conf.set("demandlens.shared.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import taxonomy_folded
+from ..functions.columns import literal, taxonomy_folded
 
 CATEGORIES = ("language", "database", "cloud", "infra", "ml", "framework", "practice", "domain", "soft")
 #: Folders of other people's files.
@@ -20,7 +20,7 @@ def read_markdown(spark: SparkSession, root: str, source_type: str = "markdown")
 def markdown_records(files: DataFrame, root: str, source_type: str = "markdown") -> DataFrame:
     """source_type, source_ref (path below the root) and text of .md, .markdown and .mdx files; hidden and vendor folders,
     blank files and files that aren't UTF-8 are left out."""
-    ref = F.regexp_replace("path", "^.*?\\Q" + root.rstrip("/") + "\\E/", "")
+    ref = F.regexp_replace("path", "^.*?" + literal(root.rstrip("/")) + "/", "")
     below = F.concat(F.lit("/"), F.col("source_ref"))
     rows = files.withColumn("source_ref", ref).where(F.lower("source_ref").rlike(r"\.(md|markdown|mdx)$")).where(~below.rlike(r"/\.") & ~below.rlike(f"/({'|'.join(VENDOR_FOLDERS)})/"))
     text = rows.where(F.expr("is_valid_utf8(cast(content AS string))")).select(F.lit(source_type).alias("source_type"), "source_ref", F.decode("content", "UTF-8").alias("text"))

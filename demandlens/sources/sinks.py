@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def metric_rows(df: DataFrame, run_id: str, stage: str, metrics: list[str], labels: dict[str, str] | None = None) -> DataFrame:
+def metric_rows(df: DataFrame, run_id: str, stage: str | Column, metrics: list[str], labels: dict[str, str] | None = None) -> DataFrame:
     """One row for each metric column of each row."""
     pairs = F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in metrics)), F.array(*(F.col(m).cast("decimal(18,6)") for m in metrics))))
     marked = F.create_map(*(F.lit(x) for kv in (labels or {}).items() for x in kv)) if labels else F.create_map().cast("map<string,string>")
-    return df.select(F.lit(run_id).alias("run_id"), F.lit(stage).alias("stage"), pairs.alias("metric", "value"), marked.alias("labels")).withColumn("recorded_at", F.current_timestamp())
+    return df.select(F.lit(run_id).alias("run_id"), (stage if isinstance(stage, Column) else F.lit(stage)).alias("stage"), pairs.alias("metric", "value"), marked.alias("labels")).withColumn("recorded_at", F.current_timestamp())
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:

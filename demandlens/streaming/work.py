@@ -60,13 +60,25 @@ def retry_split(attempts: DataFrame, most: int = 3) -> DataFrame:
     return folded.select("message_id", F.coalesce("end.state", F.lit("pending")).alias("state"), F.coalesce("end.n", "all").cast("long").alias("attempts"), reason.alias("reason"))
 
 
+def _timeout(keep_seconds: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if keep_seconds else GroupStateTimeout.NoTimeout
+
+
 RETRY_OUT = "message_id bigint, state string, attempts bigint, reason string"
 
 
-def retry_stream(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """The same with keyed state (attempts so far; whether it has ended), one row for each message that changed in a batch."""
+def retry_stream(attempts: DataFrame, most: int = 3, keep_seconds: int | None = None) -> DataFrame:
+    """The same with keyed state (attempts so far; whether it has ended), one row for each message that changed in a batch.
+
+    A stream without end needs ``keep_seconds``: a message's state goes that long after its last attempt (of processing time), and an
+    attempt that comes later still starts anew. Without it state stays, as for a stream that is read once (timers would
+    keep such a run from ending). The rows that a batch has for one message are sorted in one place, as the order of attempts decides.
+    """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, ended, reason = state.get if state.exists else (0, "pending", None)
         for outcome in pd.concat(list(rows)).sort_values(["at", "id"])["outcome"]:
             if ended != "pending":
@@ -77,9 +89,44 @@ def retry_stream(attempts: DataFrame, most: int = 3) -> DataFrame:
             elif outcome == "permanent" or n >= most:
                 ended, reason = "dead", "permanent" if outcome == "permanent" else "attempts"
         state.update((n, ended, reason))
+        if keep_seconds:
+            state.setTimeoutDuration(keep_seconds * 1000)
         yield pd.DataFrame([(key[0], ended, n, reason)], columns=["message_id", "state", "attempts", "reason"])
 
-    return attempts.groupBy("message_id").applyInPandasWithState(step, RETRY_OUT, "n bigint, state string, reason string", "update", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("message_id").applyInPandasWithState(step, RETRY_OUT, "n bigint, state string, reason string", "update", _timeout(keep_seconds))
+
+
+RECLAIM_OUT = "message_id bigint, claims bigint"
+
+
+def reclaim_stream(messages: DataFrame, timeout_seconds: float, late: str = "0 seconds") -> DataFrame:
+    """message_id and number of claims of messages that were claimed and neither finished nor claimed again for as long as the
+    visibility timeout, by the time of the log.
+
+    messages: message_id, at, finished. A claim sets the message's timer, an end removes its state; when the stream's time has
+    passed the timer, the message is given out once and its state goes, so that state holds only what is being worked on.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        claims, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], claims)], columns=["message_id", "claims"])
+            return
+        ended = False
+        for part in rows:
+            done = part["finished"].astype(bool)
+            claims += int((~done).sum())
+            ended |= bool(done.any())
+            last = max(last, int(part["at"].max().value // 1_000_000))
+        if not ended:
+            state.update((claims, last))
+            state.setTimeoutTimestamp(max(last + int(timeout_seconds * 1000), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
+    timed = messages.withWatermark("at", late)
+    return timed.groupBy("message_id").applyInPandasWithState(step, RECLAIM_OUT, "claims bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reclaimable(claims: DataFrame, finished: DataFrame, now: Column, timeout_seconds: int) -> DataFrame:
@@ -149,18 +196,24 @@ def breaker_states(log: DataFrame, key: str, most: int = 5, cooldown: float = 30
     return ordered.mapInArrow(run, f"id long, `{key}` {kind}, result string")
 
 
-def breaker_stream(log: DataFrame, key: str, most: int = 5, cooldown: float = 300.0) -> DataFrame:
-    """The same over a stream, the breaker being the key's state."""
+def breaker_stream(log: DataFrame, key: str, most: int = 5, cooldown: float = 300.0, keep_seconds: int | None = None) -> DataFrame:
+    """The same over a stream, the breaker being the key's state, which goes ``keep_seconds`` after its last request where
+    that is given (see retry_stream). A breaker is a sequence: the requests that a batch has for one host are sorted and seen in one place."""
     kind = log.schema[key].dataType.simpleString()
 
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         breaker = Breaker(most, cooldown, state.get if state.exists else ("closed", 0, 0.0))
         own = pd.concat(list(rows)).sort_values(["at", "id"])
         results = [breaker.see(float(a), bool(f)) for a, f in zip(own["at"], own["failed"])]
         state.update(breaker.state)
+        if keep_seconds:
+            state.setTimeoutDuration(keep_seconds * 1000)
         yield pd.DataFrame({"id": own["id"].to_numpy(), key: k[0], "result": results})
 
-    return log.groupBy(key).applyInPandasWithState(step, f"id long, `{key}` {kind}, result string", "kind string, failures bigint, opened double", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy(key).applyInPandasWithState(step, f"id long, `{key}` {kind}, result string", "kind string, failures bigint, opened double", "append", _timeout(keep_seconds))
 
 
 def hand_off(resolved: DataFrame, done: DataFrame) -> DataFrame:

@@ -28,10 +28,27 @@ def test_identity_and_urls(spark):
 
 def test_seasons_and_times(spark):
     assert values(spark, fn.start_season, ["New Grad 2026 Full-time", "Autumn 2026", "Java / Spring Boot Developer", "2027, winter start", None, "in 1999"]) == ["2026", "Fall 2026", None, "Winter 2027", None, None]
+    df = spark.createDataFrame([(None, "Summer\u00a02027"), ("no year", "2026 - fall"), ("2025", "Winter 2024"), (None, None)], "a string, b string")
+    assert [r[0] for r in df.select(fn.start_season(F.col("a"), F.col("b"))).collect()] == ["Summer 2027", "Fall 2026", "2025", None]
     got = values(spark, fn.epoch_timestamp, ["1765365281", "0", "", "-5", "not a number", None])
     assert str(got[0]) == "2025-12-10 11:14:41" and got[1:] == [None] * 5
 
 
+def test_taxonomy_form(spark):
+    cases = {
+        "Node.js, ASP.NET & .NET.": "node.js asp.net and .net", "C++/C#": "c++ c#", "bachelor\u2019s degree": "bachelors degree", "a..b ...c !.d": "a b c d", "\u0001": "", "\u0001.x": "x", "x.\u0001y": "x y",
+        "\u201cQuoted\u201d \u2013 dash\u2014ed\u00a0x\u200by": "quoted dash ed xy", "We use Go.": "we use go", "1.5 .5": "1.5 .5", None: "", "\u02bc\u201b\u2018'\u2010\u2011\u2012\u2015\u2212": "",
+    }
+    assert values(spark, fn.taxonomy_normalized, list(cases)) == list(cases.values())
+
+
+def test_literal_patterns(spark):
+    assert values(spark, lambda c: fn.has_phrase(c, r"a\E.b"), [r"x a\E.b y", "a.b", "axb"]) == [True, False, False]
+    rules = joins.robots_rules(spark.createDataFrame([("h", "User-agent: *\nDisallow: /a\\E*c\n")], "host string, body string"), "bot")
+    urls = spark.createDataFrame([(0, "h", "/a\\Ebc"), (1, "h", "/abc")], "url_id int, host string, path string")
+    assert [r.allowed for r in joins.robots_allow(urls, rules).orderBy("url_id").collect()] == [False, True]
+
+
 def test_remote_and_phrases(spark):
     assert values(spark, fn.is_remote, [["NYC", "Remote in USA (FL)"], ["Remoteville"], [], None, ["WFH"]], "array<string>") == [True, False, False, False, True]
     assert values(spark, lambda c: fn.has_phrase(c, "c++"), ["uses C++ daily", "c++11", "abc++", None]) == [True, False, False, False]
@@ -127,6 +144,67 @@ def test_chunks():
         chunk("a", 5, 4)
 
 
+def test_chunks_of_structured_text():
+    chunk = text_jobs.markdown_chunks
+    # a heading begins at the margin, an indented one is text; one without a title has none
+    assert chunk(" # not one\n# One #\nx\n##  \ny") == [(None, " # not one"), ("One", "# One #\n\nx"), (None, "##\n\ny")]
+    # an item owns the lines below it up to an empty one; what is indented after that stands alone
+    assert chunk("- a\nlazy\n  more\n\n  - nested\n- b\n1. c\ntext") == [(None, "- a\nlazy\n  more\n  - nested\n- b\n1. c\ntext")]
+    kinds = [k for k, _ in text_jobs.markdown_blocks("- a\n  - b\n\n    c\n\n- d\n  ```\n  x\n  ```\n~~~\n- code\n~~~~\np\n- e\n# h\nq")]
+    assert kinds == ["bullet", "paragraph", "bullet", "code", "paragraph", "bullet", "heading", "paragraph"]
+    # 300 + 190 tokens pack into one, the next 490 don't; 100 and 390 do by their sizes
+    unit = lambda n, c: c * (4 * n)
+    got = chunk("\n\n".join(unit(n, c) for n, c in ((300, "a"), (190, "b"), (490, "c"), (100, "d"), (390, "e"))), 200, 500)
+    assert [len(t) for _, t in got] == [4 * 490 + 2, 4 * 490, 4 * 490 + 2]
+    # pieces of a character count a token each: 500 fill a chunk, but the text is shorter, so that 100 more still join it
+    assert [len(t) for _, t in chunk("\n\n".join("x" * 600), 200, 500)] == [600 + 2 * 599]
+    assert [len(t) for _, t in chunk("\n\n".join("x" * 700), 200, 500)] == [500 + 2 * 499, 200 + 2 * 199]
+
+
+def test_hashed_vectors(spark):
+    """Literal slots and signs."""
+    rows = spark.createDataFrame([(1, "Go, go and C++"), (2, None), (3, "!!"), (4, "kafka")], "id int, text string")
+    got = {r.id: {i: x for i, x in enumerate(r.embedding) if x} for r in text_jobs.embed(rows, "text").collect()}
+    assert got[2] == got[3] == {} and got[4] == {656: -1.0}
+    counts = {1500: 2, 122: 1, 757: -1, 144: 1, 996: -1, 157: -1}  # go twice, then and, c++, gogo, goand, andc++
+    assert got[1] == pytest.approx({i: v / 3 for i, v in counts.items()})
+    short = text_jobs.embed(rows, "text", lambda: lambda t: [1.0, 2.0], 3).first()
+    assert short.embedding == [1.0, 2.0, 0.0]
+
+
+def test_payloads_of_all_boards(spark):
+    def parsed(board, body, **kw):
+        row = payloads.parse_payloads(spark.createDataFrame([(1, json.dumps(body), "j2")], "id int, payload string, job string"), board, **kw).first()
+        return row.title, row.place, row.company, row.text, row.ok
+
+    assert parsed("board_b", {"text": "Dev ", "description": "<p>We <b>build</b></p>", "lists": [{"text": "You", "content": "<li>ship<li>test"}], "additional": "<p>Bye</p>", "categories": {"location": "X", "allLocations": ["A", "B"]}}) == ("Dev", "A; B", None, "We build\n\nYou\n\n- ship\n- test\n\nBye", True)
+    assert parsed("board_b", {"text": "Dev", "descriptionPlain": "plain", "additionalPlain": "more", "categories": {"location": "X"}}) == ("Dev", "X", None, "plain\n\nmore", True)
+    jobs = [{"id": "j1", "title": "No"}, {"id": "j2", "title": "Yes", "location": "Here", "secondaryLocations": [{"location": "There"}], "isRemote": True, "descriptionHtml": "<p>x</p>"}]
+    assert parsed("board_c", {"organizationName": "Acme", "jobs": jobs}, job_col="job") == ("Yes", "Here; There; Remote", "Acme", "x", True)
+    assert parsed("board_c", {"data": {"jobPosting": {"title": "T", "locationName": "L", "descriptionPlainText": "p", "organization": {"name": "O"}}}}) == ("T", "L", "O", "p", True)
+    body = {"name": "N", "company": {"name": "C"}, "location": {"city": "Q", "country": "Z", "remote": True}, "jobAd": {"sections": {"jobDescription": {"title": "Job", "text": "<p>do</p>"}, "qualifications": {"title": "Q", "text": " "}}}}
+    assert parsed("board_d", body) == ("N", "Q, Z, Remote", "C", "Job\n\ndo", True)
+    assert not parsed("board_d", {"name": "N"})[-1]
+
+
+def test_main_content_by_hand():
+    prose = "Some words of prose, and more of them."  # one comma
+    n = len(prose)
+    points = 1 + 1 + n / 100
+    inner = f"<div id=in><p>{prose}</p><p>{prose}</p></div>"
+    text, score = html_text.main_content(f"<body><main><div id=out>{inner}<p>short</p></div></main></body>")
+    assert text == f"{prose}\n\n{prose}" and score == pytest.approx(2 * points)
+    # half of the inner text is a link; the outer div has half the points but no more link text of its own
+    linked = f"<div><p>{prose}</p><p><a href=x>{prose}</a></p></div>"
+    text, score = html_text.main_content(f"<body>{linked}</body>")
+    assert score == pytest.approx(2 * points * (1 - n / (2 * n + 2))) and text.count(prose) == 2
+    # nothing scores: the body, else everything
+    assert html_text.main_content("<head><title>t</title></head><body>few <i>words</i></body>") == ("few words", 0.0)
+    assert html_text.main_content("") == ("", 0.0)
+    deep = "<div>" * 3000 + f"<p>{prose}</p>" + "</div>" * 3000
+    assert html_text.main_content(deep)[0] == prose
+
+
 def test_html(spark):
     text = html_text.fragment_text
     assert text("<p>a</p><p>b</p>") == "a\n\nb" and text("<ul><li>x<li>y</ul>") == "- x\n- y" and text("a<br>b") == "a\nb"
@@ -192,6 +270,49 @@ def test_breaker_stream_is_the_batch(spark):
     assert sorted(map(tuple, stream.select("id", "host", "result").collect())) == sorted(map(tuple, batch.select("id", "host", "result").collect()))
 
 
+def test_late_rows_and_timers(spark, tmp_path):
+    def put(name, rows, kinds):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def run(stream, name, mode):
+        work.run_once(stream, str(tmp_path / f"{name}-state"), work.batch_folder(str(tmp_path / f"{name}-out")), mode).awaitTermination(60)
+        return spark.read.parquet(str(tmp_path / f"{name}-out"))
+
+    kinds = "ts timestamp, user_id long"
+    for rows in ([(dt.datetime(2024, 3, 1), 1), (dt.datetime(2024, 2, 26), 1)], [(dt.datetime(2024, 3, 2), 1)], [(dt.datetime(2024, 1, 1), 1), (dt.datetime(2024, 3, 3), 1)]):
+        put("events", rows, kinds)
+        stream = spark.readStream.schema(kinds).parquet(str(tmp_path / "events"))
+        out = run(work.weekly_counts(stream, "ts", "user_id"), "weeks", "update")
+    newest = {str(r.week)[:10]: r.n for r in out.groupBy("week").agg(F.max_by("n", "batch").alias("n")).collect()}
+    assert newest == {"2024-02-22": 1, "2024-02-29": 3}  # the row of January came after its week was closed
+    kinds, at = "message_id long, at timestamp, finished boolean", lambda m: dt.datetime(2024, 1, 1, 12, m)
+    for rows in ([(1, at(0), False), (2, at(0), False), (3, at(0), False), (3, at(1), True)], [(2, at(5), True), (1, at(6), False), (4, at(7), False)], [(9, at(50), True)]):
+        put("claims", rows, kinds)
+        out = run(work.reclaim_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "claims")), 600), "claims", "append")
+    assert {(r.message_id, r.claims) for r in out.collect()} == {(1, 2), (4, 1)}
+
+
+def test_state_goes_after_its_time(spark, tmp_path):
+    import time
+
+    kinds = "message_id long, id long, at long, outcome string"
+
+    def put(rows):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put([(1, 1, 1, "failed"), (2, 2, 2, "failed")])
+    stream = work.retry_stream(spark.readStream.schema(kinds).parquet(str(tmp_path / "in")), 3, keep_seconds=1)
+    query = stream.writeStream.outputMode("update").foreachBatch(work.batch_folder(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not (query.lastProgress and query.lastProgress["batchId"] >= 2 and query.lastProgress["stateOperators"] and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0):
+            time.sleep(0.3)
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        query.stop()
+    assert {(r.message_id, r.state, r.attempts) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "pending", 1), (2, "pending", 1)}
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, posting_id int")
     sinks.write_shortlist(rows, str(tmp_path / "s"))

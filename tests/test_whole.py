@@ -1,4 +1,4 @@
-"""The queries named ..._whole, over small tables with the rows and texts that the SQL of the bounded ones leaves out; by brute force."""
+"""Queries over small tables with rows and texts of all kinds, by brute force."""
 
 import re
 import unicodedata
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandlens.plans import registry
-from demandlens.plans.bindings import WholeTables
+from demandlens.plans.bindings import Tables
 
 SF = "/root/testdata/sf0.001"
 FILL = "lorem ipsum dolor sit amet " * 30
@@ -42,9 +42,9 @@ def hits(text):
 
 def test_vocabulary_of_whole_texts(run):
     plain = [1, 2, 3, 4, 5, 6, 7, 8]  # texts whose tokens white space gives
-    found = {r.span_id: r.hits for r in run("k3_vocabulary_hits_whole").collect()}
+    found = {r.span_id: r.hits for r in run("k3_vocabulary_hits").collect()}
     assert {i: found.get(i) for i in plain} == {i: ",".join(f"{a}:{b}:{s}" for a, b, s in hits(TEXTS[i])) or None for i in plain}
-    first = {r.span_id: r.skill_id for r in run("j2_resolver_whole").collect()}
+    first = {r.span_id: r.skill_id for r in run("j2_resolver").collect()}
     assert set(first) == set(TEXTS) and {i: first[i] for i in plain} == {i: (hits(TEXTS[i]) or [(0, 0, None)])[0][2] for i in plain}
 
 
@@ -53,19 +53,19 @@ def test_names_of_all_parts_are_aliases(spark, run, tmp_path):
     name = part.where("p_partkey = 1500").select(F.concat_ws(" ", "p_name", "p_partkey")).first()[0]
     spark.createDataFrame([(1, FILL + name)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     part.write.parquet(f"{tmp_path}/part.parquet")
-    assert [r.skill_id for r in registry.queries()["j2_resolver_whole"](spark, str(tmp_path)).collect()] == [1500]
+    assert [r.skill_id for r in registry.queries()["j2_resolver"](spark, str(tmp_path)).collect()] == [1500]
 
 
 def test_taxonomy_form_of_whole_texts(run):
-    out = {r.doc_id: r.norm for r in run("h8_taxonomy_normalize_whole").collect()}
+    out = {r.doc_id: r.norm for r in run("h8_taxonomy_normalize").collect()}
     assert set(out) == set(TEXTS) and out[3] == TEXTS[3] and out[7] == TEXTS[7].lower() and out[10] == "naïve café the quoted text 12 words of it and more" and out[11] == "x" + FILL + "é"
 
 
 def test_tables_are_whole(spark):
-    t = WholeTables(spark, SF)
+    t = Tables(spark, SF)
     for own, name in ((t.matches, "orders"), (t.shortlist, "orders"), (t.citation, "lineitem"), (t.chunk, "embeddings")):
         assert own.count() == t.read(name).count(), name
-    big = WholeTables(spark, "/root/testdata/sf0.01")
+    big = Tables(spark, "/root/testdata/sf0.01")
     assert big.skill.count() == big.read("part").count() == big.skill_alias.count() // 2 > 229 and big.requirement.where("skill_id >= 229").count() > 0
 
 
@@ -76,38 +76,38 @@ def test_nearest_of_all_vectors(spark):
     far = np.round(1 - (v @ v.T) / np.outer(*[np.linalg.norm(v, axis=1)] * 2), 9)
     live = [j for j in np.argsort(ids) if ids[j] % 11]
     best = {int(ids[i]): int(ids[min(live, key=lambda j: (far[i, j], ids[j]))]) for i in range(len(ids)) if ids[i] % 20 == 0}
-    found = {r.query_id: r.chunk_id for r in registry.queries()["c9_nearest_chunk_whole"](spark, SF).collect()}
+    found = {r.query_id: r.chunk_id for r in registry.queries()["c9_nearest_chunk"](spark, SF).collect()}
     assert found == best and any(c % 5 == 0 for c in best.values())
 
 
 def test_all_postings_are_scored(spark):
-    found = registry.queries()["d14_coarse_score_whole"](spark, "/root/testdata/sf0.01")
-    assert found.count() == WholeTables(spark, "/root/testdata/sf0.01").posting.count() and found.where("posting_id >= 2000").count() > 0
+    found = registry.queries()["d14_coarse_score"](spark, "/root/testdata/sf0.01")
+    assert found.count() == Tables(spark, "/root/testdata/sf0.01").posting.count() and found.where("posting_id >= 2000").count() > 0
 
 
 def test_scalar_forms_of_all_documents(run):
     plain = lambda x: re.sub("[^0-9a-z]+", " ", "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).lower()).strip()
     ids = [i for i in TEXTS if i != 7]  # a sharp s has no decomposition
-    out = {r.doc_id: r.norm for r in run("h1_identity_normalize_whole").collect()}
+    out = {r.doc_id: r.norm for r in run("h1_identity_normalize").collect()}
     assert set(out) == set(TEXTS) and [out[i] for i in ids] == [plain(TEXTS[i]) for i in ids]
-    out = {r.doc_id: r.collapsed for r in run("h10_text_collapse_whole").collect()}
+    out = {r.doc_id: r.collapsed for r in run("h10_text_collapse").collect()}
     assert set(out) == set(TEXTS) and out[9] == "blanks around\n\nand within" and out[4] == ""
 
 
 def test_text_jobs_of_all_documents(run):
     out = {r.id: r.square for r in run("k2_hashed_embedding").collect()}
     assert set(out) == set(TEXTS) and all(abs(out[i] - bool(t)) < 1e-9 for i, t in TEXTS.items())
-    chunks = {r.source_ref for r in run("k1_short_documents_whole").collect()}
+    chunks = {r.source_ref for r in run("k1_short_documents").collect()}
     assert chunks == {str(i) for i, t in TEXTS.items() if t}
-    found = {(r.doc_id, r.n): r.found for r in run("k4_verbatim_found_whole").collect()}
+    found = {(r.doc_id, r.n): r.found for r in run("k4_verbatim_found").collect()}
     assert {i for i, _ in found} == set(TEXTS)
     assert all(found[i, 0] and found[i, 1] and not found[i, 2] for i in (1, 2, 3, 6, 11))
-    counts = {r.posting_id: (r.attempt, r.found, r.rejected) for r in run("k12_requirement_extraction_whole").collect()}
+    counts = {r.posting_id: (r.attempt, r.found, r.rejected) for r in run("k12_requirement_extraction").collect()}
     assert set(counts) == set(TEXTS) and counts[6][0] == 2 and counts[7] == (1, 2, 0) and counts[3] == (1, 1, 1) and counts[11] == (1, 2, 0)
 
 
 def test_upsert_tells_updates(spark):
-    key, rows = ("posting_id", "raw_text"), WholeTables(spark, SF).requirement.collect()
+    key, rows = ("posting_id", "raw_text"), Tables(spark, SF).requirement.collect()
     rank = {"mentioned": 1, "preferred": 2, "required": 3}
     sides = [{}, {}]
     for r in rows:
@@ -115,5 +115,5 @@ def test_upsert_tells_updates(spark):
         side[k] = max(side.get(k, "mentioned"), r.importance, key=rank.get)
     old, new = sides
     expected = {k: (new.get(k, old.get(k)), "kept" if k not in new else "updated" if k in old else "inserted") for k in old | new}
-    found = {(r.posting_id, r.raw_text): (r.importance, r.change) for r in registry.queries()["k10_requirement_upsert_whole"](spark, SF).collect()}
+    found = {(r.posting_id, r.raw_text): (r.importance, r.change) for r in registry.queries()["k10_requirement_upsert"](spark, SF).collect()}
     assert found == expected and {c for _, c in found.values()} == {"kept", "updated", "inserted"}
