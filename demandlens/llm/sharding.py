@@ -12,14 +12,14 @@ STEP = 10
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, size, checksum and the 128-bit sort key: hash of the text (equal texts stay together), then the id."""
+    """id, size, checksum and the 128-bit sort key: hash of the text (equal texts stay together), then the id (its hash, if it is no number)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k2"),
+        F.coalesce(F.col(id_col).cast("string").try_cast("long"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(-(1 << 63))).alias("k2"),
     )
 
 
@@ -99,7 +99,8 @@ def byte_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.01, id_c
     Shards are ranges of the key (hash of the text, id), so equal texts share a shard unless a boundary inside them is
     needed for balance. Rows are exchanged once, without their texts, by ranges of the key: a shard spans as many tasks
     as its size asks for, and slots come from each task's own count and the sums of the tasks before. Null texts count as empty and
-    null ids sort first; repeated rows get slots of their own; an empty table gives an empty one.
+    null ids sort first; ids may be of any simple type; repeated rows get slots of their own; an empty table gives an empty one. Other
+    columns are ignored, and only a text's length and hashes leave its row, however long it is.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")

@@ -33,3 +33,26 @@ def test_stages_act_on_what_came_before(spark):
     last = stages["SentencePiece encoding"](spark, fourth, SF).collect()
     assert {r.doc_id: model.decode(r.ids) for r in last} == texts
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(texts)
+
+
+def test_stages_take_unkind_rows(spark):
+    """Nulls, empty texts, repeated rows and ids, extra columns with the operators' own names, tables without languages; empty tables."""
+    text = " ".join(f"w{i} and of the" for i in range(60))
+    rows = [(1, text), (2, text), (2, text), (None, text), (3, None), (4, ""), (5, "short\nshort"), (None, None)]
+    names = ["_row", "kept", "n_lines", "dropped", "doc_key", "_marks", "component_id", "n_shingles", "hits", "items", "key", "_number"]
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(i, t, *(f"own {n}" for n in names)) for i, t in rows], f"doc_id long, text string, {kinds}")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name != "SentencePiece encoding":
+            assert all(r[n] == f"own {n}" for r in out for n in names) and (not out or out[0].__fields__ == docs.columns), name
+        else:
+            assert len(out) == len(rows) and [len(r.ids or ()) for r in out if r.doc_id in (3, 4)] == [0, 0]
+        ids = sorted((r.doc_id is None, r.doc_id or 0) for r in out)
+        if name == "n-gram Jaccard join":
+            assert ids == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0), (True, 0)]
+        if name == "line dedup":
+            assert ids == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
+        if name == "benchmark decontamination":
+            assert len(out) == len(rows)
