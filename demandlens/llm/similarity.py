@@ -85,8 +85,8 @@ class Pairwise:
 def _leaves(members: DataFrame) -> DataFrame:
     """Bulk-loaded leaves of ``members`` (group, comp, n, key, slack, vec, payload), sorted by group, component and size."""
 
-    fields = "leaf long, node long, high array<int>, least long, most long, slack long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, slacks array<long>, ends array<long>, vecs binary, payloads binary"
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 5, pa.binary(), pa.binary()]
+    fields = "leaf long, high array<int>, least long, most long, slack long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, slacks array<long>, ends array<long>, vecs binary, payloads binary"
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 5, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in fields.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _leaves(members: DataFrame) -> DataFrame:
         def leaf() -> pa.RecordBatch:
             comps, ns, keys, slacks, vecs, payloads = zip(*held)
             vecs = np.array(vecs, dtype=np.int32)
-            row = (first + made, (first + made) // FANOUT, vecs.max(axis=0).tolist(), min(ns), max(ns), max(slacks), min(comps), max(comps), keys, comps, ns, slacks, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
+            row = (first + made, vecs.max(axis=0).tolist(), min(ns), max(ns), max(slacks), min(comps), max(comps), keys, comps, ns, slacks, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
         for batch in batches:
@@ -124,12 +124,17 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     ``open_cells``: key, hub (the cell's first member) and hub_comp, the component that it is in. Leaves all of whose points
     are in that one are met by others, not by each other: two of their points need no link.
     """
-    heads = leaves.select("leaf", "node", "high", "least", "most", "slack", "low_comp", "high_comp")
+    # leaves are numbered through all partitions, so that nodes are full; there is a start for each partition
+    part = F.shiftright("leaf", 32)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = leaves.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
+    node = F.expr(f"((leaf & 4294967295) + before) div {FANOUT}").alias("node")
+    numbered = leaves.select("leaf", part.alias("part"), "high", "least", "most", "slack", "low_comp", "high_comp").join(F.broadcast(starts), "part")
+    heads = scratch.save(numbered.select("leaf", node, "high", "least", "most", "slack", "low_comp", "high_comp"), "heads")
     nodes = heads.groupBy("node").agg(
         F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack")
     )
-    placed = open_cells.distinct().join(leaves.select("leaf", "node", "low_comp", "high_comp", F.explode("keys").alias("key")), "key")
-    own = scratch.save(placed.groupBy("hub", "leaf", "node").agg(F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp"))).alias("outside")), "leaf-cells")
+    own = scratch.save(open_cells.distinct().join(leaves.select("leaf", F.explode("keys").alias("key")), "key").select("hub", "hub_comp", "leaf").distinct(), "leaf-cells")
 
     def allowed(pairs: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
         for i in (1, 2):
@@ -142,14 +147,16 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     def ordered(a: str, b: str, name: str) -> list:
         return [F.least(a, b).alias(f"{name}_1"), F.greatest(a, b).alias(f"{name}_2")]
 
-    by_node = own.groupBy("hub", "node").agg(F.bool_or("outside").alias("outside"))
+    outside = F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp")))
+    by_node = own.join(heads.select("leaf", "node", "low_comp", "high_comp"), "leaf").groupBy("hub", "node").agg(outside.alias("outside"))
     met = by_node.where("outside").select("hub", F.col("node").alias("a")).join(by_node.select("hub", F.col("node").alias("b")), "hub").select(*ordered("a", "b", "node")).distinct()
-    down = allowed(met, nodes, "node").select("node_1", "node_2")
-    down = scratch.save(down.unionByName(down.where("node_1 <> node_2").select(F.col("node_2").alias("node_1"), F.col("node_1").alias("node_2"))), "nodes")
-    left = own.where("outside").select("hub", F.col("leaf").alias("a"), F.col("node").alias("node_1"))
-    right = own.select("hub", F.col("leaf").alias("b"), F.col("node").alias("node_2"))
-    below = left.join(right, "hub").join(down, ["node_1", "node_2"], "left_semi").select(*ordered("a", "b", "leaf")).distinct()
-    return allowed(below, heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2")
+    down = scratch.save(allowed(met, nodes, "node").select("node_1", "node_2"), "nodes")
+    below = down.join(heads.select(F.col("node").alias("node_1"), F.col("leaf").alias("a")), "node_1").join(heads.select(F.col("node").alias("node_2"), F.col("leaf").alias("b")), "node_2")
+    near = allowed(below.where("node_1 < node_2 or a <= b").select(*ordered("a", "b", "leaf")), heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2")
+    # a leaf's first members are no more than its points have cells
+    hubs = own.groupBy("leaf").agg(F.collect_set("hub").alias("hubs"))
+    both = near.join(hubs.withColumnsRenamed({"leaf": "leaf_1", "hubs": "hubs_1"}), "leaf_1").join(hubs.withColumnsRenamed({"leaf": "leaf_2", "hubs": "hubs_2"}), "leaf_2")
+    return both.where(F.arrays_overlap("hubs_1", "hubs_2")).select("leaf_1", "leaf_2")
 
 
 @contextmanager
@@ -187,7 +194,7 @@ def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise)
                 x, same = _Leaf(row, 1), row["leaf_1"] == row["leaf_2"]
                 y = x if same else _Leaf(row, 2)
                 of_x, of_y = x.comps.copy(), y.comps.copy()
-                decide = verify.over(y.payloads)
+                decide = None
                 for i in range(len(x.keys)):
                     ok = of_y != of_x[i]
                     if same:
@@ -202,6 +209,7 @@ def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise)
                     for j in near[np.argsort(-spare, kind="stable")][: np.count_nonzero(spare >= 0)].tolist():
                         if of_y[j] == of_x[i]:  # joined by now
                             continue
+                        decide = decide or verify.over(y.payloads)
                         decided = decided or decide(x.payloads[i])
                         if decided(j):
                             first.append(x.keys[i])
