@@ -141,17 +141,19 @@ def best_match(options: DataFrame, targets: DataFrame, minimum: float = 300) ->
     """For each target (target_id, target) the option (place, option) with the highest score above ``minimum``; ties: first place.
 
     Equal 1000; one starts with the other 800, holds it 600, less the length difference; else 400 times the share of the target's words found, less a
-    tenth of it. Only options that share a word or a three-character start or part are scored: blocks are words and trigrams.
+    tenth of it. Normalised texts are made distinct on both sides first, so copies are compared once; only those that share a
+    word or three characters are scored: blocks are words and trigrams.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
-    def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-        n = norm(F.col(text))
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(n) - 2)), lambda i: F.substr(n, i, F.lit(3)))
-        return df.select(key, n.alias(f"{key}_norm"), F.explode(F.array_distinct(F.concat(F.split(n, " "), grams))).alias("block")).where(f"{key}_norm <> ''")
+    def blocks(df: DataFrame, text: str) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))
+        return df.withColumn("block", F.explode(F.array_distinct(F.concat(F.split(text, " "), grams))))
 
-    pairs = blocks(options, "place", "option").join(blocks(targets, "target_id", "target"), "block").select("place", "place_norm", "target_id", "target_id_norm").distinct()
-    a, b = F.col("place_norm"), F.col("target_id_norm")
+    asked = targets.select("target_id", norm(F.col("target")).alias("b"))
+    known = options.select(norm(F.col("option")).alias("a"), "place").where("a <> ''").groupBy("a").agg(F.min("place").alias("place"))
+    pairs = blocks(known, "a").join(blocks(asked.select("b").where("b <> ''").distinct(), "b"), "block").select("a", "place", "b").distinct()
+    a, b = F.col("a"), F.col("b")
     gap = F.abs(F.length(a) - F.length(b))
     words = F.split(b, " ")
     share = F.size(F.filter(words, lambda w: F.array_contains(F.split(a, " "), w))) / F.size(words)
@@ -159,7 +161,8 @@ def best_match(options: DataFrame, targets: DataFrame, minimum: float = 300) ->
         F.when(a == b, 1000.0).when(F.startswith(a, b) | F.startswith(b, a), 800.0 - gap).when(F.contains(a, b) | F.contains(b, a), 600.0 - gap).when(share > 0, F.floor(share * 400 + 0.5) - gap / 10).otherwise(0.0)
     )
     scored = pairs.withColumn("score", score).where(F.col("score") > minimum)
-    return scored.groupBy("target_id").agg(F.min_by(F.struct("place", "score"), F.struct(-F.col("score"), F.col("place"))).alias("b")).select("target_id", "b.place", "b.score")
+    best = scored.groupBy("b").agg(F.min_by(F.struct("place", "score"), F.struct(-F.col("score"), F.col("place"))).alias("best"))
+    return asked.join(best, "b").select("target_id", "best.place", "best.score")
 
 
 def posting_detail(postings: DataFrame, jd: DataFrame, requirements: DataFrame, matches: DataFrame, citations: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def l10(t):
 
 
 @query("l11_candidate_triage", """SELECT raw_norm, decision, CASE WHEN NOT known THEN 'unknown' WHEN decision = 'reject' THEN 'rejected' WHEN length(raw_norm) > 128 THEN 'too_long' WHEN taken THEN 'alias_taken' ELSE 'accepted' END AS result
-  FROM (SELECT CASE WHEN p_partkey % 13 = 0 THEN repeat('x', 129) || p_partkey ELSE lower(p_name) || ' ' || p_partkey END AS raw_norm, CASE WHEN p_partkey % 4 = 0 THEN 'reject' ELSE 'approve' END AS decision, p_partkey % 9 <> 0 AS known, p_partkey < 229 AND p_partkey % 13 <> 0 AS taken FROM part)""")
+  FROM (SELECT CASE WHEN p_partkey % 13 = 0 THEN repeat('x', 129) || p_partkey ELSE lower(p_name) || ' ' || p_partkey END AS raw_norm, CASE WHEN p_partkey % 4 = 0 THEN 'reject' ELSE 'approve' END AS decision, p_partkey % 9 <> 0 AS known, p_partkey % 13 <> 0 AS taken FROM part)""")
 def l11(t):
     part = t.read("part").withColumn("raw_norm", F.when(F.col("p_partkey") % 13 == 0, F.concat(F.lit("x" * 129), "p_partkey")).otherwise(F.concat(F.lower("p_name"), F.lit(" "), "p_partkey")))
     return changes.triage(part.selectExpr("raw_norm", "CASE WHEN p_partkey % 4 = 0 THEN 'reject' ELSE 'approve' END AS decision"), part.where("p_partkey % 9 <> 0"), t.skill_alias.select(F.lower("alias").alias("alias_norm")))
