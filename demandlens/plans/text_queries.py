@@ -114,7 +114,7 @@ def _plain(x):
 
 
 @query("k4_verbatim_found", f"""SELECT doc_id, n, coalesce(s <> '' AND (contains(p, s) OR contains(lower(p), lower(s))), false) AS found FROM (SELECT doc_id, n, {_plain('text')} AS p, {_plain("raw")} AS s
-  FROM (SELECT doc_id, text, unnest([0, 1, 2]) AS n, unnest([trim(substr(text, 11, 30), ' '), replace(replace(upper(trim(substr(text, 11, 30), ' ')), 'ß', 'SS'), ' ', '  '), 'zqx ' || trim(substr(text, 11, 30), ' ')]) AS raw FROM documents))""")
+  FROM (SELECT doc_id, text, unnest([0, 1, 2]) AS n, unnest([trim(substr(text, 11, 30), ' '), replace(upper(replace(trim(substr(text, 11, 30), ' '), 'ß', 'SS')), ' ', '  '), 'zqx ' || trim(substr(text, 11, 30), ' ')]) AS raw FROM documents))""")
 def k4_found(t):
     d = t.read("documents").select("doc_id", "text")
     return text_jobs.verify_spans(_asked_spans(t), d, "doc_id").select("doc_id", "n", F.col("verbatim").isNotNull().alias("found"))
