@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_dedup, ngram_join, personal_data, quality, sentence_pieces, sharding, sql, token_counts, url_filters
+from . import decontamination, id_files, language_id, line_dedup, ngram_join, personal_data, quality, sentence_pieces, sharding, sql, token_counts, url_filters
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +64,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(table(spark, sf_dir, "documents"), WORDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op9_line_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op9_line_dedup, op10_url_filters, op11_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
