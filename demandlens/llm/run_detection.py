@@ -121,6 +121,10 @@ def _right_heavy(x: np.ndarray, doc: np.ndarray, lo: np.ndarray, p: np.ndarray,
     found: list[tuple[np.ndarray, ...]] = []
     n, grams, size = len(x), mix(x.astype(U) + U(1)), 1
     salt = mix(doc.astype(U) + U(0x51ED270B27CD7A2F))
+    # A run of period q and end j found for a boundary: periods from 2 q to j - q - p are multiples of its smallest one, so words
+    # at these distances aren't tried. Kept of the first run found (places 0, 1) and of the one that reaches farthest (2, 3).
+    known = np.zeros((4, len(p)), dtype=np.int64)
+    known[1] = known[3] = -1
     for wide, least, most in LEVELS:
         todo = np.flatnonzero((hi - p >= max(LEAST // 2, least * TIMES // 2)) & (hi - lo >= max(LEAST, TIMES * least)))
         if not len(todo):
@@ -152,23 +156,25 @@ def _right_heavy(x: np.ndarray, doc: np.ndarray, lo: np.ndarray, p: np.ndarray,
             ok = (k < len(places)) & (next_ // (n + 1) == own) & (q < most) & (p[todo] + (need + 1) // 2 <= hi[todo]) & (need <= hi[todo] - lo[todo])
             todo, q, need = todo[ok], q[ok], need[ok]
             after = p[todo] + q
+            least_from, least_to, far_from, far_to = known[:, todo]
+            in_least, in_far = (after >= least_from) & (after <= least_to), (after >= far_from) & (after <= far_to)
             half = (need + 1) // 2 - q
             # a gram that ends the required part tells most others apart
-            end = np.minimum(np.maximum(half - wide, 0), n - p[todo] - q)
-            likely = np.flatnonzero(kind_at[p[todo] + end] == kind_at[p[todo] + q + end])
+            end = np.minimum(np.maximum(half - wide, 0), n - after)
+            likely = np.flatnonzero(~in_least & ~in_far & (kind_at[p[todo] + end] == kind_at[after + end]))
+            after = np.maximum(after, np.maximum(np.where(in_least, least_to, 0), np.where(in_far, far_to, 0)))
             at, b, per = p[todo[likely]], todo[likely], q[likely]
             ahead = _common(x, at, at + per, hi[b] - at - per)
             good = ahead >= half[likely]
             at, b, per, ahead, likely = at[good], b[good], per[good], ahead[good], likely[good]
             behind = _common(x[::-1], n - at - per, n - at, at - lo[b])
             good = (ahead + behind + per >= need[likely]) & (behind > 0)
-            at, b, per, ahead, behind, likely = at[good], b[good], per[good], ahead[good], behind[good], likely[good]
+            at, b, per, ahead, behind = at[good], b[good], per[good], ahead[good], behind[good]
             found.append((b, at - behind, at + per + ahead, per))
-            # periods from 2 * per on whose required part lies in this run are multiples of its smallest period
-            jump = at + ahead
-            more = np.searchsorted(places, kind_at[at] * (n + 1) + after[likely], side="right")
-            following = places[np.minimum(more, len(places) - 1)] - kind_at[at] * (n + 1)
-            after[likely] = np.where(following >= at + 2 * per, np.maximum(after[likely], jump), after[likely])
+            new = known[1, b] < 0
+            known[0, b[new]], known[1, b[new]] = (at + 2 * per)[new], (at + ahead)[new]
+            new = known[3, b] < at + ahead
+            known[2, b[new]], known[3, b[new]] = (at + 2 * per)[new], (at + ahead)[new]
     none = np.zeros(0, dtype=np.int64)
     return tuple(np.concatenate([none, *(f[i] for f in found)]) for i in range(4))
 
