@@ -69,7 +69,7 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_detection.digest(run_detection.word_runs(run_detection.folded(table(spark, sf_dir, "documents"))))
+    return run_detection.digest(run_detection.word_runs(table(spark, sf_dir, "documents"), arrange=run_detection.folded))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
