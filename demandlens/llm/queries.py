@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_files, language_id, line_dedup, ngram_join, personal_data, quality, run_detection, sentence_pieces, sharding, sql, token_counts, url_filters
+from . import conversation_trie, decontamination, id_files, language_id, line_dedup, ngram_join, personal_data, quality, run_detection, sentence_pieces, sharding, sql, token_counts, url_filters
 
 #: Folder of public vocabulary files; a parameter of the operators, here read from the environment.
 TOKENIZERS = os.environ.get("DEMANDLENS_TOKENIZERS", "/opt/tokenizers")
@@ -68,13 +68,17 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(table(spark, sf_dir, "documents"), WORDS)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_nodes(table(spark, sf_dir, "conversations"), cross=5, heads=9)
+
+
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_detection.digest(run_detection.word_runs(table(spark, sf_dir, "documents"), arrange=run_detection.folded))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op9_line_dedup, op10_url_filters, op11_token_files, op13_word_runs)}
+    return {f.__name__: f for f in (op1_token_counts, op2_personal_data, op3_ngram_join, op4_sentence_pieces, op5_language_id, op6_decontamination, op7_byte_shards, op8_quality, op9_line_dedup, op10_url_filters, op11_token_files, op12_conversation_trie, op13_word_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.OP3, "op6_decontamination": sql.OP6, "op10_url_filters": sql.OP10}
+    return {"op3_ngram_join": sql.OP3, "op6_decontamination": sql.OP6, "op10_url_filters": sql.OP10, "op12_conversation_trie": sql.OP12}

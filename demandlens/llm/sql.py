@@ -69,3 +69,36 @@ SELECT own.page_id, host, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS fetched_a
   host IS NOT NULL AND coalesce(rule[2], 'none') <> 'block' AS kept
 FROM own LEFT JOIN held USING (page_id)
 """
+
+# crc32 of a decimal number's digits, bit by bit; -1 stands for a shift
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END), 4294967295)"
+)
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p < h
+  UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p >= h
+), w AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d, sha256(length(role) || ':' || role || text) AS w, strlen(text) AS size FROM r
+), pre AS (
+  SELECT conv_id, d, md5(string_agg(w, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k, size FROM w
+  UNION ALL SELECT conv_id, 0, 'root', 0 FROM c
+), own AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM pre
+), node AS (
+  SELECT k, any_value(d) AS d, min(conv_id) AS conv_id, any_value(pk) AS pk, any_value(size) AS size, count(*) AS n, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS lists
+  FROM own GROUP BY k
+), kids AS (SELECT pk, count(*) AS kids FROM node WHERE pk IS NOT NULL GROUP BY pk
+), below AS (
+  SELECT a.k, count(*) FILTER (kids IS NULL) AS leaves, sum((u.n - 1) * u.size) AS saved
+  FROM node u LEFT JOIN kids ON kids.pk = u.k JOIN pre a ON a.conv_id = u.conv_id AND a.d <= u.d GROUP BY a.k
+)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.lists AS ends_sha256
+FROM node LEFT JOIN node up ON up.k = node.pk LEFT JOIN kids ON kids.pk = node.k JOIN below ON below.k = node.k
+"""
