@@ -2,67 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
 from ..functions.columns import clamped, has_boost_location, ranked
-
-#: Vectors in a block; a task holds two blocks and their product.
-BLOCK = 2048
-
-
-def _blocks(df: DataFrame, name: str, extra: str) -> DataFrame:
-    """Rows gathered in blocks of about BLOCK by a hash of the id; the number of blocks follows the count."""
-    n = max(1, -(-df.count() // BLOCK))
-    packed = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block"), F.struct("id", F.col("embedding").cast("array<double>").alias("embedding"), F.expr(extra).alias("extra")).alias("row"))
-    return packed.groupBy(f"{name}_block").agg(F.collect_list("row").alias(f"{name}_rows"))
+from .ball_index import BallIndex
 
 
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, tags: DataFrame | None = None, boost: float = 0.0) -> DataFrame:
     """query_id, chunk_id, distance, adjusted, tagged and place of the k nearest chunks of each query by cosine.
 
-    queries: id, embedding, skill_id (may be missing); chunks: id, embedding; tags: chunk_id, skill_id. Chunks without a vector
-    take no part. Distances are rounded to 9 places before they are compared and ties go to the lower chunk id. Query blocks meet chunk blocks (a stated query set
-    against all rows): each task is one matrix product and keeps k a query; the blocks' bests are then merged.
+    queries: id, embedding, skill_id (may be missing); chunks: id, embedding; tags: chunk_id, skill_id. Chunks and queries
+    without a vector take no part. Builds a ``BallIndex`` and searches it once; build one yourself to search it often.
     """
-    owned = chunks.where("embedding is not null")
-    if tags is not None:
-        owned = owned.join(tags.groupBy(F.col("chunk_id").alias("id")).agg(F.collect_set(F.col("skill_id").cast("long")).alias("skills")), "id", "left")
-    left = _blocks(queries, "q", "cast(skill_id as bigint)" if "skill_id" in queries.columns else "cast(null as bigint)")
-    right = _blocks(owned, "c", "skills" if tags is not None else "cast(array() as array<bigint>)")
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in batch.to_pylist():
-                q, c = ([np.array([r["embedding"] for r in pair[f"{n}_rows"]]) for n in "qc"])
-                qid, cid = (np.array([r["id"] for r in pair[f"{n}_rows"]], dtype=np.int64) for n in "qc")
-                order = np.argsort(cid, kind="stable")
-                c, cid = c[order], cid[order]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = np.round(1 - (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)), 9)
-                far = np.where(np.isnan(far), 1.0, far)
-                tagged = np.zeros(far.shape, dtype=bool)
-                where: dict[int, list[int]] = {}
-                for j, i in enumerate(order):
-                    for s in pair["c_rows"][i]["extra"] or ():
-                        where.setdefault(s, []).append(j)
-                for i, r in enumerate(pair["q_rows"]):
-                    if r["extra"] in where:
-                        tagged[i, where[r["extra"]]] = True
-                near = np.argsort(far - boost * tagged, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(qid)), near.shape[1])
-                cols = near.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(cid[cols]), pa.array(far[rows, cols]), pa.array(tagged[rows, cols])], ["query_id", "chunk_id", "distance", "tagged"])
-
-    found = left.crossJoin(right).select("q_rows", "c_rows").mapInArrow(product, "query_id long, chunk_id long, distance double, tagged boolean")
-    adjusted = F.round(F.col("distance") - F.when(F.col("tagged"), boost).otherwise(0.0), 9)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("adjusted", "chunk_id"))
-    return found.withColumn("adjusted", adjusted).withColumn("place", place).where(F.col("place") <= k)
+    return BallIndex.build(chunks, tags).search(queries, k, boost)[0]
 
 
 def nearest(queries: DataFrame, chunks: DataFrame) -> DataFrame:
