@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import taxonomy_normalized
-from ..operators import html_text, text_jobs
+from ..operators import html_text, resolution, text_jobs
 from ..sources import documents as docs
 from ..sources import payloads
 from .registry import query
@@ -80,13 +80,13 @@ _FIRST = f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id AS span_id, string_
 
 @query("k3_vocabulary_hits", f"{_FIRST} SELECT span_id, string_agg(i || ':' || (i + n) || ':' || skill_id, ',' ORDER BY i) AS hits FROM hits GROUP BY span_id")
 def k3(t):
-    out = text_jobs.vocabulary_hits(_spans(t), *_vocabulary(t))
+    out = resolution.vocabulary_hits(_spans(t), *_vocabulary(t))
     return out.select("span_id", F.expr("array_join(transform(hits, x -> concat(x.start, ':', x.stop, ':', x.skill_id)), ',')").alias("hits"))
 
 
 @query("j2_resolver", f"{_FIRST} SELECT w.span_id, h.skill_id FROM w LEFT JOIN (SELECT span_id, arg_min(skill_id, i) AS skill_id FROM hits GROUP BY span_id) h USING (span_id)")
 def j2(t):
-    return text_jobs.resolve(_spans(t), *_vocabulary(t))
+    return resolution.resolve(_spans(t), *_vocabulary(t))
 
 
 def _asked_spans(t):

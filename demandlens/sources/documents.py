@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import literal, taxonomy_folded
+from ..functions.columns import literal, taxonomy_normalized
 
 CATEGORIES = ("language", "database", "cloud", "infra", "ml", "framework", "practice", "domain", "soft")
 #: Folders of other people's files.
@@ -42,7 +42,7 @@ def check_taxonomy(specs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     named = specs.withColumn("name", F.trim("name"))
     skills = named.select("name", "category", "is_actionable")
-    aliases = named.select(F.col("name").alias("owner"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array())))).alias("alias")).withColumn("alias_norm", taxonomy_folded(F.col("alias"))).where("alias_norm <> ''")
+    aliases = named.select(F.col("name").alias("owner"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array())))).alias("alias")).withColumn("alias_norm", taxonomy_normalized(F.col("alias"))).where("alias_norm <> ''")
     bad = named.select("name", F.when(F.coalesce("name", F.lit("")) == "", "no name").when(F.length("name") > 128, "name too long").when(~F.col("category").isin(*CATEGORIES), "bad category").alias("problem")).where("problem is not null")
     twice = duplicate_names(skills).select("name", F.lit("name twice").alias("problem"))
     shared = ambiguous_aliases(aliases).select(F.col("alias_norm").alias("name"), F.lit("alias of several").alias("problem"))

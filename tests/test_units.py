@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandlens.config import RankConfig, ReportConfig
 from demandlens.functions import columns as fn
-from demandlens.operators import changes, demand, filters, html_text, joins, text_jobs
+from demandlens.operators import changes, demand, filters, html_text, joins, resolution, text_jobs
 from demandlens.sources import documents, feed, payloads, sinks
 from demandlens.streaming import work
 
@@ -228,7 +228,7 @@ def test_resolver(spark):
     guards = spark.createDataFrame([("go to market",), ("lambda expressions",), ("c suite",), ("r and d",)], "phrase string")
     cases = {"Experience with Go and Kubernetes preferred": 1, "Django ongoing work": None, "Go-to-market strategy": None, "C/C++": 4, "C-Suite exposure": None, "React Native": 6, "SQL Server.": 7, "lambda expressions in Java": 8, "Backend services written in Go.": 9, "R&D": None, "": None}
     spans = spark.createDataFrame(list(enumerate(cases)), "span_id int, text string")
-    got = {r.span_id: r.skill_id for r in text_jobs.resolve(spans, aliases, guards).collect()}
+    got = {r.span_id: r.skill_id for r in resolution.resolve(spans, aliases, guards).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
