@@ -350,31 +350,46 @@ def validate_citations(responses: DataFrame, requirements: DataFrame, candidates
     responses: response_id, posting_id, payload {requirements: [{requirement_id, canonical_skill_id, status, evidence_chunk_id}], verdict}; requirements: posting_id, id,
     skill_id; candidates: posting_id, chunk_id. A response is rejected as fabricated (an evidenced row cites what wasn't supplied), else missing (evidenced without a citation),
     else malformed (no rows, unknown or repeated requirement, bad status, number or verdict). Elsewhere an unknown citation is nulled; skills come from the requirements; those not answered are absent.
+    A requirement that is listed twice for a posting counts once, with its smallest skill. Each table is grouped by posting once and a
+    response is judged in its row, which holds the requirements and candidates of its posting.
     """
     schema = "requirements array<struct<requirement_id:string,canonical_skill_id:string,status:string,evidence_chunk_id:string,reasoning:string>>, verdict string, rationale string"
+    asked = requirements.groupBy("posting_id").agg(F.array_sort(F.collect_set(F.struct(F.col("id").cast("long").alias("id"), "skill_id"))).alias("all"))
+    asked = asked.select("posting_id", F.expr("filter(all, (x, i) -> i = 0 OR x.id <> all[i - 1].id)").alias("asked"))
+    supplied = candidates.groupBy("posting_id").agg(F.collect_set(F.col("chunk_id").cast("long")).alias("supplied"))
     read = responses.select("response_id", "posting_id", F.from_json("payload", schema).alias("p"))
-    rows = read.select("response_id", "posting_id", F.posexplode("p.requirements").alias("pos", "r")).select("response_id", "posting_id", "pos", F.col("r.requirement_id").try_cast("long").alias("requirement_id"), "r.status", F.col("r.evidence_chunk_id").alias("given"), F.col("r.evidence_chunk_id").try_cast("long").alias("chunk_id"))
-    known = requirements.select("posting_id", F.col("id").alias("requirement_id"), "skill_id", F.lit(True).alias("asked"))
-    supplied = candidates.select("posting_id", "chunk_id", F.lit(True).alias("supplied")).distinct()
-    joined = rows.join(known, ["posting_id", "requirement_id"], "left").join(supplied, ["posting_id", "chunk_id"], "left")
-    again = F.row_number().over(Window.partitionBy("response_id", "requirement_id").orderBy("pos")) > 1
-    evidenced = F.col("status") == "evidenced"
-    readable = F.col("given").isNull() | F.col("chunk_id").isNotNull()
-    severity = (
-        F.when(F.col("asked").isNull() | again | ~F.coalesce(F.col("status").isin("evidenced", "weak", "absent"), F.lit(False)) | ~readable, 1)
-        .when(evidenced & F.col("chunk_id").isNull(), 2).when(evidenced & F.col("supplied").isNull(), 3).otherwise(0)
+    row = F.transform(
+        F.coalesce("p.requirements", F.array().cast("array<struct<requirement_id:string,canonical_skill_id:string,status:string,evidence_chunk_id:string,reasoning:string>>")),
+        lambda r: F.struct(r["requirement_id"].try_cast("long").alias("id"), r["status"].alias("status"), r["evidence_chunk_id"].alias("given"), r["evidence_chunk_id"].try_cast("long").alias("chunk_id")),
     )
-    judged = joined.withColumn("severity", severity)
-    worst = judged.groupBy("response_id").agg(F.max("severity").alias("worst"))
+    met = read.join(asked, "posting_id", "left").join(supplied, "posting_id", "left").select("response_id", "posting_id", "p", "asked", F.coalesce("supplied", F.array().cast("array<bigint>")).alias("supplied"), row.alias("rows"))
+    ids = F.coalesce(F.transform("asked", lambda x: x["id"]), F.array().cast("array<bigint>"))
+    met = met.withColumn("ids", ids)
+    inside = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
+    # the first thing wrong with a row hides what else is
+    named = F.transform("rows", lambda r: r["id"])
+    severity = F.transform(
+        "rows",
+        lambda r, i: F.when(
+            ~inside(F.col("ids"), r["id"]) | (F.array_position(named, r["id"]) <= i) | ~F.coalesce(r["status"].isin("evidenced", "weak", "absent"), F.lit(False)) | (r["given"].isNotNull() & r["chunk_id"].isNull()), 1
+        ).when((r["status"] == "evidenced") & r["chunk_id"].isNull(), 2).when((r["status"] == "evidenced") & ~inside(F.col("supplied"), r["chunk_id"]), 3).otherwise(0),
+    )
+    level = F.coalesce(F.array_max(severity), F.lit(0))
     shape = F.col("p.requirements").isNull() | ~F.coalesce(F.col("p.verdict").isin("strong", "plausible", "stretch", "no"), F.lit(False))
-    level = F.coalesce("worst", F.lit(0))
-    outcome = F.when(level == 3, "fabricated").when(level == 2, "missing").when((level == 1) | shape, "malformed").otherwise("accepted")
-    verdicts = read.join(worst, "response_id", "left").select("response_id", "posting_id", outcome.alias("outcome"), F.col("p.verdict").alias("verdict"), F.trim(F.coalesce("p.rationale", F.lit(""))).alias("rationale"))
-    ok = verdicts.where("outcome = 'accepted'").select("response_id", "posting_id")
-    answered = judged.join(ok.select("response_id"), "response_id", "left_semi").select("response_id", "posting_id", "requirement_id", "skill_id", "status", F.when(F.col("supplied"), F.col("chunk_id")).alias("chunk_id"), F.lit(True).alias("answered"))
-    wanted = ok.join(requirements.select("posting_id", F.col("id").alias("requirement_id"), "skill_id"), "posting_id")
-    silent = wanted.join(answered.select("response_id", "requirement_id"), ["response_id", "requirement_id"], "left_anti").select("response_id", "posting_id", "requirement_id", "skill_id", F.lit("absent").alias("status"), F.lit(None).cast("long").alias("chunk_id"), F.lit(False).alias("answered"))
-    return answered.unionByName(silent), verdicts
+    judged = met.withColumn("level", level).withColumn("outcome", F.expr("CASE level WHEN 3 THEN 'fabricated' WHEN 2 THEN 'missing' WHEN 1 THEN 'malformed' END")).withColumn("outcome", F.coalesce("outcome", F.when(shape, "malformed").otherwise("accepted")))
+    verdicts = judged.select("response_id", "posting_id", "outcome", F.col("p.verdict").alias("verdict"), F.trim(F.coalesce("p.rationale", F.lit(""))).alias("rationale"))
+    ok = judged.where("outcome = 'accepted'")
+    one = F.explode(
+        F.transform(
+            "asked",
+            lambda x: F.struct(
+                x["id"].alias("requirement_id"), x["skill_id"].alias("skill_id"), F.get(F.filter("rows", lambda r: r["id"] == x["id"]), F.lit(0)).alias("r")
+            ),
+        )
+    )
+    rows = ok.select("response_id", "posting_id", "supplied", one.alias("x")).select("response_id", "posting_id", "x.*", "supplied")
+    cited = F.when(inside(F.col("supplied"), F.col("r.chunk_id")), F.col("r.chunk_id"))
+    return rows.select("response_id", "posting_id", "requirement_id", "skill_id", F.coalesce("r.status", F.lit("absent")).alias("status"), cited.alias("chunk_id"), F.col("r").isNotNull().alias("answered")), verdicts
 
 
 def validate_rewrites(candidates: DataFrame, sources: DataFrame) -> DataFrame:

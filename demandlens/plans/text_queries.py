@@ -163,14 +163,16 @@ def k7(t):
 def _match_responses(t):
     """A response for each match: every 97th citation cites what wasn't supplied, every 89th evidenced one nothing."""
     rows = t.citation.withColumn("posting_id", F.col("match_id")).withColumn("cited", F.when(F.col("id") % 97 == 0, 999999).when((F.col("id") % 89 == 0) & (F.col("status") == "evidenced"), F.lit(None)).otherwise(F.coalesce("chunk_id", F.lit(7))))
-    payload = F.to_json(F.struct(F.collect_list(F.struct(F.col("id").cast("string").alias("requirement_id"), "status", F.col("cited").cast("string").alias("evidence_chunk_id"))).alias("requirements"), F.lit("plausible").alias("verdict")))
+    payload = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("requirement_id"), "status", F.col("cited").cast("string").alias("evidence_chunk_id")))).alias("requirements"), F.lit("plausible").alias("verdict")))
     responses = rows.where("id % 5 <> 0").groupBy(F.col("match_id").alias("response_id"), "posting_id").agg(payload.alias("payload"))
     return responses, rows.select("posting_id", "id", "skill_id"), rows.where("chunk_id is not null").select("posting_id", "chunk_id")
 
 
 _VALID = """WITH rows AS (SELECT *, CASE WHEN id % 97 = 0 THEN 999999 WHEN id % 89 = 0 AND status = 'evidenced' THEN NULL ELSE coalesce(chunk_id, 7) END AS cited FROM citation),
-  judged AS (SELECT r.*, EXISTS (SELECT 1 FROM rows c WHERE c.match_id = r.match_id AND c.chunk_id = r.cited) AS ok FROM rows r WHERE id % 5 <> 0),
-  outcome AS (SELECT match_id AS response_id, CASE WHEN bool_or(status = 'evidenced' AND cited IS NOT NULL AND NOT ok) THEN 'fabricated' WHEN bool_or(status = 'evidenced' AND cited IS NULL) THEN 'missing' ELSE 'accepted' END AS outcome FROM judged GROUP BY match_id)"""
+  asked AS (SELECT match_id, id, min(importance) AS importance FROM rows GROUP BY match_id, id),
+  judged AS (SELECT r.*, EXISTS (SELECT 1 FROM rows c WHERE c.match_id = r.match_id AND c.chunk_id = r.cited) AS ok, row_number() OVER (PARTITION BY match_id, id ORDER BY status, CAST(cited AS VARCHAR) NULLS FIRST) > 1 AS again FROM rows r WHERE id % 5 <> 0),
+  outcome AS (SELECT match_id AS response_id, CASE WHEN bool_or(NOT again AND status = 'evidenced' AND cited IS NOT NULL AND NOT ok) THEN 'fabricated' WHEN bool_or(NOT again AND status = 'evidenced' AND cited IS NULL) THEN 'missing'
+    WHEN bool_or(again) THEN 'malformed' ELSE 'accepted' END AS outcome FROM judged GROUP BY match_id)"""
 
 
 @query("k8_response_outcomes", f"{_VALID} SELECT response_id, outcome FROM outcome")
@@ -178,24 +180,25 @@ def k8(t):
     return text_jobs.validate_citations(*_match_responses(t))[1].select("response_id", "outcome")
 
 
-@query("k8_accepted_citations", f"""{_VALID} SELECT o.response_id, r.id AS requirement_id, CASE WHEN r.id % 5 = 0 THEN 'absent' ELSE r.status END AS status, CASE WHEN r.id % 5 <> 0 AND j.ok THEN r.cited END AS chunk_id, r.id % 5 <> 0 AS answered
-  FROM outcome o JOIN rows r ON r.match_id = o.response_id LEFT JOIN judged j ON j.id = r.id WHERE outcome = 'accepted'""")
+@query("k8_accepted_citations", f"""{_VALID} SELECT o.response_id, r.id AS requirement_id, coalesce(j.status, 'absent') AS status, CASE WHEN j.ok THEN j.cited END AS chunk_id, j.id IS NOT NULL AS answered
+  FROM outcome o JOIN asked r ON r.match_id = o.response_id LEFT JOIN judged j ON j.match_id = r.match_id AND j.id = r.id WHERE outcome = 'accepted'""")
 def k8_accepted(t):
     return text_jobs.validate_citations(*_match_responses(t))[0].select("response_id", "requirement_id", "status", "chunk_id", "answered")
 
 
-@query("g3_unanswered_requirements", f"{_VALID} SELECT o.response_id, r.id AS requirement_id FROM outcome o JOIN rows r ON r.match_id = o.response_id WHERE outcome = 'accepted' AND r.id % 5 = 0")
+@query("g3_unanswered_requirements", f"{_VALID} SELECT o.response_id, r.id AS requirement_id FROM outcome o JOIN asked r ON r.match_id = o.response_id WHERE outcome = 'accepted' AND r.id % 5 = 0")
 def g3(t):
     return text_jobs.validate_citations(*_match_responses(t))[0].where("not answered").select("response_id", "requirement_id")
 
 
-@query("k13_match_assembly", f"""{_VALID}, cited AS (SELECT o.response_id, r.importance, CASE WHEN r.id % 5 = 0 THEN 'absent' ELSE r.status END AS status FROM outcome o JOIN rows r ON r.match_id = o.response_id WHERE outcome = 'accepted')
+@query("k13_match_assembly", f"""{_VALID}, cited AS (SELECT o.response_id, r.importance, coalesce(j.status, 'absent') AS status FROM outcome o JOIN asked r ON r.match_id = o.response_id LEFT JOIN judged j ON j.match_id = r.match_id AND j.id = r.id WHERE outcome = 'accepted')
   SELECT response_id AS match_id, count(*) AS n, round(CAST(sum(w * c) AS DOUBLE) / CAST(sum(w) AS DOUBLE), 4) AS score FROM (SELECT *, CASE importance WHEN 'required' THEN 1.0 WHEN 'preferred' THEN 0.5 ELSE 0.25 END AS w, CASE status WHEN 'evidenced' THEN 1.0 WHEN 'weak' THEN 0.5 ELSE 0.0 END AS c FROM cited) GROUP BY response_id""")
 def k13(t):
     from ..operators.demand import match_scores
 
     accepted = text_jobs.validate_citations(*_match_responses(t))[0]
-    return match_scores(accepted.join(t.citation.select(F.col("id").alias("requirement_id"), "importance"), "requirement_id").withColumnRenamed("response_id", "match_id"))
+    asked = t.citation.groupBy(F.col("match_id").alias("posting_id"), F.col("id").alias("requirement_id")).agg(F.min("importance").alias("importance"))
+    return match_scores(accepted.join(asked, ["posting_id", "requirement_id"]).withColumnRenamed("response_id", "match_id"))
 
 
 @query("k9_rewrite_validation", r"""SELECT p_partkey AS source_id, text FROM (SELECT p_partkey, 'Built the ' || p_name || ' pipeline in ' || p_size || ' weeks and kept it running' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' END AS text, p_partkey % 5 = 0 AS bad FROM part) WHERE p_partkey % 3 <> 0 AND NOT bad AND length(text) >= 40""")

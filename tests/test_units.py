@@ -320,3 +320,31 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).select("run_id", "posting_id").collect()} == {("r1", 1), ("r2", 9)}
     table = sinks.markdown_table(spark.createDataFrame([("a|b", 2), ("c\nd", 1)], "x string, n int"), ["x", "n"], [F.desc("n")]).first().markdown
     assert table == "| x | n |\n|---|---|\n| a\\|b | 2 |\n| c d | 1 |"
+
+
+def test_citations_of_every_outcome(spark):
+    ask = [(1, 10, 100), (1, 11, None), (1, 12, 102), (1, 12, 101)]
+    row = lambda i, status, chunk=None: {"requirement_id": i, "status": status, "evidence_chunk_id": chunk}
+    good = [row(10, "evidenced", 7), row("11", "weak", "99")]
+    cases = {
+        "accepted": [(good, "strong"), ([], "no")],
+        "fabricated": [([row(10, "evidenced", 8), row(11, "evidenced")], "strong"), ([row(10, "evidenced", 8), row(10, "absent")], "?")],
+        "missing": [([*good, row(12, "evidenced")], "strong")],
+        # what repeats an answer or answers what wasn't asked isn't looked at any further
+        "malformed": [(None, "strong"), ([row(10, "absent"), row(10, "evidenced", 8)], "no"), ([row(13, "evidenced", 8)], "no"), ([row(10, "maybe")], "no"), ([row(10, "evidenced", "x")], "no"), (good, "perhaps"), ([row(None, "absent")], "no")],
+    }
+    rows, wanted = [], {}
+    for outcome, given in cases.items():
+        for requirements, verdict in given:
+            wanted[len(rows)] = outcome
+            rows.append((len(rows), 1, json.dumps({"requirements": requirements, "verdict": verdict})))
+    wanted[len(rows)] = "malformed"
+    rows.append((len(rows), 1, None))
+    rows.append((len(rows), 2, json.dumps({"requirements": [], "verdict": "no"})))
+    wanted[len(rows) - 1] = "accepted"
+    accepted, verdicts = text_jobs.validate_citations(
+        spark.createDataFrame(rows, "response_id int, posting_id int, payload string"), spark.createDataFrame(ask, "posting_id int, id long, skill_id long"), spark.createDataFrame([(1, 7), (1, 7), (2, 8)], "posting_id int, chunk_id long")
+    )
+    assert {r.response_id: r.outcome for r in verdicts.collect()} == wanted
+    got = {tuple(r) for r in accepted.select("response_id", "requirement_id", "skill_id", "status", "chunk_id", "answered").collect()}
+    assert got == {(0, 10, 100, "evidenced", 7, True), (0, 11, None, "weak", None, True), (0, 12, 101, "absent", None, False)} | {(1, i, s, "absent", None, False) for i, s in ((10, 100), (11, None), (12, 101))}
