@@ -123,48 +123,33 @@ def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     return grouped.where("field <> 'user-agent' and value <> ''").join(chosen, ["host", "group"], "left_semi").select("host", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow"))
 
 
+def robots_candidates(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (url_id, host, path) with each rule of their host (pattern, allow) whose literal beginning begins the path.
+
+    A pattern's text up to its first '*' (or final '$') is its key; a path is looked up by its beginnings of the lengths
+    that the host's keys have. Only patterns with a leading '*' meet every path of their host.
+    """
+    key = F.regexp_replace(F.substring_index("pattern", "*", 1), r"\$$", "")
+    keyed = rules.distinct().withColumn("key", key)
+    lengths = keyed.groupBy("host").agg(F.collect_set(F.length("key")).alias("lengths"))
+    begun = urls.join(lengths, "host").withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).withColumn("key", F.expr("left(path, n)"))
+    return begun.select("url_id", "host", "path", "key").join(keyed, ["host", "key"]).drop("key")
+
+
 def robots_allow(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url_id, host, path) with ``allowed``: the longest matching pattern decides, allow on ties, true without any.
 
-    '*' stands for any characters and a final '$' for the end. The join is by host; the pattern is a residual test.
+    '*' stands for any characters and a final '$' for the end. Rules are found by ``robots_candidates``; the whole pattern
+    is a residual test. An empty path is '/'; url_id must be unique; urls without a host are allowed.
     """
     bare = F.regexp_replace("pattern", r"\$$", "")
-    regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split(bare, r"\*"), lambda p: F.when(p == "", p).otherwise(F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))), ".*"), F.when(F.endswith("pattern", F.lit("$")), F.lit("$")).otherwise(F.lit("")))
-    ready = rules.select("host", "allow", F.length("pattern").alias("n"), regex.alias("regex"))
+    regex = F.concat(F.lit("(?s)^"), F.array_join(F.transform(F.split(bare, r"\*"), lambda p: F.when(p == "", p).otherwise(F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))), ".*"), F.when(F.endswith("pattern", F.lit("$")), F.lit("\\z")).otherwise(F.lit("")))
     asked = urls.withColumn("path", F.when(F.coalesce("path", F.lit("")) == "", "/").otherwise(F.col("path")))
-    hits = asked.join(ready, "host").where("path rlike regex")
-    verdict = hits.groupBy("url_id").agg(F.max(F.struct("n", "allow")).alias("best"))
+    hits = robots_candidates(asked, rules).withColumn("regex", regex).where("path rlike regex")
+    verdict = hits.groupBy("url_id").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("best"))
     return asked.join(verdict, "url_id", "left").withColumn("allowed", F.coalesce("best.allow", F.lit(True))).drop("best")
 
 
-def best_match(options: DataFrame, targets: DataFrame, minimum: float = 300) -> DataFrame:
-    """For each target (target_id, target) the option (place, option) with the highest score above ``minimum``; ties: first place.
-
-    Equal 1000; one starts with the other 800, holds it 600, less the length difference; else 400 times the share of the target's words found, less a
-    tenth of it. Normalised texts are made distinct on both sides first, so copies are compared once; only those that share a
-    word or three characters are scored: blocks are words and trigrams.
-    """
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-
-    def blocks(df: DataFrame, text: str) -> DataFrame:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(text, i, F.lit(3)))
-        return df.withColumn("block", F.explode(F.array_distinct(F.concat(F.split(text, " "), grams))))
-
-    asked = targets.select("target_id", norm(F.col("target")).alias("b"))
-    known = options.select(norm(F.col("option")).alias("a"), "place").where("a <> ''").groupBy("a").agg(F.min("place").alias("place"))
-    pairs = blocks(known, "a").join(blocks(asked.select("b").where("b <> ''").distinct(), "b"), "block").select("a", "place", "b").distinct()
-    a, b = F.col("a"), F.col("b")
-    gap = F.abs(F.length(a) - F.length(b))
-    words = F.split(b, " ")
-    share = F.size(F.filter(words, lambda w: F.array_contains(F.split(a, " "), w))) / F.size(words)
-    score = (
-        F.when(a == b, 1000.0).when(F.startswith(a, b) | F.startswith(b, a), 800.0 - gap).when(F.contains(a, b) | F.contains(b, a), 600.0 - gap).when(share > 0, F.floor(share * 400 + 0.5) - gap / 10).otherwise(0.0)
-    )
-    scored = pairs.withColumn("score", score).where(F.col("score") > minimum)
-    best = scored.groupBy("b").agg(F.min_by(F.struct("place", "score"), F.struct(-F.col("score"), F.col("place"))).alias("best"))
-    return asked.join(best, "b").select("target_id", "best.place", "best.score")
-
-
 def posting_detail(postings: DataFrame, jd: DataFrame, requirements: DataFrame, matches: DataFrame, citations: DataFrame) -> DataFrame:
     """One nested record a posting: text row, requirements in order, latest match and its citations."""
     from .ranking import latest_matches

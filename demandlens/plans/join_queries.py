@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..config import RankConfig
-from ..operators import joins, ranking, vectors
+from ..operators import fuzzy, joins, ranking, vectors
 from .registry import query
 
 RANK = RankConfig()
@@ -165,7 +165,7 @@ def c17(t):
     part = t.read("part")
     options = t.read("part").select(F.col("p_partkey").alias("place"), F.concat_ws(" ", "p_name", "p_type").alias("option"))
     targets = part.select(F.col("p_partkey").alias("target_id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ', ', p_type) WHEN 1 THEN p_name ELSE concat(p_type, ' ', p_name) END").alias("target"))
-    return joins.best_match(options, targets)
+    return fuzzy.best_match(options, targets)
 
 
 @query("c18_posting_detail", """SELECT p.id AS posting_id, adapter, CAST(coalesce(n, 0) AS BIGINT) AS n_requirements, m.id AS match_id, CAST(coalesce(k, 0) AS BIGINT) AS n_citations, first_skill FROM posting p LEFT JOIN jd ON jd.posting_id = p.id

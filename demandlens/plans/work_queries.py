@@ -8,7 +8,7 @@ from ..config import ReportConfig
 from ..operators import demand, joins, ranking
 from ..shared import shared_folder
 from ..sources import documents as docs
-from ..sources import feed, sinks
+from ..sources import feed, json_array, sinks
 from ..streaming import work
 from .registry import query
 
@@ -24,6 +24,20 @@ def a1(t):
     return elements.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
 
 
+@query(
+    "a1_split_scan",
+    "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey // 4096 ORDER BY c_custkey) - 1 AS BIGINT) AS pos, 'Engineer, [\"{' || c_name AS title FROM customer",
+)
+def a1_split(t):
+    """The customers as files of one array of up to 4,096 each, written out and read back in byte ranges."""
+    title = "concat('Engineer, [\"{', c_name)"
+    row = t.read("customer").selectExpr("c_custkey", "floor(c_custkey / 4096) AS g", f"to_json(named_struct('key', c_custkey, 'title', {title}, 'locations', array('a, b', '}}]'), 'more', named_struct('x', array(1, 2)))) AS raw")
+    body = F.concat(F.lit(" [\n "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "raw"))), lambda x: x["raw"]), " ,\n "), F.lit("\n]\n"))
+    folder = shared_folder(t.spark, "feeds")
+    row.groupBy("g").agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return json_array.read_json_array(t.spark, folder).select(F.expr("variant_get(element, '$.key', 'bigint')").alias("c_custkey"), "pos", F.expr("variant_get(element, '$.title', 'string')").alias("title"))
+
+
 def _elements(t):
     return feed.lines_as_elements(t.read("customer").selectExpr("c_custkey AS pos", f"CASE WHEN c_custkey % 23 = 0 THEN '\"no object\"' ELSE {_RAW} END AS line"), "line")
 
