@@ -1,16 +1,20 @@
 """Change-data operators: one full join of stored and new rows on their key, then columns that say what changes.
 
-None of these writes: the caller writes a new version of the table (a new folder or a dynamic partition overwrite), so a
-lost executor repeats a job and readers never see half of it. A dry run aggregates ``change`` instead.
+None of these writes a table: the caller does, as a new version (``sources.versions``) or bucket by bucket
+(``sources.buckets``), so a lost executor repeats a job and readers never see half of it. A dry run aggregates ``change`` instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
+
 
 def last_by_key(records: DataFrame, key: str, order: str) -> DataFrame:
     """The last record of each key in file order."""
@@ -146,6 +150,33 @@ def within_budget(rows: DataFrame, budget: float, group: str, order: Sequence[Co
     return rows.withColumn("_spent", F.coalesce(before, F.lit(0))).where(F.col("_spent") <= budget).drop("_spent")
 
 
+def run_budget(rows: DataFrame, budget: float, order: Sequence[str], cost: str, run: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Rows of each run, in order, until its spending exceeds the budget, with ``spent``, the exact sum of the costs before
+    them: the row that overspends is kept and the rest dropped. Without ``run`` all rows are one run.
+
+    A distributed prefix sum, so one run may be as large as a table: rows are dealt by ranges of (run, order) and written
+    in that order below the shared folder (or to ``path``); each range adds up its own costs; sums of the ranges before (one row a range and run) are added
+    to running sums inside each. Costs are added as decimals with nine places; null ones count as 0 and none may be negative. Rows that are
+    equal in ``order`` come in any order.
+    """
+    spark, run = rows.sparkSession, list(run)
+    path = path or shared_folder(spark, "budget")
+    dealt = rows.repartitionByRange(*run, *order).sortWithinPartitions(*run, *order)
+    dealt.withColumns({"_cost": F.coalesce(F.col(cost).cast("decimal(28,9)"), F.lit(0)), "_at": F.monotonically_increasing_id()}).write.parquet(path)
+    kept = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sums = kept.groupBy(*run, "_part").agg(F.sum("_cost").alias("_sum"))
+    earlier = Window.partitionBy(*run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).where(F.col("_start") <= budget).drop("_sum")
+    own = Window.partitionBy(*run, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    if run:
+        same = reduce(and_, (F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*run, "_part"]))
+        met = kept.alias("k").join(starts.alias("s"), same).select("k.*", "s._start")
+    else:
+        met = kept.join(starts, "_part")
+    spent = F.col("_start") + F.coalesce(F.sum("_cost").over(own), F.lit(0))
+    return met.withColumn("spent", spent).where(F.col("spent") <= budget).drop("_cost", "_at", "_part", "_start")
+
+
 def text_rows(log: DataFrame) -> DataFrame:
     """State of each posting's text after its attempts: number, last outcome, and the last success's text place."""
     ok = F.col("outcome") == "ok"

@@ -1,8 +1,12 @@
 """Set operations and change data (G, L)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import changes
+from ..shared import shared_folder
+from ..sources import buckets, versions
 from .registry import query
 
 KEY = "canonical_key"
@@ -35,6 +39,16 @@ def l1(t):
     return _upserted(t).select(KEY, "change", "title", "repost_count", F.date_format("inactive_at", "yyyy-MM-dd").alias("inactive_at"))
 
 
+@query("l1_bucketed_upsert", _CHANGE.replace("c_custkey % 7 <> 0 AS f", "c_custkey % 7 = 3 AND c_custkey % 64 < 9 AS f").replace("NOT f AND alive THEN 'deactivated'", "NOT f AND alive THEN 'kept'").replace("(s AND NOT f) THEN", "false THEN"))
+def l1_bucketed(t):
+    """A part of the feed merged into the stored table, which is in buckets: only those that it touches are rewritten."""
+    stored = _stored(t).withColumn("change", F.lit("kept"))
+    table = buckets.BucketedTable(t.spark, f"postings_{uuid.uuid4().hex}", [KEY], 16).create(stored, shared_folder(t.spark, "buckets"))
+    feed = _feed(t).where("canonical_key % 7 = 3 AND canonical_key % 64 < 9")
+    table.merge(feed, lambda old, new: changes.lifecycle_upsert(old, new, F.lit("2026-02-01").cast("timestamp"), ["company", "title"], sweep=False))
+    return table.read().select(KEY, "change", "title", "repost_count", F.date_format("inactive_at", "yyyy-MM-dd").alias("inactive_at"))
+
+
 @query("l2_ingest_counts", f"SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'reactivated') AS reactivated, count(*) FILTER (change = 'deactivated') AS deactivated FROM ({_CHANGE})")
 def l2(t):
     return changes.change_counts(_upserted(t), ["new", "updated", "reactivated", "deactivated"])
@@ -76,6 +90,16 @@ def l6(t):
     return changes.bumped_version(_plan(t), 7)
 
 
+@query("l6_version_publish", f"SELECT m.id, is_stale OR EXISTS (SELECT 1 FROM posting p WHERE p.id = m.posting_id AND inactive_at IS NULL) AS is_stale, CAST(8 AS BIGINT) AS version FROM matches m WHERE EXISTS (SELECT 1 FROM ({_PLAN}) WHERE action <> 'unchanged')")
+def l6_published(t):
+    """The evidence version and the stale matches, published together and read back."""
+    tables = versions.VersionedTables(t.spark, shared_folder(t.spark, "versions"))
+    first = tables.publish({"evidence": t.spark.range(1).selectExpr("7L AS version", "'first' AS reason"), "matches": t.matches}, tables.current())
+    versions.bump_evidence(tables, first, _plan(t), t.posting, "new documents")
+    last = tables.current()
+    return last.read("matches").select("id", "is_stale").crossJoin(F.broadcast(last.read("evidence").select("version")))
+
+
 @query("l5_reconcile_names", "SELECT name, CASE WHEN id % 6 = 0 THEN 'created' WHEN id % 7 = 0 THEN 'orphan' WHEN id % 4 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM skill WHERE NOT (id % 6 = 0 AND id % 7 = 0)")
 def l5(t):
     s = t.skill
@@ -116,6 +140,12 @@ def l10(t):
     return changes.within_budget(t.requirement.where("skill_id is not null"), 500, "skill_id", [F.asc("id")], "quantity").select("id")
 
 
+@query("l10_whole_run", "SELECT id, spent FROM (SELECT id, coalesce(CAST(sum(quantity) OVER (ORDER BY id, quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0) AS spent FROM requirement) WHERE spent <= 60000")
+def l10_whole(t):
+    """All requirements as one run."""
+    return changes.run_budget(t.requirement, 60_000, ["id", "quantity"], "quantity").select("id", F.col("spent").cast("double").alias("spent"))
+
+
 @query("l11_candidate_triage", """SELECT raw_norm, decision, CASE WHEN NOT known THEN 'unknown' WHEN decision = 'reject' THEN 'rejected' WHEN length(raw_norm) > 128 THEN 'too_long' WHEN taken THEN 'alias_taken' ELSE 'accepted' END AS result
   FROM (SELECT CASE WHEN p_partkey % 13 = 0 THEN repeat('x', 129) || p_partkey ELSE lower(p_name) || ' ' || p_partkey END AS raw_norm, CASE WHEN p_partkey % 4 = 0 THEN 'reject' ELSE 'approve' END AS decision, p_partkey % 9 <> 0 AS known, p_partkey % 13 <> 0 AS taken FROM part)""")
 def l11(t):
