@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
+from .similarity import DIMENSIONS, TEXTS_AT_ONCE, Bound, KeyFilter, Pairwise, linked, small_batches
 from .words import U, mix, shingles
 
 
@@ -177,7 +177,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     id never names a component unless its component has no other. Repeated rows give repeated rows.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    profiles = scratch.save(set_profiles(docs, n, id_col, text_col), "profiles")
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        profiles = scratch.save(set_profiles(docs, n, id_col, text_col), "profiles")
     found = linked(_cells(docs, n, percent, text_col), lambda wanted: _describe(docs, n, text_col, wanted), Bound(100 + percent, percent), JaccardAtLeast(percent), scratch)
     classes = profiles.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"))
     if found is not None:

@@ -31,6 +31,8 @@ DIMENSIONS = 128
 LEAF, LEAF_BYTES, FANOUT = 128, 1 << 19, 32
 #: Pairs of leaves, of which each side may have LEAF_BYTES and one object more, that a task reads at once.
 PAIRS_AT_ONCE = 32
+#: Whole texts that a task reads at once.
+TEXTS_AT_ONCE = 1000
 #: Bits of the filter of member keys, whatever their number: 8 MB. Beyond some 10 million members it lets others pass too, which costs time only.
 FILTER_BITS = 1 << 26
 
@@ -160,11 +162,11 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Fewer rows at once for the Python workers, while a table of large rows is written."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(PAIRS_AT_ONCE))
+    spark.conf.set(key, str(rows))
     try:
         yield
     finally:
@@ -242,21 +244,26 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     these. ``describe(filter)``: key, n, slack, vec (array of DIMENSIONS counts) and payload of at
     least the objects whose keys the filter has; rows may repeat. ``verify`` decides on two payloads.
     """
+    spark = cells.sparkSession
     by_cell = Window.partitionBy("sig").orderBy("key")
     first, after = F.first("key").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)), F.lead("key").over(by_cell)
     counted = "need" in cells.columns
     met = cells.withColumn("hub", first).withColumn("after", after).where("hub <> key or after <> key").drop("hub", "after").distinct()
     if counted:  # members of too few shared cells have no similar object; cells of one are left out then
-        met = every = scratch.save(met, "met")
+        with small_batches(spark, TEXTS_AT_ONCE):
+            met = every = scratch.save(met, "met")
         enough = met.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("key", "tag")
         met = met.join(enough, ["key", "tag"], "left_semi")
-    shared = scratch.save(met.select("sig", "key").withColumn("hub", first).where("hub <> key"), "shared")
+    with small_batches(spark, TEXTS_AT_ONCE):
+        shared = scratch.save(met.select("sig", "key").withColumn("hub", first).where("hub <> key"), "shared")
     if counted:
         scratch.drop(every)
     if shared.isEmpty():
         return None
     members = shared.select("key").union(shared.select("hub")).distinct()
-    described = scratch.save(describe(key_filter(members)).join(members, "key", "left_semi").dropDuplicates(["key"]), "members")
+    wanted = key_filter(members)
+    with small_batches(spark, TEXTS_AT_ONCE):
+        described = scratch.save(describe(wanted).join(members, "key", "left_semi").dropDuplicates(["key"]), "members")
     point = described.select("key", "n", "slack", "vec")
 
     star = shared.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
@@ -274,7 +281,7 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
         grouped = opened.groupBy("key").agg(F.min("hub").alias("group"), F.min("comp").alias("comp"))
         leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "slack", "vec", "payload")), "leaves")
         pairs = _leaf_pairs(leaves, opened.select("key", "hub", "hub_comp"), bound, scratch)
-        with _small_batches(cells.sparkSession):
+        with small_batches(spark, PAIRS_AT_ONCE):
             new = scratch.save(_search(pairs, leaves, bound, verify), "links")
         if not new.isEmpty():
             comps = scratch.save(connected_components(links.unionByName(new), scratch), "comps")

@@ -239,6 +239,8 @@ class ForwardTrie:
         total = sum(map(self.counts.__getitem__, short))
         for word in words if len(short) < len(words) else ():
             if len(word) > self.depth:
+                if len(self.kids) > self.nodes:
+                    self.clear()
                 total += self.insert(word)
         return total
 

@@ -407,3 +407,12 @@ def test_urls_of_many_labels(spark):
         longest = max(held, key=len, default=None)
         assert (r.host, r.n_active, r.pattern) == (hosts[r.page_id], len(held), longest)
         assert r.kept == (longest is None or longest.count(".") == 9)
+
+
+def test_the_trie_of_long_words_is_bounded(model):
+    rng = random.Random(3)
+    trie = ForwardTrie(model, nodes=1000)
+    for _ in range(300):
+        word = "".join(rng.choice("abcdef") for _ in range(80))
+        assert trie.count([word]) == len(model.segment(word))
+        assert len(trie.kids) <= 1000 + trie.depth + 1
