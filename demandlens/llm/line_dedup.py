@@ -1,4 +1,4 @@
-"""Line dedup by a segment-partition edit join, of characters for short lines and of words for long ones (operator 9)."""
+"""Line dedup by a segment-partition edit join, by characters for all lines and by words too for long ones (operator 9)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .components import connected_components
 from .ngram_join import Seen
 from .scratch import Scratch
 from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
@@ -25,12 +26,14 @@ CHUNK = 1_000_000
 
 @dataclass(frozen=True)
 class LineConfig:
-    """Lines of under ``long_words`` words are compared with each other by characters, longer ones with each other by words."""
-
-    max_edits: int = 2  # insertions, deletions and replacements of code points
-    min_chars: int = 1  # lines with a word and this many characters are compared, and equal ones found
-    near_chars: int = 24  # of shorter lines only equal ones are found
-    #: From so many words on, edits are those of words: max_edits, and one more each time the words are four times as many.
+    """Two lines are near if they are within a few edits of characters, or, if both have ``long_words`` words, of words. The
+    shorter of the two says how many."""
+
+    max_edits: int = 2  # insertions, deletions and replacements of code points, from full_chars characters on
+    full_chars: int = 24  # shorter lines may have one edit less
+    near_chars: int = 8  # and still shorter ones none: they are equal or not
+    min_chars: int = 1  # lines with a word and this many characters are compared
+    #: From so many words on, lines may have edits of words: max_edits, and one more each time the words are four times as many.
     long_words: int = 25
 
     def word_edits(self, words: np.ndarray) -> np.ndarray:
@@ -39,7 +42,12 @@ class LineConfig:
         return np.where(times > 0, self.max_edits + np.floor(np.log2(np.maximum(times, 1))).astype(np.int64) // 2, -1)
 
     def char_edits(self, chars: np.ndarray) -> np.ndarray:
-        return np.where(chars >= self.near_chars, self.max_edits, -1)
+        return np.where(chars >= self.full_chars, self.max_edits, np.where(chars >= self.near_chars, self.max_edits - 1, -1))
+
+    @property
+    def both_words(self) -> int:
+        """Lines with fewer words can be near one that isn't long: an edit of a character makes at most one word more or less."""
+        return self.long_words + self.max_edits
 
 
 _WORDS: list[np.ndarray] = []
@@ -89,7 +97,8 @@ class Lines:
         return starts, ends - starts
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
-        return span_hashes(self.raw, self.raw_starts[rows], self.raw_starts[rows] + self.raw_size[rows]).view(np.int64)
+        """Even numbers; the odd one that follows stands for the same line among the long ones."""
+        return span_hashes(self.raw, self.raw_starts[rows], self.raw_starts[rows] + self.raw_size[rows]).view(np.int64) & ~np.int64(1)
 
     def compared(self, cfg: LineConfig) -> np.ndarray:
         """Numbers of the lines that hold a word and enough characters."""
@@ -253,14 +262,17 @@ def _line_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
             if not new.any():
                 continue
             at, keys = at[new], keys[new]
-            long = lines.n_words[at] >= cfg.long_words
+            n, size = lines.n_words[at], lines.size[at]
+            short, long = (size >= cfg.near_chars) & (n < cfg.both_words), n >= cfg.long_words
             sigs, owners = [], []
-            for salt, own, values, first, size, edits in (
-                (0, ~long, lines.codes.astype(U), lines.starts, lines.size, cfg.char_edits),
-                (0xA24BAED4963EE407, long, lines.words, lines.first_word, lines.n_words, cfg.word_edits),
+            codes = Run(lines.codes.astype(U))
+            for salt, own, kind, run_, first, length, edits in (
+                (0, short, 0, codes, lines.starts, lines.size, cfg.char_edits),
+                (0x6C62272E07BB0142, long & (size >= cfg.near_chars), 1, codes, lines.starts, lines.size, cfg.char_edits),
+                (0xA24BAED4963EE407, long, 1, Run(lines.words) if long.any() else None, lines.first_word, lines.n_words, cfg.word_edits),
             ):
-                rows, key = at[own], keys[own]
-                for i, cell in cells(Run(values), first[rows], size[rows], edits) if len(rows) else ():
+                rows, key = at[own], keys[own] | kind
+                for i, cell in cells(run_, first[rows], length[rows], edits) if len(rows) else ():
                     sigs.append(cell ^ U(salt))
                     owners.append(key[i])
             if sigs:
@@ -270,8 +282,11 @@ def _line_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
 
 
 def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter) -> DataFrame:
-    """Of wanted lines: length, twice the edits that they may have, characters or words counted in groups, and these themselves (after a
-    byte that tells which)."""
+    """Of wanted lines: length, twice the edits that they may have, characters or words counted in groups, and these themselves.
+
+    A line among the short ones counts characters. One among the long ones counts words, of which an edit of a character
+    takes or adds three at most (two become one); its words' hashes come before its text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +294,22 @@ def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter
         for _, _, lines in chunked(batches):
             at = lines.near_rows(cfg)
             keys = lines.keys(at)
-            ok = shared.value.has(keys)
             rows = []
-            for i, key in zip(at[ok].tolist(), keys[ok].tolist()):
-                if seen.first(key):
-                    if (n := int(lines.n_words[i])) >= cfg.long_words:
-                        w = lines.words[lines.first_word[i] : lines.first_word[i] + n]
-                        own, edits, group = b"w" + w.tobytes(), cfg.word_edits(np.array([n]))[0], (w & U(DIMENSIONS - 1)).astype(np.int64)
-                    else:
+            for kind in (0, 1):
+                words = lines.n_words[at]
+                ok = shared.value.has(keys | kind) & (words >= cfg.long_words if kind else (words < cfg.both_words) & (lines.size[at] >= cfg.near_chars))
+                for i, key in zip(at[ok].tolist(), (keys[ok] | kind).tolist()):
+                    if seen.first(key):
                         s, n = int(lines.starts[i]), int(lines.size[i])
-                        own, edits, group = b"c" + lines.text[s : s + n].encode("utf-8", "replace"), cfg.max_edits, lines.codes[s : s + n] & (DIMENSIONS - 1)
-                    rows.append((key, n, 2 * int(edits), np.bincount(group, minlength=DIMENSIONS).tolist(), own))
+                        text, slack = lines.text[s : s + n].encode("utf-8", "replace"), 2 * int(cfg.char_edits(lines.size[i : i + 1])[0])
+                        if kind:
+                            n = int(lines.n_words[i])
+                            w = lines.words[lines.first_word[i] : lines.first_word[i] + n]
+                            own, group = b"w" + np.uint32(n).tobytes() + w.tobytes() + text, (w & U(DIMENSIONS - 1)).astype(np.int64)
+                            slack = max(2 * int(cfg.word_edits(np.array([n]))[0]), 3 * cfg.max_edits)
+                        else:
+                            own, group = b"c" + text, lines.codes[s : s + n] & (DIMENSIONS - 1)
+                        rows.append((key, n, slack, np.bincount(group, minlength=DIMENSIONS).tolist(), own))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()))], ["key", "n", "slack", "vec", "payload"])
 
@@ -300,24 +320,42 @@ class WithinEdits(Pairwise):
     def __init__(self, cfg: LineConfig):
         self.cfg = cfg
 
+    def near(self, a: str, b: str) -> bool:
+        edits = int(self.cfg.char_edits(np.array([min(len(a), len(b))]))[0])
+        return edits >= 0 and within(a, b, edits)
+
     def __call__(self, x: bytes, y: bytes) -> bool:
         if x[:1] != y[:1]:
             return False
         if x[:1] == b"c":
-            return within(x[1:].decode(), y[1:].decode(), self.cfg.max_edits)
-        a, b = (np.frombuffer(z, dtype=U, offset=1).tolist() for z in (x, y))
-        return within(a, b, int(self.cfg.word_edits(np.array([min(len(a), len(b))]))[0]))
+            return self.near(x[1:].decode(), y[1:].decode())
+        n, m = (int(np.frombuffer(z, dtype=np.uint32, count=1, offset=1)[0]) for z in (x, y))
+        a, b = (np.frombuffer(z, dtype=U, count=k, offset=5).tolist() for z, k in ((x, n), (y, m)))
+        if within(a, b, int(self.cfg.word_edits(np.array([min(n, m)]))[0])):
+            return True
+        return self.near(x[5 + 8 * n :].decode(), y[5 + 8 * m :].decode())
+
+
+def _of_lines(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """key and comp of lines, from components in which a line may stand twice (see Lines.keys)."""
+    lines = found.select(F.expr("key & -2L").alias("key"), "comp")
+    twice = scratch.save(lines.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b"), "twice")
+    if twice.isEmpty():
+        return lines.dropDuplicates(["key"])
+    joined = connected_components(twice.select("a", "b"), scratch).select(F.col("key").alias("comp"), F.col("comp").alias("whole"))
+    return lines.join(joined, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp")).dropDuplicates(["key"])
 
 
 def repeated_lines(docs: DataFrame, cfg: LineConfig, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """doc_key and ``dropped`` (sorted line numbers, from 0): lines that equal or nearly equal an earlier one.
 
-    Groups are the components of lines within their edits of each other (see LineConfig); the first line by (id, document key, line number) stays.
+    Groups are the components of lines near each other (see LineConfig); the first line by (id, document key, line number) stays.
     """
     lines = scratch.save(line_rows(docs, cfg, id_col, text_col), "lines")
     groups = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("key").alias("comp"))
     found = linked(_line_cells(docs, cfg, text_col), lambda wanted: _describe(docs, cfg, text_col, wanted), Bound(2, 1), WithinEdits(cfg), scratch)
     if found is not None:
+        found = scratch.save(_of_lines(found, scratch), "near")
         groups = groups.join(found.select("key"), "key", "left_anti").unionByName(found.select("key", "comp"))
     # only the lines of groups go on: those that stand once and have no near copy are most of all
     own = scratch.save(lines.join(groups, "key").select("comp", "doc", "line_no"), "own")
@@ -330,7 +368,7 @@ def drop_repeated_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col:
     """All rows and columns, with repeated lines taken out of the text, and ``n_lines`` and ``dropped`` (line numbers).
 
     Lines are the parts of a text between line feeds. Rows that repeat id and text are one document: they lose the same
-    lines. Null texts stay null (no lines), empty ones have one empty line. Columns of the input named n_lines or
+    lines. Null texts stay null (no lines), empty ones have one empty line; an empty table gives an empty one. Columns of the input named n_lines or
     dropped are replaced.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")

@@ -50,6 +50,68 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def near(a, b, cfg):
+    """The relation of lines, in both units."""
+    v, w = a.split(), b.split()
+    m, n = min(len(v), len(w)), min(len(a), len(b))
+    if a == b or (m >= cfg.long_words and edit_distance(v, w) <= cfg.word_edits(np.array([m]))[0]):
+        return True
+    return abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= cfg.char_edits(np.array([n]))[0]
+
+
+def components(texts, cfg):
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(texts[i], texts[j], cfg):
+                x, y = sorted((root(i), root(j)))
+                group[y] = x
+    return [root(i) for i in range(len(texts))]
+
+
+def dropped(spark, texts):
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {x.doc_id for x in out if x.dropped}
+
+
+def test_blanks_put_into_lines_of_any_length(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 8)))
+    base = {n: [word() for _ in range(n)] for n in (3, 24, 25, 26, 40, 110)}
+    split = lambda w, n: " ".join(x[:2] + " " + x[2:] if i < n else x for i, x in enumerate(w))
+    texts = [" ".join(w) for w in base.values()] + [split(base[24], 1), split(base[24], 2), split(base[40], 2), split(base[110], 2), split(base[25], 1), split(base[26], 2)]
+    assert dropped(spark, texts) == set(range(6, 12))
+    assert dropped(spark, [split(base[40], 3), " ".join(base[40])]) == set()
+
+
+def test_short_lines_have_fewer_edits(spark):
+    texts = ["Home", "Hume", "Contact", "Contacts", "Read more", "Read mire", "Read  mire!", "Privacy policy and terms", "Privacy policy end terme", "Privacy polici end terme"]
+    # under 8 characters none, under 24 one, then two; chains count
+    assert dropped(spark, texts) == {5, 8, 9} == {i for i, x in enumerate(components(texts, line_dedup.LineConfig())) if x != i}
+
+
+def test_both_units_by_brute_force(spark):
+    r, cfg = random.Random(21), line_dedup.LineConfig()
+    texts = []
+    for n in (2, 4, 22, 23, 24, 25, 26, 27, 28, 30, 52, 101):
+        base = [r.choice(["the", "of", f"b{n}", f"c{r.randrange(60)}"]) for _ in range(n)]
+        for _ in range(9):
+            line = " ".join(changed(r, base, 2)) if r.random() < 0.4 else " ".join(base)
+            for _ in range(r.randint(0, 3)):
+                i = r.randrange(len(line))
+                line = line[:i] + r.choice(["", " ", "x", line[i] + " "]) + line[i + 1 :]
+            texts.append(" ".join(line.split()))
+    r.shuffle(texts)
+    wanted = {i for i, x in enumerate(components(texts, cfg)) if x != i}
+    assert dropped(spark, texts) == wanted and len(wanted) > 30
+
+
 def changed(r, words, most):
     w = list(words)
     for _ in range(r.randint(0, most)):
@@ -64,19 +126,6 @@ def test_long_lines_by_brute_force(spark):
     lines = [w for b in bases for w in [b, *(changed(r, b, 6) for _ in range(9))]]
     r.shuffle(lines)
     texts = [" ".join(w) for w in lines]
-    group = list(range(len(lines)))
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(lines)):
-        for j in range(i):
-            m, most = min(len(lines[i]), len(lines[j])), max(len(lines[i]), len(lines[j]))
-            if texts[i] == texts[j] or (m >= 25 and edit_distance(lines[i], lines[j]) <= cfg.word_edits(np.array([m]))[0]) or (most < 25 and edit_distance(texts[i], texts[j]) <= 2):
-                x, y = sorted((root(i), root(j)))
-                group[y] = x
-    wanted = {i for i in range(len(lines)) if root(i) != i}
+    wanted = {i for i, x in enumerate(components(texts, cfg)) if x != i}
     out = line_dedup.drop_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {x.doc_id for x in out if x.dropped} == wanted and 20 < len(wanted) < len(lines) - len(bases)

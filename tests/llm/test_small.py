@@ -344,7 +344,7 @@ def test_lines_that_are_near_share_a_cell():
         if "\n" not in b and edit_distance(a, b) <= 2:
             lines = line_dedup.Lines([a, b])
             own = {0: set(), 1: set()}
-            for rows, cell in line_dedup.cells(line_dedup.Run(lines.codes.astype(np.uint64)), lines.starts, lines.size, line_dedup.LineConfig(near_chars=0).char_edits):
+            for rows, cell in line_dedup.cells(line_dedup.Run(lines.codes.astype(np.uint64)), lines.starts, lines.size, line_dedup.LineConfig(near_chars=0, full_chars=0).char_edits):
                 for i, c in zip(rows.tolist(), cell.tolist()):
                     own[i].add(c)
             assert own[0] & own[1], (a, b)
@@ -367,7 +367,7 @@ def test_line_dedup_is_exact(spark):
         return x
 
     for a, b in itertools.combinations(distinct, 2):
-        if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= 2:
+        if abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= cfg.char_edits(np.array([min(len(a), len(b))]))[0]:
             group[root(a)] = root(b)
     dropped, seen = {}, set()
     for last, i, n, x in sorted(places):
