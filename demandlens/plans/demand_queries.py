@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ReportConfig
 from ..functions import columns as fn
-from ..operators import demand
+from ..operators import demand, sketches
 from .registry import query
 
 REPORT = ReportConfig()
@@ -215,6 +215,26 @@ def d24(t):
     return demand.percentiles(t.fetch_log).withColumns({"p50": F.round("p50", 6), "p99": F.round("p99", 6)})
 
 
+@query("d24_latency_sketch", "SELECT host, count(*) AS n, round(min(seconds), 6) AS least, round(max(seconds), 6) AS most, true AS p50_near, true AS p99_near FROM fetch_log WHERE at >= TIMESTAMP '2024-01-03' AND at < TIMESTAMP '2024-01-20' AND seconds IS NOT NULL GROUP BY host")
+def d24_sketch(t):
+    """A window's percentiles from daily sketches; whether their true ranks are within the stated error is counted over all rows."""
+    at = {"p50": 0.5, "p99": 0.99}
+    found = sketches.quantiles(sketches.daily_quantiles(t.fetch_log, "host", "seconds", "at"), "host", at, "2024-01-03", "2024-01-20")
+    own = t.fetch_log.where("at >= timestamp'2024-01-03' AND at < timestamp'2024-01-20' AND seconds IS NOT NULL").join(F.broadcast(found), "host")
+    far = [(F.abs(F.count_if(F.col("seconds") <= F.col(name)) / F.count(F.lit(1)) - q) <= sketches.rank_error() + 1 / F.count(F.lit(1))).alias(f"{name}_near") for name, q in at.items()]
+    return own.groupBy("host").agg(F.first("n").alias("n"), F.round(F.first("least"), 6).alias("least"), F.round(F.first("most"), 6).alias("most"), *far)
+
+
+@query("d11_window_sketch", "SELECT user_id AS skill_id, count(*) AS n, true AS near FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY user_id")
+def d11_sketch(t):
+    """Distinct postings of a skill in a window, from daily sketches, against an exact count."""
+    mentions = _mentions(t)
+    daily = sketches.daily_distinct(mentions, "skill_id", "posting_id", "first_seen_at", {"required": F.col("importance") == "required"})
+    exact = mentions.where("first_seen_at >= timestamp'2024-01-01' AND first_seen_at < timestamp'2024-01-31'").groupBy("skill_id").agg(F.countDistinct("posting_id").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1), F.col("exact") * 4 * sketches.relative_error())
+    return sketches.distinct_counts(daily, "skill_id", "2024-01-01", "2024-01-31").join(exact, "skill_id").select("skill_id", "n", near.alias("near"))
+
+
 @query(
     "d25_funnel_readback",
     """SELECT row_number() OVER (ORDER BY coalesce(ord, 2), metric) AS place, metric, value FROM (SELECT metric, arg_max(value, (recorded_at, id)) AS value FROM run_metric GROUP BY metric)
