@@ -9,7 +9,7 @@ from ..operators import demand, joins, ranking
 from ..shared import shared_folder
 from ..sources import documents as docs
 from ..sources import feed, json_array, sinks
-from ..streaming import work
+from ..streaming import stateful, work
 from .registry import query
 
 _RAW = "to_json(named_struct('id', CASE WHEN c_custkey % 5 <> 0 THEN concat('k', c_custkey) ELSE '' END, 'company_name', c_name, 'title', CASE WHEN c_custkey % 17 <> 0 THEN 'Engineer, Summer 2027' ELSE '' END, 'url', concat('https://www.x.example.com/', c_custkey, '/'), 'category', 'Software', 'active', c_custkey % 3 <> 0, 'date_posted', 1700000000 + c_custkey, 'locations', array('Remote in USA', ' ')))"
@@ -173,6 +173,25 @@ def i3_stream(t):
     return every.groupBy("message_id").agg(F.max_by(F.struct("state", "attempts", "reason"), "batch").alias("s")).select("message_id", "s.*")
 
 
+def _run_states(t):
+    """The attempts of all events through typed state; the folder of the query."""
+    folder = shared_folder(t.spark, "states")
+    stream = _stream(t, "events").selectExpr("user_id * 100 + event_id % 100 AS message_id", "event_id AS id", "cast(ts AS timestamp) AS at", "CASE event_type WHEN 'signup' THEN 'ok' WHEN 'click' THEN 'permanent' ELSE 'failed' END AS outcome")
+    stateful.run_retries(stream, folder, work.batch_folder(f"{folder}/out")).awaitTermination()
+    return folder
+
+
+@query("i3_retry_state", _RETRY)
+def i3_state(t):
+    """The state that a stream with typed state has come to, read from its state store."""
+    return stateful.state_of(t.spark, _run_states(t)).drop("last")
+
+
+@query("i5_state_health", f"SELECT count(*) AS depth, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'dead') AS dead_letters FROM ({_RETRY})")
+def i5_state(t):
+    return stateful.state_health(t.spark, _run_states(t)).drop("oldest_pending")
+
+
 @query("i4_reclaim_idle", "SELECT user_id AS message_id, count(*) AS claims FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 5 = 0) GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-29 12:00:00'")
 def i4(t):
     e = t.read("events")
