@@ -8,7 +8,7 @@ from ..config import ReportConfig
 from ..operators import demand, joins, ranking
 from ..shared import shared_folder
 from ..sources import documents as docs
-from ..sources import feed, json_array, sinks
+from ..sources import feed, json_array, sinks, spool
 from ..streaming import stateful, work
 from .registry import query
 
@@ -110,6 +110,18 @@ def a9(t):
     return sinks.to_payload(todo.select(F.col("id").alias("posting_id"), "company", "title"))
 
 
+@query("a9_spooled_payloads", "SELECT event_id AS id, user_id AS posting_id FROM events WHERE event_type <> 'error'")
+def a9_spooled(t):
+    """Messages of all events through the spool; those that can't be decoded go on into a second one, as dead letters."""
+    folder = shared_folder(t.spark, "spool")
+    t.spark.dataSource.register(spool.SpoolSource)
+    messages = t.read("events").selectExpr("event_id AS id", "CASE event_type WHEN 'error' THEN 'broken' ELSE to_json(named_struct('posting_id', user_id, 'title', event_type)) END AS payload")
+    messages.write.format("spool").mode("append").save(f"{folder}/jobs")
+    good, bad = work.decoded(t.spark.read.format("spool").load(f"{folder}/jobs"))
+    bad.write.format("spool").mode("append").save(f"{folder}/dead")
+    return good.select("id", "posting_id")
+
+
 @query("j3_adapter_registry", "SELECT CASE WHEN adapter IS NULL THEN 'unknown' ELSE adapter END AS adapter, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(url, '^https?://[^/]*building') THEN 'board_a' WHEN regexp_matches(url, '^https?://[^/]*machinery') THEN 'board_b' ELSE 'fallback' END AS adapter FROM posting) GROUP BY 1")
 def j3(t):
     """Another domain is another row of rules, here made from the postings' own hosts."""
