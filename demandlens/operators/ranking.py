@@ -24,14 +24,19 @@ def stale_sweep(matches: DataFrame, postings: DataFrame, n: int) -> DataFrame:
     return waiting.orderBy("since", "posting_id").limit(n).select("posting_id")
 
 
-def tag_hits(texts: DataFrame, bullets: DataFrame) -> DataFrame:
+#: Tags of a library that is sent to every task; those of a larger one meet the words by a shuffle.
+SENT_TAGS = 100_000
+
+
+def tag_hits(texts: DataFrame, bullets: DataFrame, most: int = SENT_TAGS) -> DataFrame:
     """text_id, bullet_id, tag: tags of bullets (one word each) that the text has as a word.
 
-    Words of texts and tags meet by equality; a text's words are made distinct first, so a frequent word is one row a text.
+    Words of texts and tags meet by equality; a text's words are made distinct first, so a frequent word is one row a text. Tags
+    are counted when the plan is built; up to ``most`` go to every task, so that only hits leave a text's row.
     """
     words = texts.select("text_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#./-]+"))).alias("tag")).where("tag <> ''")
     tags = bullets.select("entry_id", "bullet_id", F.explode(F.array_distinct("tags")).alias("tag")).withColumn("tag", F.lower("tag"))
-    return words.join(tags, "tag")
+    return words.join(F.broadcast(tags) if tags.limit(most + 1).count() <= most else tags, "tag")
 
 
 def select_content(texts: DataFrame, bullets: DataFrame, entries: int = 3, per_entry: int = 2, total: int = 5) -> DataFrame:

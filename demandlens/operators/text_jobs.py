@@ -418,7 +418,9 @@ def validate_rewrites(candidates: DataFrame, sources: DataFrame) -> DataFrame:
 def extraction_quality(labels: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Per document: labels, those found (one text holds the other after folding) and those found with the same importance."""
     fold = lambda c: F.lower(inline_collapsed(c))
-    a = labels.select(key, F.monotonically_increasing_id().alias("label"), fold(F.col("raw_text")).alias("wanted"), F.col("importance").alias("wanted_importance"))
+    a = labels.select(key, fold(F.col("raw_text")).alias("wanted"), F.col("importance").alias("wanted_importance"))
+    # numbered within a document, so that both uses number alike; equal labels may change places
+    a = a.withColumn("label", F.row_number().over(Window.partitionBy(key).orderBy("wanted", "wanted_importance")))
     b = rows.select(key, fold(F.col("raw_text")).alias("got"), "importance")
     hits = a.join(b, key).where(F.contains("got", "wanted") | F.contains("wanted", "got")).groupBy(key, "label").agg(F.max((F.col("importance") == F.col("wanted_importance")).cast("int")).alias("same"))
     return a.join(hits, [key, "label"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.count("same").alias("found"), F.coalesce(F.sum("same"), F.lit(0)).alias("agreed"))

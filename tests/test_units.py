@@ -348,3 +348,19 @@ def test_citations_of_every_outcome(spark):
     assert {r.response_id: r.outcome for r in verdicts.collect()} == wanted
     got = {tuple(r) for r in accepted.select("response_id", "requirement_id", "skill_id", "status", "chunk_id", "answered").collect()}
     assert got == {(0, 10, 100, "evidenced", 7, True), (0, 11, None, "weak", None, True), (0, 12, 101, "absent", None, False)} | {(1, i, s, "absent", None, False) for i, s in ((10, 100), (11, None), (12, 101))}
+
+
+def test_tags_meet_words_either_way(spark):
+    from demandlens.operators import ranking
+
+    texts = spark.createDataFrame([(1, "Go and C++ and go"), (2, "java"), (3, None)], "text_id int, text string")
+    bullets = spark.createDataFrame([(1, 1, ["go", "Go", "java"]), (1, 2, ["c++"])], "entry_id int, bullet_id int, tags array<string>")
+    both = [sorted((r.text_id, r.bullet_id, r.tag) for r in ranking.tag_hits(texts, bullets, most).collect()) for most in (100, 0)]
+    assert both[0] == both[1] and set(both[0]) == {(1, 1, "go"), (1, 2, "c++"), (2, 1, "java")}
+
+
+def test_equal_labels_count_each(spark):
+    labels = spark.createDataFrame([(1, "Use Go", "required"), (1, "Use Go", "required"), (1, "Rust", "preferred"), (2, "x", "required")], "doc int, raw_text string, importance string").repartition(3)
+    rows = spark.createDataFrame([(1, "use  go daily", "required"), (1, "rust", "required")], "doc int, raw_text string, importance string")
+    got = {tuple(r) for r in text_jobs.extraction_quality(labels, rows, "doc").collect()}
+    assert got == {(1, 3, 3, 2), (2, 1, 0, 0)}
