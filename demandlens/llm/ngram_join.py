@@ -174,7 +174,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     Sets of n-word shingles of lower-cased whole texts; texts without words (null, empty) are linked with nothing and
     are their own components. Equal sets are one class from the first step on, so copies cost nothing further. Ids should be integers; a null
-    id never names a component unless its component has no other. Repeated rows give repeated rows.
+    id never names a component unless its component has no other. Repeated rows give repeated rows; other columns are
+    ignored; an empty table gives an empty one. Texts are read whole, one at a time.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
     with small_batches(docs.sparkSession, TEXTS_AT_ONCE):

@@ -30,7 +30,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
     An entry matches a host that is its pattern or ends with a dot and it. Of the entries that hold, the longest pattern
     decides; of equal ones 'allow' goes before 'block'. Captures without a valid host or time match nothing and are kept
-    only if they have a host. Repeated captures give repeated rows.
+    only if they have a host. Repeated captures give repeated rows. Other columns are ignored; an empty table of captures
+    gives an empty one, without entries nothing is active.
 
     Captures meet entries by host, not row by row: the distinct (host, time) pairs are made first with a map-side
     combine, each looks up its suffixes (an equi-join on the pattern, whose interval test is the as-of condition), and
