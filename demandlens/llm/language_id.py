@@ -170,7 +170,7 @@ def language_id(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col:
     """Trains on the rows that aren't held out and predicts all: id, held_out, lang_pred, score.
 
     The language column must hold strings. Null texts and texts without a letter are 'und' with score 0. Texts are read whole, however long, one
-    at a time. Repeated rows count as often as they occur and give repeated rows; a null id isn't held out; other columns are
+    at a time. Repeated rows count as often as they occur and give repeated rows; a row without an id is held out; other columns are
     ignored; an empty table gives an empty one, and without any language to learn all texts are 'und'.
     """
     out = held_out(id_col, cfg.folds)
