@@ -215,7 +215,7 @@ def d24(t):
     return demand.percentiles(t.fetch_log).withColumns({"p50": F.round("p50", 6), "p99": F.round("p99", 6)})
 
 
-@query("d24_latency_sketch", "SELECT host, count(*) AS n, round(min(seconds), 6) AS least, round(max(seconds), 6) AS most, true AS p50_near, true AS p99_near FROM fetch_log WHERE at >= TIMESTAMP '2024-01-03' AND at < TIMESTAMP '2024-01-20' AND seconds IS NOT NULL GROUP BY host")
+@query("d24_latency_sketch", "SELECT host, count(*) AS n, round(min(seconds), 6) AS least, round(max(seconds), 6) AS most, true AS p50_near, true AS p99_near FROM fetch_log f WHERE f.at >= TIMESTAMP '2024-01-03' AND f.at < TIMESTAMP '2024-01-20' AND seconds IS NOT NULL GROUP BY host")
 def d24_sketch(t):
     """A window's percentiles from daily sketches; whether their true ranks are within the stated error is counted over all rows."""
     at = {"p50": 0.5, "p99": 0.99}
