@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CREDIT, DROP_REASONS, FLAGS, MATCH_WEIGHTS, ReportConfig
 from ..functions.columns import ranked
+from ..shared import shared_folder
 from .filters import active, eligible, report_eligible
 
 
@@ -50,8 +51,12 @@ def gap_totals(postings: DataFrame, requirements: DataFrame, cfg: ReportConfig,
     counts = counted.agg(
         F.count(F.lit(1)).alias("eligible_posting_count"), total("n").alias("total_requirement_count"), total("mapped").alias("mapped_requirement_count"), (total("n") - total("mapped")).alias("unmapped_requirement_count")
     )
-    own = (version if version is not None else postings.sparkSession.range(0).withColumnRenamed("id", "version")).agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("evidence_version"))
-    return counts.crossJoin(own)  # one row each
+    return counts.crossJoin(_version(postings.sparkSession, version))  # one row each
+
+
+def _version(spark: SparkSession, version: DataFrame | None) -> DataFrame:
+    known = version if version is not None else spark.range(0).withColumnRenamed("id", "version")
+    return known.agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("evidence_version"))
 
 
 def gap_order() -> list[Column]:
@@ -63,11 +68,39 @@ def with_totals(listed: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(listed, F.lit(True), "left")
 
 
-def gap_report(postings: DataFrame, requirements: DataFrame, skills: DataFrame, matches: DataFrame, citations: DataFrame, cfg: ReportConfig, version: DataFrame | None = None) -> DataFrame:
-    """Demand for each actionable skill among eligible postings with its evidence status; gaps are 'absent' or 'weak'."""
-    histogram = importance_histogram(eligible_requirements(postings, requirements, cfg))
+def demand_by_skill(postings: DataFrame, requirements: DataFrame, cfg: ReportConfig) -> DataFrame:
+    """Per skill (null for unmapped requirements and for postings without any): the histogram of its requirements among eligible
+    postings, all of these requirements (n), and ``postings``, in which each eligible posting counts for one of its skills.
+
+    Postings are judged and joined once; what follows keeps their partitioning until it is one row a skill.
+    """
+    names = ("required", "preferred", "mentioned")
+    asked = requirements.select("posting_id", "skill_id", "importance", F.lit(1).alias("asked"))
+    own = eligible(postings, cfg).select(F.col("id").alias("posting_id")).join(asked, "posting_id", "left")
+    pairs = own.groupBy("posting_id", "skill_id").agg(F.count("asked").alias("n"), *(F.count_if(F.col("importance") == i).alias(f"{i}_count") for i in names))
+    first = F.row_number().over(Window.partitionBy("posting_id").orderBy("skill_id")) == 1
+    return pairs.withColumn("first", first).groupBy("skill_id").agg(
+        *(F.sum(f"{i}_count").alias(f"{i}_count") for i in names), F.count_if(F.col("n") > 0).alias("posting_count"), F.sum("n").alias("n"), F.count_if("first").alias("postings")
+    )
+
+
+def gap_report(postings: DataFrame, requirements: DataFrame, skills: DataFrame, matches: DataFrame, citations: DataFrame, cfg: ReportConfig, version: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Demand for each actionable skill among eligible postings with its evidence status; gaps are 'absent' or 'weak'.
+
+    The demand by skill is written below the shared folder (or to ``path``), as the totals and the list both read it.
+    """
+    spark, path = postings.sparkSession, path or shared_folder(postings.sparkSession, "demand")
+    counted = demand_by_skill(postings, requirements, cfg)
+    counted.write.parquet(path)
+    by_skill = spark.read.schema(counted.schema).parquet(path)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    mapped = F.when(F.col("skill_id").isNotNull(), F.col("n"))
+    totals = by_skill.agg(
+        total("postings").alias("eligible_posting_count"), total("n").alias("total_requirement_count"), total(mapped).alias("mapped_requirement_count"), (total("n") - total(mapped)).alias("unmapped_requirement_count")
+    ).crossJoin(_version(spark, version))  # one row each
+    histogram = by_skill.where("skill_id is not null").drop("n", "postings")
     listed = with_skill_status(histogram, skills, status_fold(fresh_citations(citations, matches)))
-    return with_totals(listed, gap_totals(postings, requirements, cfg, version)).withColumn("is_gap", F.col("status").isin("absent", "weak"))
+    return with_totals(listed, totals).withColumn("is_gap", F.col("status").isin("absent", "weak"))
 
 
 def taxonomy_coverage(totals: DataFrame) -> DataFrame:
