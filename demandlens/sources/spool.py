@@ -27,9 +27,9 @@ PART = 16 << 20
 def _opened(folder: str):
     from pyarrow import fs
 
-    if "://" in folder or folder.startswith("file:/"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
 
 
 def _manifests(folder: str) -> list[dict]:

@@ -28,7 +28,7 @@ def test_messages_come_back_once(spark, folder):
     rows.where("id < 3").write.format("spool").mode("overwrite").save(folder)
     assert sorted(r.id for r in read(spark, folder).collect()) == [0, 1, 2]
     rows.limit(0).write.format("spool").mode("append").save(folder)
-    assert read(spark, folder).count() == 3
+    assert read(spark, folder).count() == read(spark, f"file:{folder}").count() == read(spark, f"file://{folder}").count() == 3
 
 
 def test_parts_are_cut_at_lines(spark, folder):
