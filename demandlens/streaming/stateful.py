@@ -11,60 +11,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from .work import run_once
+from .work import RANGE, RETRY_OUT, first_attempts, message_range, outcomes, run_once
 
-RETRY_OUT = "message_id bigint, state string, attempts bigint, reason string"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_PROGRESS = ("message_id", "state", "attempts", "reason", "last", "until")
+_FIRST = ("message_id", "at", "id", "outcome")
+
+
 class Retries(StatefulProcessor):
-    """Of each message its first ``most`` attempts by (at, id) in list state, whatever order they come in, and what follows
-    from them in value state: an attempt that arrives late takes its place among them and may change the outcome."""
+    """Of each message of a range of ids its first ``most`` attempts by (at, id), whatever order they come in, and what follows
+    from them, in one value state: an attempt that arrives late takes its place among them and may change the outcome.
+
+    The arrays of ``of`` have an entry a message, those of ``first`` one an attempt; times are microseconds. A message that nothing
+    has changed for ``keep_seconds`` counts no more; it leaves the state when its range is touched, or with it.
+    """
 
     def __init__(self, most: int, keep_seconds: int | None):
         self.most, self.keep = most, keep_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        keep = self.keep * 1000 if self.keep else None
-        self.attempts = handle.getListState("attempts", "at timestamp, id bigint, outcome string", ttlDurationMs=keep)
-        self.progress = handle.getValueState("progress", "state string, attempts bigint, reason string, last timestamp", ttlDurationMs=keep)
+        of = "struct<message_id: array<bigint>, state: array<string>, attempts: array<bigint>, reason: array<string>, last: array<bigint>, until: array<bigint>>"
+        first = "struct<message_id: array<bigint>, at: array<bigint>, id: array<bigint>, outcome: array<string>>"
+        self.progress = handle.getValueState("progress", f"of {of}, first {first}", ttlDurationMs=self.keep * 1000 if self.keep else None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        known = list(self.attempts.get()) if self.attempts.exists() else []
-        last = self.progress.get()[3] if self.progress.exists() else None
+        now = int(timerValues.getCurrentProcessingTimeInMs()) if self.keep else 0
+        of, first = self.progress.get() if self.progress.exists() else (([],) * 6, ([],) * 4)
+        of, first = pd.DataFrame(dict(zip(_PROGRESS, of))), pd.DataFrame(dict(zip(_FIRST, first)))
+        if self.keep:
+            of = of[of["until"] > now]
+            first = first[first["message_id"].isin(of["message_id"])]
+        latest = [of[["message_id", "last"]]] if len(of) else []
+        touched = []
         for part in rows:  # a part at a time, so that any number of rows takes bounded memory
-            new = list(part[["at", "id", "outcome"]].itertuples(index=False, name=None))
-            latest = max(n[0] for n in new)
-            last = latest if last is None else max(pd.Timestamp(last), pd.Timestamp(latest))
+            own = part[list(_FIRST)]
             # a batch that is given again repeats attempts: ids tell them apart
-            merged = {int(a[1]): (pd.Timestamp(a[0]), int(a[1]), a[2]) for a in [*known, *new]}
-            known = sorted(merged.values())[: self.most]
-        n, state, reason = 0, "pending", None
-        for _, _, outcome in known:
-            n += 1
-            if outcome == "ok":
-                state = "done"
-            elif outcome == "permanent" or n >= self.most:
-                state, reason = "dead", "permanent" if outcome == "permanent" else "attempts"
-            if state != "pending":
-                break
-        self.attempts.put([(a.to_pydatetime(), i, o) for a, i, o in known])
-        self.progress.update((state, n, reason, pd.Timestamp(last).to_pydatetime()))
-        yield pd.DataFrame([(key[0], state, n, reason)], columns=["message_id", "state", "attempts", "reason"])
+            every = (pd.concat([first, own]) if len(first) else own).drop_duplicates(["message_id", "id"], keep="last")
+            first = first_attempts(every, self.most)
+            latest = [pd.concat([*latest, own.rename(columns={"at": "last"})[["message_id", "last"]]]).groupby("message_id", as_index=False)["last"].max()]
+            touched = pd.unique(pd.concat([pd.Series(touched, dtype="int64"), own["message_id"]]))
+        made = outcomes(first, pd.Series(0, first.index), self.most).merge(latest[0], on="message_id")
+        given = made["message_id"].isin(touched)
+        until = made["message_id"].map(of.set_index("message_id")["until"]).mask(given, now + self.keep * 1000) if self.keep else pd.Series(0, made.index)
+        columns = [made["message_id"].tolist(), made["state"].tolist(), made["attempts"].tolist(), [r if isinstance(r, str) else None for r in made["reason"]], made["last"].tolist(), until.astype("int64").tolist()]
+        self.progress.update((tuple(columns), tuple(first[c].tolist() for c in _FIRST)))
+        yield made.loc[given, ["message_id", "state", "attempts", "reason"]]
 
     def close(self) -> None:
         pass
 
 
-def retry_states(attempts: DataFrame, most: int = 3, keep_seconds: int | None = None) -> DataFrame:
+def retry_states(attempts: DataFrame, most: int = 3, keep_seconds: int | None = None, width: int = RANGE) -> DataFrame:
     """Attempts (message_id, at, id, outcome: ok, failed or permanent) as the state of each message that changed in a batch.
 
     As ``work.retry_split``, for attempts in any order. State keeps ``most`` attempts a message and, with
-    ``keep_seconds``, goes so long after the last change. Null ids, times and outcomes are left out.
+    ``keep_seconds``, goes so long after the last change; ``width`` neighbouring ids share a key. Null ids, times and outcomes are left out.
     """
-    known = attempts.where("message_id IS NOT NULL AND at IS NOT NULL AND id IS NOT NULL AND outcome IS NOT NULL").select("message_id", "at", F.col("id").cast("long").alias("id"), "outcome")
-    return known.groupBy("message_id").transformWithStateInPandas(Retries(most, keep_seconds), RETRY_OUT, "Update", "ProcessingTime" if keep_seconds else "None")
+    known = attempts.where("message_id IS NOT NULL AND at IS NOT NULL AND id IS NOT NULL AND outcome IS NOT NULL").select(message_range(width), "message_id", F.unix_micros("at").alias("at"), F.col("id").cast("long").alias("id"), "outcome")
+    return known.groupBy("message_range").transformWithStateInPandas(Retries(most, keep_seconds), RETRY_OUT, "Update", "ProcessingTime" if keep_seconds else "None")
 
 
 @contextmanager
@@ -88,7 +95,10 @@ def state_of(spark: SparkSession, folder: str) -> DataFrame:
     """message_id, state, attempts, reason and last (attempt's time) of every message, from the query's last committed state;
     the query may be running."""
     read = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", "progress").load()
-    return read.select("key.message_id", "value.*") if "value" in read.columns else read
+    value = "value.value" if "ttlExpirationMs" in read.schema["value"].dataType.names else "value"  # with a time to live it has one more level
+    own = read.select(F.inline(F.arrays_zip(*(F.col(f"{value}.of.{c}").alias(c) for c in _PROGRESS))))
+    kept = own.where("until = 0 OR until > unix_millis(current_timestamp())")
+    return kept.select("message_id", "state", "attempts", "reason", F.timestamp_micros("last").alias("last"))
 
 
 def state_health(spark: SparkSession, folder: str) -> DataFrame:

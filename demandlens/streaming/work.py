@@ -66,34 +66,72 @@ def _timeout(keep_seconds: int | None) -> str:
 
 RETRY_OUT = "message_id bigint, state string, attempts bigint, reason string"
 
+#: Messages whose ids lie in one range of this many share a key of state: Python is entered once a range, not once a message.
+RANGE = 1024
 
-def retry_stream(attempts: DataFrame, most: int = 3, keep_seconds: int | None = None) -> DataFrame:
+
+def message_range(width: int = RANGE) -> Column:
+    return F.expr(f"message_id div {width} - if(message_id % {width} < 0, 1, 0)").alias("message_range")
+
+
+def first_attempts(attempts: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Each message's first ``most`` attempts (message_id, at, id, outcome) by (at, id), nulls first."""
+    ordered = attempts.sort_values(["message_id", "at", "id"], na_position="first")
+    return ordered[ordered.groupby("message_id").cumcount() < most]
+
+
+def outcomes(ordered: pd.DataFrame, before: pd.Series, most: int) -> pd.DataFrame:
+    """message_id, state, attempts and reason after attempts in order, as ``retry_split`` has them; ``before``: attempts that went before each row's message's own."""
+    n = before.to_numpy() + ordered.groupby("message_id").cumcount().to_numpy() + 1
+    rows = pd.DataFrame({"message_id": ordered["message_id"].to_numpy(), "attempts": n, "outcome": ordered["outcome"].to_numpy()})
+    ends = rows["outcome"].isin(["ok", "permanent"]) | (rows["attempts"] >= most)
+    rows["state"] = ends.map({True: "dead", False: "pending"}).mask(rows["outcome"] == "ok", "done")
+    rows["reason"] = pd.Series(None, rows.index, dtype=object).mask(rows["state"] == "dead", "attempts").mask(rows["outcome"] == "permanent", "permanent")
+    # the first that ends a message, else its last
+    rest = rows[~rows["message_id"].isin(rows.loc[ends, "message_id"])]
+    out = pd.concat([rows[ends].drop_duplicates("message_id"), rest.drop_duplicates("message_id", keep="last")])
+    return out[["message_id", "state", "attempts", "reason"]]
+
+
+def _texts(values: pd.Series) -> list[str | None]:
+    return [v if isinstance(v, str) else None for v in values]
+
+
+def retry_stream(attempts: DataFrame, most: int = 3, keep_seconds: int | None = None, width: int = RANGE) -> DataFrame:
     """The same with keyed state (attempts so far; whether it has ended), one row for each message that changed in a batch.
 
     A stream without end needs ``keep_seconds``: a message's state goes that long after its last attempt (of processing time), and an
     attempt that comes later still starts anew. Without it state stays, as for a stream that is read once (timers would
-    keep such a run from ending). The rows that a batch has for one message are sorted in one place, as the order of attempts decides.
+    keep such a run from ending). The state of ``width`` neighbouring ids is one row, and of a batch no more than ``most`` attempts a message are held.
     """
+    schema = "ids array<bigint>, n array<bigint>, state array<string>, reason array<string>, until array<bigint>"
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if state.hasTimedOut:  # untouched for so long, hence every message of the range
             state.remove()
             return
-        n, ended, reason = state.get if state.exists else (0, "pending", None)
-        for outcome in pd.concat(list(rows)).sort_values(["at", "id"])["outcome"]:
-            if ended != "pending":
-                break
-            n += 1
-            if outcome == "ok":
-                ended = "done"
-            elif outcome == "permanent" or n >= most:
-                ended, reason = "dead", "permanent" if outcome == "permanent" else "attempts"
-        state.update((n, ended, reason))
+        now = state.getCurrentProcessingTimeMs()
+        known = pd.DataFrame(dict(zip(("message_id", "attempts", "state", "reason", "until"), state.get if state.exists else ([],) * 5)))
+        known = known[known["until"] > now] if keep_seconds else known
+        new = None
+        for part in rows:
+            own = part[["message_id", "at", "id", "outcome"]]
+            own = own.assign(message_id=0) if pd.isna(key[0]) else own  # messages without an id are one
+            new = first_attempts(own if new is None else pd.concat([new, own]), most)
+        touched = new["message_id"].unique()
+        fixed = known[(known["state"] != "pending") | ~known["message_id"].isin(touched)]
+        open_ = new[~new["message_id"].isin(known.loc[known["state"] != "pending", "message_id"])]
+        before = open_["message_id"].map(known.set_index("message_id")["attempts"]).fillna(0).astype("int64")
+        now_known = pd.concat([fixed, outcomes(open_, before, most)]) if len(fixed) else outcomes(open_, before, most)
+        given = now_known["message_id"].isin(touched)
+        until = now_known["until"].mask(given, now + keep_seconds * 1000).tolist() if keep_seconds and len(fixed) else [now + (keep_seconds or 0) * 1000] * len(now_known)
+        state.update((now_known["message_id"].tolist(), now_known["attempts"].tolist(), now_known["state"].tolist(), _texts(now_known["reason"]), [int(u) for u in until]))
         if keep_seconds:
             state.setTimeoutDuration(keep_seconds * 1000)
-        yield pd.DataFrame([(key[0], ended, n, reason)], columns=["message_id", "state", "attempts", "reason"])
+        out = now_known.loc[given, ["message_id", "state", "attempts", "reason"]]
+        yield out.assign(message_id=pd.array([None], "Int64")) if pd.isna(key[0]) else out
 
-    return attempts.groupBy("message_id").applyInPandasWithState(step, RETRY_OUT, "n bigint, state string, reason string", "update", _timeout(keep_seconds))
+    return attempts.withColumn("message_range", message_range(width)).groupBy("message_range").applyInPandasWithState(step, RETRY_OUT, schema, "update", _timeout(keep_seconds))
 
 
 RECLAIM_OUT = "message_id bigint, claims bigint"
