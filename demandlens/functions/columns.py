@@ -139,9 +139,13 @@ def start_season(*texts: Column) -> Column:
 
 
 def epoch_timestamp(c: Column) -> Column:
-    """Unix seconds as a timestamp; null for zero, negative and unreadable values."""
-    seconds = c.try_cast("double")
-    return F.when(seconds > 0, F.timestamp_seconds(seconds))
+    """Unix seconds as a timestamp; null for zero, negative and unreadable values and those that no timestamp holds.
+
+    Decimals, as a double of microseconds is a second off from the year 20237 on.
+    """
+    seconds = c.try_cast("decimal(38,18)")
+    micros = (seconds * 1_000_000).try_cast("long")
+    return F.when(seconds > 0, F.timestamp_micros(micros))
 
 
 def collapsed(c: Column) -> Column:

@@ -56,7 +56,7 @@ def h6(t):
 @query("h7_epoch_timestamp", "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN strftime(make_timestamp(CAST(event_id * 100003000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS at FROM events WHERE event_id > 0")
 def h7(t):
     raw = F.expr("CASE event_id % 8 WHEN 0 THEN '0' WHEN 4 THEN 'soon' ELSE cast(event_id * 100003 as string) END")
-    return t.read("events").where("event_id > 0").select("event_id", F.date_format(fn.epoch_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return t.read("events").where("event_id > 0").select("event_id", F.date_format(fn.epoch_timestamp(raw), "y-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("h10_text_collapse", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS collapsed FROM documents")

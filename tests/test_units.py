@@ -364,3 +364,21 @@ def test_equal_labels_count_each(spark):
     rows = spark.createDataFrame([(1, "use  go daily", "required"), (1, "rust", "required")], "doc int, raw_text string, importance string")
     got = {tuple(r) for r in text_jobs.extraction_quality(labels, rows, "doc").collect()}
     assert got == {(1, 3, 3, 2), (2, 1, 0, 0)}
+
+
+def test_epoch_seconds_of_far_years(spark):
+    far = ["576460752303", "576460852457", "599999899997", "1700000000.25", "1.7e9", " 1700000000 ", "1e300", "NaN", "9223372036855"]
+    got = values(spark, lambda c: F.date_format(fn.epoch_timestamp(c), "y-MM-dd HH:mm:ss.SS"), far)
+    assert got == ["20237-04-25 10:45:03.00", "20237-04-26 14:34:17.00", "20983-03-29 06:53:17.00", "2023-11-14 22:13:20.25", "2023-11-14 22:13:20.00", "2023-11-14 22:13:20.00", None, None, None]
+
+
+def test_epoch_query_equals_its_sql_beyond_year_9999(spark, tmp_path):
+    import duckdb
+
+    from demandlens.plans import registry
+
+    spark.sql("SELECT 2523650 + id * 1157 AS event_id FROM range(3000)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(registry.oracle_sql()["h7_epoch_timestamp"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["h7_epoch_timestamp"](spark, str(tmp_path)).collect())) == sorted(want)
