@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import GUARD_PHRASES
 from ..functions.columns import taxonomy_normalized
 
-#: A vocabulary of no more phrases becomes one automaton in every task; a larger one meets the tokens by a shuffle.
+#: A vocabulary of no more phrases becomes one automaton in every task; a larger one meets the tokens by a shuffle, after as many first tokens have sifted them.
 AUTOMATON_PHRASES = 200_000
 
 #: Of a span: (start, stop, skill; None for a guard) in tokens.
@@ -115,7 +115,7 @@ def vocabulary_hits(
     spans: span_id, text; aliases: alias_norm, skill_id; guards: phrase, by default GUARD_PHRASES (both in the form that ``normalize``
     gives, which is also applied to the texts). Tokens under a guard phrase match nothing. Of several owners of an alias the smallest counts. The
     phrases are counted when the plan is built. Up to ``most`` of them go to every task and nothing is shuffled; with
-    more, tokens that begin a phrase meet it by a shuffle, and a span's occurrences come together by its id, which
+    more, runs of tokens whose first begins a phrase meet it by a shuffle (all tokens do if more than ``most`` tokens begin phrases), and a span's occurrences come together by its id, which
     must then be unique.
     """
     if guards is None:
@@ -127,7 +127,7 @@ def vocabulary_hits(
     texts = spans.select("span_id", F.coalesce(normalize(F.col("text")), F.lit("")).alias("norm"))
     kind = spans.schema["span_id"].dataType.simpleString()
     if len(read) > most:
-        return _by_shuffle(texts, marked, kind)
+        return _by_shuffle(texts, marked, kind, most)
     rows = [(p, None if g else int(s), bool(g)) for p, s, g in zip(read["phrase"], read["skill_id"], read["guard"])]
     sent = spans.sparkSession.sparkContext.broadcast(rows)
     number = uuid.uuid4().hex
@@ -149,11 +149,19 @@ def vocabulary_hits(
     return texts.mapInArrow(scan, f"span_id {kind}, hits {_HITS}")
 
 
-def _by_shuffle(texts: DataFrame, marked: DataFrame, kind: str) -> DataFrame:
-    """Starts of phrases first: a token meets the lengths of the phrases that it begins, then each such run its phrase."""
+def _by_shuffle(texts: DataFrame, marked: DataFrame, kind: str, most: int) -> DataFrame:
+    """Starts of phrases first: a token meets the lengths of the phrases that it begins, then each such run its phrase.
+
+    Up to ``most`` distinct first tokens go to every task, so that of the texts only runs that begin a phrase are shuffled.
+    """
     first = F.substring_index("phrase", " ", 1).alias("token")
     lengths = marked.groupBy(first).agg(F.collect_set(F.size(F.split("phrase", " "))).alias("lengths"))
-    longest = marked.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
+    starts = lengths.limit(most + 1).collect()
+    if len(starts) <= most:
+        longest = max(n for s in starts for n in s["lengths"])
+        lengths = F.broadcast(marked.sparkSession.createDataFrame(starts, lengths.schema))
+    else:
+        longest = marked.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
     tokens = texts.select("span_id", F.split("norm", " ").alias("w"))
     windows = tokens.select("span_id", F.posexplode(F.expr(f"transform(w, (x, i) -> slice(w, i + 1, {longest}))")).alias("start", "w"))
     begun = windows.withColumn("token", F.col("w")[0]).join(lengths, "token")

@@ -78,3 +78,17 @@ def test_nothing_is_shuffled_for_a_small_vocabulary(spark):
     spans = spark.createDataFrame([(1, "go")], "span_id int, text string")
     plan = resolution.vocabulary_hits(spans, spark.createDataFrame([("go", 1)], "alias_norm string, skill_id long"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_first_tokens_sift_the_texts_before_a_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        known = spark.createDataFrame([(f"go {i}", i) for i in range(9)], "alias_norm string, skill_id long")
+        spans = spark.createDataFrame([(i, f"we like go {i} and rust") for i in range(12)], "span_id int, text string")
+        hits = resolution.vocabulary_hits(spans, known, spark.createDataFrame([("in the",)], "phrase string"), most=5)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [token" in plan
+        assert {r.span_id: tuple(r.hits[0]) for r in hits.collect()} == {i: (2, 4, i) for i in range(9)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
