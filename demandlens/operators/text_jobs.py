@@ -131,16 +131,27 @@ def markdown_chunks(text: str, smallest: int = 200, largest: int = 500) -> list[
     return out
 
 
-def chunk_documents(docs: DataFrame, smallest: int = 200, largest: int = 500) -> DataFrame:
-    """source_type, source_ref, ordinal, heading, text, text_sha256, token_estimate; rows in, rows out, no shuffle."""
+#: Characters of texts whose results a task holds before it passes them on.
+HELD_CHARACTERS = 1_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k, r, i, h, x) for k, r, t in zip(*(c.to_pylist() for c in batch.columns)) for i, (h, x) in enumerate(markdown_chunks(t or "", smallest, largest))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()))], ["source_type", "source_ref", "ordinal", "heading", "text"])
 
-    cut = docs.select(F.col("source_type").cast("string"), F.col("source_ref").cast("string"), "text").mapInArrow(run, "source_type string, source_ref string, ordinal int, heading string, text string")
+def chunk_batches(batches: Iterator[pa.RecordBatch], smallest: int, largest: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+    for batch in batches:
+        rows, held = [], 0
+        for row in range(batch.num_rows):  # a text at a time, so that no batch is held as Python strings
+            kind, ref, text = (c[row].as_py() for c in batch.columns)
+            rows += [(kind, ref, i, h, x) for i, (h, x) in enumerate(markdown_chunks(text or "", smallest, largest))]
+            held += len(text or "")
+            if rows and (held >= HELD_CHARACTERS or row == batch.num_rows - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["source_type", "source_ref", "ordinal", "heading", "text"])
+                rows, held = [], 0
+
+
+def chunk_documents(docs: DataFrame, smallest: int = 200, largest: int = 500) -> DataFrame:
+    """source_type, source_ref, ordinal, heading, text, text_sha256, token_estimate; rows in, rows out, no shuffle."""
+    read = docs.select(F.col("source_type").cast("string"), F.col("source_ref").cast("string"), "text")
+    cut = read.mapInArrow(lambda batches: chunk_batches(batches, smallest, largest), "source_type string, source_ref string, ordinal int, heading string, text string")
     return cut.withColumn("text_sha256", F.sha2("text", 256)).withColumn("token_estimate", token_estimate(F.col("text")))
 
 

@@ -382,3 +382,14 @@ def test_epoch_query_equals_its_sql_beyond_year_9999(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.sql(registry.oracle_sql()["h7_epoch_timestamp"]).fetchall()
     assert sorted(map(tuple, registry.queries()["h7_epoch_timestamp"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_chunks_are_passed_on_before_a_batch_ends():
+    import pyarrow as pa
+
+    texts = ["Words of a text. " * 1177] * 300 + ["", None]
+    batch = pa.RecordBatch.from_pydict({"source_type": ["t"] * 302, "source_ref": [str(i) for i in range(302)], "text": pa.array(texts, pa.string())})
+    made = list(text_jobs.chunk_batches(iter([batch]), 200, 500))
+    assert len(made) >= 6 and all(sum(map(len, m.column(4).to_pylist())) <= 1_100_000 for m in made)
+    rows = [r for m in made for r in zip(m.column(1).to_pylist(), m.column(2).to_pylist(), m.column(4).to_pylist())]
+    assert rows == [(str(i), n, x) for i, t in enumerate(texts) for n, (_, x) in enumerate(text_jobs.markdown_chunks(t or "", 200, 500))]
