@@ -393,3 +393,13 @@ def test_chunks_are_passed_on_before_a_batch_ends():
     assert len(made) >= 6 and all(sum(map(len, m.column(4).to_pylist())) <= 1_100_000 for m in made)
     rows = [r for m in made for r in zip(m.column(1).to_pylist(), m.column(2).to_pylist(), m.column(4).to_pylist())]
     assert rows == [(str(i), n, x) for i, t in enumerate(texts) for n, (_, x) in enumerate(text_jobs.markdown_chunks(t or "", 200, 500))]
+
+
+def test_pages_are_passed_on_before_a_batch_ends():
+    import pyarrow as pa
+
+    pages = ["é" * 300, None, "", "x" * 900, "y", "z" * 500]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "html": pa.array(pages, pa.string())})
+    made = list(html_text.batches_of(iter([batch, batch.slice(0, 0)]), 1, 600))
+    assert [m.column(0).to_pylist() for m in made] == [[0], [1, 2, 3], [4, 5]]
+    assert [x for m in made for x in m.column(1).to_pylist()] == pages
