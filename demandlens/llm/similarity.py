@@ -15,14 +15,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import small_batches
 from .components import connected_components
 from .scratch import Scratch
 
@@ -161,18 +161,6 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     return both.where(F.arrays_overlap("hubs_1", "hubs_2")).select("leaf_1", "leaf_2")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Fewer rows at once for the Python workers, while a table of large rows is written."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class _Leaf:
     def __init__(self, row: dict, i: int):
         self.keys, self.comps, self.ns, self.slacks, ends = (np.array(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "comps", "ns", "slacks", "ends"))

@@ -1,11 +1,12 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the rows that Python workers are given at once."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows at once for the Python workers, while a table of large rows is written."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

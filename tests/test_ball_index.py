@@ -63,3 +63,23 @@ def test_few_or_no_vectors(spark):
     nowhere = spark.createDataFrame([(3, [0.0, 0.0], 1)], SCHEMA)
     assert [(r.chunk_id, r.distance) for r in top_k(nowhere, two, 1).collect()] == [(1, 1.0)]
     assert [(r.chunk_id, r.distance) for r in top_k(two.where("id = 1"), nowhere, 1).collect()] == [(3, 1.0)]
+
+
+def test_a_query_is_sent_once_to_a_slot(spark, monkeypatch):
+    """Vectors without structure and a large group of copies, over many slots: as many copies of a query as slots, not as rings."""
+    monkeypatch.setattr("demandlens.operators.ball_index.PAGE_BYTES", 64 * 8 * 8)
+    rng = np.random.default_rng(7)
+    chunks = [(i, [float(np.float32(x)) for x in (rng.normal(size=8) if i % 3 else np.ones(8))], i % 5) for i in range(900)]
+    queries = [(i, v, s) for i, v, s in chunks if i % 20 == 0]
+    df = spark.createDataFrame(chunks, SCHEMA)
+    index = BallIndex.build(df, df.selectExpr("id AS chunk_id", "skill_id"))
+    found, read = index.search(spark.createDataFrame(queries, SCHEMA), 5, 0.15)
+    assert {(r.query_id, r.chunk_id, round(r.adjusted, 6), r.tagged, r.place) for r in found.collect()} == all_pairs(queries, chunks, 5, 0.15, {i: {s} for i, _, s in chunks})
+    slots = int(index.rings[:, 6].max()) + 1
+    assert 10 < slots < len(index.rings) / 2 and (index.rings[:, 6] - index.rings[:, 5]).max() > 1
+    asked = index._chosen(
+        spark.createDataFrame([(i, np.array(v).tobytes(), s, None, None) for i, v, s in queries], "id long, vector binary, skill long, limit double, done array<int>"), 5, 0.15, True
+    ).selectExpr("id", "vector", "skill", "limit", "now AS done", "cast(null AS array<int>) AS now")
+    sent = sum(len(r.queries) for r in index._packs(asked, 0.15).collect())
+    assert len(queries) < sent <= len(queries) * slots
+    assert read.where("round = 2").selectExpr("sum(queries)").first()[0] > 2 * sent
