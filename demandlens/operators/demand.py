@@ -14,6 +14,15 @@ from ..shared import shared_folder
 from .filters import active, eligible, report_eligible
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key into twice as many tasks as the session shuffles into, none of which are merged: at that number itself
+    the deal would give way to a join's own, whose tasks are merged until they are large.
+
+    Distinct pairs of skill and ``key`` are then counted in a share of the rows each, not in one hash table of a whole split, few of whose pairs are equal. A join by the key keeps this partitioning.
+    """
+    return rows.repartition(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def eligible_requirements(postings: DataFrame, requirements: DataFrame, cfg: ReportConfig) -> DataFrame:
     return requirements.join(eligible(postings, cfg).select(F.col("id").alias("posting_id")), "posting_id", "left_semi")
 
@@ -23,6 +32,16 @@ def fresh_citations(citations: DataFrame, matches: DataFrame) -> DataFrame:
     return citations.where("skill_id is not null").join(fresh, "match_id")
 
 
+def spread_citations(citations: DataFrame) -> DataFrame:
+    """What ``status_fold`` counts, dealt by match."""
+    return spread(citations.where("skill_id is not null").select("match_id", "skill_id", "status"), "match_id")
+
+
+def spread_requirements(requirements: DataFrame) -> DataFrame:
+    """What ``importance_histogram`` counts, dealt by posting."""
+    return spread(requirements.where("skill_id is not null").select("posting_id", "skill_id", "importance"), "posting_id")
+
+
 def importance_histogram(req: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("importance") == i).alias(f"{i}_count") for i in ("required", "preferred", "mentioned")]
     return req.where("skill_id is not null").groupBy("skill_id").agg(*counts, F.countDistinct("posting_id").alias("posting_count"))
@@ -99,7 +118,7 @@ def gap_report(postings: DataFrame, requirements: DataFrame, skills: DataFrame,
         total("postings").alias("eligible_posting_count"), total("n").alias("total_requirement_count"), total(mapped).alias("mapped_requirement_count"), (total("n") - total(mapped)).alias("unmapped_requirement_count")
     ).crossJoin(_version(spark, version))  # one row each
     histogram = by_skill.where("skill_id is not null").drop("n", "postings")
-    listed = with_skill_status(histogram, skills, status_fold(fresh_citations(citations, matches)))
+    listed = with_skill_status(histogram, skills, status_fold(fresh_citations(spread_citations(citations), matches)))
     return with_totals(listed, totals).withColumn("is_gap", F.col("status").isin("absent", "weak"))
 
 

@@ -33,8 +33,8 @@ _TOTALS = """SELECT (SELECT count(*) FROM eligible) AS eligible_posting_count, (
 
 
 def _listed(t):
-    histogram = demand.importance_histogram(demand.eligible_requirements(t.posting, t.requirement, REPORT))
-    return demand.with_skill_status(histogram, t.skill, demand.status_fold(demand.fresh_citations(t.citation, t.matches)))
+    histogram = demand.importance_histogram(demand.eligible_requirements(t.posting, demand.spread_requirements(t.requirement), REPORT))
+    return demand.with_skill_status(histogram, t.skill, demand.status_fold(demand.fresh_citations(demand.spread_citations(t.citation), t.matches)))
 
 
 def _version(t):
@@ -54,12 +54,12 @@ def c4(t):
 
 @query("d1_importance_histogram", "SELECT * FROM importance")
 def d1(t):
-    return demand.importance_histogram(demand.eligible_requirements(t.posting, t.requirement, REPORT))
+    return demand.importance_histogram(demand.eligible_requirements(t.posting, demand.spread_requirements(t.requirement), REPORT))
 
 
 @query("d2_status_fold", "SELECT * FROM status")
 def d2(t):
-    return demand.status_fold(demand.fresh_citations(t.citation, t.matches))
+    return demand.status_fold(demand.fresh_citations(demand.spread_citations(t.citation), t.matches))
 
 
 @query("d3_gap_totals", _TOTALS)
