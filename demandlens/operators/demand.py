@@ -197,7 +197,8 @@ def window_trustworthy(postings: DataFrame, start: dt.datetime) -> DataFrame:
 
 def skill_demand(skills: DataFrame, aliases: DataFrame, requirements: DataFrame, postings: DataFrame) -> DataFrame:
     """Per skill: aliases, and requirements, postings and required ones over active postings; zeros included."""
-    live = requirements.where("skill_id is not null").join(postings.where(active()).select(F.col("id").alias("posting_id")), "posting_id", "left_semi")
+    # the join moves below the requirements' deal, so its other side is dealt alike
+    live = spread_requirements(requirements).join(spread(postings.where(active()).select(F.col("id").alias("posting_id")), "posting_id"), "posting_id", "left_semi")
     demand = live.groupBy("skill_id").agg(F.count(F.lit(1)).alias("requirement_count"), F.countDistinct("posting_id").alias("posting_count"), F.count_if(F.col("importance") == "required").alias("required_count"))
     names = aliases.groupBy("skill_id").agg(F.count(F.lit(1)).alias("alias_count"))
     out = skills.select(F.col("id").alias("skill_id"), "name").join(names, "skill_id", "left").join(demand, "skill_id", "left")

@@ -6,7 +6,7 @@ from demandlens.plans import registry
 
 
 @pytest.mark.parametrize("threshold", ["10m", "-1"])
-@pytest.mark.parametrize("name, key", [("d2_status_fold", "match_id"), ("c3_skill_status", "match_id"), ("d1_importance_histogram", "posting_id")])
+@pytest.mark.parametrize("name, key", [("d2_status_fold", "match_id"), ("d13_skill_demand", "posting_id"), ("c3_skill_status", "match_id"), ("d1_importance_histogram", "posting_id")])
 def test_pairs_are_dealt_before_they_are_counted(spark, name, key, threshold):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
