@@ -359,6 +359,22 @@ def test_tags_meet_words_either_way(spark):
     assert both[0] == both[1] and set(both[0]) == {(1, 1, "go"), (1, 2, "c++"), (2, 1, "java")}
 
 
+def test_content_reads_texts_once(spark, tmp_path):
+    from demandlens.operators import ranking
+
+    rows = [(1, "Go, C++ and go. " * 9 + "\u00e9java"), (1, "go rust"), (2, None), (3, ""), (4, "JAVA/rust java"), (5, "\u212aafka")]
+    spark.createDataFrame(rows, "text_id int, text string").write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    bullets = spark.createDataFrame([(1, 1, ["go"]), (1, 2, ["none"]), (1, 3, ["go", "c++"]), (1, 4, ["x"]), (2, 5, ["java", "rust"]), (3, 6, ["kafka"])], "entry_id int, bullet_id int, tags array<string>")
+    found = ranking.select_content(texts, bullets, entries=2, per_entry=3, total=4)
+    # rows that repeat an id are one text, whose words count once
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 4, 1, 2), (1, 1, 2, 0, 1, 3), (1, 1, 3, 8, 1, 1), (1, 2, 5, 8, 2, 1), (4, 2, 5, 4, 1, 1), (5, 3, 6, 4, 1, 1)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("/texts") == 1
+    words = bullets.select(F.explode("tags").alias("word"))
+    every = [sorted(map(tuple, ranking.text_words(texts, words, "[^a-z0-9+#./-]", most, at_once).collect())) for most, at_once in ((100, 1 << 20), (100, 1), (0, 1))]
+    assert every[0] == every[1] == every[2] == [(1, "c++"), (1, "go"), (1, "java"), (1, "rust"), (4, "java"), (5, "kafka")]
+
+
 def test_equal_labels_count_each(spark):
     labels = spark.createDataFrame([(1, "Use Go", "required"), (1, "Use Go", "required"), (1, "Rust", "preferred"), (2, "x", "required")], "doc int, raw_text string, importance string").repartition(3)
     rows = spark.createDataFrame([(1, "use  go daily", "required"), (1, "rust", "required")], "doc int, raw_text string, importance string")
