@@ -28,6 +28,7 @@ class Partition:
     the cells of its own range and of those above that hold partners. Where the sets agree on empty intervals only, each
     has at most d others: only such sets have cells for empty intervals. There are a sixth more intervals than needed: a set with m
     intervals that aren't empty then shares at least m - d of them with each similar one, and few sets without one share so many by chance.
+    Here d is the set's own: one of n elements has partners of at most min(u, 100n / percent), from which it differs less than two sets of u may.
     """
 
     def __init__(self, percent: int, growth: float = 1.6):
@@ -38,6 +39,10 @@ class Partition:
     def differ(self, u: int) -> int:
         return 2 * u * (100 - self.percent) // (100 + self.percent)
 
+    def own_differ(self, n: int, u: int) -> int:
+        """Elements in which a set of n and a similar one of at most u differ at most."""
+        return (n + min(u, 100 * n // self.percent)) * (100 - self.percent) // (100 + self.percent)
+
     def range_of(self, n: int) -> int:
         while self.upper[-1] < n:
             self.upper.append(max(self.upper[-1] + 1, int(self.upper[-1] * self.growth)))
@@ -55,6 +60,7 @@ class Partition:
             part = ((s >> U(32)) * U(k)) >> U(32)  # s is sorted, so its parts are too
             at = np.flatnonzero(np.diff(part, prepend=U(k)))
             sums, own = np.add.reduceat(s, at), part[at]
+            d = self.own_differ(n, self.upper[j])
             if len(at) <= d:
                 empty = np.setdiff1d(np.arange(k, dtype=U), own)
                 sums, own = np.concatenate([sums, np.zeros(len(empty), dtype=U)]), np.concatenate([own, empty])

@@ -229,6 +229,26 @@ def test_cells_meet_whatever_differs():
                     assert any(shared[j] >= max(m, next((x for _, k, x in plan.cells(b) if k == j), 1 << 30)) for j, m in need.items())
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_cells_needed_follow_the_size_of_a_set(percent):
+    """Of the cells of any size's sets chance shares few: no set of random elements has cells for empty intervals, and similar ones share the cells needed."""
+    r = np.random.default_rng(7)
+    new = lambda k: r.integers(0, 1 << 63, k, dtype=np.uint64) << np.uint64(1)
+    for n in range(100, 400, 7):
+        plan, a = ngram_join.Partition(percent), np.unique(new(n))
+        mine = {tag: (cells, need) for cells, tag, need in plan.cells(a)}
+        for tag, (cells, need) in mine.items():
+            d = plan.own_differ(n, plan.upper[tag])
+            assert need == len(cells) - d > 0  # all cells are of intervals that hold elements
+        for m in {100 * n // percent, n, n * percent // 100 + 1}:  # as much as may differ: elements more, less and others
+            common = -(-percent * (n + m) // (100 + percent))
+            if common <= min(n, m):
+                b = np.unique(np.concatenate([r.permutation(a)[:common], new(m - common)]))
+                for cells, tag, need in plan.cells(b):
+                    if tag == plan.range_of(max(n, m)):
+                        assert len(np.intersect1d(cells, mine[tag][0])) >= max(need, mine[tag][1])
+
+
 def test_language_is_found(spark):
     tongues = {"aa": "ba bo bi nu na ne".split(), "bb": "kra kro kri sku ska ske".split(), "cc": "läm löm lüm fäß föß füß".split()}
     rows = [(i, prose(i, 30, tongues[lang]), lang) for i, lang in enumerate(list(tongues) * 60)] + [(500, None, "aa"), (501, "123 !!", "bb"), (502, prose(1, 9, tongues["bb"]), None), (None, prose(2, 9, tongues["cc"]), "cc")]
