@@ -7,8 +7,9 @@
 3. Cells whose other members aren't all connected by then are searched with an R-tree over their members' points: leaves of
    neighbouring points with their objects, and nodes over FANOUT leaves, each with its corner of largest coordinates and its
    range of sizes. Pairs of nodes that share a cell's first member and whose corners allow enough overlap are followed down to pairs of
-   leaves; each pair of leaves is searched once, whatever number of cells it shares. The search keeps the components of
-   its two leaves, verifies the pairs of points that the bound leaves and that are in different ones, and emits a link only where it
+   leaves; each pair of leaves is searched once, whatever number of cells it shares. Pairs are dealt by pairs of blocks of BLOCK leaves, so
+   that a leaf is sent once to such a pair, not to each leaf that it meets. The search keeps the components of
+   its leaves, verifies the pairs of points that the bound leaves and that are in different ones, and emits a link only where it
    joins two: fewer rows than the leaves have points.
 """
 
@@ -29,8 +30,10 @@ from .scratch import Scratch
 DIMENSIONS = 128
 #: Points of a leaf at most; a leaf of larger objects is closed at so many bytes of them. Leaves of a node.
 LEAF, LEAF_BYTES, FANOUT = 128, 1 << 19, 32
-#: Pairs of leaves, of which each side may have LEAF_BYTES and one object more, that a task reads at once.
-PAIRS_AT_ONCE = 32
+#: Leaves of a block: a search holds those of two blocks, each of LEAF_BYTES and one object more at most.
+BLOCK = 8
+#: Leaves that a search reads at once.
+LEAVES_AT_ONCE = 16
 #: Whole texts that a task reads at once.
 TEXTS_AT_ONCE = 1000
 #: Bits of the filter of member keys, whatever their number: 8 MB. Beyond some 10 million members it lets others pass too, which costs time only.
@@ -120,7 +123,7 @@ def _leaves(members: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
-    """leaf_1 <= leaf_2: the pairs of leaves that have cells with the same first member, as those of one cell have, and that
+    """leaf_1 <= leaf_2 and the blocks that they are in: the pairs of leaves that have cells with the same first member, as those of one cell have, and that
     the bound allows, each once. By first members, leaves of a large group meet some few times, not once for each of their cells.
 
     ``open_cells``: key, hub (the cell's first member) and hub_comp, the component that it is in. Leaves all of whose points
@@ -130,9 +133,9 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     part = F.shiftright("leaf", 32)
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = leaves.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
-    node = F.expr(f"((leaf & 4294967295) + before) div {FANOUT}").alias("node")
+    node, block = (F.expr(f"((leaf & 4294967295) + before) div {n}").alias(name) for n, name in ((FANOUT, "node"), (BLOCK, "block")))
     numbered = leaves.select("leaf", part.alias("part"), "high", "least", "most", "slack", "low_comp", "high_comp").join(F.broadcast(starts), "part")
-    heads = scratch.save(numbered.select("leaf", node, "high", "least", "most", "slack", "low_comp", "high_comp"), "heads")
+    heads = scratch.save(numbered.select("leaf", node, block, "high", "least", "most", "slack", "low_comp", "high_comp"), "heads")
     nodes = heads.groupBy("node").agg(
         F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack")
     )
@@ -154,63 +157,78 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     met = by_node.where("outside").select("hub", F.col("node").alias("a")).join(by_node.select("hub", F.col("node").alias("b")), "hub").select(*ordered("a", "b", "node")).distinct()
     down = scratch.save(allowed(met, nodes, "node").select("node_1", "node_2"), "nodes")
     below = down.join(heads.select(F.col("node").alias("node_1"), F.col("leaf").alias("a")), "node_1").join(heads.select(F.col("node").alias("node_2"), F.col("leaf").alias("b")), "node_2")
-    near = allowed(below.where("node_1 < node_2 or a <= b").select(*ordered("a", "b", "leaf")), heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2")
+    near = allowed(below.where("node_1 < node_2 or a <= b").select(*ordered("a", "b", "leaf")), heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2", "block_1", "block_2")
     # a leaf's first members are no more than its points have cells
     hubs = own.groupBy("leaf").agg(F.collect_set("hub").alias("hubs"))
     both = near.join(hubs.withColumnsRenamed({"leaf": "leaf_1", "hubs": "hubs_1"}), "leaf_1").join(hubs.withColumnsRenamed({"leaf": "leaf_2", "hubs": "hubs_2"}), "leaf_2")
-    return both.where(F.arrays_overlap("hubs_1", "hubs_2")).select("leaf_1", "leaf_2")
+    return both.where(F.arrays_overlap("hubs_1", "hubs_2")).select("leaf_1", "leaf_2", "block_1", "block_2")
 
 
 class _Leaf:
-    def __init__(self, row: dict, i: int):
-        self.keys, self.comps, self.ns, self.slacks, ends = (np.array(row[f"{c}_{i}"], dtype=np.int64) for c in ("keys", "comps", "ns", "slacks", "ends"))
-        self.vecs = np.frombuffer(row[f"vecs_{i}"], dtype=np.int32).reshape(-1, DIMENSIONS)
-        whole, starts = row[f"payloads_{i}"], [0, *ends[:-1].tolist()]
+    def __init__(self, row: dict):
+        self.keys, self.comps, self.ns, self.slacks, ends = (np.array(row[c], dtype=np.int64) for c in ("keys", "comps", "ns", "slacks", "ends"))
+        self.vecs = np.frombuffer(row["vecs"], dtype=np.int32).reshape(-1, DIMENSIONS)
+        whole, starts = row["payloads"], [0, *ends[:-1].tolist()]
         self.payloads = [whole[s:e] for s, e in zip(starts, ends.tolist())]
+        self.leaf, self.others = row["leaf"], set(row["others"])
+
+
+def _joining(held: list[_Leaf], bound: Bound, verify: Pairwise) -> Iterator[tuple[int, int]]:
+    """Links between each leaf and its ``others``; each joins two components of the leaves' points."""
+    whole = np.concatenate([x.comps for x in held])
+    for x, part in zip(held, np.split(whole, np.cumsum([len(x.comps) for x in held])[:-1])):
+        x.comps = part  # a view, so that components are joined in all leaves at once
+    for y in held:
+        decide = None
+        for x in held:
+            if y.leaf not in x.others:
+                continue
+            for i in range(len(x.keys)):
+                ok = y.comps != x.comps[i]
+                if x is y:
+                    ok[: i + 1] = False
+                # by size no more overlap is possible than the smaller object has: a cheap test before the coordinates
+                need = bound.b * (x.ns[i] + y.ns) - np.minimum(x.slacks[i], y.slacks)
+                near = np.flatnonzero(ok & (bound.a * np.minimum(x.ns[i], y.ns) >= need))
+                if not len(near):
+                    continue
+                spare = bound.a * np.minimum(x.vecs[i], y.vecs[near]).sum(axis=1, dtype=np.int64) - need[near]
+                decided = None
+                for j in near[np.argsort(-spare, kind="stable")][: np.count_nonzero(spare >= 0)].tolist():
+                    if y.comps[j] == x.comps[i]:  # joined by now
+                        continue
+                    decide = decide or verify.over(y.payloads)
+                    decided = decided or decide(x.payloads[i])
+                    if decided(j):
+                        yield int(x.keys[i]), int(y.keys[j])
+                        whole[whole == y.comps[j]] = x.comps[i]
 
 
 def _search(pairs: DataFrame, leaves: DataFrame, bound: Bound, verify: Pairwise) -> DataFrame:
-    """Links (a, b) that join the components of the points of two leaves: those of a spanning forest."""
+    """Links (a, b) that join the components of the points of leaves: those of a spanning forest for each pair of blocks."""
     columns = ["keys", "comps", "ns", "slacks", "ends", "vecs", "payloads"]
-    both = pairs
-    for i in (1, 2):
-        both = both.join(leaves.select(F.col("leaf").alias(f"leaf_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in columns)).hint("merge"), f"leaf_{i}")
+    sides = F.explode(F.array(F.struct(F.col("leaf_1").alias("leaf"), F.col("leaf_2").alias("other")), F.struct(F.col("leaf_2").alias("leaf"), F.lit(None).cast("long").alias("other"))))
+    met = pairs.select("block_1", "block_2", sides.alias("side")).groupBy("block_1", "block_2", "side.leaf").agg(F.collect_set("side.other").alias("others"))
+    # dealt anew after the join: a join with Python behind it would be cut into as many tasks as leaves meet, as leaves are large
+    sent = met.join(leaves.select("leaf", *columns), "leaf").repartition("block_1", "block_2").sortWithinPartitions("block_1", "block_2", "leaf")
+
+    def links(held: list[_Leaf]) -> Iterator[pa.RecordBatch]:
+        if found := list(_joining(held, bound, verify)) if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Leaf] = []
+        now = None
         for batch in batches:
-            first, second = [], []
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                x, same = _Leaf(row, 1), row["leaf_1"] == row["leaf_2"]
-                y = x if same else _Leaf(row, 2)
-                of_x, of_y = x.comps.copy(), y.comps.copy()
-                decide = None
-                for i in range(len(x.keys)):
-                    ok = of_y != of_x[i]
-                    if same:
-                        ok[: i + 1] = False
-                    # by size no more overlap is possible than the smaller object has: a cheap test before the coordinates
-                    need = bound.b * (x.ns[i] + y.ns) - np.minimum(x.slacks[i], y.slacks)
-                    near = np.flatnonzero(ok & (bound.a * np.minimum(x.ns[i], y.ns) >= need))
-                    if not len(near):
-                        continue
-                    spare = bound.a * np.minimum(x.vecs[i], y.vecs[near]).sum(axis=1, dtype=np.int64) - need[near]
-                    decided = None
-                    for j in near[np.argsort(-spare, kind="stable")][: np.count_nonzero(spare >= 0)].tolist():
-                        if of_y[j] == of_x[i]:  # joined by now
-                            continue
-                        decide = decide or verify.over(y.payloads)
-                        decided = decided or decide(x.payloads[i])
-                        if decided(j):
-                            first.append(x.keys[i])
-                            second.append(y.keys[j])
-                            old, new = of_y[j], of_x[i]
-                            of_x[of_x == old] = new
-                            of_y[of_y == old] = new
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
-
-    return both.select("leaf_1", "leaf_2", *(f"{c}_{i}" for i in (1, 2) for c in columns)).mapInArrow(search, "a long, b long")
+                if now != (now := (row["block_1"], row["block_2"])):
+                    yield from links(held)
+                    held = []
+                held.append(_Leaf(row))
+        yield from links(held)
+
+    return sent.select("block_1", "block_2", "leaf", "others", *columns).mapInArrow(search, "a long, b long")
 
 
 def _verified(pairs: DataFrame, described: DataFrame, verify: Pairwise) -> DataFrame:
@@ -269,7 +287,7 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
         grouped = opened.groupBy("key").agg(F.min("hub").alias("group"), F.min("comp").alias("comp"))
         leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "slack", "vec", "payload")), "leaves")
         pairs = _leaf_pairs(leaves, opened.select("key", "hub", "hub_comp"), bound, scratch)
-        with small_batches(spark, PAIRS_AT_ONCE):
+        with small_batches(spark, LEAVES_AT_ONCE):
             new = scratch.save(_search(pairs, leaves, bound, verify), "links")
         if not new.isEmpty():
             comps = scratch.save(connected_components(links.unionByName(new), scratch), "comps")
