@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .components import connected_components
 from .ngram_join import Seen
 from .scratch import Scratch
-from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked
+from .similarity import DIMENSIONS, Bound, KeyFilter, Pairwise, linked, shared_cells
 from .words import U, mix, span_hashes
 
 #: Characters of text that are hashed at once.
@@ -50,6 +50,7 @@ class LineConfig:
         return self.long_words + self.max_edits
 
 
+_ASCII_WORDS = bytes(c < 128 and chr(c).isalnum() for c in range(256))
 _WORDS: list[np.ndarray] = []
 
 
@@ -64,16 +65,42 @@ def _word_characters() -> tuple[np.ndarray, np.ndarray]:
     return _WORDS[0], _WORDS[1]
 
 
+def _powers(n: int, kept: list[tuple[np.ndarray, np.ndarray]] = []) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number and of its inverse, at least the first n; those of the longest run so far are kept, if it isn't very long."""
+    if kept and len(kept[0][0]) >= n:
+        return kept[0]
+    root = 0x9E3779B97F4A7C15
+    up, down = np.full(n + n // 8, root, dtype=U), np.full(n + n // 8, pow(root, -1, 1 << 64), dtype=U)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if n <= 4 * CHUNK:
+        kept[:] = [(up, down)]
+    return up, down
+
+
+def _stirred(values: np.ndarray) -> np.ndarray:
+    return mix(values * U(0xD1B54A32D192ED03) + U(1))
+
+
+_STIRRED: list[np.ndarray] = []
+
+
+def _stirred_codes(codes: np.ndarray) -> np.ndarray:
+    """Of code points, from a table."""
+    if not _STIRRED:
+        _STIRRED.append(_stirred(np.arange(sys.maxunicode + 1, dtype=U)))
+    return _STIRRED[0][codes]
+
+
 class Run:
-    """A sequence of 64-bit values and the hashes of its parts."""
+    """A sequence of 64-bit values (or 32-bit code points) and the hashes of its parts."""
 
     def __init__(self, values: np.ndarray):
-        root, n = 0x9E3779B97F4A7C15, len(values)
-        powers, down = np.full(n + 1, root, dtype=U), np.full(n + 1, pow(root, -1, 1 << 64), dtype=U)
-        powers[0] = down[0] = 1
-        self.down = np.cumprod(down)
+        n = len(values)
+        up, self.down = _powers(n + 1)
         self.total = np.zeros(n + 1, dtype=U)
-        np.cumsum(mix(values * U(0xD1B54A32D192ED03) + U(1)) * np.cumprod(powers)[:-1], out=self.total[1:])
+        np.cumsum((_stirred_codes(values) if values.dtype == np.uint32 else _stirred(values)) * up[:n], out=self.total[1:])
 
     def hashes(self, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """For candidates only: equal parts have equal hashes, but sequences can be made whose unequal parts do too."""
@@ -85,11 +112,25 @@ class Lines:
 
     def __init__(self, texts: list[str]):
         self.text = "\n".join(texts)
-        self.codes = np.frombuffer(self.text.encode("utf-32-le", "replace"), dtype=np.uint32)
-        self.starts, self.size = self._parts(self.codes)
         self.raw = np.frombuffer(self.text.encode("utf-8", "replace"), dtype=np.uint8)
         self.raw_starts, self.raw_size = self._parts(self.raw)
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.frombuffer(self.text.encode("utf-32-le", "replace"), dtype=np.uint32)
+
+    @cached_property
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._parts(self.codes)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._places[0]
+
+    @property
+    def size(self) -> np.ndarray:
+        return self._places[1]
+
     @staticmethod
     def _parts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(np.flatnonzero(c == 10), len(c))
@@ -102,8 +143,16 @@ class Lines:
 
     def compared(self, cfg: LineConfig) -> np.ndarray:
         """Numbers of the lines that hold a word and enough characters."""
-        word = np.append(0, np.cumsum(_word_characters()[0][self.codes]))
-        return np.flatnonzero((self.size >= cfg.min_chars) & (word[self.starts + self.size] > word[self.starts]))
+        at = np.flatnonzero(self.raw_size)
+        if not len(at):
+            return at
+        # most lines have a letter or digit of ASCII; of the others each is looked at
+        word = np.maximum.reduceat(np.frombuffer(self.raw.tobytes().translate(_ASCII_WORDS), dtype=bool), self.raw_starts[at])
+        for i in np.flatnonzero(~word).tolist():
+            s = self.raw_starts[at[i]]
+            word[i] = any(map(str.isalnum, self.raw[s : s + self.raw_size[at[i]]].tobytes().decode()))
+        at = at[word]
+        return at[self.size[at] >= cfg.min_chars] if cfg.min_chars > 1 else at
 
     @cached_property
     def word_places(self) -> tuple[np.ndarray, np.ndarray]:
@@ -265,11 +314,12 @@ def _line_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
             n, size = lines.n_words[at], lines.size[at]
             short, long = (size >= cfg.near_chars) & (n < cfg.both_words), n >= cfg.long_words
             sigs, owners = [], []
-            codes = Run(lines.codes.astype(U))
+            codes = Run(lines.codes)
+            word_starts, word_ends = lines.word_places
             for salt, own, kind, run_, first, length, edits in (
                 (0, short, 0, codes, lines.starts, lines.size, cfg.char_edits),
                 (0x6C62272E07BB0142, long & (size >= cfg.near_chars), 1, codes, lines.starts, lines.size, cfg.char_edits),
-                (0xA24BAED4963EE407, long, 1, Run(lines.words) if long.any() else None, lines.first_word, lines.n_words, cfg.word_edits),
+                (0xA24BAED4963EE407, long, 1, Run(codes.hashes(word_starts, word_ends - word_starts)) if long.any() else None, lines.first_word, lines.n_words, cfg.word_edits),
             ):
                 rows, key = at[own], keys[own] | kind
                 for i, cell in cells(run_, first[rows], length[rows], edits) if len(rows) else ():
@@ -278,7 +328,7 @@ def _line_cells(docs: DataFrame, cfg: LineConfig, text_col: str) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "key"])
 
-    return docs.select("doc_key", text_col).mapInArrow(run, "sig long, key long")
+    return shared_cells(docs.select("doc_key", text_col), run)
 
 
 def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter) -> DataFrame:
@@ -292,6 +342,13 @@ def _describe(docs: DataFrame, cfg: LineConfig, text_col: str, wanted: KeyFilter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for _, _, lines in chunked(batches):
+            # most lines aren't wanted: only those that may be are looked at closely. A character has a byte, a word has a character
+            at = np.flatnonzero(lines.raw_size >= min(cfg.near_chars, cfg.long_words))
+            keys = lines.keys(at)
+            at = at[shared.value.has(keys) | shared.value.has(keys | 1)]
+            if not len(at):
+                continue
+            lines = Lines([lines.raw[s : s + n].tobytes().decode() for s, n in zip(lines.raw_starts[at].tolist(), lines.raw_size[at].tolist())])
             at = lines.near_rows(cfg)
             keys = lines.keys(at)
             rows = []

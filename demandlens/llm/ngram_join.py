@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .similarity import DIMENSIONS, TEXTS_AT_ONCE, Bound, KeyFilter, Pairwise, linked, small_batches
+from .similarity import DIMENSIONS, TEXTS_AT_ONCE, Bound, KeyFilter, Pairwise, linked, shared_cells, small_batches
 from .words import U, mix, shingles
 
 
@@ -117,7 +117,7 @@ def _cells(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "sig long, key long, tag int, need int")
+    return shared_cells(docs.select(F.col(text_col).cast("binary")), run, counted=True)
 
 
 def _describe(docs: DataFrame, n: int, text_col: str, wanted: KeyFilter) -> DataFrame:

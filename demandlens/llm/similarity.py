@@ -1,6 +1,7 @@
 """Linking of distinct objects (shingle sets, lines) that are similar enough, without listing all pairs of a group.
 
-1. Cells: every object stands in some cells, such that any two similar objects share one.
+1. Cells: every object stands in some cells, such that any two similar objects share one. Tasks pack cells by ranges of their
+   hash, so that ranges are shuffled, not cells; cells of one object fall away where ranges are read.
 2. Every object that shares a cell has a point: its elements counted in DIMENSIONS hashed groups. The sum of the coordinate
    minima of two points bounds the overlap of the objects. Members of a cell are first verified against the cell's first
    one, as far as the bound allows: this settles cells of two and most groups of copies, with a pair for each member.
@@ -36,6 +37,9 @@ BLOCK = 8
 LEAVES_AT_ONCE = 16
 #: Whole texts that a task reads at once.
 TEXTS_AT_ONCE = 1000
+#: Ranges of cells for each shuffle partition, cells of a range that are packed in one row, cells that are packed at once, and
+#: cells of a range from which on the shared ones are passed on before the range ends.
+RANGES, ROW_CELLS, PACK_CELLS, RANGE_CELLS = 8, 2048, 1 << 20, 1 << 21
 #: Bits of the filter of member keys, whatever their number: 8 MB. Beyond some 10 million members it lets others pass too, which costs time only.
 FILTER_BITS = 1 << 26
 
@@ -77,6 +81,86 @@ def overlap(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> least(x, y)), 0L, (s, x) -> s + x)")
 
 
+def _met(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (sig, key, ...) of cells with two objects at least, each once, and one row of every cell."""
+    order = np.argsort(columns[0])
+    sig = columns[0][order]
+    new = np.append(True, sig[1:] != sig[:-1])
+    one = order[new]
+    again = order[~(new & np.append(new[1:], True))]  # cells of several rows, most of them of equal objects
+    again = again[np.lexsort((columns[1][again], columns[0][again]))]
+    sig, key = columns[0][again], columns[1][again]
+    if not len(again):
+        return again, one
+    new = np.append(True, sig[1:] != sig[:-1])
+    other = np.append(True, key[1:] != key[:-1]) | new
+    cell = np.cumsum(new) - 1
+    return again[other & (np.bincount(cell[other])[cell] > 1)], one
+
+
+def shared_cells(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], counted: bool = False) -> DataFrame:
+    """Of the cells that ``run`` makes of ``rows`` (sig, key and, if counted, tag and need) those of two objects at least; rows may repeat.
+
+    A task reads a range's cells at once, of a large range RANGE_CELLS and one of each cell: many objects of one cell are passed on as they come.
+    """
+    kinds = {"sig": np.int64, "key": np.int64} | ({"tag": np.int32, "need": np.int32} if counted else {})
+    ranges = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(PACK_CELLS, ROW_CELLS * ranges)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            own = (((columns[0].view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(own, kind="stable")
+            at = np.flatnonzero(np.diff(own[order], prepend=-1))
+            ends = np.append(at, len(order))
+            blobs = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * c.itemsize).astype(np.int32)), pa.py_buffer(c[order])]) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(own[order[at]].astype(np.int32)), *blobs], ["range", *kinds])
+
+        for made in run(batches):
+            held.append([c.to_numpy() for c in made.columns])
+            size += made.num_rows
+            if size >= most:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        now, size, limit = None, 0, RANGE_CELLS
+
+        def found() -> tuple[pa.RecordBatch, list[np.ndarray]]:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            met, one = _met(columns)
+            return pa.RecordBatch.from_arrays([pa.array(c[met]) for c in columns], list(kinds)), [c[one] for c in columns]
+
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            for i, own in enumerate(numbers):
+                if own != now:
+                    if held:
+                        yield found()[0]
+                    now, held, size, limit = own, [], 0, RANGE_CELLS
+                # a copy: batches go before the range ends
+                held.append([np.frombuffer(c[i].as_buffer(), dtype=k).copy() for c, k in zip(batch.columns[1:], kinds.values())])
+                size += len(held[-1][0])
+                if size >= limit:
+                    out, one = found()
+                    yield out
+                    held, size = [one], len(one[0])
+                    limit = max(RANGE_CELLS, 2 * size)
+        if held:
+            yield found()[0]
+
+    packed = rows.mapInArrow(pack, ", ".join(["range int", *(f"{c} binary" for c in kinds)]))
+    dealt = packed.repartition("range").sortWithinPartitions("range")
+    return dealt.mapInArrow(unpack, ", ".join(f"{c} {'long' if k is np.int64 else 'int'}" for c, k in kinds.items()))
+
+
 class Pairwise:
     """Decides on two payloads at a time; ``over`` gives the same decisions for one payload against those of a leaf."""
 
