@@ -5,10 +5,12 @@
 2. Every object that shares a cell has a point: its elements counted in DIMENSIONS hashed groups. The sum of the coordinate
    minima of two points bounds the overlap of the objects. Members of a cell are first verified against the cell's first
    one, as far as the bound allows: this settles cells of two and most groups of copies, with a pair for each member.
-3. Cells whose other members aren't all connected by then are searched with an R-tree over their members' points: leaves of
+3. Cells whose other members aren't all connected by then are searched with an R-tree over their members' points. Cells whose
+   first members are in one component are a group, and a point stands in the tree once for each of its groups: objects that meet are
+   neighbours there, so that what is sent grows as the memberships do, not as all pairs of leaves. The tree has leaves of
    neighbouring points with their objects, and nodes over FANOUT leaves, each with its corner of largest coordinates and its
-   range of sizes. Pairs of nodes that share a cell's first member and whose corners allow enough overlap are followed down to pairs of
-   leaves; each pair of leaves is searched once, whatever number of cells it shares. Pairs are dealt by pairs of blocks of BLOCK leaves, so
+   range of sizes. Pairs of nodes that share a group and whose corners allow enough overlap are followed down to pairs of
+   leaves; each pair of leaves is searched once, whatever number of groups it shares. Pairs are dealt by pairs of blocks of BLOCK leaves, so
    that a leaf is sent once to such a pair, not to each leaf that it meets. The search keeps the components of
    its leaves, verifies the pairs of points that the bound leaves and that are in different ones, and emits a link only where it
    joins two: fewer rows than the leaves have points.
@@ -172,10 +174,11 @@ class Pairwise:
 
 
 def _leaves(members: DataFrame) -> DataFrame:
-    """Bulk-loaded leaves of ``members`` (group, comp, n, key, slack, vec, payload), sorted by group, component and size."""
+    """Bulk-loaded leaves of ``members`` (group, comp, n, key, slack, vec, payload; a key in several groups has a row for each), sorted by
+    group, component and size."""
 
-    fields = "leaf long, high array<int>, least long, most long, slack long, low_comp long, high_comp long, keys array<long>, comps array<long>, ns array<long>, slacks array<long>, ends array<long>, vecs binary, payloads binary"
-    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 5, pa.binary(), pa.binary()]
+    fields = "leaf long, high array<int>, least long, most long, slack long, low_comp long, high_comp long, groups array<long>, keys array<long>, comps array<long>, ns array<long>, slacks array<long>, ends array<long>, vecs binary, payloads binary"
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 6, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in fields.split(", ")]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,32 +189,31 @@ def _leaves(members: DataFrame) -> DataFrame:
         size = 0
 
         def leaf() -> pa.RecordBatch:
-            comps, ns, keys, slacks, vecs, payloads = zip(*held)
+            groups, comps, ns, keys, slacks, vecs, payloads = zip(*held)
             vecs = np.array(vecs, dtype=np.int32)
-            row = (first + made, vecs.max(axis=0).tolist(), min(ns), max(ns), max(slacks), min(comps), max(comps), keys, comps, ns, slacks, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
+            row = (first + made, vecs.max(axis=0).tolist(), min(ns), max(ns), max(slacks), min(comps), max(comps), list(dict.fromkeys(groups)), keys, comps, ns, slacks, np.cumsum([len(x) for x in payloads]).tolist(), vecs.tobytes(), b"".join(payloads))
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
         for batch in batches:
             for m in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (len(held) >= LEAF or size + len(m[5]) > LEAF_BYTES):
+                if held and (len(held) >= LEAF or size + len(m[6]) > LEAF_BYTES):
                     yield leaf()
                     made, held, size = made + 1, [], 0
                 held.append(m)
-                size += len(m[5])
+                size += len(m[6])
         if held:
             yield leaf()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = members.repartitionByRange(parts, "group", "comp", "n", "key").sortWithinPartitions("group", "comp", "n", "key")
-    return ordered.select("comp", "n", "key", "slack", "vec", "payload").mapInArrow(pack, fields)
+    return ordered.select("group", "comp", "n", "key", "slack", "vec", "payload").mapInArrow(pack, fields)
 
 
-def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
-    """leaf_1 <= leaf_2 and the blocks that they are in: the pairs of leaves that have cells with the same first member, as those of one cell have, and that
-    the bound allows, each once. By first members, leaves of a large group meet some few times, not once for each of their cells.
+def _leaf_pairs(leaves: DataFrame, bound: Bound, scratch: Scratch) -> DataFrame:
+    """leaf_1 <= leaf_2 and the blocks that they are in: the pairs of leaves that have points of one group and that the bound allows, each once.
 
-    ``open_cells``: key, hub (the cell's first member) and hub_comp, the component that it is in. Leaves all of whose points
-    are in that one are met by others, not by each other: two of their points need no link.
+    A group is the component that first members of its cells are in. Leaves all of whose points are in that one are met by others, not
+    by each other: two of their points need no link.
     """
     # leaves are numbered through all partitions, so that nodes are full; there is a start for each partition
     part = F.shiftright("leaf", 32)
@@ -223,7 +225,7 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     nodes = heads.groupBy("node").agg(
         F.aggregate(F.collect_list("high"), F.array_repeat(F.lit(0), DIMENSIONS), lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a, b))).alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack")
     )
-    own = scratch.save(open_cells.distinct().join(leaves.select("leaf", F.explode("keys").alias("key")), "key").select("hub", "hub_comp", "leaf").distinct(), "leaf-cells")
+    own = scratch.save(leaves.select("leaf", F.explode("groups").alias("group")), "leaf-groups")
 
     def allowed(pairs: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
         for i in (1, 2):
@@ -236,16 +238,17 @@ def _leaf_pairs(leaves: DataFrame, open_cells: DataFrame, bound: Bound, scratch:
     def ordered(a: str, b: str, name: str) -> list:
         return [F.least(a, b).alias(f"{name}_1"), F.greatest(a, b).alias(f"{name}_2")]
 
-    outside = F.bool_or((F.col("low_comp") != F.col("hub_comp")) | (F.col("high_comp") != F.col("hub_comp")))
-    by_node = own.join(heads.select("leaf", "node", "low_comp", "high_comp"), "leaf").groupBy("hub", "node").agg(outside.alias("outside"))
-    met = by_node.where("outside").select("hub", F.col("node").alias("a")).join(by_node.select("hub", F.col("node").alias("b")), "hub").select(*ordered("a", "b", "node")).distinct()
+    outside = F.bool_or((F.col("low_comp") != F.col("group")) | (F.col("high_comp") != F.col("group")))
+    by_node = own.join(heads.select("leaf", "node", "low_comp", "high_comp"), "leaf").groupBy("group", "node").agg(outside.alias("outside"))
+    met = by_node.where("outside").select("group", F.col("node").alias("a")).join(by_node.select("group", F.col("node").alias("b")), "group").select(*ordered("a", "b", "node")).distinct()
     down = scratch.save(allowed(met, nodes, "node").select("node_1", "node_2"), "nodes")
     below = down.join(heads.select(F.col("node").alias("node_1"), F.col("leaf").alias("a")), "node_1").join(heads.select(F.col("node").alias("node_2"), F.col("leaf").alias("b")), "node_2")
-    near = allowed(below.where("node_1 < node_2 or a <= b").select(*ordered("a", "b", "leaf")), heads, "leaf").where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2", "block_1", "block_2")
-    # a leaf's first members are no more than its points have cells
-    hubs = own.groupBy("leaf").agg(F.collect_set("hub").alias("hubs"))
-    both = near.join(hubs.withColumnsRenamed({"leaf": "leaf_1", "hubs": "hubs_1"}), "leaf_1").join(hubs.withColumnsRenamed({"leaf": "leaf_2", "hubs": "hubs_2"}), "leaf_2")
-    return both.where(F.arrays_overlap("hubs_1", "hubs_2")).select("leaf_1", "leaf_2", "block_1", "block_2")
+    both = below.where("node_1 < node_2 or a <= b").select(*ordered("a", "b", "leaf"))
+    # a leaf has no more groups than points; most leaves of two nodes share none
+    for i in (1, 2):
+        both = both.join(leaves.select(F.col("leaf").alias(f"leaf_{i}"), F.col("groups").alias(f"groups_{i}")), f"leaf_{i}")
+    near = allowed(both.where(F.arrays_overlap("groups_1", "groups_2")).select("leaf_1", "leaf_2"), heads, "leaf")
+    return near.where("low_comp_1 <> high_comp_1 or low_comp_2 <> high_comp_2 or low_comp_1 <> low_comp_2").select("leaf_1", "leaf_2", "block_1", "block_2")
 
 
 class _Leaf:
@@ -363,14 +366,13 @@ def linked(cells: DataFrame, describe: Callable[[KeyFilter], DataFrame], bound:
     comps = scratch.save(connected_components(links, scratch), "comps")
 
     hubs = comps.select(F.col("key").alias("hub"), F.col("comp").alias("hub_comp"))
-    placed = shared.join(comps, "key", "left").join(hubs, "hub", "left").select("sig", "hub", "key", F.coalesce("comp", "key").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
+    placed = shared.join(comps, "key", "left").join(hubs, "hub", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
     # what is left: cells in which members besides the first are in several components
     left = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-    opened = scratch.save(placed.join(left, "sig", "left_semi"), "open")
+    opened = scratch.save(placed.join(left, "sig", "left_semi").select(F.col("hub_comp").alias("group"), "key", "comp").distinct(), "open")
     if not opened.isEmpty():
-        grouped = opened.groupBy("key").agg(F.min("hub").alias("group"), F.min("comp").alias("comp"))
-        leaves = scratch.save(_leaves(grouped.join(described, "key").select("group", "comp", "n", "key", "slack", "vec", "payload")), "leaves")
-        pairs = _leaf_pairs(leaves, opened.select("key", "hub", "hub_comp"), bound, scratch)
+        leaves = scratch.save(_leaves(opened.join(described, "key").select("group", "comp", "n", "key", "slack", "vec", "payload")), "leaves")
+        pairs = _leaf_pairs(leaves, bound, scratch)
         with small_batches(spark, LEAVES_AT_ONCE):
             new = scratch.save(_search(pairs, leaves, bound, verify), "links")
         if not new.isEmpty():
